@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from quire.llm import exact_dedup, simhash
+from quire.llm import exact_dedup, mixing, packing, simhash, topk
 
 MODULES = {
     "op1_exact_dedup": exact_dedup,
+    "op3_source_mix": mixing,
+    "op4_exact_topk": topk,
+    "op5_packing": packing,
     "op9_simhash_near_dedup": simhash,
 }
 QUERIES = {name: module.query for name, module in MODULES.items()}
