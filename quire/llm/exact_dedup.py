@@ -170,11 +170,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one a group. Of rows that repeat doc_id, length and squeezed text any one stays."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"), F.lit(True).alias("_stays"))
-    rows = docs.withColumns({"_sha": sha256(squeezed(F.col("text"))), "_len": F.length(F.coalesce("text", F.lit("")))})
-    out = rows.alias("r").join(kept.alias("k"), F.col("r.doc_id").eqNullSafe(F.col("_keep")) & (F.col("r._sha") == F.col("k._sha")))
-    ranked = out.select("r.*").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy(F.desc("_len"))))
-    return ranked.filter("_n = 1").select(*docs.columns)
+    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("__quire_keep"), F.col("text_sha256").alias("__quire_sha"), F.lit(True).alias("__quire_stays"))
+    rows = docs.withColumns({"__quire_sha": sha256(squeezed(F.col("text"))), "__quire_len": F.length(F.coalesce("text", F.lit("")))})
+    out = rows.alias("r").join(kept.alias("k"), F.col("r.doc_id").eqNullSafe(F.col("__quire_keep")) & (F.col("r.__quire_sha") == F.col("k.__quire_sha")))
+    ranked = out.select("r.*").withColumn("__quire_n", F.row_number().over(Window.partitionBy("doc_id", "__quire_sha").orderBy(F.desc("__quire_len"))))
+    return ranked.filter("__quire_n = 1").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

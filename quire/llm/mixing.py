@@ -56,10 +56,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 def repeat(docs: DataFrame, **options: float) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as the mix takes them. Rows that repeat doc_id, source and size count alike."""
     plan = mix(docs, **options).filter("times > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("times").alias("_all"), F.count(F.lit(1)).alias("_rows"))
+    plan = plan.groupBy(F.col("doc_id").alias("__quire_id"), F.col("source").alias("__quire_source"), F.col("size").alias("__quire_size")).agg(F.sum("times").alias("__quire_all"), F.count(F.lit(1)).alias("__quire_rows"))
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (size == F.col("_size")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_all") / F.col("_rows")).cast("int")))).select(*docs.columns)
+    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__quire_id")) & F.col("source").eqNullSafe(F.col("__quire_source")) & (size == F.col("__quire_size")))
+    return out.withColumn("__quire_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__quire_all") / F.col("__quire_rows")).cast("int")))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from quire.llm import exact_dedup, mixing, packing, simhash, topk
+from quire.llm import exact_dedup, html_text, licenses, mixing, packing, quality, simhash, topk, toxicity, warc
 
 MODULES = {
     "op1_exact_dedup": exact_dedup,
+    "op2_toxicity": toxicity,
     "op3_source_mix": mixing,
     "op4_exact_topk": topk,
     "op5_packing": packing,
+    "op6_warc": warc,
+    "op7_license_scan": licenses,
+    "op8_html_text": html_text,
     "op9_simhash_near_dedup": simhash,
+    "op10_quality": quality,
 }
 QUERIES = {name: module.query for name, module in MODULES.items()}
 ORACLES = {name: module.SQL for name, module in MODULES.items() if module.SQL}

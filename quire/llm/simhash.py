@@ -14,7 +14,7 @@ alternating large-star and small-star steps over written tables.
 
 Defined results: null or blank text has fingerprint zero, linked like any other; shorter texts than a
 shingle hash as one; a null doc_id takes part but names a component only if all ids in it are null; rows
-that repeat a doc_id are kept; empty tables give empty results; extra columns are ignored.
+that repeat a doc_id are rows of their own; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,15 +51,16 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, fp (the fingerprint as a signed long) and text_hash of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
     ship_code(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def _mask(first: int, width: int) -> int:
@@ -220,24 +221,30 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits), component_id for every row."""
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, fp, root, component_id for every row."""
     rows = materialize(fingerprints(docs), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(nodes.select("fp")))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "roots")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = materialize(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "labels")
-    out = rows.join(label, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    label = materialize(named.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "labels")
+    return rows.join(label, "fp")
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 lowercase hex digits), component_id for every row."""
+    return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component; a row that repeats such a doc_id goes too."""
-    heads = near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_head")).distinct()
-    out = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_head"))).drop("_head")
-    return out.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).filter("_n = 1").drop("_n").select(*docs.columns)
+    """One row of ``docs`` for each component: smallest doc_id, then any text; of fully repeated rows one."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("head")
+    heads = groups(docs).groupBy("root").agg(first).select(F.col("head.doc_id").alias("__quire_head"), F.col("head.text_hash").alias("__quire_hash"))
+    out = docs.withColumn("__quire_own", F.xxhash64("text")).join(heads.distinct(), F.col("doc_id").eqNullSafe(F.col("__quire_head")) & (F.col("__quire_own") == F.col("__quire_hash")))
+    place = F.row_number().over(Window.partitionBy("__quire_head", "__quire_hash").orderBy("__quire_own"))
+    return out.withColumn("__quire_n", place).filter("__quire_n = 1").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
