@@ -27,6 +27,14 @@ def fence_lines(body: Column) -> Column:
     return F.regexp_extract_all(body, F.lit(FENCE_LINE), F.lit(0))
 
 
+def _pieces(body: Column) -> Column:
+    """array<struct<p, f, o>>: a part, the fence line after it and the one before it.
+
+    Zipped up front: inside a lambda the fence lines would be searched again for every part."""
+    fences = fence_lines(body)
+    return F.arrays_zip(prose_and_code(body).alias("p"), fences.alias("f"), F.concat(F.array(F.lit("")), fences).alias("o"))
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 
@@ -41,9 +49,8 @@ def estimate_tokens(body: Column) -> Column:
 
 def without_code(body: Column) -> Column:
     """Prose and the lines that open fences."""
-    fences = fence_lines(body)
-    keep = lambda p, i: F.when(i % 2 == 0, F.concat(p, F.coalesce(F.get(fences, i), F.lit("")))).otherwise("")
-    return F.array_join(F.transform(prose_and_code(body), keep), "")
+    keep = lambda z, i: F.when(i % 2 == 0, F.concat(z["p"], F.coalesce(z["f"], F.lit("")))).otherwise("")
+    return F.array_join(F.transform(_pieces(body), keep), "")
 
 
 def first_summary(body: Column) -> Column:
@@ -56,10 +63,9 @@ def first_summary(body: Column) -> Column:
 
 def sections(body: Column) -> Column:
     """array<struct<ord, level, name, body>>; ord 0 is the preamble (level 0), headings count from 1."""
-    fences = fence_lines(body)
     mark = lambda p: F.regexp_replace(p, HEADING, f"$1{HEAD}$2{NAME}$3{END}")
-    whole = lambda p, i: F.concat(F.when(i % 2 == 0, mark(p)).otherwise(p), F.coalesce(F.get(fences, i), F.lit("")))
-    marked = F.array_join(F.transform(prose_and_code(body), whole), "")
+    whole = lambda z, i: F.concat(F.when(i % 2 == 0, mark(z["p"])).otherwise(z["p"]), F.coalesce(z["f"], F.lit("")))
+    marked = F.array_join(F.transform(_pieces(body), whole), "")
 
     def parse(s: Column, i: Column) -> Column:
         hashes, rest = F.substring_index(s, NAME, 1), F.substring_index(s, NAME, -1)
@@ -78,9 +84,8 @@ def _label(attributes: Column) -> Column:
     return F.when(attributes.rlike(pattern), F.regexp_extract(attributes, pattern, 1))
 
 
-def _plain_line(line: Column) -> Column:
-    """A prose line without component syntax: null drops it, '' is a pending blank, EMPTY an empty line of content."""
-    t = js_trim(line)
+def _plain_line(line: Column, t: Column) -> Column:
+    """A prose line (and its trimmed form) without component syntax: null drops it, '' is a pending blank, EMPTY an empty line of content."""
     tag = "[A-Za-z][A-Za-z0-9_.-]*"
     said = lambda c: F.when(c == "", EMPTY).otherwise(c)
     admonition = js_trim(F.regexp_extract(t, "^:::(.*)\\z", 1))
@@ -90,6 +95,7 @@ def _plain_line(line: Column) -> Column:
     pair = f"^<({tag})(?:\\s[^>]*)?>(.*)</\\1>\\z"
     return (
         F.when(t == "", "")
+        .when(~F.substring(t, 1, 1).isin("<", ":", "i", "e"), line)
         .when(t.rlike("^import\\s.*['\"]") | t.rlike("^export\\s+(?:default|const|let|var|function|async|class|\\{)") | (t == ":::"), F.lit(None))
         .when(t.rlike("^:::\\S"), bold(F.concat(F.upper(F.substring(admonition, 1, 1)), F.substring(admonition, 2, 1 << 30))))
         .when(t.rlike(inline), F.concat(F.when(label_in.isNotNull(), F.concat(bold(label_in), F.lit("\n\n"))).otherwise(""), said(F.regexp_extract(t, inline, 2)), F.lit("\n")))
@@ -106,11 +112,16 @@ def strip_mdx(body: Column) -> Column:
     """Plain Markdown: imports, exports and tags go, admonitions and tabs become labels, blank runs one blank.
 
     Every fenced region is one line of content meanwhile, its line feeds hidden as BREAK."""
-    fences = fence_lines(body)
-    hide = lambda c: F.replace(F.regexp_replace(c, "^\\n", ""), F.lit("\n"), F.lit(BREAK))
-    code = lambda p, i: F.concat(hide(F.get(fences, i - 1)), F.replace(p, F.lit("\n"), F.lit(BREAK)), F.replace(F.coalesce(F.get(fences, i), F.lit("")), F.lit("\n"), F.lit(BREAK)))
-    lines = lambda p, i: F.transform(F.split(F.when(i == 0, p).otherwise(F.regexp_replace(p, "^\\n", "")), "\\n", -1), _plain_line)
-    parts = F.transform(prose_and_code(body), lambda p, i: F.when(i % 2 == 1, F.array(code(p, i))).when(p == "", F.array().cast("array<string>")).otherwise(lines(p, i)))
+    broken = lambda c: F.replace(c, F.lit("\n"), F.lit(BREAK))
+    code = lambda z: F.concat(broken(F.regexp_replace(z["o"], "^\\n", "")), broken(z["p"]), broken(F.coalesce(z["f"], F.lit(""))))
+
+    def lines(z: Column, i: Column) -> Column:
+        own = F.split(F.when(i == 0, z["p"]).otherwise(F.regexp_replace(z["p"], "^\\n", "")), "\\n", -1)
+        trimmed = F.transform(own, lambda line: F.struct(line.alias("line"), js_trim(line).alias("t")))
+        return F.transform(trimmed, lambda x: _plain_line(x["line"], x["t"]))
+
+    none = F.array().cast("array<string>")
+    parts = F.transform(_pieces(body), lambda z, i: F.when(i % 2 == 1, F.array(code(z))).when(z["p"] == "", none).otherwise(lines(z, i)))
     kept = F.filter(F.flatten(parts), lambda x: x.isNotNull())
     joined = F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), "\\n{2,}", "\n\n"), "^\\n+|\\n+\\z", "")
     return F.replace(F.replace(joined, F.lit(BREAK), F.lit("\n")), F.lit(EMPTY), F.lit(""))

@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import js_trim
@@ -27,8 +27,9 @@ CURL = f"(?i)\\b(curl|wget)\\b.*{SHELLS}"
 BASE64 = f"(?i)base64\\s+(-d|--decode)\\b.*{SHELLS}"
 TOOL_NAME, TOOL_ARGUMENTS = '"name"\\s*:\\s*".+"', '"arguments"\\s*:'
 EXCERPT = 200
-LINES = "doc_set string, relative_path string, line_no int, line string, in_fence boolean, block int, opens boolean, info string"
+LINES = "doc_set string, relative_path string, line_no int, line string, in_fence boolean, block int, opens boolean, info string, arguments boolean"
 _RUN = re.compile(r"`{3,}|~{3,}")
+_ARGUMENTS = re.compile(TOOL_ARGUMENTS)
 
 
 def fence_states(lines: list[str]) -> Iterator[tuple[str, bool, int, bool, str | None]]:
@@ -59,9 +60,10 @@ def fenced_lines(files: DataFrame) -> DataFrame:
                 rows = [*fence_states((content or "").split("\n"))]
                 n = len(rows)
                 line, inside, block, opens, info = zip(*rows, strict=True)
+                with_arguments = {b for x, b in zip(line, block, strict=True) if b and _ARGUMENTS.search(x)}
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_set] * n, pa.string()), pa.array([path] * n, pa.string()), pa.array(range(1, n + 1), pa.int32()), pa.array(line, pa.string()), pa.array(inside), pa.array(block, pa.int32()), pa.array(opens), pa.array(info, pa.string())],
-                    names=["doc_set", "relative_path", "line_no", "line", "in_fence", "block", "opens", "info"],
+                    [pa.array([doc_set] * n, pa.string()), pa.array([path] * n, pa.string()), pa.array(range(1, n + 1), pa.int32()), pa.array(line, pa.string()), pa.array(inside), pa.array(block, pa.int32()), pa.array(opens), pa.array(info, pa.string()), pa.array([b in with_arguments for b in block])],
+                    names=["doc_set", "relative_path", "line_no", "line", "in_fence", "block", "opens", "info", "arguments"],
                 )
 
     ship_code(files.sparkSession)
@@ -80,8 +82,10 @@ def excerpt(line: Column) -> Column:
     return F.substring(js_trim(line), 1, EXCERPT)
 
 
-def plain_findings(lines: DataFrame) -> DataFrame:
-    """doc_set, relative_path, line, pattern, excerpt of the detectors that look at one line."""
+def findings(lines: DataFrame) -> DataFrame:
+    """doc_set, relative_path, line, pattern, excerpt: a row for each rule that a line meets.
+
+    A line that names a tool counts if its block has an arguments key anywhere."""
     outside = ~F.col("in_fence")
     rules = [
         ("instruction-override", override(F.col("line"))),
@@ -90,18 +94,12 @@ def plain_findings(lines: DataFrame) -> DataFrame:
         ("curl-pipe-shell", F.col("line").rlike(CURL)),
         ("base64-decode", F.col("line").rlike(BASE64)),
         ("tool-call-fence", F.col("opens") & F.col("info").isin(*TOOL_FENCES)),
+        ("tool-call-fence", F.col("arguments") & F.col("line").rlike(TOOL_NAME)),
     ]
     labels = F.array_compact(F.array(*[F.when(rule, label) for label, rule in rules]))
     return lines.select("doc_set", "relative_path", F.col("line_no").alias("line"), F.explode(labels).alias("pattern"), excerpt(F.col("line")).alias("excerpt"))
 
 
-def tool_calls(lines: DataFrame) -> DataFrame:
-    """Lines that name a tool inside a fence whose block has an arguments key."""
-    inside = lines.filter("block > 0").withColumn("has_arguments", F.max(F.col("line").rlike(TOOL_ARGUMENTS)).over(Window.partitionBy("doc_set", "relative_path", "block")))
-    return inside.filter(F.col("has_arguments") & F.col("line").rlike(TOOL_NAME)).select("doc_set", "relative_path", F.col("line_no").alias("line"), F.lit("tool-call-fence").alias("pattern"), excerpt(F.col("line")).alias("excerpt"))
-
-
 def scan(files: DataFrame) -> DataFrame:
-    """All findings."""
-    lines = fenced_lines(files)
-    return plain_findings(lines).unionByName(tool_calls(lines))
+    """All findings; one pass, no shuffle."""
+    return findings(fenced_lines(files))

@@ -39,8 +39,9 @@ def heading_paths(sections_df: DataFrame) -> DataFrame:
 
 
 def file_names(files: DataFrame) -> DataFrame:
-    """Adds ``name``: the title, else the first level-1 heading, else the file name in words."""
-    h1 = F.filter(sections(F.col("content")), lambda s: (s["ord"] > 0) & (s["level"] == 1))
+    """Adds ``name``: the title, else the first level-1 heading, else the file name in words. Uses ``secs`` if there is such a column."""
+    parsed = F.col("secs") if "secs" in files.columns else sections(F.col("content"))
+    h1 = F.filter(parsed, lambda s: (s["ord"] > 0) & (s["level"] == 1))
     first = F.get(F.transform(h1, lambda s: s["name"]), F.lit(0))
     filled = lambda c: F.when(c != "", c)
     return files.withColumn("name", F.coalesce(filled(js_trim(F.col("title"))), filled(first), humanize(base_name(F.col("rel_path")))))
@@ -63,10 +64,10 @@ def build_tree(files: DataFrame, root_name: str = "Docs") -> DataFrame:
     prefix = F.col("home").eqNullSafe(F.col("folder")) | F.startswith("home", F.concat("folder", F.lit("/")))
     joined = pairs.join(steps, "doc_set").filter(prefix)
     homes = joined.groupBy("doc_set", "file_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "first_ord"))), lambda s: s["first_ord"]).alias("dirs"))
-    named = file_names(files).join(homes, ["doc_set", "file_ord"], "left").withColumn("dirs", F.coalesce("dirs", F.array().cast("array<int>")))
+    parsed = materialize(file_names(files.withColumn("secs", sections(F.col("content")))).select("doc_set", "file_ord", "rel_path", "name", "secs"), "sections")
+    named = parsed.join(homes, ["doc_set", "file_ord"], "left").withColumn("dirs", F.coalesce("dirs", F.array().cast("array<int>")))
     file_path = F.concat("dirs", F.array("file_ord"))
-    secs = F.explode(sections(F.col("content"))).alias("s")
-    rows = named.select("doc_set", "file_ord", "name", file_path.alias("file_path"), secs).select("doc_set", "file_ord", F.col("name").alias("file_name"), "file_path", "s.*")
+    rows = named.select("doc_set", "file_ord", F.col("name").alias("file_name"), file_path.alias("file_path"), F.inline("secs"))
     chains = heading_paths(rows)
     heads = chains.select("doc_set", F.concat("file_path", "chain", F.array("ord")).alias("path"), F.lit("heading").alias("kind"), "name", "body")
     file_nodes = rows.filter("ord = 0").select("doc_set", F.col("file_path").alias("path"), F.lit("file").alias("kind"), F.col("file_name").alias("name"), "body")

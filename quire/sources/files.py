@@ -71,8 +71,11 @@ def yaml_frontmatter(raw: Column) -> Column:
 def process(files: DataFrame, include_large: bool = False, frontmatter=md.frontmatter) -> DataFrame:
     """Raw files (rel_path, raw, size_bytes, ...) to documents: size guard, YAML block, drafts, component syntax, empties."""
     kept = files.filter(size_guard(F.col("size_bytes"), include_large)).withColumn("_front", frontmatter(F.col("raw")))
-    kept = kept.filter(published(F.col("_front.draft"))).withColumn("content", md.strip_mdx(md.frontmatter_body(F.col("raw"))))
-    return kept.filter(js_trim(F.col("content")) != "").select("*", "_front.title", "_front.sidebar_position", "_front.draft").drop("_front", "raw")
+    kept = kept.filter(published(F.col("_front.draft")))
+    body = F.array(md.strip_mdx(md.frontmatter_body(F.col("raw"))))
+    # exploding an array of one or none keeps the filter from computing the body a second time
+    rows = kept.select("*", "_front.title", "_front.sidebar_position", "_front.draft", F.explode(F.filter(body, lambda c: js_trim(c) != "")).alias("content"))
+    return rows.drop("_front", "raw")
 
 
 def discover(files: DataFrame) -> DataFrame:
