@@ -57,6 +57,15 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, dealt out over the cores; larger scans stay as they are.
+
+    Small inputs come as a file or two; without this, heavy row-local work on them runs in one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
+
+
 def release(spark: SparkSession, path: str) -> None:
     """Delete a table that ``materialize`` wrote and nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.runtime import spread
+
 BLOCK = 64
 APPENDIX = (
     "\n\nimport Tabs from '@theme/Tabs';\n\n:::note Read this\nTake care.\n:::",
@@ -29,7 +31,7 @@ APPENDIX = (
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_set, file_ord, rel_path, doc_id, title, sidebar_position, draft, content of every document with an id."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id IS NOT NULL").select("doc_id", "lang", "source", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id IS NOT NULL").select("doc_id", "lang", "source", "text"))
 
     def rule(line: F.Column, pos: F.Column) -> F.Column:
         return (
