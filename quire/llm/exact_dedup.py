@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.runtime import shared_path
+from quire.runtime import shared_path, spread
 
 SPACES = " \t\n\x0b\x0c\r"
 #: Positions of the filter of hits: 16 for each hit, this many at most (16 MiB as bitmaps). Beyond it
@@ -178,7 +178,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return exact_groups(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
 SQL = r"""

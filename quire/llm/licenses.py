@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.runtime import ship_code
+from quire.runtime import ship_code, spread
 
 SHINGLE, WINDOW, COVERAGE, BAND = 5, 3, 0.8, 12
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
@@ -177,7 +177,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return scan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
 SQL = None

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm._ranks import hash32, ranked, running
-from quire.runtime import materialize
+from quire.runtime import materialize, spread
 
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 20261126
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,7 +63,7 @@ def repeat(docs: DataFrame, **options: float) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    out = mix(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm._ranks import hash32, running
-from quire.runtime import materialize, ship_code
+from quire.runtime import materialize, ship_code, spread
 
 CAPACITY, UNIT, END_ID, SEED = 2048, 16, 1, 5
 
@@ -177,7 +177,7 @@ def pack_default(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_default(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return pack_default(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
 SQL = None

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.toxicity import fit_logistic, remainder
-from quire.runtime import materialize, ship_code
+from quire.runtime import materialize, ship_code, spread
 
 MAX_POSITIVES, MAX_UNLABELLED, THRESHOLD = 10_000, 20_000, 0.7
 LETTERS = re.compile(r"[^\W\d_]")
@@ -174,7 +174,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
 
 

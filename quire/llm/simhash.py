@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.runtime import materialize, ship_code
+from quire.runtime import materialize, ship_code, spread
 
 SHINGLE, SEED, RADIUS, SEGMENTS = 3, 42, 2, 5
 SPLIT, PAIRWISE = 1000, 1500
@@ -248,7 +248,7 @@ def one_per_group(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_groups(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
 SQL = None

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.runtime import materialize, ship_code
+from quire.runtime import materialize, ship_code, spread
 
 K, SCALE, BLOCK, QUERY_BLOCK = 20, 64.0, 4096, 1024
 
@@ -177,7 +177,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCAL
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+    return search(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")), F.col("vec_id") % 20 == 0)
 
 
 SQL = """

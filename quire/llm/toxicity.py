@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.runtime import materialize, ship_code
+from quire.runtime import materialize, ship_code, spread
 
 MAX_LABELLED, MAX_STEMS, THRESHOLD, STEM_LENGTHS = 20_000, 5_000, 0.7, range(3, 9)
 #: Seeds of the grammar's word classes.
@@ -304,7 +304,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
 
 

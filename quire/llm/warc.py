@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.runtime import materialize, shared_path, ship_code
+from quire.runtime import materialize, shared_path, ship_code, spread
 
 ARCHIVE_BYTES, BLOCK_LINES, MIN_REVISIT_BYTES, DATE = 256 << 20, 3000, 0, "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -227,7 +227,7 @@ class CaptureIndex:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = CaptureIndex.write(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    index = CaptureIndex.write(spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")))
     return index.read().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
