@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.runtime import materialize
 
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 500
 HASH_BITS = 32
 
 
