@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from quire.runtime import ship_code, spread
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|select|iframe|svg|title|head|button|object|math)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)|</?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title|math)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<[!?][^>]*(?:>|\Z)|</?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|</?[a-zA-Z][^>]*(?:>|\Z)",  # a tag whose quotes don't pair
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|aria-label)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -36,7 +37,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 AUTO_CLOSED = frozenset(("p", "li", "dt", "dd", "tr", "td", "th", "option"))
 #: Container tags and the words of class, id and role that mark what isn't article text.
-BOILERPLATE_TAGS = frozenset("nav footer header aside form menu dialog fieldset".split())
+BOILERPLATE_TAGS = frozenset("nav footer header aside form menu dialog fieldset button select option head".split())
 ARTICLE_WORDS = frozenset("article main content entry post story body text".split())
 BOILERPLATE_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer header masthead sidebar aside ad ads advert adverts advertisement banner sponsor sponsored promo promotion "
@@ -125,6 +126,8 @@ def blocks(page: str) -> list[Block]:
                 if any(t == tag for t, _ in stack):
                     while stack.pop()[0] != tag:
                         pass
+            elif tag == "body":
+                stack[:] = [(tag, _container(tag, match["attrs"], 0))]  # also ends an open head
             elif tag not in VOID:
                 if tag in AUTO_CLOSED and stack and stack[-1][0] == tag:
                     stack.pop()

@@ -63,13 +63,13 @@ def _window(opens: str, hits: str, weight: float, span: int) -> Transducer:
     return Transducer(step)
 
 
-def _inside(toggles: str, opens: str, hits: str, weight: float) -> Transducer:
-    """Adds a weight to hits in a quotation or after a verb of saying."""
+def _inside(quotes: str, opens: str, hits: str, weight: float) -> Transducer:
+    """Adds a weight to hits in a quotation (state 2) or after a verb of saying (state 1)."""
 
     def step(state: int, symbol: str) -> tuple[int, float]:
-        if symbol in toggles:
-            return 1 - state, 0.0
-        return (1 if symbol in opens else state), weight if state and symbol in hits else 0.0
+        if symbol in quotes:
+            return (0 if state == 2 else 2), 0.0
+        return (1 if symbol in opens and not state else state), weight if state and symbol in hits else 0.0
 
     return Transducer(step)
 
