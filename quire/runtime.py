@@ -66,13 +66,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if splits < cores else df
 
 
-def release(spark: SparkSession, path: str) -> None:
-    """Delete a table that ``materialize`` wrote and nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def ship_code(spark: SparkSession) -> None:
     """Send the package to Python workers unless they can import it from their own path already."""
     context = spark.sparkContext

@@ -17,7 +17,7 @@ def values(spark, rows, column):
 @pytest.mark.parametrize(
     ("column", "cases"),
     [
-        (tx.slug, {"Getting Started": "getting-started", "a／b": "a-b", "!!!": "section", "CON": "section", "com7": "section", "x" * 80: "x" * 64, "Ünï cödé": "n-c-d", "①②": "12", "a" * 63 + "-b": "a" * 63}),
+        (tx.slug, {"First Steps": "first-steps", "x／y": "x-y", "?!?": "section", "CON": "section", "com7": "section", "x" * 80: "x" * 64, "Ünï cödé": "n-c-d", "①②": "12", "a" * 63 + "-b": "a" * 63}),
         (tx.humanize, {"my-file_name": "my file name", "--a--": "a", "": ""}),
         (tx.base_name, {"a/b/c.md": "c", "c.tar.gz": "c.tar", ".md": "", "a/b": "b"}),
         (tx.numeric_prefix, {"01-intro.md": 1.0, "2": 2.0, "3x": None, "x3": None, "12.md": 12.0}),
@@ -34,14 +34,14 @@ def values(spark, rows, column):
         (
             md.first_summary,
             {
-                "# Title\n\nHello world.": "Hello world.", "": "", "- a\n- b\n\ntext\nmore": "text more", f"{FENCE}\ncode\n\nmore\n{FENCE}\n\nafter": "after", "> q\n\n| t |\n\n1. x": "",
+                "# Top\n\nSome words here.": "Some words here.", "": "", "- a\n- b\n\ntext\nmore": "text more", f"{FENCE}\ncode\n\nmore\n{FENCE}\n\nafter": "after", "> q\n\n| t |\n\n1. x": "",
                 f"para\n{FENCE}\ncode\n{FENCE}\nrest": f"para {FENCE} rest", "#tag is prose": "#tag is prose", "  indented  \n": "indented",
             },
         ),
         (
             md.strip_mdx,
             {
-                "import X from 'x';\n\nHello": "Hello", "import this is prose": "import this is prose", "export const a = 1;\nx": "x", ":::note\nbody\n:::": "**Note:**\nbody", "::::": "**::**",
+                "import Y from 'y';\n\nWords": "Words", "import this is prose": "import this is prose", "export const a = 1;\nx": "x", ":::note\nbody\n:::": "**Note:**\nbody", "::::": "**::**",
                 "<Tabs>\n<TabItem label=\"A\">\nx\n</TabItem>\n<TabItem label='B'>y</TabItem>\n</Tabs>": "**A:**\n\nx\n\n**B:**\n\ny", "<Card a='1' />": "[unrendered component: Card]", "<b>bold</b>": "bold", "<b></b>\nx": "\nx",
                 f"{FENCE}\nimport a from 'b'\n\n\n{FENCE}\n\n\nend\n\n": f"{FENCE}\nimport a from 'b'\n\n\n{FENCE}\n\nend", "a\n\n\n\nb": "a\n\nb", "<div>\ntext\n</div>": "text", f"\n{FENCE}\nopen\n\n": f"{FENCE}\nopen\n\n",
             },
