@@ -130,12 +130,11 @@ def table_lines(rows: DataFrame, columns: list[str], order: list[str]) -> DataFr
     """line_no, line: the header (0) and rows padded to the widest cell of each column, without trailing blanks.
 
     Listings are for reading, so all of them are numbered by one window; the rows are the registry's."""
-    widths = rows.agg(*[F.greatest(F.max(F.length(c)), F.lit(len(c))).alias(f"_w_{c}") for c in columns])
+    widths = rows.agg(*[F.greatest(F.max(F.length(c)), F.lit(len(c))).alias(c) for c in columns]).first()
     named = rows.select(*columns, F.row_number().over(Window.orderBy(*order)).alias("line_no"))
     header = rows.sparkSession.range(1).select(*[F.lit(c.upper().replace("_", " ")).alias(c) for c in columns], F.lit(0).alias("line_no"))
-    padded = [F.rpad(c, F.col(f"_w_{c}"), F.lit(" ")) for c in columns]
-    every = header.unionByName(named).crossJoin(F.broadcast(widths))  # one row of widths
-    return every.select("line_no", F.rtrim(F.concat_ws("  ", *padded)).alias("line"))
+    padded = [F.rpad(c, widths[c] or len(c), " ") for c in columns]
+    return header.unionByName(named).select("line_no", F.rtrim(F.concat_ws("  ", *padded)).alias("line"))
 
 
 def description_tokens(descriptions: DataFrame) -> DataFrame:

@@ -29,15 +29,15 @@ def nonempty(*parts: Column) -> Column:
 
 def inline_children(plan: DataFrame, tree: DataFrame) -> DataFrame:
     """doc_set, relative_path, inline: the subtrees below the node of each file without a table of contents."""
-    depth = F.size(F.filter(F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n)), lambda p: F.array_contains("kept", p)))
-    # depth counts kept ancestors; the kept paths of a doc set are bounded with it
-    kept = tree.groupBy("doc_set").agg(F.collect_set("path").alias("kept"))
-    nodes = tree.filter(F.size("path") > 0).join(kept, "doc_set").withColumn("depth", depth).drop("kept")
-    nodes = nodes.unionByName(tree.filter(F.size("path") == 0).withColumn("depth", F.lit(0)))
+    prefixes = F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))
+    below = tree.filter(F.size("path") > 0).select("doc_set", "path", F.explode(prefixes).alias("up"))
+    kept = tree.select("doc_set", F.col("path").alias("up"))
+    ups = below.join(kept, ["doc_set", "up"])  # a row for each node and each of its ancestors that stay
+    depths = ups.groupBy("doc_set", "path").agg(F.count(F.lit(1)).alias("depth"))
+    roots = tree.filter(F.size("path") == 0).select("doc_set", "path", F.lit(0).cast("long").alias("depth"))
     whole = plan.filter("size(child_paths) = 0 AND node_path IS NOT NULL").select("doc_set", "relative_path", F.col("node_path").alias("up"))
-    tops = whole.join(nodes.select("doc_set", F.col("path").alias("up"), F.col("depth").alias("top")), ["doc_set", "up"])
-    ups = nodes.filter(F.size("path") > 0).select("*", F.explode(F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))).alias("up"))
-    rows = ups.join(tops, ["doc_set", "up"])
+    tops = whole.join(depths.unionByName(roots).select("doc_set", F.col("path").alias("up"), F.col("depth").alias("top")), ["doc_set", "up"])
+    rows = ups.join(tops, ["doc_set", "up"]).join(depths, ["doc_set", "path"]).join(tree.select("doc_set", "path", "name", "body"), ["doc_set", "path"])
     heading = F.concat(F.repeat(F.lit("#"), (F.col("depth") - F.col("top") + 1).cast("int")), F.lit(" "), F.col("name"))
     rows = rows.withColumn("section", nonempty(heading, F.col("body")))
     return rows.groupBy("doc_set", "relative_path").agg(joined("section", "path", "\n\n").alias("inline"))

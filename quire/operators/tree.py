@@ -47,22 +47,23 @@ def file_names(files: DataFrame) -> DataFrame:
     return files.withColumn("name", F.coalesce(filled(js_trim(F.col("title"))), filled(first), humanize(base_name(F.col("rel_path")))))
 
 
+def _folder_prefixes() -> F.Column:
+    parts = F.split("rel_path", "/", -1)
+    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
 def folders(files: DataFrame) -> DataFrame:
     """doc_set, folder (path text), first_ord, depth: every folder with its first file."""
-    parts = F.split("rel_path", "/", -1)
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    rows = files.filter(F.col("rel_path").contains("/")).select("doc_set", "file_ord", F.explode(prefixes).alias("folder"))
+    rows = files.filter(F.col("rel_path").contains("/")).select("doc_set", "file_ord", F.explode(_folder_prefixes()).alias("folder"))
     return rows.groupBy("doc_set", "folder").agg(F.min("file_ord").alias("first_ord")).withColumn("depth", F.size(F.split("folder", "/", -1)))
 
 
 def build_tree(files: DataFrame, root_name: str = "Docs") -> DataFrame:
     """doc_set, path, kind, name, body of root, folders, files and headings."""
     placed = folders(files)
-    steps = placed.select("doc_set", "folder", "first_ord", "depth")
     # a folder's path: the first files of its prefixes, outermost first
-    pairs = files.select("doc_set", "file_ord", F.regexp_replace("rel_path", "/?[^/]*\\z", "").alias("home"))
-    prefix = F.col("home").eqNullSafe(F.col("folder")) | F.startswith("home", F.concat("folder", F.lit("/")))
-    joined = pairs.join(steps, "doc_set").filter(prefix)
+    pairs = files.filter(F.col("rel_path").contains("/")).select("doc_set", "file_ord", F.explode(_folder_prefixes()).alias("folder"))
+    joined = pairs.join(placed, ["doc_set", "folder"])
     homes = joined.groupBy("doc_set", "file_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "first_ord"))), lambda s: s["first_ord"]).alias("dirs"))
     parsed = materialize(file_names(files.withColumn("secs", sections(F.col("content")))).select("doc_set", "file_ord", "rel_path", "name", "secs"), "sections")
     named = parsed.join(homes, ["doc_set", "file_ord"], "left").withColumn("dirs", F.coalesce("dirs", F.array().cast("array<int>")))
