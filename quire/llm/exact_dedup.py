@@ -169,12 +169,17 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one a group. Of rows that repeat doc_id, length and squeezed text any one stays."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("__quire_keep"), F.col("text_sha256").alias("__quire_sha"), F.lit(True).alias("__quire_stays"))
-    rows = docs.withColumns({"__quire_sha": sha256(squeezed(F.col("text"))), "__quire_len": F.length(F.coalesce("text", F.lit("")))})
-    out = rows.alias("r").join(kept.alias("k"), F.col("r.doc_id").eqNullSafe(F.col("__quire_keep")) & (F.col("r.__quire_sha") == F.col("k.__quire_sha")))
-    ranked = out.select("r.*").withColumn("__quire_n", F.row_number().over(Window.partitionBy("doc_id", "__quire_sha").orderBy(F.desc("__quire_len"))))
-    return ranked.filter("__quire_n = 1").select(*docs.columns)
+    """The rows of ``docs`` that stay, one a group. Of rows that repeat doc_id, length and squeezed text any one stays.
+
+    Texts move once, to the kept (doc_id, digest); only if such pairs repeat are they ranked as well."""
+    groups = exact_groups(docs)
+    kept = groups.filter("kept").select(F.col("doc_id").alias("__quire_keep"), F.col("text_sha256").alias("__quire_sha2"))
+    rows = docs.withColumn("__quire_sha", sha256(squeezed(F.col("text"))))
+    out = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__quire_keep")) & (F.col("__quire_sha") == F.col("__quire_sha2")))
+    if not groups.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        order = Window.partitionBy("__quire_keep", "__quire_sha2").orderBy(F.desc(F.length(F.coalesce("text", F.lit("")))))
+        out = out.withColumn("__quire_n", F.row_number().over(order)).filter("__quire_n = 1")
+    return out.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

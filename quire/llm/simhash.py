@@ -239,12 +239,18 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each component: smallest doc_id, then any text; of fully repeated rows one."""
+    """One row of ``docs`` for each component: smallest doc_id, then any text; of fully repeated rows one.
+
+    Texts move once, to the chosen (doc_id, hash); only if such pairs repeat are they ranked as well."""
+    rows = groups(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("head")
-    heads = groups(docs).groupBy("root").agg(first).select(F.col("head.doc_id").alias("__quire_head"), F.col("head.text_hash").alias("__quire_hash"))
-    out = docs.withColumn("__quire_own", F.xxhash64("text")).join(heads.distinct(), F.col("doc_id").eqNullSafe(F.col("__quire_head")) & (F.col("__quire_own") == F.col("__quire_hash")))
-    place = F.row_number().over(Window.partitionBy("__quire_head", "__quire_hash").orderBy("__quire_own"))
-    return out.withColumn("__quire_n", place).filter("__quire_n = 1").select(*docs.columns)
+    heads = rows.groupBy("root").agg(first).select(F.col("head.doc_id").alias("__quire_head"), F.col("head.text_hash").alias("__quire_hash"))
+    heads = materialize(heads.distinct(), "heads")
+    out = docs.withColumn("__quire_own", F.xxhash64("text")).join(heads, F.col("doc_id").eqNullSafe(F.col("__quire_head")) & (F.col("__quire_own") == F.col("__quire_hash")))
+    if not rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        place = F.row_number().over(Window.partitionBy("__quire_head", "__quire_hash").orderBy("__quire_own"))
+        out = out.withColumn("__quire_n", place).filter("__quire_n = 1")
+    return out.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
