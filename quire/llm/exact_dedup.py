@@ -49,6 +49,7 @@ class LsmDedupIndex:
         self.path = path or shared_path(spark, "lsm")
         self.batches: list[str] = []
         self.level: str | None = None
+        self.merged = 0  # runs that the level holds
 
     def _read(self, paths: list[str]) -> DataFrame:
         parts = [self.spark.read.parquet(p) for p in paths]
@@ -73,25 +74,28 @@ class LsmDedupIndex:
         self.batches.append(run)
 
     def compact(self) -> None:
-        """Merge the old level and all runs: a sorted row a digest. Map-side combining keeps hot digests small."""
+        """Merge the level with the runs since: a sorted row a digest. Map-side combining keeps hot digests small."""
+        if self.merged == len(self.batches):
+            return
+        both = self._read(self.batches[self.merged :]).select("digest", _winner().alias("best"), F.lit(1).cast("long").alias("members"))
+        if self.level is not None:
+            both = both.unionByName(self.spark.read.parquet(self.level))
         level = f"{self.path}/level/{len(self.batches)}"
         (
-            self._read(self.batches)
-            .groupBy("digest")
-            .agg(F.min(_winner()).alias("best"), F.count(F.lit(1)).alias("members"))
+            both.groupBy("digest")
+            .agg(F.min("best").alias("best"), F.sum("members").alias("members"))
             .sortWithinPartitions("digest")
             .write.option("parquet.bloom.filter.enabled#digest", "true")
             .option("parquet.bloom.filter.adaptive.enabled", "true")
             .parquet(level)
         )
-        self.level = level
+        self.level, self.merged = level, len(self.batches)
 
     def rows(self) -> DataFrame:
         return self._read(self.batches)
 
     def compacted(self) -> DataFrame:
-        if self.level is None:
-            self.compact()
+        self.compact()
         return self.spark.read.parquet(self.level)
 
     def _hit_filter(self, hits: DataFrame, n_hits: int) -> tuple[DataFrame, Callable[[Column], tuple[Column, Column]]]:
