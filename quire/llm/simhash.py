@@ -20,6 +20,7 @@ that repeat a doc_id are rows of their own; empty tables give empty results; ext
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from quire.runtime import materialize, ship_code, spread
 
 SHINGLE, SEED, RADIUS, SEGMENTS = 3, 42, 2, 5
-SPLIT, PAIRWISE = 1000, 1500
+SPLIT, PAIRWISE, BLOCK = 1000, 1500, 65536
 #: First bit and width of each segment, from the lowest bit on.
 BOUNDS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 
@@ -42,7 +43,7 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     shingles = (b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
     counts, n = np.zeros(64, dtype=np.int64), 0
     while True:  # blocks: a very long text never holds all its hashes at once
-        block = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s, _ in zip(shingles, range(65536), strict=False)), dtype="<u8")
+        block = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in islice(shingles, BLOCK)), dtype="<u8")
         if not len(block):
             break
         counts += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

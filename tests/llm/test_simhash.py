@@ -20,6 +20,12 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_long_texts_count_every_shingle():
+    for seed in range(8):
+        text = words(random.Random(seed), m.BLOCK + 2 + seed * 600)  # from one block to the next, and beyond
+        assert m.fingerprint(text) == brute_fingerprint(text)
+
+
 def brute_components(fps):
     root = list(range(len(fps)))
 
