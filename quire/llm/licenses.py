@@ -1,7 +1,8 @@
 """License scans: winnowed template fingerprints pick candidates, banded alignment measures them.
 
 Templates are split into words; hashes of ``SHINGLE`` words are winnowed (the smallest in every window of
-``WINDOW``) into an inverted index, a few hundred entries for the fixed templates below. A document's
+``WINDOW``) into an inverted index, some 20,000 entries for the fixed templates below: one-line notices, headers
+and whole license texts. A document's
 shingles are looked up in it; only runs of words that occur in some template can hit. Hits of a template
 that lie close form a candidate, which a banded semi-global alignment of words scores: coverage is the
 share of template words matched in order, and the span runs from the first to the last matched word.
@@ -15,20 +16,31 @@ tables give empty results; extra columns are ignored. Texts are scanned whole, w
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache, lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm._license_bodies import BODIES
 from quire.runtime import ship_code, spread
 
 SHINGLE, WINDOW, COVERAGE, BAND = 5, 3, 0.8, 12
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution. {third} THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS
+BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING
+IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 #: Public license notices.
 TEMPLATES = {
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0",
@@ -61,13 +73,92 @@ You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "LGPL-3.0-or-later": """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by
+the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "LGPL-2.0-or-later": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by
+the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+    "GPL-2.0-only": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by
+the Free Software Foundation.""",
+    "GPL-3.0-only": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by
+the Free Software Foundation.""",
+    "BSD-2-Clause-body": _BSD.format(third=""),
+    "BSD-3-Clause-body": _BSD.format(third="""Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+without specific prior written permission."""),
+    "ISC-body": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
+ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER
+RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE
+OF THIS SOFTWARE.""",
+    "Unlicense-body": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
+software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the
+author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and
+to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under
+copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to http://unlicense.org""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of
+this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the
+following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an
+acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as
+being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+(the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the
+Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and
+the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are
+solely in the form of machine-executable object code generated by a source language processor.""",
+    **BODIES,
+}
+#: Names of a license as one-line notices write them; each follows "Licensed under" and, where it is short, other verbs.
+_NAMES = {
+    "Apache-2.0": ("the Apache License 2.0", "the Apache 2.0 license", "Apache License, Version 2.0"),
+    "MIT": ("the MIT License", "the terms of the MIT License"),
+    "ISC": ("the ISC License", "the terms of the ISC License"),
+    "BSD-2-Clause": ("the BSD 2-Clause License", "the 2-Clause BSD License", "the Simplified BSD License"),
+    "BSD-3-Clause": ("the BSD 3-Clause License", "the 3-Clause BSD License", "the New BSD License"),
+    "MPL-2.0": ("the Mozilla Public License, Version 2.0", "the Mozilla Public License 2.0", "the MPL 2.0"),
+    "MPL-1.1": ("the Mozilla Public License, Version 1.1", "the Mozilla Public License 1.1"),
+    "EPL-2.0": ("the Eclipse Public License, Version 2.0", "the Eclipse Public License 2.0"),
+    "EPL-1.0": ("the Eclipse Public License, Version 1.0", "the Eclipse Public License 1.0"),
+    "BSL-1.0": ("the Boost Software License, Version 1.0",),
+    "CC0-1.0": ("CC0 1.0 Universal", "the CC0 1.0 license", "the Creative Commons CC0 1.0 Universal"),
+} | {
+    f"{short}-{v if '.' in v else v + '.0'}{suffix}": tuple(
+        f"the {name}{later}" for later in laters for name in (f"GNU {long} License, version {v}", f"GNU {long} License v{v}", f"GNU {short} version {v}", f"GNU {short} v{v}", f"{short} version {v}", f"{short} v{v}")
+    )
+    for short, long, versions in (("GPL", "General Public", "123"), ("LGPL", "Lesser General Public", ("2.1", "3")), ("AGPL", "Affero General Public", "3"), ("GFDL", "Free Documentation", ("1.2", "1.3")))
+    for v in versions
+    for suffix, laters in (("", ("",)), ("-or-later", (" or later", ", or (at your option) any later version")))
 }
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_NAMES |= {
+    f"CC-{kind}-{v}": (f"CC {kind} {v}", f"the CC {kind} {v} license", f"a Creative Commons {long} {v} {'International' if v == '4.0' else 'Unported'} License", f"a Creative Commons {long} {v} License", f"Creative Commons {long} {v}")
+    for kind, long in _CC.items()
+    for v in ("1.0", "2.0", "2.5", "3.0", "4.0")
+}
+
+
+def _lines() -> dict[str, str]:
+    out: dict[str, str] = {}
+    taken = {tuple(tokens(text)) for text in TEMPLATES.values()}
+    for license_id, names in _NAMES.items():
+        for name in names:
+            for verb in ("Licensed", "This work is licensed") if len(tokens(name)) > 5 else ("Licensed", "Released", "Distributed", "Available"):
+                own = tuple(tokens(line := f"{verb} under {name}"))
+                if len(own) >= SHINGLE and own not in taken:
+                    taken.add(own)
+                    out[f"{license_id}-line" if f"{license_id}-line" not in TEMPLATES | out else f"{license_id}-line-{sum(x.startswith(f'{license_id}-line') for x in TEMPLATES | out) + 1}"] = line
+    return out
 
 
 def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+TEMPLATES |= _lines()
+
+
 def shingle_hash(words: list[str] | tuple[str, ...]) -> int:
     return xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
 
@@ -80,48 +171,56 @@ def winnow(hashes: list[int]) -> set[int]:
 
 
 @cache
-def index() -> tuple[dict[str, list[str]], dict[int, list[tuple[str, int]]], frozenset[str]]:
-    """Words of the templates, the inverted index hash -> (template, place), and their vocabulary."""
+def index() -> tuple[dict[str, list[str]], dict[int, list[tuple[str, int]]], frozenset[str], dict[str, Counter]]:
+    """Words of the templates, the inverted index hash -> (template, place), their vocabulary, and how often each holds a word."""
     words = {name: tokens(text) for name, text in TEMPLATES.items()}
     postings: dict[int, list[tuple[str, int]]] = defaultdict(list)
     for name, own in words.items():
         hashes = [shingle_hash(own[i : i + SHINGLE]) for i in range(len(own) - SHINGLE + 1)]
         for place in winnow(hashes):
             postings[hashes[place]].append((name, place))
-    return words, dict(postings), frozenset(w for own in words.values() for w in own)
+    return words, dict(postings), frozenset(w for own in words.values() for w in own), {name: Counter(own) for name, own in words.items()}
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=256)
 def align(template: tuple[str, ...], region: tuple[str, ...], shift: int) -> tuple[int, int, int]:
     """(matched words, first and last matched word of the region): banded alignment, free ends in the region.
 
     ``shift`` is where in the region the template is expected to begin; the band allows BAND words (and a
-    tenth of the template) of drift around that diagonal. A match scores 2, a gap or a mismatch -1."""
-    half = BAND + len(template) // 10
-    before: dict[int, tuple[int, int, int, int]] = {j: (0, 0, -1, -1) for j in range(max(0, shift - half), min(len(region), shift + half) + 1)}
-    for i, word in enumerate(template):
-        row: dict[int, tuple[int, int, int, int]] = {}
-        for j in range(max(0, i + 1 + shift - half), min(len(region), i + 1 + shift + half) + 1):
-            options = []
-            if j in before:
-                s, n, a, b = before[j]
-                options.append((s - 1, n, a, b))
-            if j - 1 in before:
-                s, n, a, b = before[j - 1]
-                options.append((s + 2, n + 1, j - 1 if a < 0 else a, j - 1) if region[j - 1] == word else (s - 1, n, a, b))
-            if j - 1 in row:
-                s, n, a, b = row[j - 1]
-                options.append((s - 1, n, a, b))
-            if options:
-                row[j] = max(options)
-        before = row
-    _, matched, first, last = max(before.values(), default=(0, 0, -1, -1))
-    return matched, first, last
+    tenth of the template) of drift around that diagonal. A match scores 2, a gap or a mismatch -1. A cell is one
+    number, score, matched words, first and last matched word from the highest bit on (14 bits each but the score)."""
+    half, gap, none = BAND + len(template) // 10, 1 << 42, -(1 << 62)
+    codes: dict[str, int] = {}
+    own = np.array([codes.setdefault(w, len(codes)) for w in region], dtype=np.int64)
+    at = np.arange(len(region) + 1)
+    before = np.full(len(region) + 1, none)
+    before[max(0, shift - half) : max(0, shift + half + 1)] = 1 << 57
+    for i, word in enumerate(template, 1):
+        low, high = max(0, i + shift - half), min(len(region), i + shift + half)
+        if low > high:
+            return 0, -1, -1
+        row = before[low : high + 1] - gap
+        start = max(low, 1)
+        diagonal = before[start - 1 : high] - gap
+        same = np.flatnonzero(own[start - 1 : high] == codes.get(word, -1))
+        if len(same):
+            cell, place = before[same + start - 1], same + start
+            ends = cell & ((1 << 28) - 1)
+            first = ends >> 14
+            diagonal[same] = cell - ends + 2 * gap + (1 << 28) + (np.where(first > 0, first, place) << 14) + place
+        np.maximum(row[start - low :], diagonal, out=row[start - low :])
+        drift = at[: high - low + 1] * gap  # a gap in the template: the running maximum less the way to it
+        before = np.full(len(region) + 1, none)
+        before[low : high + 1] = np.maximum.accumulate(row + drift) - drift
+    best = int(before.max())
+    if best < 0:
+        return 0, -1, -1
+    return best >> 28 & 16383, (best >> 14 & 16383) - 1, (best & 16383) - 1
 
 
 def matches(text: str | None) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, matched words, start, end) in characters of the text."""
-    templates, postings, vocabulary = index()
+    templates, postings, vocabulary, bags = index()
     found = list(WORD.finditer((low := (text or "").lower())))
     if len(low) != len(text or ""):  # a few letters change length in lower case: spans must point into the text itself
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text or "")
@@ -135,6 +234,7 @@ def matches(text: str | None) -> list[tuple[str, float, int, int, int]]:
             for name, place in postings.get(shingle_hash(words[at - SHINGLE + 1 : at + 1]), ()):
                 hits[name].append((at - SHINGLE + 1 - place, at))
     out = []
+    known = list(accumulate((w in vocabulary for w in words), initial=0)) if hits else []
     for name, own in hits.items():
         template = templates[name]
         clusters: list[list[int]] = []
@@ -147,7 +247,12 @@ def matches(text: str | None) -> list[tuple[str, float, int, int, int]]:
             begin = begins[len(begins) // 2]
             margin = BAND + len(template) // 10
             low_end = max(0, begin - margin)
-            region = tuple(words[low_end : begin + len(template) + margin])
+            high_end = max(low_end, min(len(words), begin + len(template) + margin))
+            if known[high_end] - known[low_end] < COVERAGE * len(template):  # too few words of any template
+                continue
+            region = tuple(words[low_end:high_end])
+            if sum((Counter(region) & bags[name]).values()) < COVERAGE * len(template):  # no alignment matches more
+                continue
             count, first, last = align(tuple(template), region, begin - low_end)
             if count >= COVERAGE * len(template):
                 out.append((name, count / len(template), count, found[low_end + first].start(), found[low_end + last].end()))

@@ -16,6 +16,34 @@ def test_every_template_is_found_with_its_span(name):
     assert m.tokens(text[got[0][3] : got[0][4]]) == m.tokens(m.TEMPLATES[name])
 
 
+@pytest.mark.parametrize(
+    ("line", "name"),
+    [
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        ("Released under the MIT License.", "MIT"),
+        ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("licensed under the GNU Affero General Public License v3 or later", "AGPL-3.0-or-later"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "CC-BY-NC-ND-4.0"),
+        ("Distributed under the BSD 3-Clause License", "BSD-3-Clause"),
+    ],
+)
+def test_notices_as_documents_write_them(line, name):
+    rng = random.Random(line)
+    text = f"{words(rng, 40)}\n{line}\n{words(rng, 40)}"
+    got = m.matches(text)
+    assert [(g[0].split("-line")[0], g[1]) for g in got] == [(name, 1.0)]
+    assert text[got[0][3] : got[0][4]] in line
+
+
+@pytest.mark.parametrize("name", [*m.BODIES, "BSD-2-Clause-body", "BSD-3-Clause-body"])
+def test_edited_license_texts_are_found_under_their_own_name(name):
+    rng = random.Random(name)
+    text = " ".join(w for w in m.TEMPLATES[name].split() if rng.random() > 0.02)
+    got = m.matches(words(rng, 30) + " " + text + " " + words(rng, 30))
+    assert name in [g[0] for g in got] and max(got, key=lambda g: g[2])[0] == name
+
+
 def test_edited_copies_count_above_the_threshold_only():
     own = m.TEMPLATES["MIT"].split()
     rng = random.Random(1)
