@@ -2,8 +2,10 @@
 
 Small transducers read a clause as symbols: insults, threats (intent, then a verb of violence), targets,
 negation and reported speech. They are composed into one deterministic machine whose arcs add weights;
-an insult or threat near a target weighs more, one that is negated or reported less. Clauses with matches are
-scored, not isolated words; a document's clause scores become a few features and a logistic score.
+an insult or threat near a target weighs more, one that is negated or reported less. Targets, negation and intent
+end with their clause, reported speech with its sentence, quotations with their paragraph at the latest. Clauses with
+matches are scored, not isolated words; a document's clause scores and the weights of its insults' arcs become a few
+features and a logistic score. A word enters with its lexicon weight only as its arc changes it in context.
 
 The insult lexicon holds fixed seed words and stems learned from labelled documents: word prefixes whose
 log odds stay high after a confidence margin. Lexicon and logistic weights are fitted on a bounded sample of
@@ -43,32 +45,35 @@ QUOTES = frozenset("\"“”„«»")
 WORD = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:,\n\"“”„«»]")
 CLAUSE_END = frozenset(".!?;:,\n")
+ENDS = frozenset(",./")  # symbols of a clause's, a sentence's and a paragraph's end
 SEED_WEIGHT = 2.0
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """``step(state, symbol) -> (state, weight)`` from state 0; symbols: I insult, V violence, W intent, Y target, N negator, R reporter, Q quote, O other."""
+    """``step(state, symbol) -> (state, weight)`` from state 0; symbols: I insult, V violence, W intent, Y target, N negator, R reporter, Q quote, O other, and ends of a clause (,), a sentence (.) and a paragraph (/)."""
 
     step: object
 
 
 def _window(opens: str, hits: str, weight: float, span: int) -> Transducer:
-    """Adds a weight to hits within a span of tokens after an opener."""
+    """Adds a weight to hits within a span of tokens after an opener; a clause end closes the span."""
 
     def step(state: int, symbol: str) -> tuple[int, float]:
         got = weight if state and symbol in hits else 0.0
-        return (span if symbol in opens else max(0, state - 1)), got
+        return (0 if symbol in ENDS else span if symbol in opens else max(0, state - 1)), got
 
     return Transducer(step)
 
 
 def _inside(quotes: str, opens: str, hits: str, weight: float) -> Transducer:
-    """Adds a weight to hits in a quotation (state 2) or after a verb of saying (state 1)."""
+    """Adds a weight to hits in a quotation (state 2, until it or the paragraph ends) or after a verb of saying (state 1, until the sentence ends)."""
 
     def step(state: int, symbol: str) -> tuple[int, float]:
         if symbol in quotes:
             return (0 if state == 2 else 2), 0.0
+        if symbol == "/" or (symbol == "." and state == 1):
+            return 0, 0.0
         return (1 if symbol in opens and not state else state), weight if state and symbol in hits else 0.0
 
     return Transducer(step)
@@ -85,22 +90,21 @@ class Grammar:
     """The composition of transducers: states are tuples of their states, arcs add their weights; built as needed."""
 
     def __init__(self, parts: tuple[Transducer, ...] = (INSULT, THREAT, TARGET, NEGATION, REPORTED)):
-        self.parts, self.start = parts, (0,) * len(parts)
-        self.arcs: dict[tuple, tuple[tuple, float]] = {}
-
-    def arc(self, state: tuple, symbol: str) -> tuple[tuple, float]:
-        if (state, symbol) not in self.arcs:
-            steps = [part.step(s, symbol) for part, s in zip(self.parts, state, strict=True)]
-            self.arcs[state, symbol] = tuple(s for s, _ in steps), sum(w for _, w in steps)
-        return self.arcs[state, symbol]
-
-    def weigh(self, symbols: list[tuple[str, float]]) -> float:
-        """The weight of a clause; an insult's own weight scales its arc."""
-        state, total = self.start, 0.0
-        for symbol, scale in symbols:
-            state, weight = self.arc(state, symbol)
-            total += weight * scale
-        return total
+        self.parts = parts
+        self.numbers, self.states = {(0,) * len(parts): 0}, [(0,) * len(parts)]
+        self.arcs: list[dict[str, tuple[int, float]]] = [{}]
+
+    def arc(self, state: int, symbol: str) -> tuple[int, float]:
+        """The next state's number and the weight of the arc."""
+        found = self.arcs[state].get(symbol)
+        if found is None:
+            steps = [part.step(s, symbol) for part, s in zip(self.parts, self.states[state], strict=True)]
+            number = self.numbers.setdefault(tuple(s for s, _ in steps), len(self.states))
+            if number == len(self.states):
+                self.states.append(tuple(s for s, _ in steps))
+                self.arcs.append({})
+            found = self.arcs[state][symbol] = number, sum(w for _, w in steps)
+        return found
 
 
 @dataclass
@@ -137,7 +141,7 @@ _grammar = Grammar()
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
-    """Sum and maximum of clause weights, number of matched clauses, lexical weights, all against length."""
+    """Sum and maximum of clause weights, number of matched clauses, weights of insults' arcs, all against length."""
     low = (text or "").lower()
     words = WORD.findall(low)
     weight = lexicon.weight
@@ -146,27 +150,35 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     threats = not VIOLENCE.isdisjoint(words)
     if not hits and not threats:
         return [0.0] * (N_FEATURES - 1) + [math.log1p(len(words))]
-    clauses, clause, matched = [], [], False
+    scores: list[float] = []
+    best: dict[str, float] = {}  # the largest weight a word has on its arcs: context counts, not the word alone
+    state, clause, matched, share, arc = 0, 0.0, False, 0.0, _grammar.arc
     for token in TOKEN.findall(low):
+        word = token
         if token in CLAUSE_END:
-            if matched:
-                clauses.append(clause)
-            clause, matched = [], False
-        elif token in hits:
-            clause.append(("I", hits[token]))
-            matched = True
+            if matched and clause > 0:
+                scores.append(clause)
+            clause, matched = 0.0, False
+            symbol = "/" if token == "\n" else "." if token in ".!?" else ","
+        elif token in hits or ("'" in token or "’" in token) and (word := max(re.split("['’]", token), key=lambda w: hits.get(w, 0.0))) in hits:
+            symbol, matched = "I", True
         elif token in VIOLENCE:
-            clause.append(("V", 1.0))
-            matched = True
+            symbol, matched = "V", True
         else:
             plain = token.replace("'", "").replace("’", "")
-            clause.append(("Q" if token in QUOTES else "Y" if plain in TARGETS else "N" if plain in NEGATORS else "W" if plain in INTENT else "R" if plain in REPORTERS else "O", 1.0))
-    if matched:
-        clauses.append(clause)
-    scores = [s for s in map(_grammar.weigh, clauses) if s > 0] or [0.0]
-    best = sorted(hits.values(), reverse=True)[:3] + [0.0] * 3
-    count = sum(words.count(w) for w in hits) if len(hits) < 20 else sum(w in hits for w in words)
-    return [math.log1p(sum(scores)), max(scores), math.log1p(len(scores)), best[0], best[1], best[2], math.log1p(len(hits)), math.log1p(100 * count / max(1, len(words))), math.log1p(len(words))]
+            symbol = "Q" if token in QUOTES else "Y" if plain in TARGETS else "N" if plain in NEGATORS else "W" if plain in INTENT else "R" if plain in REPORTERS else "O"
+        state, got = arc(state, symbol)
+        if symbol == "I":
+            if got > 0:
+                best[word] = max(best.get(word, 0.0), got * hits[word])
+                share += got
+            got *= hits[word]
+        clause += got
+    if matched and clause > 0:
+        scores.append(clause)
+    scores = scores or [0.0]
+    top = sorted(best.values(), reverse=True)[:3] + [0.0] * 3
+    return [math.log1p(sum(scores)), max(scores), math.log1p(len(scores)), top[0], top[1], top[2], math.log1p(len(best)), math.log1p(100 * share / max(1, len(words))), math.log1p(len(words))]
 
 
 @dataclass

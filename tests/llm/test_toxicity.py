@@ -55,6 +55,35 @@ def test_context_changes_a_clause_weight():
     assert score("not. an idiot went") == plain  # negation ends with its clause
 
 
+@pytest.mark.parametrize(
+    ("plain", "reported"),
+    [
+        ("you are an idiot", "he said: you are an idiot"),
+        ("you idiot", "she wrote, you idiot"),
+        ("you idiot, you moron", '"you idiot, you moron," he said'),
+        ("you idiot. you moron", '"well. you idiot. you moron," he said'),
+    ],
+)
+def test_reported_speech_lasts_across_clauses(plain, reported):
+    a, b = (m.features(x, m.Lexicon({})) for x in (plain, reported))
+    assert all(b[i] < a[i] for i in (0, 1, 3, 7))
+    if "moron" in plain:
+        assert b[4] < a[4]
+
+
+def test_reported_speech_ends():
+    score = lambda text: m.features(text, m.Lexicon({}))[1]
+    assert score("he said so. you idiot") == score("you idiot")
+    assert score('an open " quotation\nyou idiot') == score("you idiot")
+
+
+def test_lexical_features_come_from_arcs():
+    plain, negated, both = (m.features(x, m.Lexicon({})) for x in ("this is an idiot", "this is not idiot", 'this says "not idiot"'))
+    assert all(negated[i] < plain[i] for i in (3, 7))
+    assert both[:7] == [0.0, 0.0, m.math.log1p(1), 0.0, 0.0, 0.0, 0.0]
+    assert m.features("that idiot's car", m.Lexicon({}))[3] == m.SEED_WEIGHT
+
+
 def test_stems_count_once_each_and_long_texts_are_read_to_the_end():
     assert m.stems_of("Zorkab zorkab") == {"=zorkab", "zor", "zork", "zorka", "zorkab"}
     assert m.features("a " * 200_000 + "idiot", m.Lexicon({}))[1] == m.SEED_WEIGHT
