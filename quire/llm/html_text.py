@@ -2,7 +2,9 @@
 
 A page becomes a flat list of text blocks. Each block has its word count and link density, those of its
 neighbours, and what kind of container holds it. A small CART tree, trained on the labelled table below,
-says which blocks are article text; their texts are joined in page order by a blank line.
+says which blocks are article text; their texts are joined in page order by a blank line. Marks of layouts and forms
+are doubtful: an article inside them is one, and long unlinked text flanked by such text is kept; a form around
+the whole page marks nothing. Lists of links inside an article are dropped.
 
 White space inside a block (any Unicode white space, after decoding character references) becomes one
 space. Scripts, styles, templates, form fields and comments are markup, not blocks. Defined results:
@@ -14,7 +16,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -46,35 +49,77 @@ BOILERPLATE_WORDS = frozenset(
 )
 
 
+#: Those of them that layouts and forms around an article bear too; the others always mean what they say.
+LAYOUT_WORDS = frozenset("header masthead banner notice notices form search widget toolbar".split())
+#: Words of a class name after which it says what a layout has, and last words of names of layouts.
+HAVING, LAYOUTS = frozenset("has no with without".split()), frozenset("layout page grid".split())
+NEUTRAL, SOFT, ARTICLE, HARD, HIDDEN = range(5)
+#: The feature "boilerplate" of a place: 1 where density may overrule the mark, 2 where it may not.
+BOILERPLATE = {SOFT: 1, HARD: 2, HIDDEN: 2}
+LANDMARK = re.compile(r"</form\b|<(?P<mark>main|article|nav|header|footer|aside|h1)\b", re.I)
+
+
 @dataclass
 class Block:
     text: str
     words: int
     linked: int
-    place: int  # 0 neutral, 1 inside a boilerplate container, 2 inside an article
+    place: int  # neutral, inside a container with a doubtful mark, an article, one with a sure mark, or a hidden one
     heading: bool
 
 
+def _names(value: str) -> set[str]:
+    """The words of a class, id or role attribute, less those that tell what a layout has."""
+    out: set[str] = set()
+    for name in value.split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", name).lower()) if x]
+        having = next((i for i, x in enumerate(parts) if x in HAVING), len(parts))
+        parts = parts[:having]
+        out |= set(parts) - BOILERPLATE_WORDS if parts and parts[-1] in LAYOUTS else set(parts)
+    return out
+
+
 def _container(tag: str, attrs: str, place: int) -> int:
     """What a container makes of the place it stands in."""
     words: set[str] = set()
     for name, value in ATTRIBUTE.findall(attrs) if attrs else ():
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
-            words |= set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", value).lower()))
+            words |= _names(value)
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return 1
-    if place == 1:
-        return 1
-    if tag in ("article", "main") or (words & {"article", "main"} and not words & {"nav", "menu", "footer", "sidebar"}):
-        return 2
-    if tag in BOILERPLATE_TAGS and not (tag == "header" and place == 2):
-        return 1
-    if words & BOILERPLATE_WORDS and not (place == 2 and tag == "header") and tag not in ("html", "body"):
-        return 0 if words & ARTICLE_WORDS and not words & {"comment", "comments"} else 1
+            return HIDDEN
+    if place == HIDDEN:
+        return HIDDEN
+    marked = tag in ("article", "main") or bool(words & {"article", "main"} and not words & {"nav", "menu", "footer", "sidebar"})
+    sure = bool(words & BOILERPLATE_WORDS - LAYOUT_WORDS)
+    if place in (SOFT, HARD):
+        if marked and not sure and (place == SOFT or tag == "main"):
+            return ARTICLE
+        return HARD if place == HARD or sure or tag in BOILERPLATE_TAGS - {"form", "header", "fieldset"} else SOFT
+    if marked:
+        return ARTICLE
+    if tag in BOILERPLATE_TAGS and not (tag == "header" and place == ARTICLE):
+        return SOFT if tag == "form" and not sure else HARD
+    if words & BOILERPLATE_WORDS and not (place == ARTICLE and tag == "header") and tag not in ("html", "body"):
+        return NEUTRAL if words & ARTICLE_WORDS and not words & {"comment", "comments"} else HARD if sure else SOFT
     return place
 
 
+def _wide_forms(page: str) -> Callable[[int], bool]:
+    """Tells of a form's place whether the form is the page: it holds landmarks or more than half of the page."""
+    ends: list[int] = []
+    marks: list[int] = []
+    for match in LANDMARK.finditer(page):
+        (marks if match["mark"] else ends).append(match.start())
+
+    def wide(at: int) -> bool:
+        i = bisect_right(ends, at)
+        end = ends[i] if i < len(ends) else len(page)
+        return bisect_left(marks, at) < bisect_left(marks, end) or 2 * (end - at) > len(page)
+
+    return wide
+
+
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page in page order."""
     out: list[Block] = []
@@ -82,13 +127,14 @@ def blocks(page: str) -> list[Block]:
     runs: list[str] = []
     linked = words_linked = 0
     at, heading = 0, False
+    wide: Callable[[int], bool] | None = None
 
     def flush() -> None:
         nonlocal runs, words_linked
         text = " ".join(html.unescape("".join(runs)).split()) if runs else ""
         if text:
             words = text.count(" ") + 1
-            out.append(Block(text, words, min(words_linked, words), stack[-1][1] if stack else 0, heading))
+            out.append(Block(text, words, min(words_linked, words), stack[-1][1] if stack else NEUTRAL, heading))
         runs, words_linked = [], 0
 
     def add(text: str) -> None:
@@ -110,10 +156,10 @@ def blocks(page: str) -> list[Block]:
         elif tag == "a":
             linked = 0 if closing else 1
         elif tag in INLINE:
-            place = stack[-1][1] if stack else 0
-            if not closing and match["attrs"] and tag not in VOID and place != 1 and _container(tag, match["attrs"], place) == 1:
+            place = stack[-1][1] if stack else NEUTRAL
+            if not closing and match["attrs"] and tag not in VOID and place in (NEUTRAL, ARTICLE) and (inner := _container(tag, match["attrs"], place)) in BOILERPLATE:
                 flush()
-                stack.append((tag, 1))
+                stack.append((tag, inner))
             elif closing and any(t == tag for t, _ in stack) and stack[-1][0] == tag:
                 flush()
                 stack.pop()
@@ -127,11 +173,16 @@ def blocks(page: str) -> list[Block]:
                     while stack.pop()[0] != tag:
                         pass
             elif tag == "body":
-                stack[:] = [(tag, _container(tag, match["attrs"], 0))]  # also ends an open head
+                stack[:] = [(tag, _container(tag, match["attrs"], NEUTRAL))]  # also ends an open head
             elif tag not in VOID:
                 if tag in AUTO_CLOSED and stack and stack[-1][0] == tag:
                     stack.pop()
-                stack.append((tag, _container(tag, match["attrs"], stack[-1][1] if stack else 0)))
+                place = stack[-1][1] if stack else NEUTRAL
+                if tag == "form" and place in (NEUTRAL, SOFT):
+                    wide = wide or _wide_forms(page)
+                    stack.append((tag, _container("div" if wide(match.start()) else tag, match["attrs"], place)))
+                else:
+                    stack.append((tag, _container(tag, match["attrs"], place)))
     add(page[at:])
     flush()
     return out
@@ -153,6 +204,13 @@ LABELLED = np.array(
         (60, 0.00, 80, 0.0, 12, 0.0, 1, 0, 0, 0), (5, 0.20, 90, 0.0, 3, 1.0, 1, 0, 0, 0), (3, 0.00, 4, 1.0, 90, 0.0, 1, 0, 1, 0), (150, 0.02, 90, 0.0, 30, 0.0, 1, 0, 0, 0),
         (30, 0.10, 2, 1.0, 2, 1.0, 1, 0, 0, 0), (9, 0.00, 9, 0.0, 100, 0.0, 1, 0, 1, 0), (14, 0.60, 14, 0.6, 14, 0.6, 1, 0, 0, 0), (45, 0.00, 45, 0.0, 45, 0.0, 1, 0, 0, 0),
         (36, 0.00, 5, 0.5, 2, 1.0, 1, 0, 0, 0), (90, 0.00, 3, 1.0, 2, 1.0, 1, 0, 0, 0), (200, 0.00, 100, 0.0, 3, 0.9, 1, 0, 0, 0), (1, 0.00, 0, 0.0, 90, 0.0, 1, 0, 1, 0),
+        # lists of links inside an article, and lone links between paragraphs
+        (3, 1.00, 2, 1.0, 3, 1.0, 0, 1, 0, 0), (4, 1.00, 3, 1.0, 2, 1.0, 0, 1, 0, 0), (6, 0.95, 5, 1.0, 4, 1.0, 0, 1, 0, 0), (12, 1.00, 9, 1.0, 11, 1.0, 0, 1, 0, 0),
+        (1, 1.00, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (2, 1.00, 4, 1.0, 60, 0.0, 0, 1, 0, 0), (3, 1.00, 5, 1.0, 0, 0.0, 0, 1, 0, 0), (5, 1.00, 80, 0.0, 12, 0.0, 0, 1, 0, 1),
+        # containers with a doubtful mark around long unlinked paragraphs, and the same under a sure mark
+        (120, 0.00, 90, 0.0, 100, 0.0, 1, 0, 0, 1), (80, 0.02, 120, 0.0, 70, 0.0, 1, 0, 0, 1), (200, 0.01, 100, 0.0, 150, 0.0, 1, 0, 0, 1), (70, 0.00, 70, 0.0, 70, 0.0, 1, 0, 0, 1),
+        (120, 0.00, 90, 0.0, 100, 0.0, 2, 0, 0, 0), (80, 0.02, 120, 0.0, 70, 0.0, 2, 0, 0, 0), (200, 0.01, 100, 0.0, 150, 0.0, 2, 0, 0, 0), (20, 0.00, 20, 0.0, 20, 0.0, 2, 0, 0, 0),
+        (1, 1.00, 1, 1.0, 1, 1.0, 2, 0, 0, 0), (3, 0.00, 2, 1.0, 90, 0.0, 2, 0, 1, 0),
         # pages without container marks: long or flanked by long blocks, few links
         (90, 0.00, 60, 0.0, 70, 0.0, 0, 0, 0, 1), (40, 0.05, 8, 0.0, 30, 0.0, 0, 0, 0, 1), (18, 0.00, 60, 0.0, 60, 0.0, 0, 0, 0, 1), (9, 0.00, 2, 1.0, 60, 0.0, 0, 0, 1, 1),
         (35, 0.00, 2, 1.0, 3, 1.0, 0, 0, 0, 1), (12, 0.00, 40, 0.0, 45, 0.0, 0, 0, 0, 1), (6, 0.00, 70, 0.0, 80, 0.0, 0, 0, 1, 1), (250, 0.10, 3, 0.9, 5, 0.3, 0, 0, 0, 1),
@@ -203,7 +261,7 @@ def main_text(page: str | None) -> str:
     shape = [(0, 0.0), *((b.words, b.linked / b.words) for b in found), (0, 0.0)]
     kept, node = [], tree()
     for i, b in enumerate(found, 1):
-        if classify(node, (*shape[i], *shape[i - 1], *shape[i + 1], b.place == 1, b.place == 2, b.heading)):
+        if classify(node, (*shape[i], *shape[i - 1], *shape[i + 1], BOILERPLATE.get(b.place, 0), b.place == ARTICLE, b.heading)):
             kept.append(b.text)
     return "\n\n".join(kept)
 

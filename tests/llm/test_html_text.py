@@ -30,6 +30,35 @@ def test_pages(page, want):
     assert m.main_text(page) == want
 
 
+PARAGRAPHS = [f"{LONG} {LONG} {LONG} {LONG} {n}" for n in range(5)]
+
+
+@pytest.mark.parametrize("open_, close", [
+    ("<div class='has-sidebar'>", "</div>"), ("<div class='no-sidebar'>", "</div>"), ("<div class='layout-with-banner'>", "</div>"), ("<div class='sidebar-layout'>", "</div>"),
+    ("<form id=aspnetForm>", "</form>"), ("<div class=page-header-form>", "</div>"), ("<div id='siteHeader'>", "</div>"),
+])
+def test_article_inside_a_marked_layout_is_kept(open_, close):
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    page = f"<body>{open_}<nav><a href=/>Home</a></nav><article>{body}</article><footer>{LONG}</footer>{close}</body>"
+    assert m.main_text(page) == "\n\n".join(PARAGRAPHS)
+
+
+def test_density_overrules_a_doubtful_mark_only():
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    assert PARAGRAPHS[2] in m.main_text(f"<div class=banner>{body}</div>")
+    assert m.main_text(f"<form>{body}</form><p>{LONG}</p>").startswith(PARAGRAPHS[0])
+    for hard in ("<div class=comments>", "<div hidden>", "<aside>", "<div class=sidebar>"):
+        assert m.main_text(f"{hard}{body}</div>") == ""
+    assert m.main_text(f"<div hidden><article>{body}</article></div>") == ""
+
+
+def test_link_list_inside_an_article_is_dropped():
+    links = "".join(f"<li><a href=/{i}>Other page {i}</a></li>" for i in range(6))
+    assert m.main_text(f"<article><p>{PARAGRAPHS[0]}</p><ul>{links}</ul><p>{PARAGRAPHS[1]}</p></article>").split("\n\n")[:1] == PARAGRAPHS[:1]
+    got = m.main_text(f"<article><p>{PARAGRAPHS[0]}</p><ul>{links}</ul><p>{PARAGRAPHS[1]}</p></article>")
+    assert all(f"Other page {i}" not in got for i in range(1, 5)) and PARAGRAPHS[1] in got
+
+
 def test_tree_fits_its_table_and_uses_containers_first():
     assert all(m.classify(m.tree(), tuple(r[:-1])) == bool(r[-1]) for r in m.LABELLED)
     assert m.FEATURES[m.tree()[0]] in ("boilerplate", "article")
