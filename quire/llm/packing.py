@@ -8,8 +8,8 @@ the restricted master, an unbounded knapsack by dynamic programming prices new p
 down cover almost everything; what rounding leaves is filled first-fit decreasing, again on counts. Items
 are ranked within their class and take the slots of the patterns in order.
 
-Defined results: null and empty texts are the end id alone; strings of special tokens are ordinary text;
-rows that repeat a doc_id are documents of their own; empty tables give empty results; extra columns are
+Defined results: null and empty texts are the end id alone; added tokens of the tokenizer's file get their ids
+inside texts, as the tokenizers library gives them; rows that repeat a doc_id are documents of their own; empty tables give empty results; extra columns are
 ignored. Ids equal those of the tokenizers library; they are computed once, from whole texts.
 """
 
@@ -39,9 +39,9 @@ def encoder(path: str, pattern: str) -> tiktoken.Encoding:
     shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     with open(path, encoding="utf-8") as file:
         model = json.load(file)
-    special = {token["content"] for token in model["added_tokens"]}
+    special = {token["content"]: token["id"] for token in model["added_tokens"]}
     ranks = {bytes(shown[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = CAPACI
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*code.encode_ordinary(text.as_py() or ""), END_ID], dtype="<u4")
+                ids = np.array([*code.encode(text.as_py() or "", allowed_special="all"), END_ID], dtype="<u4")
                 for at in range(0, len(ids), capacity):
                     cut = ids[at : at + capacity]
                     out.append((doc_id, at, len(cut), zlib.crc32(cut.tobytes()), len(ids)))

@@ -30,6 +30,18 @@ def test_pieces_cover_every_id_once_in_full_sequences(spark):
     assert len(sequences) <= sum(r.length for r in got) / m.CAPACITY + 4
 
 
+def test_added_tokens_inside_texts_get_their_ids(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", "<|endoftext", "<|ENDOFTEXT|> é <|endoftext|>日本  ", "<|endoftext|>" + "word " * 3000 + "<|endoftext|>"]
+    code = m.encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [code.encode(t, allowed_special="all") for t in texts] == want
+    got = m.pack_default(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)).collect()
+    for r in got:
+        ids = np.array([*want[r.doc_id], 1], dtype="<u4")
+        assert r.doc_tokens == len(ids) and zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+
+
 def test_linear_program_reaches_the_material_bound():
     rng = np.random.default_rng(1)
     counts = {int(k): int(v) for k, v in zip(*np.unique(rng.integers(1, 65, 3000), return_counts=True), strict=True)}
