@@ -1,21 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Small transducers read a clause as symbols: insults, threats (intent, then a verb of violence), targets,
+Small transducers read a text as symbols: insults, threats (intent, then a verb of violence), targets,
 negation and reported speech. They are composed into one deterministic machine whose arcs add weights;
 an insult or threat near a target weighs more, one that is negated or reported less. Targets, negation and intent
-end with their clause, reported speech with its sentence, quotations with their paragraph at the latest. Clauses with
-matches are scored, not isolated words; a document's clause scores and the weights of its insults' arcs become a few
-features and a logistic score. A word enters with its lexicon weight only as its arc changes it in context.
+end with their clause, reported speech with its sentence, quotations with their paragraph at the latest.
 
-The insult lexicon holds fixed seed words and stems learned from labelled documents: word prefixes whose
-log odds stay high after a confidence margin. Lexicon and logistic weights are fitted on a bounded sample of
+Only matched clauses are scored: a clause's score is the sum of its arcs' weights, an insult's arc times the word's
+lexicon weight. The strongest clauses, their sum, how many reach each level and their share of all clauses are the
+features of a logistic score; no feature counts words outside their clause.
+
+The insult lexicon holds fixed seed words and stems learned from labelled documents: words and word prefixes found in
+``MIN_SUPPORT`` toxic documents or more whose log odds stay high after a confidence margin. Lexicon and logistic weights are fitted on a bounded sample of
 ``MAX_LABELLED`` labelled rows, cross-fitted in two halves so that stems don't vouch for themselves. Labels
 come only from rows that ``train`` selects; label, lang, source and doc_id are never inputs of a score.
 
 Defined results: null and empty texts are scored as texts without a match; labels that are null or lack a
-document are ignored, repeated ones count as toxic if any is; without both classes the seed grammar's default
-weights hold; rows that repeat a doc_id each get a score; empty tables give empty results; extra columns are
-ignored. Texts are read whole.
+document are ignored, repeated ones count as toxic if any is; of rows that repeat a labelled doc_id the smallest text
+is learned from; without both classes in both halves the seed grammar's default weights hold; rows that repeat a doc_id
+each get a score; empty tables give empty results; extra columns are ignored. Texts are read whole; reruns agree.
 """
 
 from __future__ import annotations
@@ -33,14 +35,21 @@ from pyspark.sql import functions as F
 
 from quire.runtime import materialize, ship_code, spread
 
-MAX_LABELLED, MAX_STEMS, THRESHOLD, STEM_LENGTHS = 20_000, 5_000, 0.7, range(3, 9)
-#: Seeds of the grammar's word classes.
-SEEDS = frozenset("idiot idiots moron morons stupid loser losers scum worthless pathetic disgusting trash clown clowns dumb fool fools jerk imbecile filth vermin garbage".split())
-INTENT = frozenset("will gonna going shall should must let".split())
-VIOLENCE = frozenset("kill hurt destroy beat burn hunt shoot stab strangle crush murder".split())
-TARGETS = frozenset("you your yours youre u he she him her they them their these those people everyone".split())
-NEGATORS = frozenset("not no never neither nor without isnt arent dont nicht kein keine nie pas jamais nunca sin".split())
-REPORTERS = frozenset("said says say called quoted wrote claims claimed according reported".split())
+MAX_LABELLED, MIN_SUPPORT, THRESHOLD, STEM_LENGTHS = 20_000, 3, 0.7, range(3, 9)
+#: Seeds of the grammar's word classes, in English, German, French and Spanish.
+SEEDS = frozenset(
+    "idiot idiots moron morons stupid loser losers scum worthless pathetic disgusting trash clown clowns dumb fool fools jerk imbecile filth vermin garbage "
+    "dummkopf trottel vollidiot abschaum versager widerlich imbécile crétin débile ordure minable idiota estúpido estúpida imbécil basura escoria".split()
+)
+INTENT = frozenset("will gonna going shall should must let werde werden wirst sollte vais va allons devrait voy vamos debería".split())
+VIOLENCE = frozenset(
+    "kill hurt destroy beat burn hunt shoot stab strangle crush murder töten umbringen verprügeln verbrennen erschießen tuer frapper brûler détruire matar golpear quemar destruir".split()
+)
+TARGETS = frozenset(
+    "you your yours youre u he she him her they them their these those people everyone du dich dir dein deine ihr euch tu toi te ton ta vous votre tú ti usted ustedes vosotros".split()
+)
+NEGATORS = frozenset("not no never neither nor without isnt arent dont nicht kein keine nie niemals ne pas jamais aucun nunca sin ni tampoco".split())
+REPORTERS = frozenset("said says say called quoted wrote claims claimed according reported sagte sagt schrieb nannte dit écrit déclaré dijo dice escribió llamó".split())
 QUOTES = frozenset("\"“”„«»")
 WORD = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:,\n\"“”„«»]")
@@ -136,49 +145,59 @@ def stems_of(text: str) -> set[str]:
     return out
 
 
-N_FEATURES = 9
+LEVELS = (1, 2, 3, 4)
+N_FEATURES = 6 + len(LEVELS)
 _grammar = Grammar()
 
 
-def features(text: str | None, lexicon: Lexicon) -> list[float]:
-    """Sum and maximum of clause weights, number of matched clauses, weights of insults' arcs, all against length."""
-    low = (text or "").lower()
-    words = WORD.findall(low)
-    weight = lexicon.weight
-    hits = {w: weight(w) for w in set(words)}
-    hits = {w: x for w, x in hits.items() if x > 0}
-    threats = not VIOLENCE.isdisjoint(words)
-    if not hits and not threats:
-        return [0.0] * (N_FEATURES - 1) + [math.log1p(len(words))]
+def symbols(text: str, lexicon: Lexicon) -> Iterator[tuple[str, float]]:
+    """(symbol, lexicon weight) of every token of a lower-cased text; an insult is one by itself or by a part around an apostrophe."""
+    known: dict[str, tuple[str, float]] = {}
+    for token in TOKEN.findall(text):
+        found = known.get(token)
+        if found is None:
+            parts = [token, *re.split("['’]", token)] if "'" in token or "’" in token else [token]
+            weight = 0.0 if token in CLAUSE_END or token in QUOTES else max(map(lexicon.weight, parts))
+            plain = token.replace("'", "").replace("’", "")
+            if token in CLAUSE_END:
+                symbol = "/" if token == "\n" else "." if token in ".!?" else ","
+            elif weight > 0:
+                symbol = "I"
+            else:
+                symbol = next((s for s, words in CLASSES if plain in words), "O")
+            found = known[token] = symbol, weight
+        yield found
+
+
+CLASSES = (("V", VIOLENCE), ("Q", QUOTES), ("Y", TARGETS), ("N", NEGATORS), ("W", INTENT), ("R", REPORTERS))
+
+
+def clause_scores(text: str | None, lexicon: Lexicon, grammar: Grammar = _grammar) -> tuple[list[float], int]:
+    """Scores of the matched clauses of a text, and how many clauses it has."""
     scores: list[float] = []
-    best: dict[str, float] = {}  # the largest weight a word has on its arcs: context counts, not the word alone
-    state, clause, matched, share, arc = 0, 0.0, False, 0.0, _grammar.arc
-    for token in TOKEN.findall(low):
-        word = token
-        if token in CLAUSE_END:
-            if matched and clause > 0:
-                scores.append(clause)
-            clause, matched = 0.0, False
-            symbol = "/" if token == "\n" else "." if token in ".!?" else ","
-        elif token in hits or ("'" in token or "’" in token) and (word := max(re.split("['’]", token), key=lambda w: hits.get(w, 0.0))) in hits:
-            symbol, matched = "I", True
-        elif token in VIOLENCE:
-            symbol, matched = "V", True
+    state, clause, matched, some, n = 0, 0.0, False, False, 0
+    for symbol, weight in symbols((text or "").lower(), lexicon):
+        if symbol in ENDS:
+            if matched:
+                scores.append(max(clause, 0.0))
+            n += some
+            clause, matched, some = 0.0, False, False
         else:
-            plain = token.replace("'", "").replace("’", "")
-            symbol = "Q" if token in QUOTES else "Y" if plain in TARGETS else "N" if plain in NEGATORS else "W" if plain in INTENT else "R" if plain in REPORTERS else "O"
-        state, got = arc(state, symbol)
-        if symbol == "I":
-            if got > 0:
-                best[word] = max(best.get(word, 0.0), got * hits[word])
-                share += got
-            got *= hits[word]
-        clause += got
-    if matched and clause > 0:
-        scores.append(clause)
-    scores = scores or [0.0]
-    top = sorted(best.values(), reverse=True)[:3] + [0.0] * 3
-    return [math.log1p(sum(scores)), max(scores), math.log1p(len(scores)), top[0], top[1], top[2], math.log1p(len(best)), math.log1p(100 * share / max(1, len(words))), math.log1p(len(words))]
+            some = True
+            matched = matched or symbol in "IV"
+        state, got = grammar.arc(state, symbol)
+        clause += got * weight if symbol == "I" else got
+    if matched:
+        scores.append(max(clause, 0.0))
+    return scores, n + some
+
+
+def features(text: str | None, lexicon: Lexicon) -> list[float]:
+    """The three best clause scores, their sum, how many reach each level, their sum by clause, and the number of clauses."""
+    scores, n = clause_scores(text, lexicon)
+    top = sorted(scores, reverse=True)[:3] + [0.0] * 3
+    total = sum(scores)
+    return [*top[:3], math.log1p(total), *(math.log1p(sum(s >= level for s in scores)) for level in LEVELS), math.log1p(100 * total / max(1, n)), math.log1p(n)]
 
 
 @dataclass
@@ -194,7 +213,7 @@ class Model:
 
 
 def untrained() -> Model:
-    return Model({}, np.zeros(N_FEATURES), np.ones(N_FEATURES), np.array([1.5, 0.5, 0, 0, 0, 0, 0, 0, 0, -2.0]))
+    return Model({}, np.zeros(N_FEATURES), np.ones(N_FEATURES), np.array([0.5, 0, 0, 1.5, *[0.0] * (N_FEATURES - 4), -2.0]))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 1500, rate: float = 0.3, ridge: float = 1e-4) -> Model:
@@ -216,13 +235,13 @@ def _weights(with_label: Counter, without: Counter, positives: int, negatives: i
         q = without.get(stem, 0)
         odds = math.log((p + 0.5) / (positives - p + 0.5)) - math.log((q + 0.5) / (negatives - q + 0.5))
         lower = odds - 1.64 * math.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
-        if lower >= 1:
+        if p >= MIN_SUPPORT and lower >= 1:
             out[stem] = round(lower, 3)
-    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:MAX_STEMS])
+    return out
 
 
 def _count(rows: DataFrame, wanted: frozenset | None) -> dict[int, Counter]:
-    """For each half, in how many documents a stem occurs; each task sums its own first."""
+    """For each half, in how many documents a stem occurs; each task sums its own first. What returns grows with the bounded sample only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -235,8 +254,7 @@ def _count(rows: DataFrame, wanted: frozenset | None) -> dict[int, Counter]:
 
     summed = rows.select("text", "half").mapInArrow(run, "stem string, half int, n long").groupBy("stem", "half").agg(F.sum("n").alias("n"))
     summed = summed.groupBy("stem").pivot("half", [0, 1]).agg(F.first("n")).na.fill(0).withColumn("n", F.col("0") + F.col("1"))
-    top = summed.filter("n >= 3").orderBy(F.desc("n"), "stem").limit(50_000) if wanted is None else summed  # by the bound on labelled rows
-    got = top.collect()
+    got = (summed.filter(F.col("n") >= MIN_SUPPORT) if wanted is None else summed).collect()
     return {h: Counter({r["stem"]: r[str(h)] for r in got if r[str(h)]}) for h in (0, 1)}
 
 
@@ -250,7 +268,9 @@ def _features(rows: DataFrame, lexicons: dict[int, dict[str, float]]) -> tuple[n
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64())), batch.column("label")], names=["x", "label"])
 
     table = rows.select("text", "half", "label").mapInArrow(run, "x array<double>, label int").toPandas()
-    return np.array(table["x"].tolist()).reshape(-1, N_FEATURES), table["label"].to_numpy(dtype=float)
+    x, y = np.array(table["x"].tolist()).reshape(-1, N_FEATURES), table["label"].to_numpy(dtype=float)
+    order = np.lexsort((*x.T, y))  # tasks end in any order; sums shouldn't depend on it
+    return x[order], y[order]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, bound: int) -> DataFrame:
@@ -258,7 +278,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).filter(train).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     known = materialize(known.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")), "sample")
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "label", "half").agg(F.min("text").alias("text"))
     return materialize(rows.select("text", "label", "half"), "labelled")
 
 
