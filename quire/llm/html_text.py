@@ -1,13 +1,16 @@
 """Main-text extraction: flat text blocks classified by a decision tree.
 
 A page becomes a flat list of text blocks. Each block has its word count and link density, those of its
-neighbours, and what kind of container holds it. A small CART tree, trained on the labelled table below,
-says which blocks are article text; their texts are joined in page order by a blank line. Marks of layouts and forms
-are doubtful: an article inside them is one, and long unlinked text flanked by such text is kept; a form around
-the whole page marks nothing. Lists of links inside an article are dropped.
+neighbours, whether it is a heading, and a hint from the names of its containers. A CART tree, trained on the small
+labelled table below (blocks of crawled pages, half of them with their containers' names hidden, and written cases),
+says which blocks are article text; their texts are joined in page order by a blank line. Names that always mean
+boilerplate (menus, footers, comments, adverts, hidden text) decide in the tree; all others only lower or raise a
+block's odds: an article inside a layout or form is one, long unlinked text flanked by such text is kept, lists of
+links inside an article are dropped, and pages without names are read by words and links alone.
 
 White space inside a block (any Unicode white space, after decoding character references) becomes one
-space. Scripts, styles, templates, form fields and comments are markup, not blocks. Defined results:
+space. Scripts, styles, templates, form fields, drawings, frames, noscript notices and comments are markup, not blocks;
+formulas are text. Defined results:
 null or empty html gives an empty text; unclosed, stray and truncated tags are tolerated; rows that repeat a
 page_id each get their text; empty tables give empty results; extra columns are ignored. Nothing is capped.
 """
@@ -29,13 +32,16 @@ from pyspark.sql import functions as F
 from quire.runtime import ship_code, spread
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title|math)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title|annotation|annotation-xml)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)|</?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)",  # a tag whose quotes don't pair
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|aria-label)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mspace mstyle munder mover munderover mpadded mphantom menclose mtable mtr mtd semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 AUTO_CLOSED = frozenset(("p", "li", "dt", "dd", "tr", "td", "th", "option"))
@@ -51,11 +57,11 @@ BOILERPLATE_WORDS = frozenset(
 
 #: Those of them that layouts and forms around an article bear too; the others always mean what they say.
 LAYOUT_WORDS = frozenset("header masthead banner notice notices form search widget toolbar".split())
-#: Words of a class name after which it says what a layout has, and last words of names of layouts.
-HAVING, LAYOUTS = frozenset("has no with without".split()), frozenset("layout page grid".split())
+#: Words of a class name after which it says what a layout has, and last words of names of layouts and settings.
+HAVING, LAYOUTS = frozenset("has no with without".split()), frozenset("layout page grid open closed enabled disabled".split())
 NEUTRAL, SOFT, ARTICLE, HARD, HIDDEN = range(5)
-#: The feature "boilerplate" of a place: 1 where density may overrule the mark, 2 where it may not.
-BOILERPLATE = {SOFT: 1, HARD: 2, HIDDEN: 2}
+#: The feature "mark" of a place: what its containers' names hint at, from boilerplate to article.
+MARK = {NEUTRAL: 0, SOFT: -1, ARTICLE: 1, HARD: -2, HIDDEN: -2}
 LANDMARK = re.compile(r"</form\b|<(?P<mark>main|article|nav|header|footer|aside|h1)\b", re.I)
 
 
@@ -68,41 +74,46 @@ class Block:
     heading: bool
 
 
-def _names(value: str) -> set[str]:
-    """The words of a class, id or role attribute, less those that tell what a layout has."""
-    out: set[str] = set()
-    for name in value.split():
-        parts = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", name).lower()) if x]
-        having = next((i for i, x in enumerate(parts) if x in HAVING), len(parts))
-        parts = parts[:having]
-        out |= set(parts) - BOILERPLATE_WORDS if parts and parts[-1] in LAYOUTS else set(parts)
-    return out
+def _hint(name: str) -> int:
+    """What one class, id or role hints at; any sure word of boilerplate in it decides."""
+    parts = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", name).lower()) if x]
+    parts = parts[: next((i for i, x in enumerate(parts) if x in HAVING), len(parts))]
+    if not parts or (parts[-1] in LAYOUTS and len(parts) > 1):
+        return NEUTRAL
+    words = set(parts)
+    if words & BOILERPLATE_WORDS - LAYOUT_WORDS:
+        return HARD
+    if words & LAYOUT_WORDS:
+        return NEUTRAL if words & ARTICLE_WORDS else SOFT
+    return ARTICLE if words & {"article", "main"} else NEUTRAL
 
 
 def _container(tag: str, attrs: str, place: int) -> int:
     """What a container makes of the place it stands in."""
-    words: set[str] = set()
+    hints: set[int] = set()
     for name, value in ATTRIBUTE.findall(attrs) if attrs else ():
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
-            words |= _names(value)
+            hints |= {_hint(x) for x in value.split()}
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             return HIDDEN
     if place == HIDDEN:
         return HIDDEN
-    marked = tag in ("article", "main") or bool(words & {"article", "main"} and not words & {"nav", "menu", "footer", "sidebar"})
-    sure = bool(words & BOILERPLATE_WORDS - LAYOUT_WORDS)
+    if tag in ("html", "body", "main"):  # their classes speak of the page
+        return ARTICLE if tag == "main" else place
+    sure = HARD in hints and not (ARTICLE in hints and tag != "article")  # a main column beside a sidebar bears both names
+    marked = tag == "article" or (ARTICLE in hints and HARD not in hints)
     if place in (SOFT, HARD):
-        if marked and not sure and (place == SOFT or tag == "main"):
+        if marked and not sure and place == SOFT:
             return ARTICLE
         return HARD if place == HARD or sure or tag in BOILERPLATE_TAGS - {"form", "header", "fieldset"} else SOFT
+    if sure:
+        return HARD
     if marked:
         return ARTICLE
     if tag in BOILERPLATE_TAGS and not (tag == "header" and place == ARTICLE):
-        return SOFT if tag == "form" and not sure else HARD
-    if words & BOILERPLATE_WORDS and not (place == ARTICLE and tag == "header") and tag not in ("html", "body"):
-        return NEUTRAL if words & ARTICLE_WORDS and not words & {"comment", "comments"} else HARD if sure else SOFT
-    return place
+        return SOFT if tag == "form" else HARD
+    return SOFT if SOFT in hints and not (place == ARTICLE and tag == "header") else place
 
 
 def _wide_forms(page: str) -> Callable[[int], bool]:
@@ -157,7 +168,7 @@ def blocks(page: str) -> list[Block]:
             linked = 0 if closing else 1
         elif tag in INLINE:
             place = stack[-1][1] if stack else NEUTRAL
-            if not closing and match["attrs"] and tag not in VOID and place in (NEUTRAL, ARTICLE) and (inner := _container(tag, match["attrs"], place)) in BOILERPLATE:
+            if not closing and match["attrs"] and tag not in VOID and place in (NEUTRAL, ARTICLE) and (inner := _container(tag, match["attrs"], place)) in (SOFT, HARD, HIDDEN):
                 flush()
                 stack.append((tag, inner))
             elif closing and any(t == tag for t, _ in stack) and stack[-1][0] == tag:
@@ -188,43 +199,77 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "boilerplate", "article", "heading")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "mark", "heading")
 #: The labelled table: a row a block, features in the order above, then 1 for article text.
 LABELLED = np.array(
     [
-        # paragraphs, headings and lists of an article element
-        (120, 0.00, 80, 0.0, 90, 0.0, 0, 1, 0, 1), (60, 0.05, 12, 0.0, 40, 0.0, 0, 1, 0, 1), (8, 0.00, 0, 0.0, 70, 0.0, 0, 1, 1, 1), (1, 0.00, 60, 0.0, 50, 0.0, 0, 1, 0, 1),
-        (3, 0.00, 20, 0.0, 0, 0.0, 0, 1, 0, 1), (14, 0.00, 2, 1.0, 60, 0.0, 0, 1, 1, 1), (25, 0.40, 30, 0.0, 40, 0.0, 0, 1, 0, 1), (4, 0.00, 5, 0.0, 4, 0.0, 0, 1, 0, 1),
-        (300, 0.01, 9, 0.0, 15, 0.0, 0, 1, 0, 1), (2, 0.00, 2, 0.0, 2, 0.0, 0, 1, 0, 1), (10, 0.90, 40, 0.0, 30, 0.0, 0, 1, 0, 1), (1, 1.00, 30, 0.0, 30, 0.0, 0, 1, 0, 1),
-        (45, 0.00, 20, 0.0, 9, 0.1, 0, 1, 0, 1), (7, 0.00, 10, 0.0, 100, 0.0, 0, 1, 1, 1), (1, 0.00, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (11, 0.00, 10, 0.5, 12, 0.0, 0, 1, 0, 1),
-        (60, 0.00, 40, 0.0, 3, 1.0, 0, 1, 0, 1), (200, 0.00, 90, 0.0, 1, 1.0, 0, 1, 0, 1), (12, 0.00, 60, 0.0, 2, 1.0, 0, 1, 0, 1), (2, 0.00, 30, 0.0, 2, 1.0, 0, 1, 0, 1),
-        (36, 0.50, 5, 0.9, 6, 0.9, 0, 1, 0, 1), (3, 0.00, 2, 1.0, 2, 1.0, 0, 1, 1, 1), (34, 0.00, 3, 1.0, 2, 0.8, 0, 1, 0, 1), (90, 0.00, 0, 0.0, 5, 0.6, 0, 1, 0, 1),
+        # blocks of crawled pages: menus, titles and paragraphs, adverts, footers; half of them with their containers' names hidden
+        (1, 1.00, 0, 0.00, 1, 1.00, 0, 0, 0), (1, 1.00, 0, 0.00, 1, 1.00, -2, 0, 0), (1, 1.00, 1, 1.00, 4, 0.00, -2, 0, 0), (1, 1.00, 1, 1.00, 1, 1.00, -2, 0, 0),
+        (1, 1.00, 1, 1.00, 1, 1.00, 0, 0, 0), (1, 1.00, 1, 1.00, 13, 0.00, -2, 0, 0), (10, 0.00, 8, 0.00, 136, 0.00, 0, 1, 1), (9, 0.00, 8, 0.00, 39, 0.00, 1, 1, 1),
+        (6, 0.00, 13, 0.00, 49, 0.00, 0, 1, 1), (11, 0.00, 4, 0.00, 23, 0.00, 1, 1, 1), (12, 0.00, 10, 0.00, 110, 0.00, 0, 1, 1), (14, 0.00, 13, 0.00, 34, 0.00, 0, 1, 1),
+        (9, 0.00, 5, 0.00, 28, 0.00, 0, 1, 1), (10, 0.00, 13, 0.00, 71, 0.00, 0, 1, 1), (9, 0.00, 12, 0.00, 12, 0.00, 1, 1, 1), (10, 0.00, 10, 0.00, 19, 0.00, 0, 1, 1),
+        (11, 0.00, 4, 0.00, 52, 0.00, 1, 1, 1), (1, 0.00, 12, 0.00, 1, 0.00, 0, 1, 1), (1, 0.00, 17, 0.00, 77, 0.00, 0, 0, 1), (4, 0.00, 9, 0.00, 9, 0.00, 0, 0, 1),
+        (6, 0.00, 101, 0.00, 35, 0.00, 1, 0, 1), (5, 0.00, 99, 0.00, 14, 0.00, 0, 0, 1), (4, 0.00, 34, 0.00, 15, 0.00, 1, 0, 1), (3, 0.00, 105, 0.00, 64, 0.00, 1, 0, 1),
+        (2, 0.00, 96, 0.00, 2, 0.00, 1, 0, 1), (1, 0.00, 31, 0.00, 31, 0.00, 0, 0, 1), (6, 0.00, 31, 0.00, 28, 0.00, 0, 0, 1), (4, 0.00, 19, 0.00, 7, 0.00, 0, 0, 1),
+        (1, 0.00, 35, 0.00, 44, 0.00, 1, 0, 1), (6, 0.00, 100, 0.00, 9, 0.00, 0, 0, 1), (6, 0.00, 29, 0.00, 10, 0.00, 1, 0, 1), (6, 0.00, 45, 0.00, 73, 0.00, 1, 0, 1),
+        (3, 0.00, 58, 0.00, 2, 0.00, 1, 0, 1), (5, 0.00, 83, 0.00, 18, 0.00, 1, 0, 1), (6, 0.00, 19, 0.00, 10, 0.00, 0, 0, 1), (4, 0.00, 4, 0.00, 150, 0.00, 0, 0, 1),
+        (70, 0.00, 18, 0.00, 83, 0.00, 1, 0, 1), (33, 0.00, 17, 0.00, 29, 0.00, 1, 0, 1), (25, 0.00, 6, 0.00, 102, 0.00, 1, 0, 1), (69, 0.00, 160, 0.00, 47, 0.00, 0, 0, 1),
+        (17, 0.00, 11, 0.00, 8, 0.00, 0, 0, 1), (114, 0.00, 50, 0.00, 1, 0.00, 0, 0, 1), (11, 0.00, 90, 0.00, 17, 0.00, 0, 0, 1), (56, 0.00, 22, 0.00, 54, 0.00, 1, 0, 1),
+        (35, 0.00, 10, 0.00, 17, 0.00, 1, 0, 1), (51, 0.00, 19, 0.00, 89, 0.00, 0, 0, 1), (16, 0.00, 149, 0.00, 35, 0.00, 0, 0, 1), (13, 0.00, 4, 0.00, 31, 0.00, 0, 0, 1),
+        (94, 0.00, 1, 0.00, 11, 0.00, 1, 0, 1), (11, 0.00, 54, 0.00, 9, 0.00, 0, 0, 1), (107, 0.00, 6, 0.00, 16, 0.00, 0, 0, 1), (68, 0.00, 13, 0.00, 92, 0.00, 1, 0, 1),
+        (98, 0.00, 92, 0.00, 26, 0.00, 0, 0, 1), (9, 0.00, 9, 0.00, 7, 0.00, 1, 0, 1), (11, 0.00, 28, 0.00, 33, 0.00, 1, 0, 1), (136, 0.00, 10, 0.00, 8, 0.00, 0, 0, 1),
+        (186, 0.00, 10, 0.00, 104, 0.00, 0, 0, 1), (9, 0.00, 36, 0.00, 15, 0.00, 1, 0, 1), (118, 0.00, 10, 0.00, 77, 0.00, 0, 0, 1), (52, 0.00, 24, 0.00, 33, 0.00, 0, 0, 1),
+        (10, 0.00, 97, 0.00, 20, 0.00, 1, 0, 1), (45, 0.00, 14, 0.00, 6, 0.00, 1, 0, 1), (6, 0.00, 1, 1.00, 4, 0.00, 0, 0, 0), (6, 0.00, 1, 1.00, 9, 0.00, -2, 0, 0),
+        (4, 0.00, 1, 1.00, 11, 0.00, 0, 0, 0), (8, 0.00, 1, 1.00, 11, 0.00, -2, 0, 0), (10, 0.00, 1, 1.00, 8, 0.00, 0, 0, 0), (11, 0.00, 1, 1.00, 2, 0.00, -2, 0, 0),
+        (8, 0.00, 1, 1.00, 6, 0.00, 0, 0, 0), (4, 0.00, 1, 1.00, 11, 0.00, -2, 0, 0), (8, 0.00, 1, 1.00, 10, 0.00, -2, 0, 0), (8, 0.00, 1, 1.00, 5, 0.00, -2, 0, 0),
+        (4, 0.00, 1, 1.00, 8, 0.00, 0, 0, 0), (7, 0.00, 1, 1.00, 7, 0.00, 0, 0, 0), (12, 0.00, 1, 1.00, 11, 0.00, -2, 0, 0), (12, 0.00, 1, 1.00, 10, 0.00, -2, 0, 0),
+        (10, 0.00, 1, 1.00, 7, 0.00, 0, 0, 0), (14, 0.00, 66, 0.00, 0, 0.00, -2, 0, 0), (14, 0.00, 17, 0.00, 0, 0.00, 0, 0, 0), (14, 0.00, 26, 0.00, 0, 0.00, 0, 0, 0),
+        (15, 0.00, 12, 0.00, 0, 0.00, -2, 0, 0), (14, 0.00, 17, 0.00, 0, 0.00, -2, 0, 0), (12, 0.00, 9, 0.00, 0, 0.00, -2, 0, 0), (9, 0.00, 46, 0.00, 0, 0.00, -2, 0, 0),
+        (8, 0.00, 33, 0.00, 0, 0.00, -2, 0, 0), (14, 0.00, 135, 0.00, 0, 0.00, 0, 0, 0), (11, 0.00, 13, 0.00, 0, 0.00, 0, 0, 0), (12, 0.00, 28, 0.00, 0, 0.00, 0, 0, 0),
+        (15, 0.00, 5, 0.00, 0, 0.00, -2, 0, 0), (8, 0.00, 211, 0.00, 0, 0.00, -2, 0, 0), (10, 0.00, 9, 0.00, 0, 0.00, -2, 0, 0), (13, 0.00, 62, 0.00, 0, 0.00, 0, 0, 0),
+        (12, 0.00, 6, 0.00, 0, 0.00, -2, 0, 0),
+        # articles, and lists of links inside them
+        (120, 0.00, 80, 0.00, 90, 0.00, 1, 0, 1), (60, 0.05, 12, 0.00, 40, 0.00, 1, 0, 1), (8, 0.00, 0, 0.00, 70, 0.00, 1, 1, 1), (1, 0.00, 60, 0.00, 50, 0.00, 1, 0, 1),
+        (3, 0.00, 20, 0.00, 0, 0.00, 1, 0, 1), (14, 0.00, 2, 1.00, 60, 0.00, 1, 1, 1), (25, 0.40, 30, 0.00, 40, 0.00, 1, 0, 1), (4, 0.00, 5, 0.00, 4, 0.00, 1, 0, 1),
+        (300, 0.01, 9, 0.00, 15, 0.00, 1, 0, 1), (2, 0.00, 2, 0.00, 2, 0.00, 1, 0, 1), (10, 0.90, 40, 0.00, 30, 0.00, 1, 0, 1), (1, 1.00, 30, 0.00, 30, 0.00, 1, 0, 1),
+        (45, 0.00, 20, 0.00, 9, 0.10, 1, 0, 1), (7, 0.00, 10, 0.00, 100, 0.00, 1, 1, 1), (1, 0.00, 0, 0.00, 0, 0.00, 1, 0, 1), (11, 0.00, 10, 0.50, 12, 0.00, 1, 0, 1),
+        (60, 0.00, 40, 0.00, 3, 1.00, 1, 0, 1), (200, 0.00, 90, 0.00, 1, 1.00, 1, 0, 1), (12, 0.00, 60, 0.00, 2, 1.00, 1, 0, 1), (2, 0.00, 30, 0.00, 2, 1.00, 1, 0, 1),
+        (36, 0.50, 5, 0.90, 6, 0.90, 1, 0, 1), (3, 0.00, 2, 1.00, 2, 1.00, 1, 1, 1), (34, 0.00, 3, 1.00, 2, 0.80, 1, 0, 1), (90, 0.00, 0, 0.00, 5, 0.60, 1, 0, 1),
+        (3, 1.00, 2, 1.00, 3, 1.00, 1, 0, 0), (4, 1.00, 3, 1.00, 2, 1.00, 1, 0, 0), (6, 0.95, 5, 1.00, 4, 1.00, 1, 0, 0), (12, 1.00, 9, 1.00, 11, 1.00, 1, 0, 0),
+        (1, 1.00, 1, 1.00, 1, 1.00, 1, 0, 0), (2, 1.00, 4, 1.00, 60, 0.00, 1, 0, 0), (3, 1.00, 5, 1.00, 0, 0.00, 1, 0, 0), (5, 1.00, 80, 0.00, 12, 0.00, 1, 0, 1),
+        (4, 0.00, 3, 1.00, 6, 0.00, 1, 0, 1), (1, 0.00, 12, 0.60, 4, 0.00, 1, 0, 1), (9, 0.00, 5, 1.00, 0, 0.00, 1, 0, 1), (2, 0.10, 40, 0.50, 3, 0.20, 1, 0, 1),
+        (6, 0.00, 1, 1.00, 2, 1.00, 1, 0, 1), (12, 0.20, 8, 0.90, 30, 0.90, 1, 0, 1), (3, 0.00, 20, 0.30, 1, 0.00, 1, 0, 1), (5, 0.30, 2, 0.90, 90, 0.50, 1, 0, 1),
+        (6, 0.50, 12, 0.00, 9, 0.00, 1, 0, 1), (10, 0.40, 5, 0.00, 20, 0.00, 1, 0, 1), (4, 0.50, 4, 0.00, 0, 0.00, 1, 0, 1), (20, 0.45, 3, 0.30, 8, 0.00, 1, 0, 1),
         # menus, headers, footers, sidebars, notices, adverts, forms and comments
-        (1, 1.00, 0, 0.0, 1, 1.0, 1, 0, 0, 0), (2, 1.00, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (10, 0.00, 1, 1.0, 14, 0.0, 1, 0, 0, 0), (22, 0.00, 120, 0.0, 0, 0.0, 1, 0, 0, 0),
-        (60, 0.00, 80, 0.0, 12, 0.0, 1, 0, 0, 0), (5, 0.20, 90, 0.0, 3, 1.0, 1, 0, 0, 0), (3, 0.00, 4, 1.0, 90, 0.0, 1, 0, 1, 0), (150, 0.02, 90, 0.0, 30, 0.0, 1, 0, 0, 0),
-        (30, 0.10, 2, 1.0, 2, 1.0, 1, 0, 0, 0), (9, 0.00, 9, 0.0, 100, 0.0, 1, 0, 1, 0), (14, 0.60, 14, 0.6, 14, 0.6, 1, 0, 0, 0), (45, 0.00, 45, 0.0, 45, 0.0, 1, 0, 0, 0),
-        (36, 0.00, 5, 0.5, 2, 1.0, 1, 0, 0, 0), (90, 0.00, 3, 1.0, 2, 1.0, 1, 0, 0, 0), (200, 0.00, 100, 0.0, 3, 0.9, 1, 0, 0, 0), (1, 0.00, 0, 0.0, 90, 0.0, 1, 0, 1, 0),
-        # lists of links inside an article, and lone links between paragraphs
-        (3, 1.00, 2, 1.0, 3, 1.0, 0, 1, 0, 0), (4, 1.00, 3, 1.0, 2, 1.0, 0, 1, 0, 0), (6, 0.95, 5, 1.0, 4, 1.0, 0, 1, 0, 0), (12, 1.00, 9, 1.0, 11, 1.0, 0, 1, 0, 0),
-        (1, 1.00, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (2, 1.00, 4, 1.0, 60, 0.0, 0, 1, 0, 0), (3, 1.00, 5, 1.0, 0, 0.0, 0, 1, 0, 0), (5, 1.00, 80, 0.0, 12, 0.0, 0, 1, 0, 1),
-        # containers with a doubtful mark around long unlinked paragraphs, and the same under a sure mark
-        (120, 0.00, 90, 0.0, 100, 0.0, 1, 0, 0, 1), (80, 0.02, 120, 0.0, 70, 0.0, 1, 0, 0, 1), (200, 0.01, 100, 0.0, 150, 0.0, 1, 0, 0, 1), (70, 0.00, 70, 0.0, 70, 0.0, 1, 0, 0, 1),
-        (120, 0.00, 90, 0.0, 100, 0.0, 2, 0, 0, 0), (80, 0.02, 120, 0.0, 70, 0.0, 2, 0, 0, 0), (200, 0.01, 100, 0.0, 150, 0.0, 2, 0, 0, 0), (20, 0.00, 20, 0.0, 20, 0.0, 2, 0, 0, 0),
-        (1, 1.00, 1, 1.0, 1, 1.0, 2, 0, 0, 0), (3, 0.00, 2, 1.0, 90, 0.0, 2, 0, 1, 0),
-        # pages without container marks: long or flanked by long blocks, few links
-        (90, 0.00, 60, 0.0, 70, 0.0, 0, 0, 0, 1), (40, 0.05, 8, 0.0, 30, 0.0, 0, 0, 0, 1), (18, 0.00, 60, 0.0, 60, 0.0, 0, 0, 0, 1), (9, 0.00, 2, 1.0, 60, 0.0, 0, 0, 1, 1),
-        (35, 0.00, 2, 1.0, 3, 1.0, 0, 0, 0, 1), (12, 0.00, 40, 0.0, 45, 0.0, 0, 0, 0, 1), (6, 0.00, 70, 0.0, 80, 0.0, 0, 0, 1, 1), (250, 0.10, 3, 0.9, 5, 0.3, 0, 0, 0, 1),
-        (14, 0.10, 30, 0.0, 25, 0.0, 0, 0, 0, 1), (22, 0.00, 1, 1.0, 22, 0.0, 0, 0, 0, 1), (5, 0.00, 45, 0.0, 50, 0.0, 0, 0, 0, 1), (28, 0.20, 20, 0.0, 0, 0.0, 0, 0, 0, 1),
-        (80, 0.00, 60, 0.0, 2, 1.0, 0, 0, 0, 1), (55, 0.05, 30, 0.0, 4, 0.9, 0, 0, 0, 1), (120, 0.00, 1, 1.0, 2, 1.0, 0, 0, 0, 1), (30, 0.00, 60, 0.0, 3, 1.0, 0, 0, 0, 1),
-        # the same, for link lists and short scraps
-        (2, 1.00, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (4, 0.80, 3, 0.9, 30, 0.0, 0, 0, 0, 0), (12, 0.90, 10, 0.9, 11, 0.8, 0, 0, 0, 0), (3, 0.00, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
-        (6, 0.00, 3, 0.8, 4, 0.7, 0, 0, 0, 0), (25, 0.70, 5, 0.6, 6, 0.6, 0, 0, 0, 0), (1, 0.00, 1, 0.0, 2, 1.0, 0, 0, 0, 0), (8, 0.50, 3, 0.5, 2, 0.8, 0, 0, 0, 0),
-        (5, 0.00, 60, 0.0, 0, 0.0, 0, 0, 0, 0), (7, 0.40, 30, 0.0, 3, 1.0, 0, 0, 0, 0), (2, 0.00, 0, 0.0, 2, 1.0, 0, 0, 0, 0), (40, 0.80, 90, 0.0, 4, 1.0, 0, 0, 0, 0),
+        (1, 1.00, 0, 0.00, 1, 1.00, -2, 0, 0), (2, 1.00, 1, 1.00, 1, 1.00, -2, 0, 0), (10, 0.00, 1, 1.00, 14, 0.00, -2, 0, 0), (22, 0.00, 120, 0.00, 0, 0.00, -2, 0, 0),
+        (60, 0.00, 80, 0.00, 12, 0.00, -2, 0, 0), (5, 0.20, 90, 0.00, 3, 1.00, -2, 0, 0), (3, 0.00, 4, 1.00, 90, 0.00, -2, 1, 0), (150, 0.02, 90, 0.00, 30, 0.00, -2, 0, 0),
+        (30, 0.10, 2, 1.00, 2, 1.00, -2, 0, 0), (9, 0.00, 9, 0.00, 100, 0.00, -2, 1, 0), (14, 0.60, 14, 0.60, 14, 0.60, -2, 0, 0), (45, 0.00, 45, 0.00, 45, 0.00, -2, 0, 0),
+        (36, 0.00, 5, 0.50, 2, 1.00, -2, 0, 0), (90, 0.00, 3, 1.00, 2, 1.00, -2, 0, 0), (200, 0.00, 100, 0.00, 3, 0.90, -2, 0, 0), (1, 0.00, 0, 0.00, 90, 0.00, -2, 1, 0),
+        (120, 0.00, 90, 0.00, 100, 0.00, -2, 0, 0), (80, 0.02, 120, 0.00, 70, 0.00, -2, 0, 0), (200, 0.01, 100, 0.00, 150, 0.00, -2, 0, 0), (20, 0.00, 20, 0.00, 20, 0.00, -2, 0, 0),
+        (1, 1.00, 1, 1.00, 1, 1.00, -2, 0, 0), (3, 0.00, 2, 1.00, 90, 0.00, -2, 1, 0),
+        # doubtful names around long unlinked paragraphs
+        (120, 0.00, 90, 0.00, 100, 0.00, -1, 0, 1), (80, 0.02, 120, 0.00, 70, 0.00, -1, 0, 1), (200, 0.01, 100, 0.00, 150, 0.00, -1, 0, 1), (70, 0.00, 70, 0.00, 70, 0.00, -1, 0, 1),
+        # pages without names: long or flanked by long blocks, few links; then lists of links and scraps
+        (90, 0.00, 60, 0.00, 70, 0.00, 0, 0, 1), (40, 0.05, 8, 0.00, 30, 0.00, 0, 0, 1), (18, 0.00, 60, 0.00, 60, 0.00, 0, 0, 1), (9, 0.00, 2, 1.00, 60, 0.00, 0, 1, 1),
+        (35, 0.00, 2, 1.00, 3, 1.00, 0, 0, 1), (12, 0.00, 40, 0.00, 45, 0.00, 0, 0, 1), (6, 0.00, 70, 0.00, 80, 0.00, 0, 1, 1), (250, 0.10, 3, 0.90, 5, 0.30, 0, 0, 1),
+        (14, 0.10, 30, 0.00, 25, 0.00, 0, 0, 1), (22, 0.00, 1, 1.00, 22, 0.00, 0, 0, 1), (5, 0.00, 45, 0.00, 50, 0.00, 0, 0, 1), (28, 0.20, 20, 0.00, 0, 0.00, 0, 0, 1),
+        (80, 0.00, 60, 0.00, 2, 1.00, 0, 0, 1), (55, 0.05, 30, 0.00, 4, 0.90, 0, 0, 1), (120, 0.00, 1, 1.00, 2, 1.00, 0, 0, 1), (30, 0.00, 60, 0.00, 3, 1.00, 0, 0, 1),
+        (2, 1.00, 2, 1.00, 2, 1.00, 0, 0, 0), (4, 0.80, 3, 0.90, 30, 0.00, 0, 0, 0), (12, 0.90, 10, 0.90, 11, 0.80, 0, 0, 0), (3, 0.00, 2, 1.00, 2, 1.00, 0, 0, 0),
+        (6, 0.00, 3, 0.80, 4, 0.70, 0, 0, 0), (25, 0.70, 5, 0.60, 6, 0.60, 0, 0, 0), (1, 0.00, 1, 0.00, 2, 1.00, 0, 0, 0), (8, 0.50, 3, 0.50, 2, 0.80, 0, 0, 0),
+        (5, 0.00, 60, 0.00, 0, 0.00, 0, 0, 0), (7, 0.40, 30, 0.00, 3, 1.00, 0, 0, 0), (2, 0.00, 0, 0.00, 2, 1.00, 0, 0, 0), (40, 0.80, 90, 0.00, 4, 1.00, 0, 0, 0),
+        # short paragraphs of pages without names; scraps under doubtful names; long blocks under sure ones
+        (6, 0.00, 0, 0.00, 9, 0.00, 0, 1, 1), (9, 0.00, 6, 0.00, 12, 0.00, 0, 0, 1), (12, 0.00, 9, 0.00, 7, 0.00, 0, 0, 1), (7, 0.00, 12, 0.00, 0, 0.00, 0, 0, 1),
+        (4, 0.00, 0, 0.00, 5, 0.00, 0, 0, 1), (5, 0.00, 4, 0.00, 0, 0.00, 0, 0, 1), (15, 0.00, 0, 0.00, 0, 0.00, 0, 0, 1), (3, 0.00, 0, 0.00, 8, 0.00, 0, 1, 1),
+        (3, 0.00, 2, 1.00, 90, 0.00, -1, 0, 0), (6, 0.00, 3, 0.50, 4, 0.50, -1, 0, 0), (12, 0.00, 0, 0.00, 8, 0.00, -1, 0, 0), (40, 0.00, 12, 0.00, 20, 0.00, -2, 0, 0),
+        (150, 0.00, 150, 0.00, 150, 0.00, -2, 0, 0), (90, 0.00, 90, 0.00, 0, 0.00, -2, 0, 0), (15, 0.00, 0, 0.00, 15, 0.00, -2, 0, 0), (8, 0.00, 8, 0.00, 120, 0.00, -2, 1, 0),
+        (25, 0.00, 60, 0.00, 25, 0.00, -2, 0, 0), (500, 0.00, 20, 0.00, 300, 0.00, -2, 0, 0),
+        (17, 0.00, 17, 0.00, 0, 0.00, -1, 0, 0), (25, 0.00, 20, 0.00, 3, 1.00, -1, 0, 0), (16, 0.00, 0, 0.00, 0, 0.00, -1, 0, 0), (30, 0.10, 40, 0.00, 4, 0.00, -1, 0, 0),
+        (36, 0.00, 0, 0.00, 2, 0.00, -1, 0, 0), (20, 0.00, 2, 1.00, 1, 1.00, -1, 0, 0),
     ]
 )
 
 
-def train(table: np.ndarray, depth: int = 6) -> tuple | float:
+def train(table: np.ndarray, depth: int = 12) -> tuple | float:
     """CART by Gini impurity: (feature, threshold, low side, high side), or the share of article text in a leaf."""
     x, y = table[:, :-1], table[:, -1]
     share = float(y.mean())
@@ -261,7 +306,7 @@ def main_text(page: str | None) -> str:
     shape = [(0, 0.0), *((b.words, b.linked / b.words) for b in found), (0, 0.0)]
     kept, node = [], tree()
     for i, b in enumerate(found, 1):
-        if classify(node, (*shape[i], *shape[i - 1], *shape[i + 1], BOILERPLATE.get(b.place, 0), b.place == ARTICLE, b.heading)):
+        if classify(node, (*shape[i], *shape[i - 1], *shape[i + 1], MARK[b.place], b.heading)):
             kept.append(b.text)
     return "\n\n".join(kept)
 
