@@ -205,29 +205,24 @@ LABELLED = np.array(
     [
         # blocks of crawled pages: menus, titles and paragraphs, adverts, footers; half of them with their containers' names hidden
         (1, 1.00, 0, 0.00, 1, 1.00, 0, 0, 0), (1, 1.00, 0, 0.00, 1, 1.00, -2, 0, 0), (1, 1.00, 1, 1.00, 4, 0.00, -2, 0, 0), (1, 1.00, 1, 1.00, 1, 1.00, -2, 0, 0),
-        (1, 1.00, 1, 1.00, 1, 1.00, 0, 0, 0), (1, 1.00, 1, 1.00, 13, 0.00, -2, 0, 0), (10, 0.00, 8, 0.00, 136, 0.00, 0, 1, 1), (9, 0.00, 8, 0.00, 39, 0.00, 1, 1, 1),
-        (6, 0.00, 13, 0.00, 49, 0.00, 0, 1, 1), (11, 0.00, 4, 0.00, 23, 0.00, 1, 1, 1), (12, 0.00, 10, 0.00, 110, 0.00, 0, 1, 1), (14, 0.00, 13, 0.00, 34, 0.00, 0, 1, 1),
-        (9, 0.00, 5, 0.00, 28, 0.00, 0, 1, 1), (10, 0.00, 13, 0.00, 71, 0.00, 0, 1, 1), (9, 0.00, 12, 0.00, 12, 0.00, 1, 1, 1), (10, 0.00, 10, 0.00, 19, 0.00, 0, 1, 1),
-        (11, 0.00, 4, 0.00, 52, 0.00, 1, 1, 1), (1, 0.00, 12, 0.00, 1, 0.00, 0, 1, 1), (1, 0.00, 17, 0.00, 77, 0.00, 0, 0, 1), (4, 0.00, 9, 0.00, 9, 0.00, 0, 0, 1),
-        (6, 0.00, 101, 0.00, 35, 0.00, 1, 0, 1), (5, 0.00, 99, 0.00, 14, 0.00, 0, 0, 1), (4, 0.00, 34, 0.00, 15, 0.00, 1, 0, 1), (3, 0.00, 105, 0.00, 64, 0.00, 1, 0, 1),
-        (2, 0.00, 96, 0.00, 2, 0.00, 1, 0, 1), (1, 0.00, 31, 0.00, 31, 0.00, 0, 0, 1), (6, 0.00, 31, 0.00, 28, 0.00, 0, 0, 1), (4, 0.00, 19, 0.00, 7, 0.00, 0, 0, 1),
-        (1, 0.00, 35, 0.00, 44, 0.00, 1, 0, 1), (6, 0.00, 100, 0.00, 9, 0.00, 0, 0, 1), (6, 0.00, 29, 0.00, 10, 0.00, 1, 0, 1), (6, 0.00, 45, 0.00, 73, 0.00, 1, 0, 1),
-        (3, 0.00, 58, 0.00, 2, 0.00, 1, 0, 1), (5, 0.00, 83, 0.00, 18, 0.00, 1, 0, 1), (6, 0.00, 19, 0.00, 10, 0.00, 0, 0, 1), (4, 0.00, 4, 0.00, 150, 0.00, 0, 0, 1),
-        (70, 0.00, 18, 0.00, 83, 0.00, 1, 0, 1), (33, 0.00, 17, 0.00, 29, 0.00, 1, 0, 1), (25, 0.00, 6, 0.00, 102, 0.00, 1, 0, 1), (69, 0.00, 160, 0.00, 47, 0.00, 0, 0, 1),
-        (17, 0.00, 11, 0.00, 8, 0.00, 0, 0, 1), (114, 0.00, 50, 0.00, 1, 0.00, 0, 0, 1), (11, 0.00, 90, 0.00, 17, 0.00, 0, 0, 1), (56, 0.00, 22, 0.00, 54, 0.00, 1, 0, 1),
-        (35, 0.00, 10, 0.00, 17, 0.00, 1, 0, 1), (51, 0.00, 19, 0.00, 89, 0.00, 0, 0, 1), (16, 0.00, 149, 0.00, 35, 0.00, 0, 0, 1), (13, 0.00, 4, 0.00, 31, 0.00, 0, 0, 1),
-        (94, 0.00, 1, 0.00, 11, 0.00, 1, 0, 1), (11, 0.00, 54, 0.00, 9, 0.00, 0, 0, 1), (107, 0.00, 6, 0.00, 16, 0.00, 0, 0, 1), (68, 0.00, 13, 0.00, 92, 0.00, 1, 0, 1),
-        (98, 0.00, 92, 0.00, 26, 0.00, 0, 0, 1), (9, 0.00, 9, 0.00, 7, 0.00, 1, 0, 1), (11, 0.00, 28, 0.00, 33, 0.00, 1, 0, 1), (136, 0.00, 10, 0.00, 8, 0.00, 0, 0, 1),
-        (186, 0.00, 10, 0.00, 104, 0.00, 0, 0, 1), (9, 0.00, 36, 0.00, 15, 0.00, 1, 0, 1), (118, 0.00, 10, 0.00, 77, 0.00, 0, 0, 1), (52, 0.00, 24, 0.00, 33, 0.00, 0, 0, 1),
-        (10, 0.00, 97, 0.00, 20, 0.00, 1, 0, 1), (45, 0.00, 14, 0.00, 6, 0.00, 1, 0, 1), (6, 0.00, 1, 1.00, 4, 0.00, 0, 0, 0), (6, 0.00, 1, 1.00, 9, 0.00, -2, 0, 0),
-        (4, 0.00, 1, 1.00, 11, 0.00, 0, 0, 0), (8, 0.00, 1, 1.00, 11, 0.00, -2, 0, 0), (10, 0.00, 1, 1.00, 8, 0.00, 0, 0, 0), (11, 0.00, 1, 1.00, 2, 0.00, -2, 0, 0),
-        (8, 0.00, 1, 1.00, 6, 0.00, 0, 0, 0), (4, 0.00, 1, 1.00, 11, 0.00, -2, 0, 0), (8, 0.00, 1, 1.00, 10, 0.00, -2, 0, 0), (8, 0.00, 1, 1.00, 5, 0.00, -2, 0, 0),
-        (4, 0.00, 1, 1.00, 8, 0.00, 0, 0, 0), (7, 0.00, 1, 1.00, 7, 0.00, 0, 0, 0), (12, 0.00, 1, 1.00, 11, 0.00, -2, 0, 0), (12, 0.00, 1, 1.00, 10, 0.00, -2, 0, 0),
-        (10, 0.00, 1, 1.00, 7, 0.00, 0, 0, 0), (14, 0.00, 66, 0.00, 0, 0.00, -2, 0, 0), (14, 0.00, 17, 0.00, 0, 0.00, 0, 0, 0), (14, 0.00, 26, 0.00, 0, 0.00, 0, 0, 0),
-        (15, 0.00, 12, 0.00, 0, 0.00, -2, 0, 0), (14, 0.00, 17, 0.00, 0, 0.00, -2, 0, 0), (12, 0.00, 9, 0.00, 0, 0.00, -2, 0, 0), (9, 0.00, 46, 0.00, 0, 0.00, -2, 0, 0),
-        (8, 0.00, 33, 0.00, 0, 0.00, -2, 0, 0), (14, 0.00, 135, 0.00, 0, 0.00, 0, 0, 0), (11, 0.00, 13, 0.00, 0, 0.00, 0, 0, 0), (12, 0.00, 28, 0.00, 0, 0.00, 0, 0, 0),
-        (15, 0.00, 5, 0.00, 0, 0.00, -2, 0, 0), (8, 0.00, 211, 0.00, 0, 0.00, -2, 0, 0), (10, 0.00, 9, 0.00, 0, 0.00, -2, 0, 0), (13, 0.00, 62, 0.00, 0, 0.00, 0, 0, 0),
-        (12, 0.00, 6, 0.00, 0, 0.00, -2, 0, 0),
+        (1, 1.00, 1, 1.00, 1, 1.00, 0, 0, 0), (1, 1.00, 1, 1.00, 13, 0.00, -2, 0, 0), (10, 0.00, 8, 0.00, 136, 0.00, 0, 1, 1), (6, 0.00, 13, 0.00, 49, 0.00, 0, 1, 1),
+        (12, 0.00, 10, 0.00, 110, 0.00, 0, 1, 1), (14, 0.00, 13, 0.00, 34, 0.00, 0, 1, 1), (9, 0.00, 5, 0.00, 28, 0.00, 0, 1, 1), (10, 0.00, 13, 0.00, 71, 0.00, 0, 1, 1),
+        (10, 0.00, 10, 0.00, 19, 0.00, 0, 1, 1), (1, 0.00, 12, 0.00, 1, 0.00, 0, 1, 1), (1, 0.00, 17, 0.00, 77, 0.00, 0, 0, 1), (4, 0.00, 9, 0.00, 9, 0.00, 0, 0, 1),
+        (5, 0.00, 99, 0.00, 14, 0.00, 0, 0, 1), (1, 0.00, 31, 0.00, 31, 0.00, 0, 0, 1), (6, 0.00, 31, 0.00, 28, 0.00, 0, 0, 1), (4, 0.00, 19, 0.00, 7, 0.00, 0, 0, 1),
+        (6, 0.00, 100, 0.00, 9, 0.00, 0, 0, 1), (6, 0.00, 19, 0.00, 10, 0.00, 0, 0, 1), (4, 0.00, 4, 0.00, 150, 0.00, 0, 0, 1), (69, 0.00, 160, 0.00, 47, 0.00, 0, 0, 1),
+        (17, 0.00, 11, 0.00, 8, 0.00, 0, 0, 1), (114, 0.00, 50, 0.00, 1, 0.00, 0, 0, 1), (11, 0.00, 90, 0.00, 17, 0.00, 0, 0, 1), (51, 0.00, 19, 0.00, 89, 0.00, 0, 0, 1),
+        (16, 0.00, 149, 0.00, 35, 0.00, 0, 0, 1), (13, 0.00, 4, 0.00, 31, 0.00, 0, 0, 1), (11, 0.00, 54, 0.00, 9, 0.00, 0, 0, 1), (107, 0.00, 6, 0.00, 16, 0.00, 0, 0, 1),
+        (98, 0.00, 92, 0.00, 26, 0.00, 0, 0, 1), (136, 0.00, 10, 0.00, 8, 0.00, 0, 0, 1), (186, 0.00, 10, 0.00, 104, 0.00, 0, 0, 1), (118, 0.00, 10, 0.00, 77, 0.00, 0, 0, 1),
+        (52, 0.00, 24, 0.00, 33, 0.00, 0, 0, 1), (6, 0.00, 1, 1.00, 4, 0.00, 0, 0, 0), (6, 0.00, 1, 1.00, 9, 0.00, -2, 0, 0), (4, 0.00, 1, 1.00, 11, 0.00, 0, 0, 0),
+        (8, 0.00, 1, 1.00, 11, 0.00, -2, 0, 0), (10, 0.00, 1, 1.00, 8, 0.00, 0, 0, 0), (11, 0.00, 1, 1.00, 2, 0.00, -2, 0, 0), (8, 0.00, 1, 1.00, 6, 0.00, 0, 0, 0),
+        (4, 0.00, 1, 1.00, 11, 0.00, -2, 0, 0), (8, 0.00, 1, 1.00, 10, 0.00, -2, 0, 0), (8, 0.00, 1, 1.00, 5, 0.00, -2, 0, 0), (4, 0.00, 1, 1.00, 8, 0.00, 0, 0, 0),
+        (7, 0.00, 1, 1.00, 7, 0.00, 0, 0, 0), (12, 0.00, 1, 1.00, 11, 0.00, -2, 0, 0), (12, 0.00, 1, 1.00, 10, 0.00, -2, 0, 0), (10, 0.00, 1, 1.00, 7, 0.00, 0, 0, 0),
+        (14, 0.00, 66, 0.00, 0, 0.00, -2, 0, 0), (14, 0.00, 17, 0.00, 0, 0.00, 0, 0, 0), (14, 0.00, 26, 0.00, 0, 0.00, 0, 0, 0), (15, 0.00, 12, 0.00, 0, 0.00, -2, 0, 0),
+        (14, 0.00, 17, 0.00, 0, 0.00, -2, 0, 0), (12, 0.00, 9, 0.00, 0, 0.00, -2, 0, 0), (9, 0.00, 46, 0.00, 0, 0.00, -2, 0, 0), (8, 0.00, 33, 0.00, 0, 0.00, -2, 0, 0),
+        (14, 0.00, 135, 0.00, 0, 0.00, 0, 0, 0), (11, 0.00, 13, 0.00, 0, 0.00, 0, 0, 0), (12, 0.00, 28, 0.00, 0, 0.00, 0, 0, 0), (15, 0.00, 5, 0.00, 0, 0.00, -2, 0, 0),
+        (8, 0.00, 211, 0.00, 0, 0.00, -2, 0, 0), (10, 0.00, 9, 0.00, 0, 0.00, -2, 0, 0), (13, 0.00, 62, 0.00, 0, 0.00, 0, 0, 0), (12, 0.00, 6, 0.00, 0, 0.00, -2, 0, 0),
+        (9, 0.00, 8, 0.00, 39, 0.00, 1, 1, 1), (6, 0.00, 101, 0.00, 35, 0.00, 1, 0, 1), (1, 0.00, 35, 0.00, 44, 0.00, 1, 0, 1), (5, 0.00, 83, 0.00, 18, 0.00, 1, 0, 1),
+        (56, 0.00, 22, 0.00, 54, 0.00, 1, 0, 1), (9, 0.00, 9, 0.00, 7, 0.00, 1, 0, 1), (45, 0.00, 14, 0.00, 6, 0.00, 1, 0, 1),
         # articles, and lists of links inside them
         (120, 0.00, 80, 0.00, 90, 0.00, 1, 0, 1), (60, 0.05, 12, 0.00, 40, 0.00, 1, 0, 1), (8, 0.00, 0, 0.00, 70, 0.00, 1, 1, 1), (1, 0.00, 60, 0.00, 50, 0.00, 1, 0, 1),
         (3, 0.00, 20, 0.00, 0, 0.00, 1, 0, 1), (14, 0.00, 2, 1.00, 60, 0.00, 1, 1, 1), (25, 0.40, 30, 0.00, 40, 0.00, 1, 0, 1), (4, 0.00, 5, 0.00, 4, 0.00, 1, 0, 1),
@@ -240,6 +235,13 @@ LABELLED = np.array(
         (4, 0.00, 3, 1.00, 6, 0.00, 1, 0, 1), (1, 0.00, 12, 0.60, 4, 0.00, 1, 0, 1), (9, 0.00, 5, 1.00, 0, 0.00, 1, 0, 1), (2, 0.10, 40, 0.50, 3, 0.20, 1, 0, 1),
         (6, 0.00, 1, 1.00, 2, 1.00, 1, 0, 1), (12, 0.20, 8, 0.90, 30, 0.90, 1, 0, 1), (3, 0.00, 20, 0.30, 1, 0.00, 1, 0, 1), (5, 0.30, 2, 0.90, 90, 0.50, 1, 0, 1),
         (6, 0.50, 12, 0.00, 9, 0.00, 1, 0, 1), (10, 0.40, 5, 0.00, 20, 0.00, 1, 0, 1), (4, 0.50, 4, 0.00, 0, 0.00, 1, 0, 1), (20, 0.45, 3, 0.30, 8, 0.00, 1, 0, 1),
+        (3, 0.00, 2, 1.00, 30, 0.00, 1, 0, 1), (5, 0.00, 1, 1.00, 60, 0.00, 1, 0, 1), (1, 0.00, 3, 1.00, 12, 0.00, 1, 0, 1),
+        (2, 0.00, 3, 1.00, 90, 0.00, 1, 0, 1), (12, 0.00, 10, 0.50, 90, 0.00, 1, 0, 1), (2, 0.30, 40, 1.00, 30, 0.00, 1, 0, 1), (2, 0.00, 40, 1.00, 0, 0.00, 1, 0, 1),
+        (2, 0.00, 3, 0.00, 8, 1.00, 1, 0, 1), (12, 0.30, 10, 1.00, 90, 1.00, 1, 0, 1), (2, 0.10, 0, 0.00, 2, 1.00, 1, 0, 1), (2, 0.10, 10, 0.50, 30, 1.00, 1, 0, 1),
+        (12, 0.10, 40, 1.00, 90, 0.00, 1, 0, 1), (4, 0.00, 3, 0.00, 8, 0.00, 1, 0, 1), (25, 0.00, 40, 0.50, 8, 0.00, 1, 0, 1), (1, 0.30, 10, 0.00, 8, 0.00, 1, 0, 1),
+        (7, 0.00, 0, 0.50, 30, 1.00, 1, 0, 1), (60, 0.00, 0, 0.00, 30, 0.40, 1, 0, 1), (12, 0.10, 40, 0.00, 0, 0.40, 1, 0, 1), (1, 0.00, 0, 0.00, 2, 1.00, 1, 0, 1),
+        (4, 0.10, 1, 0.00, 8, 0.40, 1, 0, 1), (4, 0.00, 10, 1.00, 30, 1.00, 1, 0, 1), (25, 0.00, 40, 0.50, 30, 0.00, 1, 0, 1), (4, 0.30, 3, 0.50, 90, 0.40, 1, 0, 1),
+        (1, 0.30, 40, 0.50, 0, 1.00, 1, 0, 1), (12, 0.00, 0, 0.50, 30, 0.40, 1, 0, 1), (25, 0.10, 40, 0.50, 30, 0.00, 1, 0, 1), (12, 0.00, 0, 0.50, 8, 1.00, 1, 0, 1),
         # menus, headers, footers, sidebars, notices, adverts, forms and comments
         (1, 1.00, 0, 0.00, 1, 1.00, -2, 0, 0), (2, 1.00, 1, 1.00, 1, 1.00, -2, 0, 0), (10, 0.00, 1, 1.00, 14, 0.00, -2, 0, 0), (22, 0.00, 120, 0.00, 0, 0.00, -2, 0, 0),
         (60, 0.00, 80, 0.00, 12, 0.00, -2, 0, 0), (5, 0.20, 90, 0.00, 3, 1.00, -2, 0, 0), (3, 0.00, 4, 1.00, 90, 0.00, -2, 1, 0), (150, 0.02, 90, 0.00, 30, 0.00, -2, 0, 0),
@@ -263,6 +265,7 @@ LABELLED = np.array(
         (3, 0.00, 2, 1.00, 90, 0.00, -1, 0, 0), (6, 0.00, 3, 0.50, 4, 0.50, -1, 0, 0), (12, 0.00, 0, 0.00, 8, 0.00, -1, 0, 0), (40, 0.00, 12, 0.00, 20, 0.00, -2, 0, 0),
         (150, 0.00, 150, 0.00, 150, 0.00, -2, 0, 0), (90, 0.00, 90, 0.00, 0, 0.00, -2, 0, 0), (15, 0.00, 0, 0.00, 15, 0.00, -2, 0, 0), (8, 0.00, 8, 0.00, 120, 0.00, -2, 1, 0),
         (25, 0.00, 60, 0.00, 25, 0.00, -2, 0, 0), (500, 0.00, 20, 0.00, 300, 0.00, -2, 0, 0),
+        (2, 1.00, 150, 0.00, 2, 1.00, 0, 0, 0), (2, 1.00, 80, 0.00, 1, 1.00, 0, 0, 0), (3, 1.00, 40, 0.00, 3, 1.00, 0, 0, 0), (12, 0.90, 60, 0.00, 9, 0.90, 0, 0, 0),
         (17, 0.00, 17, 0.00, 0, 0.00, -1, 0, 0), (25, 0.00, 20, 0.00, 3, 1.00, -1, 0, 0), (16, 0.00, 0, 0.00, 0, 0.00, -1, 0, 0), (30, 0.10, 40, 0.00, 4, 0.00, -1, 0, 0),
         (36, 0.00, 0, 0.00, 2, 0.00, -1, 0, 0), (20, 0.00, 2, 1.00, 1, 1.00, -1, 0, 0),
     ]
