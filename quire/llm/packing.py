@@ -9,13 +9,15 @@ down cover almost everything; what rounding leaves is filled first-fit decreasin
 are ranked within their class and take the slots of the patterns in order.
 
 Defined results: null and empty texts are the end id alone; added tokens of the tokenizer's file get their ids
-inside texts, as the tokenizers library gives them; rows that repeat a doc_id are documents of their own; empty tables give empty results; extra columns are
-ignored. Ids equal those of the tokenizers library; they are computed once, from whole texts.
+inside texts, as the tokenizers library gives them; rows that repeat a doc_id are documents of their own; empty tables
+give empty results; extra columns are ignored. Ids equal those of the tokenizers library, which also encodes the texts
+that the faster encoder can't (runs of ``LONG_BLANK`` white-space characters or more); they are computed once, from whole texts.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -23,6 +25,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
+import tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ from quire.llm._ranks import hash32, running
 from quire.runtime import materialize, ship_code, spread
 
 CAPACITY, UNIT, END_ID, SEED = 2048, 16, 1, 5
+LONG_BLANK = 100_000
+BLANKS = re.compile(r"\s+")
 
 
 @cache
@@ -44,16 +49,27 @@ def encoder(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
+@cache
+def plain_encoder(path: str) -> tokenizers.Tokenizer:
+    return tokenizers.Tokenizer.from_file(path)
+
+
+def ids_of(text: str, path: str, pattern: str) -> list[int]:
+    """The ids of the tokenizers library, without special tokens. The faster encoder's stack overflows on very long blank runs."""
+    if len(text) >= LONG_BLANK and max(map(len, BLANKS.findall(text)), default=0) >= LONG_BLANK:
+        return plain_encoder(path).encode(text, add_special_tokens=False).ids
+    return encoder(path, pattern).encode(text, allowed_special="all")
+
+
 def pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: documents cut at multiples of the capacity."""
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer, pattern)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*code.encode(text.as_py() or "", allowed_special="all"), END_ID], dtype="<u4")
+                ids = np.array([*ids_of(text.as_py() or "", tokenizer, pattern), END_ID], dtype="<u4")
                 for at in range(0, len(ids), capacity):
                     cut = ids[at : at + capacity]
                     out.append((doc_id, at, len(cut), zlib.crc32(cut.tobytes()), len(ids)))

@@ -42,6 +42,16 @@ def test_added_tokens_inside_texts_get_their_ids(spark):
         assert r.doc_tokens == len(ids) and zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
 
 
+def test_very_long_words_and_blanks_are_encoded_whole(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = [" " * 1_000_000, "\n" * 400_000 + "x", "ab" * 500_000, "a " + " " * 99_999 + "b", " " * 100_000, "y" + "\t " * 60_000 + "<|endoftext|>"]
+    for text in texts:
+        assert m.ids_of(text, path, public_tokenizers.PATTERN) == tokenizer.encode(text, add_special_tokens=False).ids
+    got = m.pack_default(spark.createDataFrame([(0, texts[0], "en", "s", 0)], DOCS)).collect()
+    assert sum(r.length for r in got) == 1_000_001
+
+
 def test_linear_program_reaches_the_material_bound():
     rng = np.random.default_rng(1)
     counts = {int(k): int(v) for k, v in zip(*np.unique(rng.integers(1, 65, 3000), return_counts=True), strict=True)}
