@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.runtime import materialize
 
 BUCKET_ROWS = 500
+FAN_OUT = 1000  # ranges of a level that are summed in order by one task
 HASH_BITS = 32
 
 
@@ -20,21 +21,39 @@ def hash32(seed: int, *cols: str) -> Column:
 def running(df: DataFrame, group: str, hashed: str, ties: list[str], value: Column, name: str) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over the rows of the group that come before in (hashed, ties) order.
 
-    ``hashed`` is uniform in 32 bits. A group is cut into ranges of it of about BUCKET_ROWS rows; sums of
-    whole ranges come first, then each range is ordered by itself. ``df`` is read twice: pass a written table.
+    ``hashed`` is uniform in 32 bits. A group is cut into ranges of it of about BUCKET_ROWS rows, and those into
+    blocks of FAN_OUT; sums of blocks come first, then of ranges in a block, then each range is ordered by itself, so
+    the one ordered list a group has grows by a row for 500,000. Rows that share their hash share a range. ``df`` is read twice: pass a written table.
     """
     counts = materialize(df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows")).withColumnRenamed(group, "_group"), "counts")
     part = F.floor(F.col(hashed) * F.ceil(F.col("_rows") / BUCKET_ROWS) / (1 << HASH_BITS))
     rows = df.join(counts, F.col(group).eqNullSafe(F.col("_group"))).withColumns({"_part": part, "_value": value})
     rows = rows.withColumn("_range", F.xxhash64(F.col(group).isNull(), group, "_part"))
     sums = rows.groupBy("_range", "_group", "_part").agg(F.sum("_value").alias("_sum"))
-    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = materialize(sums.select(F.col("_range").alias("_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base")), "ranges")
+    sums = materialize(sums.withColumn("_block", F.floor(F.col("_part") / FAN_OUT)), "ranges")
+    earlier = lambda keys, order: F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sums.groupBy("_group", "_block").agg(F.sum("_sum").alias("_sum"))
+    blocks = blocks.select(F.col("_group").alias("_g"), F.col("_block").alias("_b"), earlier(["_group"], "_block").alias("_before"))
+    ranges = sums.withColumn("_inside", earlier(["_group", "_block"], "_part")).join(blocks, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_block") == F.col("_b")))
+    ranges = materialize(ranges.select(F.col("_range").alias("_of"), (F.col("_before") + F.col("_inside")).alias("_base")), "bases")
     within = Window.partitionBy("_range").orderBy(hashed, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(sums, F.col("_range") == F.col("_of"))
+    out = rows.join(ranges, F.col("_range") == F.col("_of"))
     return out.withColumn(name, F.col("_base") + F.coalesce(F.sum("_value").over(within), F.lit(0))).drop("_rows", "_group", "_part", "_value", "_range", "_of", "_base")
 
 
+def nth_of(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Adds ``name``: a number from 1 among the rows that share ``keys``, dealt by task, so that no key is ordered in one task."""
+    placed = materialize(df.withColumn("_part", F.spark_partition_id()), "placed")
+    here = placed.select("*", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(F.lit(1))).alias("_here"))
+    counts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each key and task that holds it
+    base = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), base.alias("_base"))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return here.join(counts, same).withColumn(name, F.col("_base") + F.col("_here")).drop("_part", "_here", "_p", "_base", *[f"_k{i}" for i in range(len(keys))])
+
+
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds ``name``: the 0-based place in a total order, from range partitions and their sizes."""
     sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -6,8 +6,8 @@ all its documents and a fractional one: documents in seeded order until the runn
 
 Defined results: null text has size 0 and null source is a source of its own, last in order; a document
 of size 0 takes 0 words; with no words at all every target is 0; rows that repeat a doc_id are documents
-of their own; equal hashes fall back to doc_id and size; empty tables give empty results; extra columns
-are ignored. Only scalars reach the driver, whatever the number of sources.
+of their own, hashed and so ordered together; equal hashes fall back to doc_id and size; empty tables give empty
+results; extra columns are ignored. Only scalars reach the driver, whatever the number of sources.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._ranks import hash32, ranked, running
+from quire.llm._ranks import hash32, nth_of, ranked, running
 from quire.runtime import materialize, spread
 
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 20261126
@@ -54,12 +54,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 
 def repeat(docs: DataFrame, **options: float) -> DataFrame:
-    """The mix itself: rows of ``docs`` as often as the mix takes them. Rows that repeat doc_id, source and size count alike."""
-    plan = mix(docs, **options).filter("times > 0")
+    """The mix itself: rows of ``docs`` as often as the mix takes them.
+
+    Rows that repeat doc_id, source and size share the copies planned for them: each takes the whole part, and the first
+    of them, in any order, one more until the plan's number is met."""
+    plan = mix(docs, **options)
     plan = plan.groupBy(F.col("doc_id").alias("__quire_id"), F.col("source").alias("__quire_source"), F.col("size").alias("__quire_size")).agg(F.sum("times").alias("__quire_all"), F.count(F.lit(1)).alias("__quire_rows"))
+    plan = materialize(plan.filter("__quire_all > 0"), "plan")
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__quire_id")) & F.col("source").eqNullSafe(F.col("__quire_source")) & (size == F.col("__quire_size")))
-    return out.withColumn("__quire_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__quire_all") / F.col("__quire_rows")).cast("int")))).select(*docs.columns)
+    whole = F.floor(F.col("__quire_all") / F.col("__quire_rows"))
+    if plan.filter("__quire_rows > 1").isEmpty():
+        out = out.withColumn("__quire_times", F.col("__quire_all"))
+    else:
+        single = out.filter("__quire_rows = 1").withColumn("__quire_times", F.col("__quire_all"))
+        shared = nth_of(out.filter("__quire_rows > 1"), ["__quire_id", "__quire_source", "__quire_size"], "__quire_nth")
+        more = F.col("__quire_nth") <= F.col("__quire_all") - whole * F.col("__quire_rows")
+        out = single.unionByName(shared.withColumn("__quire_times", whole + more.cast("long")).drop("__quire_nth"))
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("__quire_times").cast("int")))
+    return out.withColumn("__quire_copy", copies).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import mixing as m
 from tests.llm.helpers import CLASHING, DOCS, corpus, wide
@@ -44,6 +45,7 @@ def test_reruns_agree_and_ranges_do_not_matter(spark, monkeypatch):
     docs = spark.createDataFrame(corpus(4), DOCS)
     first = sorted(map(tuple, m.mix(docs).collect()), key=str)
     monkeypatch.setattr("quire.llm._ranks.BUCKET_ROWS", 3)
+    monkeypatch.setattr("quire.llm._ranks.FAN_OUT", 2)
     assert sorted(map(tuple, m.mix(docs.repartition(7)).collect()), key=str) == first
 
 
@@ -52,10 +54,18 @@ def test_hash_is_md5():
 
 
 def test_repeat_gives_rows_as_often_as_planned(spark):
-    docs = spark.createDataFrame(wide([r for r in corpus() if r[0] is not None]), CLASHING)
-    plan = m.mix(docs).groupBy().sum("times").first()[0]
+    docs = spark.createDataFrame(wide(corpus()), CLASHING)
+    plan = {(r.doc_id, r.source, r["size"]): r.n for r in m.mix(docs).groupBy("doc_id", "source", "size").agg(F.sum("times").alias("n")).collect() if r.n}
     out = m.repeat(docs)
-    assert out.columns == docs.columns and abs(out.count() - plan) <= 2
+    assert out.columns == docs.columns
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(m.WORD)).alias("words")
+    assert {(r.doc_id, r.source, r.words): r["count"] for r in out.groupBy("doc_id", "source", size).count().collect()} == plan
+
+
+def test_repeated_rows_share_their_copies(spark):
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", 0)] * 9 + [(2, "d e", "en", "t", 0)], DOCS).repartition(3)
+    plan = m.mix(docs).groupBy("doc_id").agg(F.sum("times").alias("n")).collect()
+    assert {r.doc_id: r.n for r in plan} == {r.doc_id: r["count"] for r in m.repeat(docs).groupBy("doc_id").count().collect()}
 
 
 def test_empty_and_wordless(spark):
