@@ -1,10 +1,16 @@
 """Exact deduplication by a log-structured merge index of text digests, in DataFrame functions only.
 
-Texts are equal when identical after deleting every ASCII white-space character. Ingested rows become
-*runs*: every task sorts its memtable by digest and writes it with Parquet Bloom filters on the digest.
-Compaction merges all runs into one level with a row a digest: the winner (most code points in the
-original text, then smallest doc_id) and the number of members. Digests with more than one member are
-hits; their whole texts are grouped byte by byte, and a digest that covers several texts is split.
+Texts are equal when identical after deleting every ASCII white-space character. Ingested rows become *runs*, each of
+``RUN_TASKS`` memtables: a task sorts its memtable by digest and flushes it, and every run gets a filter, a bitmap of
+the digests in it. Compaction takes runs into the level one by one: entries whose digest the level's filter does not
+hold are new and are appended as they are; only the others are merged, by digest, with the level's entries that the
+run's filter holds. An entry is a digest, the winner (most code points in the original text, then smallest doc_id) and
+the number of members. Digests with more than one member are hits; rows that a filter of the hits lets through have their
+whole texts grouped byte by byte, and a digest that covers several texts is split.
+
+Entries with one member are groups of their own and join nothing. Rows of hits join their entries: digests that hold
+more than 1 / ``HEADS`` of all rows, of which there are fewer than ``HEADS``, by a broadcast, the others by a shuffle, so no
+key's rows fill a task.
 
 Defined results: a null text counts as empty; a null doc_id loses to any other and ``keep_id`` is null
 only if all ids of the group are; of rows that repeat doc_id and length exactly one is kept; an empty
@@ -15,16 +21,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.runtime import shared_path, spread
+from quire.llm._ranks import nth_of
+from quire.runtime import materialize, shared_path, spread
 
 SPACES = " \t\n\x0b\x0c\r"
-#: Positions of the filter of hits: 16 for each hit, this many at most (16 MiB as bitmaps). Beyond it
-#: the filter only lets more rows through; the join behind it stays exact.
+#: Positions of a filter: 16 for each digest, this many at most (16 MiB as bitmaps). Beyond it
+#: a filter only lets more rows through; what is behind it stays exact.
 MAX_FILTER_BITS = 1 << 27
 BITMAP_BITS = 32768
+RUNS, HEADS = 4, 10_000
 
 
 def squeezed(text: Column) -> Column:
@@ -41,149 +49,175 @@ def _winner() -> Column:
     return F.struct((-F.col("n_chars")).alias("neg"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "batch", "row_no")
 
 
+class Filter:
+    """Bitmaps of digests: a row for ``BITMAP_BITS`` positions, sized by the number of digests, bounded by MAX_FILTER_BITS."""
+
+    def __init__(self, digests: DataFrame, n: int):
+        self.bits = min(MAX_FILTER_BITS, max(BITMAP_BITS, 1 << (16 * n).bit_length()))
+        block, bit = self._where(F.col("digest"))
+        self.maps = digests.select(block.alias("_block"), bit.cast("long").alias("bit")).groupBy("_block").agg(F.expr("bitmap_construct_agg(bit)").alias("_bitmap"))
+
+    def _where(self, digest: Column) -> tuple[Column, Column]:
+        at = F.pmod(F.xxhash64(digest), F.lit(self.bits))
+        return F.floor(at / BITMAP_BITS).cast("int"), F.pmod(at, F.lit(BITMAP_BITS)).cast("int")
+
+    def probe(self, rows: DataFrame, digest: str = "digest") -> DataFrame:
+        """Adds ``_held``: false where the filter rules the digest out. The bitmaps are broadcast, 16 MiB at most."""
+        block, bit = self._where(F.col(digest))
+        bit_set = F.expr("cast(conv(hex(substring(_bitmap, _bit div 8 + 1, 1)), 16, 10) as int) & shiftleft(1, _bit % 8) <> 0")
+        found = rows.withColumns({"_block": block, "_bit": bit}).join(F.broadcast(self.maps), "_block", "left")
+        return found.withColumn("_held", F.coalesce(bit_set, F.lit(False))).drop("_block", "_bit", "_bitmap")
+
+
 class LsmDedupIndex:
-    """An index in a shared folder: ``runs/`` holds what was ingested, ``level/`` what compaction made of it."""
+    """An index in a shared folder: ``runs/`` holds what was ingested, ``level/`` the parts that compaction made of it."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, digest: Callable[[Column], Column] = sha256):
         self.spark, self.digest = spark, digest
         self.path = path or shared_path(spark, "lsm")
-        self.batches: list[str] = []
-        self.level: str | None = None
-        self.merged = 0  # runs that the level holds
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        parts = [self.spark.read.parquet(p) for p in paths]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
-
-    def ingest(self, docs: DataFrame) -> None:
-        """Flush each task's rows as a sorted run with a Bloom filter on the digest."""
-        run = f"{self.path}/runs/{len(self.batches)}"
+        self.batches = 0
+        self.runs: list[str] = []
+        self.waiting: list[str] = []  # runs that the level doesn't hold yet
+        self.parts: list[str] = []  # parts of the level, with no digest in two of them
+        self.entries = 0
+
+    def _level(self) -> DataFrame:
+        return self.spark.read.schema(ENTRIES).parquet(*self.parts) if self.parts else self.spark.createDataFrame([], ENTRIES)
+
+    def ingest(self, docs: DataFrame, runs: int = 1) -> None:
+        """Flush each task's rows, sorted by digest, to one of ``runs`` runs."""
+        batch, self.batches = self.batches, self.batches + 1
+        path = f"{self.path}/runs/{batch}"
         (
             docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
             .select("doc_id", F.length("text").cast("long").alias("n_chars"), self.digest(squeezed(F.col("text"))).alias("digest"))
             .withColumn("row_no", F.monotonically_increasing_id())
-            .withColumn("batch", F.lit(len(self.batches)))
-            .sortWithinPartitions("digest")
-            .write.option("parquet.bloom.filter.enabled#digest", "true")
+            .withColumns({"batch": F.lit(batch), "run": F.spark_partition_id() % runs})
+            .sortWithinPartitions("run", "digest")
+            .write.partitionBy("run")
+            .option("parquet.bloom.filter.enabled#digest", "true")
             .option("parquet.bloom.filter.adaptive.enabled", "true")
-            .parquet(run)
+            .parquet(path)
         )
-        self.batches.append(run)
+        found = self.spark.read.schema(f"{ROWS}, run int").parquet(path).select("run").distinct().collect()  # ``runs`` numbers at most
+        new = [f"{path}/run={r['run']}" for r in sorted(found)]
+        self.runs, self.waiting = self.runs + new, self.waiting + new
+
+    def _write(self, entries: DataFrame, name: str) -> str:
+        part = f"{self.path}/level/{name}"
+        entries.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(part)
+        return part
 
     def compact(self) -> None:
-        """Merge the level with the runs since: a sorted row a digest. Map-side combining keeps hot digests small."""
-        if self.merged == len(self.batches):
-            return
-        both = self._read(self.batches[self.merged :]).select("digest", _winner().alias("best"), F.lit(1).cast("long").alias("members"))
-        if self.level is not None:
-            both = both.unionByName(self.spark.read.parquet(self.level))
-        level = f"{self.path}/level/{len(self.batches)}"
-        (
-            both.groupBy("digest")
-            .agg(F.min("best").alias("best"), F.sum("members").alias("members"))
-            .sortWithinPartitions("digest")
-            .write.option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.adaptive.enabled", "true")
-            .parquet(level)
-        )
-        self.level, self.merged = level, len(self.batches)
+        """Take the waiting runs into the level, one after the other. Map-side combining keeps hot digests small."""
+        merge = [F.min("best").alias("best"), F.sum("members").alias("members")]
+        while self.waiting:
+            run = self.waiting.pop(0)
+            rows = self.spark.read.schema(ROWS).parquet(run).select("digest", _winner().alias("best"), F.lit(1).cast("long").alias("members"))
+            new, name = rows.groupBy("digest").agg(*merge), run.removeprefix(f"{self.path}/runs/").replace("/", "-")
+            if not self.parts:
+                self.parts = [self._write(new, name)]
+                self.entries = self._level().count()
+                continue
+            new = materialize(new, "run")
+            n_new, level = new.count(), self._level()
+            old = Filter(level, self.entries).probe(new)
+            fresh = old.filter("NOT _held").drop("_held")
+            met = Filter(old.filter("_held"), n_new).probe(level)
+            merged = old.filter("_held").drop("_held").unionByName(met.filter("_held").drop("_held")).groupBy("digest").agg(*merge)
+            rest = met.filter("NOT _held").drop("_held")
+            self.parts = [self._write(x, f"{name}-{kind}") for x, kind in ((rest, "rest"), (merged, "merged"), (fresh, "fresh"))]
+            self.entries = self._level().count()
 
     def rows(self) -> DataFrame:
-        return self._read(self.batches)
+        return self.spark.read.schema(ROWS).parquet(*self.runs) if self.runs else self.spark.createDataFrame([], ROWS)
 
     def compacted(self) -> DataFrame:
         self.compact()
-        return self.spark.read.parquet(self.level)
-
-    def _hit_filter(self, hits: DataFrame, n_hits: int) -> tuple[DataFrame, Callable[[Column], tuple[Column, Column]]]:
-        """Bitmaps of the hits' digests: a row for 32,768 positions, sized by the hits, bounded by MAX_FILTER_BITS."""
-        bits = min(MAX_FILTER_BITS, max(BITMAP_BITS, 1 << (16 * n_hits).bit_length()))
-
-        def where(digest: Column) -> tuple[Column, Column]:
-            at = F.pmod(F.xxhash64(digest), F.lit(bits))
-            return F.floor(at / BITMAP_BITS).cast("int"), F.pmod(at, F.lit(BITMAP_BITS)).cast("int")
-
-        block, bit = where(F.col("digest"))
-        maps = hits.select(block.alias("block"), bit.cast("long").alias("bit")).groupBy("block").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))
-        return maps, where
-
-    def verified(self, docs: DataFrame) -> DataFrame:
-        """(digest, text, best, members) of every hit, grouped by its bytes; rows that the filter rules out move nowhere."""
-        hits = self.compacted().filter("members > 1").select("digest")
-        n_hits = hits.count()
-        maps, where = self._hit_filter(hits, n_hits)
-        texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("raw")).select(
-            "doc_id", F.length("raw").cast("long").alias("n_chars"), squeezed(F.col("raw")).alias("text")
-        )
-        texts = texts.withColumn("digest", self.digest(F.col("text")))
-        block, bit = where(F.col("digest"))
-        held = F.expr("cast(conv(hex(substring(bitmap, bit div 8 + 1, 1)), 16, 10) as int) & shiftleft(1, bit % 8) <> 0")
-        passed = (
-            texts.withColumns({"block": block, "bit": bit})
-            .join(F.broadcast(maps), "block")
-            .filter(held)
-        )
-        return passed.groupBy("digest", "text").agg(
-            F.min(F.struct((-F.col("n_chars")).alias("neg"), F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("best"),
-            F.count(F.lit(1)).alias("members"),
-        )
+        return self._level()
+
+    def hits(self) -> tuple[DataFrame, Filter]:
+        """Entries with more than one member, and their filter."""
+        hits = materialize(self.compacted().filter("members > 1"), "hits")
+        return hits, Filter(hits, hits.count())
+
+    def _texts(self, docs: DataFrame) -> DataFrame:
+        raw = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("raw"))
+        return raw.select("doc_id", F.length("raw").cast("long").alias("n_chars"), squeezed(F.col("raw")).alias("text"))
+
+    def verified(self, docs: DataFrame, hits: Filter) -> DataFrame:
+        """(digest, text, members) of every hit, grouped by its bytes; rows that the filter rules out move nowhere."""
+        texts = hits.probe(self._texts(docs).withColumn("digest", self.digest(F.col("text")))).filter("_held")
+        return texts.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("members"))
+
+    def groups(self, docs: DataFrame, *more: str) -> DataFrame:
+        """Every ingested row with its group, and ``more`` of its own columns. ``docs`` must be what was ingested."""
+        level = self.compacted()
+        hits, by_hit = self.hits()
+        classes = self.verified(docs, by_hit).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
+        if not classes.filter("texts > 1").isEmpty():
+            return self._split(docs, *more)
+        one = level.filter("members = 1").select(
+            F.col("best.doc_id").alias("doc_id"), F.col("best.doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"),
+            *[{"n_chars": -F.col("best.neg")}[c].alias(c) for c in more],
+        )
+        rows = by_hit.probe(self.rows()).filter("_held").drop("_held")
+        joined = _with_heads(rows, hits, "digest", self.rows().count())
+        return one.unionByName(joined.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("members").alias("group_size"), _is_best().alias("kept"), F.col("digest").alias("text_sha256"), *more))
+
+    def _split(self, docs: DataFrame, *more: str) -> DataFrame:
+        """A digest that covers several texts: regroup by the texts themselves, with the full hash of each."""
+        rows = materialize(self._texts(docs).withColumns({"batch": F.lit(0), "row_no": F.monotonically_increasing_id()}), "texts")
+        best = materialize(rows.groupBy("text").agg(F.min(_winner()).alias("best"), F.count(F.lit(1)).alias("members")), "classes")
+        joined = _with_heads(rows, best, "text", rows.count())
+        return joined.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("members").alias("group_size"), _is_best().alias("kept"), sha256(F.col("text")).alias("text_sha256"), *more)
 
-    def groups(self, docs: DataFrame) -> DataFrame:
-        """Every ingested row with its group. ``docs`` must be what was ingested."""
-        level, rows = self.compacted(), self.rows()
-        classes = self.verified(docs).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
-        mixed = [r["digest"] for r in classes.filter("texts > 1").select("digest").limit(1).collect()]
-        if mixed:
-            return self._split(docs)
-        best = level.select("digest", "best", F.col("members").alias("group_size"))
-        out = rows.join(best, "digest")
-        return out.select(
-            "doc_id",
-            F.col("best.doc_id").alias("keep_id"),
-            "group_size",
-            ((F.col("row_no") == F.col("best.row_no")) & (F.col("batch") == F.col("best.batch"))).alias("kept"),
-            F.col("digest").alias("text_sha256"),
-        )
 
-    def _split(self, docs: DataFrame) -> DataFrame:
-        """A digest that covers several texts: regroup by the texts themselves, with the full hash of each."""
-        rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("raw")).select(
-            "doc_id", F.length("raw").cast("long").alias("n_chars"), squeezed(F.col("raw")).alias("text")
-        )
-        rows = rows.withColumns({"batch": F.lit(0), "row_no": F.xxhash64("doc_id", "n_chars")})
-        best = rows.groupBy("text").agg(F.min(_winner()).alias("best"), F.count(F.lit(1)).alias("group_size"))
-        return rows.join(best, "text").select(
-            "doc_id",
-            F.col("best.doc_id").alias("keep_id"),
-            "group_size",
-            (F.struct((-F.col("n_chars")).alias("neg"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "batch", "row_no") == F.col("best")).alias("kept"),
-            sha256(F.col("text")).alias("text_sha256"),
-        )
+ROWS = "doc_id long, n_chars long, digest string, row_no long, batch int"
+ENTRIES = "digest string, best struct<neg: long, no_id: boolean, doc_id: long, batch: int, row_no: long>, members long"
+
+
+def _is_best() -> Column:
+    return (F.col("row_no") == F.col("best.row_no")) & (F.col("batch") == F.col("best.batch"))
+
+
+def _with_heads(rows: DataFrame, entries: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """Rows with their entry: entries with more than 1 / HEADS of the rows are fewer than HEADS and are broadcast."""
+    hot = F.col("members") * HEADS > n_rows
+    heads = entries.filter(hot).select(key, F.lit(True).alias("_hot"))
+    marked = rows.join(F.broadcast(heads), key, "left")
+    own = marked.filter("_hot").drop("_hot").join(F.broadcast(entries.filter(hot)), key)
+    return own.unionByName(marked.filter("_hot IS NULL").drop("_hot").join(entries.filter(~hot), key))
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
     index = LsmDedupIndex(docs.sparkSession)
-    index.ingest(docs)
-    index.compact()
+    index.ingest(docs, RUNS)
     return index.groups(docs)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one a group. Of rows that repeat doc_id, length and squeezed text any one stays.
 
-    Texts move once, to the kept (doc_id, digest); only if such pairs repeat are they ranked as well."""
-    groups = exact_groups(docs)
-    kept = groups.filter("kept").select(F.col("doc_id").alias("__quire_keep"), F.col("text_sha256").alias("__quire_sha2"))
-    rows = docs.withColumn("__quire_sha", sha256(squeezed(F.col("text"))))
-    out = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__quire_keep")) & (F.col("__quire_sha") == F.col("__quire_sha2")))
-    if not groups.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-        order = Window.partitionBy("__quire_keep", "__quire_sha2").orderBy(F.desc(F.length(F.coalesce("text", F.lit("")))))
-        out = out.withColumn("__quire_n", F.row_number().over(order)).filter("__quire_n = 1")
-    return out.select(*docs.columns)
+    Rows that the filter of the hits rules out stay where they are; only the others' texts move, to meet the rows to drop."""
+    index = LsmDedupIndex(docs.sparkSession)
+    index.ingest(docs, RUNS)
+    keys = ["__quire_id", "__quire_sha", "__quire_n"]
+    groups = index.groups(docs, "n_chars").filter("group_size > 1")
+    groups = materialize(groups.select(F.col("doc_id").alias(keys[0]), F.col("text_sha256").alias(keys[1]), F.col("n_chars").alias(keys[2]), "kept"), "groups")
+    pairs = groups.groupBy(*keys).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    pairs = materialize(pairs.select(*[F.col(k).alias(f"{k}2") for k in keys], "kept", "n"), "pairs")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}2"))
+    rows = docs.withColumns({keys[0]: F.col("doc_id"), keys[1]: sha256(squeezed(F.col("text"))), keys[2]: F.length(F.coalesce("text", F.lit(""))).cast("long")})
+    rows = index.hits()[1].probe(rows, keys[1])
+    out = rows.filter("_held").join(pairs.filter("NOT kept"), same, "left_anti")
+    if not pairs.filter("kept AND n > 1").isEmpty():
+        repeated = nth_of(out.join(pairs.filter("kept AND n > 1"), same, "left_semi"), keys, "__quire_nth").filter("__quire_nth = 1").drop("__quire_nth")
+        out = out.join(pairs.filter("kept AND n > 1"), same, "left_anti").unionByName(repeated)
+    return rows.filter("NOT _held").select(*docs.columns).unionByName(out.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
