@@ -1,11 +1,18 @@
-"""Corpus pipeline: toxic documents go, copies go, near copies go, sources are mixed, sequences are packed."""
+"""Corpus pipeline: toxic documents go, copies go, near copies go, sources are mixed, sequences are packed.
+
+Stages take the columns of documents, and any others, as they come. Defined results, by stage: null and empty texts are
+not toxic, are copies of each other, have fingerprint zero, are mixed with size 0 (never repeated beyond whole
+epochs) and pack as the end id alone; null ids and sources are kept as they are; fully repeated rows are copies, so one
+stays; an empty table gives an empty result of every stage. What a stage writes on its way is deleted when its result
+is written, and the result when the next stage's is.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import exact_dedup, mixing, packing, simhash, toxicity
-from quire.runtime import shared_path
+from quire.runtime import discard, scratch, shared_path
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +50,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            discard(last)
+        last = path
     return docs
 
 

@@ -25,10 +25,11 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.runtime import materialize, ship_code, spread
+from quire.llm._ranks import nth_of
+from quire.runtime import materialize, release, ship_code, spread
 
 SHINGLE, SEED, RADIUS, SEGMENTS = 3, 42, 2, 5
 SPLIT, PAIRWISE, BLOCK = 1000, 1500, 65536
@@ -208,7 +209,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
-        sides = both(edges)
+        old, sides = edges, both(edges)
         low = sides.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
         low = materialize(low, "large-star")
         large = sides.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
@@ -216,6 +217,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = materialize(large.groupBy("a").agg(F.min("b").alias("low")), "small-star")
         small = large.join(least, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         edges = materialize(small.unionByName(least.select("a", F.col("low").alias("b"))).filter("a <> b").distinct(), "edges")
+        release(old, low, large, least)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == seen:
             return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
@@ -243,14 +245,13 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component: smallest doc_id, then any text; of fully repeated rows one.
 
     Texts move once, to the chosen (doc_id, hash); only if such pairs repeat are they ranked as well."""
-    rows = groups(docs)
+    rows = materialize(groups(docs), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("head")
     heads = rows.groupBy("root").agg(first).select(F.col("head.doc_id").alias("__quire_head"), F.col("head.text_hash").alias("__quire_hash"))
     heads = materialize(heads.distinct(), "heads")
     out = docs.withColumn("__quire_own", F.xxhash64("text")).join(heads, F.col("doc_id").eqNullSafe(F.col("__quire_head")) & (F.col("__quire_own") == F.col("__quire_hash")))
     if not rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-        place = F.row_number().over(Window.partitionBy("__quire_head", "__quire_hash").orderBy("__quire_own"))
-        out = out.withColumn("__quire_n", place).filter("__quire_n = 1")
+        out = nth_of(out, ["__quire_head", "__quire_hash"], "__quire_n").filter("__quire_n = 1")
     return out.select(*docs.columns)
 
 

@@ -1,7 +1,9 @@
 import random
+from pathlib import Path
 
 import corpus_pipeline
-from tests.llm.helpers import DOCS, words
+from quire.runtime import shared_dir
+from tests.llm.helpers import CLASHING, DOCS, corpus, wide, words
 from tests.llm.test_toxicity import labelled
 
 
@@ -38,3 +40,25 @@ def test_run(spark, tmp_path):
     spark.createDataFrame(docs, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    spark.createDataFrame([], CLASHING).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    odd = wide([r for r in corpus(5) if r[0] is None or r[0] < 60 or r[0] >= 300]) + [(None,) * 13]
+    spark.createDataFrame(odd, CLASHING).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    for name in ("none", "odd"):
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd"))
+    assert got.count() > 0 and got.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 2048
+
+
+def test_intermediate_tables_are_deleted(spark, tmp_path):
+    docs, labels = labelled(9, 150)
+    spark.createDataFrame(docs, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "quire"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    left = set(folder.iterdir()) - before
+    assert len(left) == 1 and got.count() > 0
