@@ -6,8 +6,9 @@ component (complemented where that is negative), with carry-save adders on whole
 out as slices too. The top rows are selected from the most significant slice downward; rows still tied at
 the boundary are resolved by their smaller identifier, and scores of the selected rows are exact integers.
 
-Queries and rows meet in blocks, (rows / BLOCK) x (queries / QUERY_BLOCK) tasks of bounded size; each
-yields k rows a query at most. Defined results: vectors that are null or hold null, NaN or infinite
+Rows are dealt into blocks of ``BLOCK``; the index of a block is built once and written to the shared folder, as are
+the queries in blocks of ``QUERY_BLOCK``. The pairs of block numbers are dealt out by row block and ``QUERY_GROUP`` query blocks: a task loads an index
+and streams query blocks past it, so no vector is shuffled more than once. A pair yields k rows a query at most. Defined results: vectors that are null or hold null, NaN or infinite
 components take no part; a vector meets only vectors of its own length; a query with fewer than k
 candidates gets all; rows that repeat a vec_id are candidates of their own, a query skips only its own row;
 a null vec_id is never a query and sorts last among ties; empty tables give empty results. Quantised
@@ -16,6 +17,8 @@ components and scores must fit 64-bit integers.
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.runtime import materialize, ship_code, spread
+from quire.runtime import materialize, open_store, shared_path, ship_code, spread
 
-K, SCALE, BLOCK, QUERY_BLOCK = 20, 64.0, 4096, 1024
+K, SCALE, BLOCK, QUERY_BLOCK, QUERY_GROUP = 20, 64.0, 4096, 1024, 64
 
 
 class BitSlicedIndex:
     """Bit slices of the columns of an integer matrix; a row is a bit."""
 
+    FIELDS = ("rows", "low", "bits", "first", "slices", "alive")
+
     def __init__(self, rows: np.ndarray):
         self.rows, self.n = rows, len(rows)
         self.low = rows.min(axis=0)
@@ -50,6 +55,19 @@ class BitSlicedIndex:
         alive[: len(packed)] = packed
         self.alive = alive.view(np.uint64)
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        """What an index is made of, for writing; complements are made again on reading."""
+        return {name: getattr(self, name) for name in self.FIELDS} | {"slices": self.slices[: len(self.slices) // 2]}
+
+    @classmethod
+    def of(cls, arrays: dict[str, np.ndarray]) -> BitSlicedIndex:
+        out = cls.__new__(cls)
+        for name in cls.FIELDS:
+            setattr(out, name, arrays[name])
+        out.n, out.words = len(out.rows), -(-len(out.rows) // 64)
+        out.slices = np.concatenate([out.slices, ~out.slices])
+        return out
+
     def add(self, query: np.ndarray) -> list[np.ndarray]:
         """Slices, from the lowest, of the inner products up to a constant that all rows share."""
         levels: dict[int, list[int]] = {}
@@ -106,71 +124,99 @@ def quantised(vector: Column, scale: float) -> Column:
     return F.when(vector.isNotNull() & finite, F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double"))))
 
 
-def _search(k: int):
-    schema = pa.schema([("query_no", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+def _grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, pa.Table]]:
+    """Runs of rows with equal keys, which may span batches."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        values = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.any([v[1:] != v[:-1] for v in values], axis=0)
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            own = tuple(int(v[a]) for v in values)
+            if held and own != key:
+                yield key, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = own
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield key, pa.Table.from_batches(held).combine_chunks()
+
+
+def _write_blocks(root: str, indexed: bool):
+    """Writes each block's index, or its queries, as a file of its own; a retried task leaves a file that no row names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = open_store(root)
+        store.create_dir(folder, recursive=True)
+        for (dim, block), table in _grouped(batches, "dim", "block"):
+            values = table.column("v").combine_chunks().flatten().to_numpy().reshape(table.num_rows, dim)
+            ids = table.column("vec_id")
+            known = ids.is_valid().to_numpy()
+            arrays = BitSlicedIndex(values).arrays() if indexed else {"rows": values}
+            buffer, name = io.BytesIO(), f"{uuid.uuid4().hex}.npz"
+            np.savez(buffer, ids=ids.fill_null(0).to_numpy(), known=known, numbers=table.column("row_no").to_numpy(), **arrays)
+            with store.open_output_stream(f"{folder}/{name}", compression=None) as file:
+                file.write(buffer.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int64()), pa.array([block], pa.int64()), pa.array([name])], names=["dim", "block", "file"])
+
+    return run
+
 
-    def one(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(rows).combine_chunks()
-        is_query = table.column("is_query").to_numpy(zero_copy_only=False)
-        if is_query.all() or not is_query.any():
-            return
-        ids = table.column("vec_id")
-        numbers = table.column("row_no").to_numpy()
-        values = table.column("v").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
-        own = np.flatnonzero(~is_query)
-        index = BitSlicedIndex(values[own])
-        place = {int(n): i for i, n in enumerate(numbers[own])}
-        own_ids = ids.take(pa.array(own)).combine_chunks()
-        for at in np.flatnonzero(is_query):
-            found = index.top(values[at], k, place.get(int(numbers[at])))
-            scores = index.rows[found] @ values[at]
-            n = len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, numbers[at])), pa.array([ids[int(at)].as_py()] * n, pa.int64()), own_ids.take(pa.array(found)), pa.array(scores)], schema=schema)
+def _load(root: str, name: str) -> dict[str, np.ndarray]:
+    store, folder = open_store(root)
+    with store.open_input_stream(f"{folder}/{name}", compression=None) as file:
+        return dict(np.load(io.BytesIO(file.read())))
+
+
+def _search(root: str, k: int):
+    schema = pa.schema([("query_no", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
+        held, index, data = None, None, {}
         for batch in batches:
-            keys = batch.column("block").to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if held and keys[a] != key:
-                    yield from one(held)
-                    held = []
-                key = keys[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from one(held)
+            for rows, queries in zip(batch.column("rows").to_pylist(), batch.column("queries").to_pylist(), strict=True):
+                if rows != held:
+                    held, data = rows, _load(root, rows)
+                    index = BitSlicedIndex.of(data)
+                    ids = pa.array(data["ids"], mask=~data["known"])
+                    place = {int(n): i for i, n in enumerate(data["numbers"])}
+                asked = _load(root, queries)
+                for vector, number, query_id, known in zip(asked["rows"], asked["numbers"].tolist(), asked["ids"].tolist(), asked["known"], strict=True):
+                    found = index.top(vector, k, place.get(number))
+                    n = len(found)
+                    columns = [pa.array(np.full(n, number)), pa.array([query_id if known else None] * n, pa.int64()), ids.take(pa.array(found)), pa.array(index.rows[found] @ vector)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
+def write_index(rows: DataFrame, root: str, size: int, indexed: bool) -> DataFrame:
+    """(dim, block, file) of the blocks of about ``size`` rows, at least eight for tables that fill a thousand rows each."""
+    sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select(F.col("dim").alias("_dim"), F.greatest(F.ceil(F.col("n") / size), F.least(F.lit(8 if indexed else 1), F.ceil(F.col("n") / 1024))).alias("blocks"))
+    placed = rows.join(sizes, F.col("dim") == F.col("_dim")).withColumn("block", F.pmod(F.xxhash64("row_no", "blocks"), F.col("blocks")))
+    dealt = placed.select("dim", "block", "vec_id", "row_no", "v").repartition("dim", "block").sortWithinPartitions("dim", "block", F.col("vec_id").asc_nulls_last(), "row_no")
+    return materialize(dealt.mapInArrow(_write_blocks(root, indexed), "dim long, block long, file string"), "blocks")
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each query among all rows but its own.
 
     ``vectors`` has vec_id and embedding; ``is_query`` may use its columns."""
     ship_code(vectors.sparkSession)
+    root = shared_path(vectors.sparkSession, "slices")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), quantised(F.col("embedding"), scale).alias("v"))
     rows = rows.filter("v is not null and size(v) > 0").withColumns({"row_no": F.monotonically_increasing_id(), "dim": F.size("v")})
     rows = materialize(rows, "vectors")
-    sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("q"))
-    parts = materialize(
-        sizes.select(
-            F.col("dim").alias("_dim"),
-            F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.lit(8), F.ceil(F.col("n") / 1024))).alias("row_blocks"),
-            F.ceil(F.col("q") / QUERY_BLOCK).alias("query_blocks"),
-        ).filter("query_blocks > 0"),
-        "blocks",
-    )
-    rows = rows.join(parts, F.col("dim") == F.col("_dim"))
-    place = lambda n: F.pmod(F.xxhash64("row_no", n), n)
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    both = lambda r, q: F.concat_ws("/", "dim", r, q).alias("block")
-    candidates = rows.withColumns({"r": place(F.col("row_blocks"))}).withColumn("q", upto(F.col("query_blocks"))).select(both("r", "q"), F.lit(False).alias("is_query"), "vec_id", "row_no", "v")
-    asked = rows.filter("is_query").withColumns({"q": place(F.col("query_blocks"))}).withColumn("r", upto(F.col("row_blocks"))).select(both("r", "q"), "is_query", "vec_id", "row_no", "v")
-    dealt = candidates.unionByName(asked).repartition("block").sortWithinPartitions("block", F.col("vec_id").asc_nulls_last(), "row_no")
-    found = dealt.mapInArrow(_search(k), "query_no long, query_id long, vec_id long, score long")
+    index = write_index(rows, root, BLOCK, True).select("dim", F.col("block").alias("r"), F.col("file").alias("rows"))
+    asked = write_index(rows.filter("is_query"), root, QUERY_BLOCK, False).select("dim", F.col("block").alias("q"), F.col("file").alias("queries"))
+    context = vectors.sparkSession.sparkContext
+    tasks = max(4 * context.defaultParallelism, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = index.join(asked, "dim").repartition(tasks, "dim", "r", F.floor(F.col("q") / QUERY_GROUP))  # numbers of blocks, not rows
+    pairs = pairs.sortWithinPartitions("dim", "r", "q")
+    found = pairs.mapInArrow(_search(root, k), "query_no long, query_id long, vec_id long, score long")
     order = Window.partitionBy("query_no").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")

@@ -47,3 +47,21 @@ def test_sums_of_slices_are_exact():
 
 def test_empty(spark):
     assert m.search(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_an_index_is_built_once_for_each_row_block(spark, monkeypatch):
+    """Blocks of rows and of queries are written once each, however many pairs of them are searched."""
+    monkeypatch.setattr(m, "BLOCK", 16)
+    monkeypatch.setattr(m, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(90)]
+    made = []
+    write = m.write_index
+    monkeypatch.setattr(m, "write_index", lambda *a: made.append(write(*a)) or made[-1])
+    got = m.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, 3).collect()
+    index, asked = (x.collect() for x in made)
+    assert len(index) == len({r.block for r in index}) == 6 and len(asked) == len({r.block for r in asked}) > 5
+    v = {i: np.floor(64 * np.array(x)).astype(int) for i, x in rows}
+    for q in range(0, 90, 5):
+        want = sorted(((-int(v[q] @ v[i]), i) for i in v if i != q))[:3]
+        assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
