@@ -1,21 +1,25 @@
 """WARC archives with revisit records, found again through a two-level capture index.
 
-Records are gzip members in archives that tasks write to a shared folder; of records with equal payloads the
-one with the smallest page_id is a response, the others are revisits that refer to it. The index has two
+Records are gzip members in archives that tasks write to a shared folder, behind a warcinfo record each; of records with
+equal payloads the one with the smallest page_id is a response, the others are revisits that refer to it. The index has two
 levels: capture lines sorted by reversed-host URL key in compressed blocks of ``BLOCK_LINES``, and a
-sparse directory with the first key of every block. A look-up searches the directory by bisection, reads
-the one range that can hold the key, searches the block's lines by bisection and range-reads the records.
+sparse directory with the first and last key of every block, sorted, in a file for each range of keys. What is known of a directory
+file without reading it is its range of keys and how many entries it has: a row for each index task, small enough to send around.
+A look-up bisects those rows, then the directory file by range reads of single entries, reads the blocks that can hold the key,
+bisects their lines and range-reads the records. ``read`` is this look-up for many URLs at once: sorted keys walk
+the directory together, and a block is read once a task.
 
 Archives get unique names and count only if the task that wrote them ends well, so a lost executor leaves
 nothing wrong behind. Defined results: null html is an empty payload, null url an empty key; a null
 page_id never is a response unless no equal payload has an id; rows that repeat page_id and payload get
-the same kind of record; empty tables give empty results; extra columns are ignored.
+the same kind of record, and rows that repeat a page_id records of the same name; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
@@ -27,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.runtime import materialize, shared_path, ship_code, spread
+from quire.runtime import materialize, open_store, shared_path, ship_code, spread
 
 ARCHIVE_BYTES, BLOCK_LINES, MIN_REVISIT_BYTES, DATE = 256 << 20, 3000, 0, "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -68,6 +72,14 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return pack.compress("\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
 
+def info(name: str) -> bytes:
+    """The first record of an archive."""
+    block = b"software: quire\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:archive:{name}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
+
+
 def parse(member: bytes) -> dict:
     """What a record says; a response's payload is checked against its digest."""
     raw = zlib.decompress(member, 31)
@@ -86,13 +98,9 @@ def parse(member: bytes) -> dict:
     return {"page_id": number(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "payload": payload, "payload_bytes": length, "payload_digest": digest, "record_type": kind, "refers_to": number(fields.get("WARC-Refers-To"))}
 
 
-def _open(root: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(root if "://" in root else root.replace("file:/", "file:///", 1) if root.startswith("file:/") else f"file://{root}")
-
-
 def _archives(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _open(root)
+        store, folder = open_store(root)
         store.create_dir(folder, recursive=True)
         out, name, at = None, "", 0
         for batch in batches:
@@ -103,6 +111,9 @@ def _archives(root: str):
                         out.close()
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = store.open_output_stream(f"{folder}/{name}", compression=None)
+                    head = info(name)
+                    out.write(head)
+                    at = len(head)
                 member = record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode("utf-8", "surrogatepass"), refers_to.as_py(), revisit.as_py())
                 out.write(member)
                 rows.append((url_key(url.as_py()), page_id.as_py(), name, at, len(member)))
@@ -116,18 +127,24 @@ def _archives(root: str):
 
 
 def _blocks(root: str):
+    """Writes a task's sorted capture lines as compressed blocks and its part of the directory."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _open(root)
+        store, folder = open_store(root)
         store.create_dir(folder, recursive=True)
-        name, at, out, held, made = f"{uuid.uuid4().hex}.cdx.z", 0, None, [], []
+        name, at, out, held = uuid.uuid4().hex, 0, None, []
+        entries: list[bytes] = []
+        ends: list[str] = []
 
         def flush() -> None:
             nonlocal at, out, held
             if held:
-                out = out or store.open_output_stream(f"{folder}/{name}", compression=None)
+                out = out or store.open_output_stream(f"{folder}/{name}.cdx.z", compression=None)
                 block = zlib.compress("\n".join(held).encode())
                 out.write(block)
-                made.append((held[0].split(" ", 1)[0], held[-1].split(" ", 1)[0], name, at, len(block), len(held)))
+                keys = held[0].split(" ", 1)[0], held[-1].split(" ", 1)[0]
+                entries.append(f"{keys[0]} {keys[1]} {at} {len(block)}".encode())
+                ends[:] = [ends[0] if ends else keys[0], keys[1]]
                 at, held = at + len(block), []
 
         for batch in batches:
@@ -138,12 +155,71 @@ def _blocks(root: str):
         flush()
         if out is not None:
             out.close()
-        if made:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], names=["first_key", "last_key", "path", "at", "size", "lines"])
+            places = [0]
+            with store.open_output_stream(f"{folder}/{name}.dir", compression=None) as file:
+                for entry in entries:
+                    file.write(entry)
+                    places.append(places[-1] + len(entry))
+                file.write(struct.pack(f"<{len(places)}Q", *places))
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (ends[0], ends[1], name, len(entries), places[-1])], names=["first_key", "last_key", "name", "entries", "bytes"])
 
     return run
 
 
+class Directory:
+    """The sparse directory: ranges of keys in memory, entries in files that are searched by range reads."""
+
+    def __init__(self, store: fs.FileSystem, folder: str, ranges: list[tuple[str, str, str, int, int]]):
+        self.store, self.folder, self.ranges = store, folder, sorted(ranges)
+        self.lasts = [r[1] for r in self.ranges]
+        self.name, self.file, self.reads = None, None, 0
+        self.held: tuple[str, int] | None = None
+        self.lines: list[str] = []
+
+    def _entry(self, part: tuple, i: int) -> tuple[str, str, int, int]:
+        """(first key, last key, place and size of the block) of entry ``i``: two range reads."""
+        _, _, name, _, end = part
+        if name != self.name:
+            self.close()
+            self.name, self.file = name, self.store.open_input_file(f"{self.folder}/{name}.dir")
+        a, b = struct.unpack("<2Q", self.file.read_at(16, end + 8 * i))
+        first, last, at, size = self.file.read_at(b - a, a).decode().split(" ")
+        self.reads += 1
+        return first, last, int(at), int(size)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+            self.name = self.file = None
+
+    def _block(self, name: str, at: int, size: int) -> list[str]:
+        if self.held != (name, at):
+            with self.store.open_input_file(f"{self.folder}/{name}.cdx.z") as file:
+                self.lines, self.held = zlib.decompress(file.read_at(size, at)).decode().split("\n"), (name, at)
+            self.keys = [x.split(" ", 1)[0] for x in self.lines]
+        return self.lines
+
+    def parts(self, key: str) -> list[int]:
+        """Which ranges can hold a key; a hot key fills several."""
+        first = bisect_left(self.lasts, key)
+        last = first
+        while last < len(self.ranges) and self.ranges[last][0] <= key:
+            last += 1
+        return [*range(first, last)]
+
+    def find(self, key: str, only: int | None = None) -> Iterator[list[str]]:
+        """The capture lines of a key, split, from all ranges or one."""
+        for part in (self.ranges[i] for i in (self.parts(key) if only is None else [only])):
+            low = bisect_left(range(part[3]), key, key=lambda i, p=part: self._entry(p, i)[1])
+            for i in range(low, part[3]):
+                first, _, at, size = self._entry(part, i)
+                if first > key:
+                    break
+                lines = self._block(part[2], at, size)
+                for line in lines[bisect_left(self.keys, key) : bisect_right(self.keys, key)]:
+                    yield line.split(" ")
+
+
 class CaptureIndex:
     """The archives and both index levels under ``root``."""
 
@@ -164,29 +240,54 @@ class CaptureIndex:
         captures = rows.select("page_id", "url", "html", "refers_to", revisit.alias("revisit")).mapInArrow(_archives(f"{root}/archives"), CAPTURE)
         captures = materialize(captures, "captures")
         ordered = captures.repartitionByRange("key", "page_id", "path", "at").sortWithinPartitions("key", "page_id", "path", "at")
-        directory = ordered.mapInArrow(_blocks(f"{root}/index"), "first_key string, last_key string, path string, at long, size long, lines long")
+        directory = ordered.mapInArrow(_blocks(f"{root}/index"), "first_key string, last_key string, name string, entries long, bytes long")
         return cls(spark, root, materialize(directory, "directory"))
 
-    def captures(self) -> DataFrame:
-        """All capture lines, from the compressed blocks."""
-        root = f"{self.root}/index"
+    def ranges(self) -> list[tuple[str, str, str, int, int]]:
+        """A row for each index task."""
+        return [tuple(r) for r in self.directory.collect()]
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            store, folder = _open(root)
+    def captures(self, urls: DataFrame) -> DataFrame:
+        """The capture lines of the URLs in column ``url``, found through the directory; a URL key counts once."""
+        ranges, root = self.ranges(), f"{self.root}/index"
+
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for path, at, size in zip(*(batch.column(c).to_pylist() for c in ("path", "at", "size")), strict=True):
-                    with store.open_input_file(f"{folder}/{path}") as file:
-                        lines = [x.split(" ") for x in zlib.decompress(file.read_at(size, at)).decode().split("\n")]
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in lines]), pa.array([None if x[1] == "-" else int(x[1]) for x in lines], pa.int64()), pa.array([x[2] for x in lines]), pa.array([int(x[3]) for x in lines]), pa.array([int(x[4]) for x in lines])], names=["key", "page_id", "path", "at", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array([url_key(x.as_py()) for x in batch.column(0)], pa.string())], names=["key"])
 
-        return self.directory.repartition("path", "at").mapInArrow(run, CAPTURE)
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            directory = Directory(*open_store(root), ranges)
+            for batch in batches:
+                found = [(key, part) for key in batch.column(0).to_pylist() for part in directory.parts(key)]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64())], names=["key", "part"])
 
-    def read(self, payload: bool = False) -> DataFrame:
-        """Every record of the archives, by way of the index: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null unless asked for)."""
+        def lines(found: list[list[str]]) -> pa.RecordBatch:
+            key, page_id, path, at, size = zip(*found, strict=True)
+            ids = pa.array([None if x == "-" else int(x) for x in page_id], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(key), ids, pa.array(path), pa.array(map(int, at), pa.int64()), pa.array(map(int, size), pa.int64())], names=["key", "page_id", "path", "at", "size"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            directory, found = Directory(*open_store(root), ranges), []
+            for batch in batches:
+                for key, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for line in directory.find(key, part):
+                        found.append(line)
+                        if len(found) == BLOCK_LINES:
+                            yield lines(found)
+                            found = []
+            if found:
+                yield lines(found)
+            directory.close()
+
+        asked = urls.select(F.col("url").cast("string").alias("url")).mapInArrow(keys, "key string").distinct().mapInArrow(places, "key string, part long")
+        return asked.repartitionByRange("part", "key").sortWithinPartitions("part", "key").mapInArrow(run, CAPTURE)
+
+    def read(self, urls: DataFrame, payload: bool = False) -> DataFrame:
+        """The records of the URLs: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null unless asked for)."""
         root = f"{self.root}/archives"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            store, folder = _open(root)
+            store, folder = open_store(root)
             name, file = None, None
             for batch in batches:
                 rows = []
@@ -204,31 +305,26 @@ class CaptureIndex:
             if file is not None:
                 file.close()
 
-        ranges = self.captures().withColumn("slice", F.floor(F.col("at") / (4 << 20)))
+        ranges = self.captures(urls).withColumn("slice", F.floor(F.col("at") / (4 << 20)))
         dealt = ranges.repartition("path", "slice").sortWithinPartitions("path", "at")
         return dealt.select("path", "at", "size").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
     def lookup(self, url: str) -> list[dict]:
-        """The records of one URL. The sparse directory is read sorted; bisection finds the blocks, then the lines."""
-        key = url_key(url)
-        rows = sorted((r["first_key"], r["last_key"], r["path"], r["at"], r["size"]) for r in self.directory.filter(F.col("first_key") <= key).filter(F.col("last_key") >= key).collect())
-        index, folder = _open(f"{self.root}/index")
-        archives, place = _open(f"{self.root}/archives")
+        """The records of one URL, found on the driver."""
+        directory = Directory(*open_store(f"{self.root}/index"), self.ranges())
+        archives, place = open_store(f"{self.root}/archives")
         out = []
-        for _, _, path, at, size in rows[: bisect_right([r[0] for r in rows], key)]:
-            with index.open_input_file(f"{folder}/{path}") as file:
-                lines = zlib.decompress(file.read_at(size, at)).decode().split("\n")
-            keys = [x.split(" ", 1)[0] for x in lines]
-            for line in lines[bisect_left(keys, key) : bisect_right(keys, key)]:
-                _, _, name, start, length = line.split(" ")
-                with archives.open_input_file(f"{place}/{name}") as file:
-                    out.append(parse(file.read_at(int(length), int(start))))
+        for _, _, name, start, length in directory.find(url_key(url)):
+            with archives.open_input_file(f"{place}/{name}") as file:
+                out.append(parse(file.read_at(int(length), int(start))))
+        directory.close()
         return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = CaptureIndex.write(spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")))
-    return index.read().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    index = CaptureIndex.write(spread(pages.select("page_id", "url", "html")))
+    return index.read(pages.select("url")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """

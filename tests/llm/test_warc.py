@@ -30,9 +30,9 @@ def brute():
 
 def test_records_survive_the_round_trip(spark):
     index = m.CaptureIndex.write(frame(spark))
-    got = [tuple(r) for r in index.read().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
+    got = [tuple(r) for r in index.read(frame(spark)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
     assert sorted(got, key=str) == sorted(brute(), key=str)
-    full = {r.page_id: bytes(r.payload) for r in index.read(payload=True).filter("record_type = 'response'").collect()}
+    full = {r.page_id: bytes(r.payload) for r in index.read(frame(spark), payload=True).filter("record_type = 'response'").collect()}
     assert full[5] == b"x" * 300_000 and full[7] == b"\r\n\r\nWARC/1.1" and full[2] == "<p>öther</p>".encode()
 
 
@@ -40,21 +40,36 @@ def test_lookup_bisects_directory_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(m, "BLOCK_LINES", 3)
     rows = [(i, f"https://h{i % 7}.example.com/p{i // 3}", f"<p>{i}</p>") for i in range(60)]
     index = m.CaptureIndex.write(frame(spark, rows))
-    assert index.directory.count() >= 20
+    assert sum(r.entries for r in index.directory.collect()) >= 20
     for url in {u for _, u, _ in rows}:
         assert sorted(r["page_id"] for r in index.lookup(url)) == sorted(i for i, u, _ in rows if u == url)
     assert index.lookup("https://absent.example.com/") == []
 
 
+def test_directory_is_bisected_by_range_reads(spark, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK_LINES", 2)
+    rows = [(i, f"https://h.example.com/p{i:04d}", "x") for i in range(600)] + [(1000 + i, "https://h.example.com/hot", str(i)) for i in range(9)]
+    index = m.CaptureIndex.write(frame(spark, rows).coalesce(1))
+    directory = m.Directory(*m.open_store(f"{index.root}/index"), index.ranges())
+    entries = sum(r[3] for r in index.ranges())
+    assert entries >= 300
+    for i in (0, 123, 599):
+        directory.reads = 0
+        assert [int(x[1]) for x in directory.find(m.url_key(f"https://h.example.com/p{i:04d}"))] == [i]
+        assert directory.reads <= 2 * entries.bit_length()
+    assert sorted(int(x[1]) for x in directory.find(m.url_key("https://h.example.com/hot"))) == [*range(1000, 1009)]
+    assert sorted(r.page_id for r in index.captures(frame(spark, rows[590:605])).collect()) == [*range(590, 600), *range(1000, 1009)]
+
+
 def test_archives_rotate(spark, monkeypatch):
     monkeypatch.setattr(m, "ARCHIVE_BYTES", 500)
     rows = [(i, f"https://e.example/{i}", hashlib.sha256(str(i).encode()).hexdigest() * 4) for i in range(40)]
     index = m.CaptureIndex.write(frame(spark, rows).coalesce(1))
-    assert index.read().count() == 40 and index.captures().select("path").distinct().count() > 5
+    assert index.read(frame(spark, rows)).count() == 40 and index.captures(frame(spark, rows)).select("path").distinct().count() > 5
 
 
 def test_small_payloads_may_stay_responses(spark):
-    got = m.CaptureIndex.write(frame(spark), min_bytes=12).read().collect()
+    got = m.CaptureIndex.write(frame(spark), min_bytes=12).read(frame(spark)).collect()
     assert {r.record_type for r in got} == {"response"}
 
 
@@ -65,4 +80,4 @@ def test_keys_sort_by_reversed_host():
 
 def test_empty(spark):
     index = m.CaptureIndex.write(frame(spark, []))
-    assert index.read().count() == 0 and index.lookup("https://x.example/") == []
+    assert index.read(frame(spark, [])).count() == 0 and index.lookup("https://x.example/") == []
