@@ -1,13 +1,15 @@
 """License scans: winnowed template fingerprints pick candidates, banded alignment measures them.
 
 Templates are split into words; hashes of ``SHINGLE`` words are winnowed (the smallest in every window of
-``WINDOW``) into an inverted index, some 20,000 entries for the fixed templates below: one-line notices, headers
-and whole license texts. A document's
+``WINDOW``) into an inverted index, some 13,000 entries for the fixed templates below: one-line notices, identifier tags,
+headers and whole license texts. Templates under ``SHORT`` words have all their shingles of ``SHORT_SHINGLE`` words in it, as
+one changed word leaves no longer one whole. A document's
 shingles are looked up in it; only runs of words that occur in some template can hit. Hits of a template
-that lie close form a candidate, which a banded semi-global alignment of words scores: coverage is the
-share of template words matched in order, and the span runs from the first to the last matched word.
+on near diagonals form a candidate, which a banded semi-global alignment of words scores: coverage is the
+share of template words matched in order, and the span runs from the first to the last matched word. What a match
+covers is masked and the remaining hits go on, so each of several copies is reported, however close.
 
-A match has coverage of 0.8 or more; one inside the span of a match with more matched words is dropped.
+A match has coverage of 0.8 or more, an identifier tag all its words; one inside the span of a match with more matched words is dropped.
 Defined results: null, empty and blank texts have no match; a document without matches gives one row with
 null license; rows that repeat a doc_id are scanned each; equal matches sort by start, then name; empty
 tables give empty results; extra columns are ignored. Texts are scanned whole, whatever their length.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from quire.llm._license_bodies import BODIES
 from quire.runtime import ship_code, spread
 
-SHINGLE, WINDOW, COVERAGE, BAND = 5, 3, 0.8, 12
+SHINGLE, WINDOW, COVERAGE, BAND, SHORT, SHORT_SHINGLE = 5, 3, 0.8, 12, 12, 3
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
@@ -123,7 +125,8 @@ _NAMES = {
     "EPL-1.0": ("the Eclipse Public License, Version 1.0", "the Eclipse Public License 1.0"),
     "BSL-1.0": ("the Boost Software License, Version 1.0",),
     "CC0-1.0": ("CC0 1.0 Universal", "the CC0 1.0 license", "the Creative Commons CC0 1.0 Universal"),
-} | {
+}
+_NAMES = {license_id: (*names, *(n.removeprefix("the ") for n in names if n.startswith("the "))) for license_id, names in _NAMES.items()} | {
     f"{short}-{v if '.' in v else v + '.0'}{suffix}": tuple(
         f"the {name}{later}" for later in laters for name in (f"GNU {long} License, version {v}", f"GNU {long} License v{v}", f"GNU {short} version {v}", f"GNU {short} v{v}", f"{short} version {v}", f"{short} v{v}")
     )
@@ -139,14 +142,20 @@ _NAMES |= {
 }
 
 
+#: Identifiers of licenses in tags; names with versions above are added.
+_TAGS = "MIT MIT-0 ISC Zlib Unlicense WTFPL PostgreSQL NCSA 0BSD BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 CDDL-1.0 CDDL-1.1 CC0-1.0 EPL-1.0 EPL-2.0 EUPL-1.2 MPL-1.1 MPL-2.0 OFL-1.1 Python-2.0".split()
+_TAGS += [f"{family}-{v}{suffix}" for family, versions in (("GPL", ("1.0", "2.0", "3.0")), ("LGPL", ("2.0", "2.1", "3.0")), ("AGPL", ("3.0",)), ("GFDL", ("1.2", "1.3"))) for v in versions for suffix in ("", "-only", "-or-later")]
+_TAGS += [f"CC-{kind}-{v}" for kind in _CC for v in ("1.0", "2.0", "2.5", "3.0", "4.0")]
+
+
 def _lines() -> dict[str, str]:
-    out: dict[str, str] = {}
+    out: dict[str, str] = {f"{tag}-tag": f"SPDX-License-Identifier: {tag}" for tag in _TAGS}
     taken = {tuple(tokens(text)) for text in TEMPLATES.values()}
     for license_id, names in _NAMES.items():
         for name in names:
             for verb in ("Licensed", "This work is licensed") if len(tokens(name)) > 5 else ("Licensed", "Released", "Distributed", "Available"):
                 own = tuple(tokens(line := f"{verb} under {name}"))
-                if len(own) >= SHINGLE and own not in taken:
+                if len(own) > SHORT_SHINGLE and own not in taken:
                     taken.add(own)
                     out[f"{license_id}-line" if f"{license_id}-line" not in TEMPLATES | out else f"{license_id}-line-{sum(x.startswith(f'{license_id}-line') for x in TEMPLATES | out) + 1}"] = line
     return out
@@ -170,35 +179,55 @@ def winnow(hashes: list[int]) -> set[int]:
     return {min(range(at, at + WINDOW), key=lambda i: (hashes[i], -i)) for at in range(len(hashes) - WINDOW + 1)}
 
 
+@cache
+def _short_heads() -> frozenset[tuple[str, str]]:
+    """The first two words of the shingles of short templates: a cheap test before a hash."""
+    out = set()
+    for text in TEMPLATES.values():
+        own = tokens(text)
+        if len(own) < SHORT:
+            out |= set(zip(own, own[1:], strict=False))
+    return frozenset(out)
+
+
 @cache
 def index() -> tuple[dict[str, list[str]], dict[int, list[tuple[str, int]]], frozenset[str], dict[str, Counter]]:
     """Words of the templates, the inverted index hash -> (template, place), their vocabulary, and how often each holds a word."""
     words = {name: tokens(text) for name, text in TEMPLATES.items()}
     postings: dict[int, list[tuple[str, int]]] = defaultdict(list)
     for name, own in words.items():
-        hashes = [shingle_hash(own[i : i + SHINGLE]) for i in range(len(own) - SHINGLE + 1)]
-        for place in winnow(hashes):
+        width = SHORT_SHINGLE if len(own) < SHORT else SHINGLE
+        hashes = [shingle_hash(own[i : i + width]) for i in range(len(own) - width + 1)]
+        for place in range(len(hashes)) if len(own) < SHORT else winnow(hashes):
             postings[hashes[place]].append((name, place))
     return words, dict(postings), frozenset(w for own in words.values() for w in own), {name: Counter(own) for name, own in words.items()}
 
 
+def drift(length: int) -> int:
+    """How far a copy may stray from its diagonal: BAND words and a tenth of the template, but less than the next copy is away."""
+    return min(BAND + length // 10, max(2, length // 2))
+
+
+def needed(name: str, length: int) -> float:
+    return length if name.endswith("-tag") else COVERAGE * length
+
+
 @lru_cache(maxsize=256)
 def align(template: tuple[str, ...], region: tuple[str, ...], shift: int) -> tuple[int, int, int]:
     """(matched words, first and last matched word of the region): banded alignment, free ends in the region.
 
-    ``shift`` is where in the region the template is expected to begin; the band allows BAND words (and a
-    tenth of the template) of drift around that diagonal. A match scores 2, a gap or a mismatch -1. A cell is one
+    ``shift`` is where in the region the template is expected to begin; the band allows ``drift`` words around that diagonal. A match scores 2, a gap or a mismatch -1. A cell is one
     number, score, matched words, first and last matched word from the highest bit on (14 bits each but the score)."""
-    half, gap, none = BAND + len(template) // 10, 1 << 42, -(1 << 62)
+    half, gap, none = drift(len(template)), 1 << 42, -(1 << 62)
     codes: dict[str, int] = {}
     own = np.array([codes.setdefault(w, len(codes)) for w in region], dtype=np.int64)
     at = np.arange(len(region) + 1)
     before = np.full(len(region) + 1, none)
-    before[max(0, shift - half) : max(0, shift + half + 1)] = 1 << 57
+    before[max(0, shift - half) : max(1, shift + half + 1)] = 1 << 57
     for i, word in enumerate(template, 1):
-        low, high = max(0, i + shift - half), min(len(region), i + shift + half)
-        if low > high:
-            return 0, -1, -1
+        low, high = max(0, i + shift - half), max(0, min(len(region), i + shift + half))
+        if low > high:  # the region ends inside the template
+            break
         row = before[low : high + 1] - gap
         start = max(low, 1)
         diagonal = before[start - 1 : high] - gap
@@ -209,9 +238,9 @@ def align(template: tuple[str, ...], region: tuple[str, ...], shift: int) -> tup
             first = ends >> 14
             diagonal[same] = cell - ends + 2 * gap + (1 << 28) + (np.where(first > 0, first, place) << 14) + place
         np.maximum(row[start - low :], diagonal, out=row[start - low :])
-        drift = at[: high - low + 1] * gap  # a gap in the template: the running maximum less the way to it
+        way = at[: high - low + 1] * gap  # a gap in the template: the running maximum less the way to it
         before = np.full(len(region) + 1, none)
-        before[low : high + 1] = np.maximum.accumulate(row + drift) - drift
+        before[low : high + 1] = np.maximum.accumulate(row + way) - way
     best = int(before.max())
     if best < 0:
         return 0, -1, -1
@@ -227,9 +256,12 @@ def matches(text: str | None) -> list[tuple[str, float, int, int, int]]:
         found = list(WORD.finditer(low))
     words = [m.group() for m in found]
     hits: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    run = 0
+    run, heads = 0, _short_heads()
     for at, word in enumerate(words):
         run = run + 1 if word in vocabulary else 0
+        if run >= SHORT_SHINGLE and (words[at - 2], words[at - 1]) in heads:
+            for name, place in postings.get(shingle_hash(words[at - SHORT_SHINGLE + 1 : at + 1]), ()):
+                hits[name].append((at - SHORT_SHINGLE + 1 - place, at))
         if run >= SHINGLE:
             for name, place in postings.get(shingle_hash(words[at - SHINGLE + 1 : at + 1]), ()):
                 hits[name].append((at - SHINGLE + 1 - place, at))
@@ -237,25 +269,30 @@ def matches(text: str | None) -> list[tuple[str, float, int, int, int]]:
     known = list(accumulate((w in vocabulary for w in words), initial=0)) if hits else []
     for name, own in hits.items():
         template = templates[name]
-        clusters: list[list[int]] = []
-        for begin, _ in sorted(own):
-            if clusters and begin - clusters[-1][0] <= BAND + len(template) // 10:
-                clusters[-1].append(begin)
-            else:
-                clusters.append([begin])
-        for begins in clusters:
-            begin = begins[len(begins) // 2]
-            margin = BAND + len(template) // 10
-            low_end = max(0, begin - margin)
-            high_end = max(low_end, min(len(words), begin + len(template) + margin))
-            if known[high_end] - known[low_end] < COVERAGE * len(template):  # too few words of any template
+        least, margin = needed(name, len(template)), drift(len(template))
+        own.sort()
+        at, done = 0, -1  # the next hit, and the last word that a match covers
+        while at < len(own):
+            if own[at][1] <= done:
+                at += 1
                 continue
-            region = tuple(words[low_end:high_end])
-            if sum((Counter(region) & bags[name]).values()) < COVERAGE * len(template):  # no alignment matches more
-                continue
-            count, first, last = align(tuple(template), region, begin - low_end)
-            if count >= COVERAGE * len(template):
+            end = at + 1
+            while end < len(own) and own[end][0] - own[at][0] <= margin:
+                end += 1
+            begin = own[(at + end - 1) // 2][0]
+            low_end = max(done + 1, begin - margin, 0)
+            high_end = max(low_end, min(len(words), begin + len(template) + margin))
+            count = 0
+            # too few words of any template, or of this one, leave no alignment that matches enough
+            if known[high_end] - known[low_end] >= least:
+                region = tuple(words[low_end:high_end])
+                if sum((Counter(region) & bags[name]).values()) >= least:
+                    count, first, last = align(tuple(template), region, begin - low_end)
+            if count and count >= least:
                 out.append((name, count / len(template), count, found[low_end + first].start(), found[low_end + last].end()))
+                done = low_end + last
+            else:
+                at = (at + end - 1) // 2 + 1
     out.sort(key=lambda m: (-m[2], -m[1], m[0], m[3]))
     kept: list[tuple[str, float, int, int, int]] = []
     for m in out:

@@ -26,6 +26,7 @@ def test_every_template_is_found_with_its_span(name):
         ("licensed under the GNU Affero General Public License v3 or later", "AGPL-3.0-or-later"),
         ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "CC-BY-NC-ND-4.0"),
         ("Distributed under the BSD 3-Clause License", "BSD-3-Clause"),
+        ("Released under MIT License", "MIT"),
     ],
 )
 def test_notices_as_documents_write_them(line, name):
@@ -67,6 +68,62 @@ def test_matches_agree_with_a_plain_alignment():
         assert m.align(template, tuple(region), 0)[0] == best[-1][-1]
 
 
+@pytest.mark.parametrize("n", [1, 2, 6, 25])
+@pytest.mark.parametrize("name", ["MIT-line", "Apache-2.0-line", "Unlicense", "ISC"])
+def test_every_one_of_several_copies_is_reported(name, n):
+    got = m.matches((m.TEMPLATES[name] + ". ") * n)
+    assert [g[0] for g in got] == [name] * n and len({g[3] for g in got}) == n
+
+
+def test_one_changed_word_leaves_a_short_notice_and_tags_are_exact():
+    for word in range(5):
+        own = m.TEMPLATES["MIT-line"].split()
+        own[word] = "other"
+        if word != 2:  # all shingles of three words hold the middle one
+            assert len(m.matches("some text " + " ".join(own) + " and more")) == 1
+    text = "// SPDX-License-Identifier: GPL-2.0-or-later\n# SPDX-License-Identifier: MIT\n; SPDX-License-Identifier: Nothing-9.9"
+    assert [g[0] for g in m.matches(text)] == ["GPL-2.0-or-later-tag", "MIT-tag"]
+
+
+def test_matches_agree_with_brute_force_over_all_places(monkeypatch):
+    """Whatever matches some stretch of a text is found, and only that: templates against every start, without index or band."""
+    rng = random.Random(6)
+    vocabulary = [words(rng, 1) for _ in range(60)]
+    templates = {f"t{i}": " ".join(rng.sample(vocabulary, n)) for i, n in enumerate([5, 8, 11, 14, 30, 60])}
+    monkeypatch.setattr(m, "TEMPLATES", templates)
+    for cached in (m.index, m._short_heads, m.align):
+        cached.cache_clear()
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b, 1):
+                new.append(max(row[j], new[-1], row[j - 1] + (x == y)))
+            row = new
+        return row[-1]
+
+    for _ in range(60):
+        text, planted = [], set()
+        for _ in range(rng.randint(1, 4)):
+            text += [words(rng, 1) for _ in range(rng.randint(0, 15))]
+            name = rng.choice(list(templates))
+            own = templates[name].split()
+            if rng.random() < 0.7 and len(own) > 8:
+                own.pop(rng.randrange(len(own)))
+            text += own
+            planted.add(name)
+        got = m.matches(" ".join(text))
+        brute = set()
+        for name, template in templates.items():
+            own = template.split()
+            if any(longest(own, text[i : i + len(own) + 2]) >= m.COVERAGE * len(own) for i in range(len(text))):
+                brute.add(name)
+        assert {g[0] for g in got} == brute >= planted
+    for cached in (m.index, m._short_heads, m.align):
+        cached.cache_clear()
+
+
 def test_several_copies_and_odd_case():
     text = "İ " + m.TEMPLATES["MIT-line"].upper() + ". " + "x " * 60 + m.TEMPLATES["MIT-line"]
     got = m.matches(text)
