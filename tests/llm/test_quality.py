@@ -48,7 +48,23 @@ def test_class_prior_of_a_mixture():
     positive = rng.normal(2, 1, 4000)
     for share in (0.3, 0.6, 0.9):
         u = np.concatenate([rng.normal(2, 1, int(8000 * share)), rng.normal(-4, 1, int(8000 * (1 - share)))])
-        assert abs(m.class_prior(positive, u) - share) < 0.06
+        passed = (u >= m.thresholds(positive)[:, None]).sum(axis=1)
+        assert abs(m.class_prior(positive, passed, len(u)) - share) < 0.06
+
+
+def test_counts_cover_all_rows_and_reruns_agree(spark):
+    docs, labels = labelled(3, 300)
+    frame = spark.createDataFrame(docs, DOCS)
+    rows = m.described(frame)
+    x = np.array([m.statistics(t) for _, t, *_ in docs])
+    mean, scale = m.moments(rows)
+    assert np.allclose(mean, x.mean(axis=0), rtol=1e-6) and np.allclose(scale, np.maximum(x.std(axis=0), 1e-3), rtol=1e-6)
+    bounds = np.quantile(x[:, 0], [0.1, 0.5, 0.9])
+    passed, n = m.passing(rows.repartition(5), lambda v: v[:, 0], bounds)
+    assert n == 300 and passed.tolist() == (x[:, 0] >= bounds[:, None]).sum(axis=1).tolist()
+    marks = spark.createDataFrame(labels, LABELS)
+    a, b = ({r.doc_id: r.score for r in m.quality(f, marks).collect()} for f in (frame, frame.repartition(7)))
+    assert a == b
 
 
 def test_without_positives_and_empty(spark):
