@@ -11,12 +11,12 @@ features of a logistic score; no feature counts words outside their clause.
 
 The insult lexicon holds fixed seed words and stems learned from labelled documents: words and word prefixes found in
 ``MIN_SUPPORT`` toxic documents or more whose log odds stay high after a confidence margin. Lexicon and logistic weights are fitted on a bounded sample of
-``MAX_LABELLED`` labelled rows, cross-fitted in two halves so that stems don't vouch for themselves. Labels
+``MAX_LABELLED`` labelled rows, cross-fitted over ``SPLITS`` splits in two halves so that stems don't vouch for themselves. Labels
 come only from rows that ``train`` selects; label, lang, source and doc_id are never inputs of a score.
 
 Defined results: null and empty texts are scored as texts without a match; labels that are null or lack a
 document are ignored, repeated ones count as toxic if any is; of rows that repeat a labelled doc_id the smallest text
-is learned from; without both classes in both halves the seed grammar's default weights hold; rows that repeat a doc_id
+is learned from; without both classes in all halves the seed grammar's default weights hold; rows that repeat a doc_id
 each get a score; empty tables give empty results; extra columns are ignored. Texts are read whole; reruns agree.
 """
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quire.runtime import materialize, ship_code, spread
 
-MAX_LABELLED, MIN_SUPPORT, THRESHOLD, STEM_LENGTHS = 20_000, 3, 0.7, range(3, 9)
+MAX_LABELLED, MIN_SUPPORT, SPLITS, TOXIC_WEIGHT, THRESHOLD, STEM_LENGTHS = 20_000, 3, 3, 1.5, 0.7, range(3, 9)
 #: Seeds of the grammar's word classes, in English, German, French and Spanish.
 SEEDS = frozenset(
     "idiot idiots moron morons stupid loser losers scum worthless pathetic disgusting trash clown clowns dumb fool fools jerk imbecile filth vermin garbage "
@@ -216,13 +216,15 @@ def untrained() -> Model:
     return Model({}, np.zeros(N_FEATURES), np.ones(N_FEATURES), np.array([0.5, 0, 0, 1.5, *[0.0] * (N_FEATURES - 4), -2.0]))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 1500, rate: float = 0.3, ridge: float = 1e-4) -> Model:
+def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 1500, rate: float = 0.3, ridge: float = 1e-4, weight: float = 1.0) -> Model:
+    """Rows with label 1 count ``weight`` times."""
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    share = np.where(y > 0, weight, 1.0) / np.where(y > 0, weight, 1.0).sum()
     w, m, v = np.zeros(z.shape[1]), np.zeros(z.shape[1]), np.zeros(z.shape[1])
     for step in range(1, steps + 1):  # Adam; einsum keeps threaded libraries out
         p = 1 / (1 + np.exp(-np.clip(np.einsum("ij,j->i", z, w), -30, 30)))
-        gradient = np.einsum("ij,i->j", z, p - y) / len(y) + ridge * w
+        gradient = np.einsum("ij,i->j", z, share * (p - y)) + ridge * w
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         w = w - rate * (1 - step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Model({}, mean, scale, w)
@@ -240,60 +242,69 @@ def _weights(with_label: Counter, without: Counter, positives: int, negatives: i
     return out
 
 
+CELLS = range(1 << SPLITS)  # bit i of a cell's number is the half of split i
+
+
 def _count(rows: DataFrame, wanted: frozenset | None) -> dict[int, Counter]:
-    """For each half, in how many documents a stem occurs; each task sums its own first. What returns grows with the bounded sample only."""
+    """For each cell, in how many documents a stem occurs; each task sums its own first. What returns grows with the bounded sample only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        counts: dict[int, Counter] = {cell: Counter() for cell in CELLS}
         for batch in batches:
-            for text, half in zip(batch.column("text"), batch.column("half").to_pylist(), strict=True):
+            for text, cell in zip(batch.column("text"), batch.column("cell").to_pylist(), strict=True):
                 found = stems_of(text.as_py() or "")
-                counts[half].update(found if wanted is None else found & wanted)
-        for half, counter in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array(counter.keys(), pa.string()), pa.array([half] * len(counter), pa.int32()), pa.array(counter.values(), pa.int64())], names=["stem", "half", "n"])
+                counts[cell].update(found if wanted is None else found & wanted)
+        for cell, counter in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array(counter.keys(), pa.string()), pa.array([cell] * len(counter), pa.int32()), pa.array(counter.values(), pa.int64())], names=["stem", "cell", "n"])
 
-    summed = rows.select("text", "half").mapInArrow(run, "stem string, half int, n long").groupBy("stem", "half").agg(F.sum("n").alias("n"))
-    summed = summed.groupBy("stem").pivot("half", [0, 1]).agg(F.first("n")).na.fill(0).withColumn("n", F.col("0") + F.col("1"))
+    summed = rows.select("text", "cell").mapInArrow(run, "stem string, cell int, n long").groupBy("stem").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("cell") == c, F.col("n"))).alias(f"c{c}") for c in CELLS])
     got = (summed.filter(F.col("n") >= MIN_SUPPORT) if wanted is None else summed).collect()
-    return {h: Counter({r["stem"]: r[str(h)] for r in got if r[str(h)]}) for h in (0, 1)}
+    return {c: Counter({r["stem"]: r[f"c{c}"] for r in got if r[f"c{c}"]}) for c in CELLS}
+
+
+def _half(cells: dict[int, Counter], split: int, half: int) -> Counter:
+    return sum((counter for cell, counter in cells.items() if cell >> split & 1 == half), Counter())
 
 
-def _features(rows: DataFrame, lexicons: dict[int, dict[str, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the sample, each half read with the other half's lexicon."""
+def _features(rows: DataFrame, lexicons: dict[tuple[int, int], dict[str, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the sample, once a split; each half is read with the other half's lexicon."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {h: Lexicon(lexicons[1 - h]) for h in (0, 1)}
+        own = {(split, half): Lexicon(lexicons[split, 1 - half]) for split, half in lexicons}
         for batch in batches:
-            got = [features(t.as_py(), own[h]) for t, h in zip(batch.column("text"), batch.column("half").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64())), batch.column("label")], names=["x", "label"])
+            for split in range(SPLITS):
+                got = [features(t.as_py(), own[split, cell >> split & 1]) for t, cell in zip(batch.column("text"), batch.column("cell").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64())), batch.column("label")], names=["x", "label"])
 
-    table = rows.select("text", "half", "label").mapInArrow(run, "x array<double>, label int").toPandas()
+    table = rows.select("text", "cell", "label").mapInArrow(run, "x array<double>, label int").toPandas()
     x, y = np.array(table["x"].tolist()).reshape(-1, N_FEATURES), table["label"].to_numpy(dtype=float)
     order = np.lexsort((*x.T, y))  # tasks end in any order; sums shouldn't depend on it
     return x[order], y[order]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, bound: int) -> DataFrame:
-    """(text, label, half) of at most ``bound`` labelled rows, chosen by a hash of doc_id; both tables are read whole."""
+    """(text, label, cell) of at most ``bound`` labelled rows, chosen by a hash of doc_id; both tables are read whole."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).filter(train).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    known = materialize(known.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")), "sample")
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "label", "half").agg(F.min("text").alias("text"))
-    return materialize(rows.select("text", "label", "half"), "labelled")
+    known = materialize(known.withColumn("cell", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(len(CELLS))).cast("int")), "sample")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "label", "cell").agg(F.min("text").alias("text"))
+    return materialize(rows.select("text", "label", "cell"), "labelled")
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, bound: int = MAX_LABELLED) -> Model:
     ship_code(docs.sparkSession)
     rows = labelled_sample(docs, labels, "toxic", train, bound)
-    sizes = {(r["label"], r["half"]): r["n"] for r in rows.groupBy("label", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if any(not sizes.get((label, half)) for label in (0, 1) for half in (0, 1)):
+    sizes = {(r["label"], r["cell"]): r["n"] for r in rows.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    many = lambda label, split, half: sum(n for (own, cell), n in sizes.items() if own == label and cell >> split & 1 == half)
+    halves = [(split, half) for split in range(SPLITS) for half in (0, 1)]
+    if any(not many(label, *own) for label in (0, 1) for own in halves):
         return untrained()
     positive = _count(rows.filter("label = 1"), None)
-    negative = _count(rows.filter("label = 0"), frozenset(positive[0] | positive[1]))
-    halves = {h: _weights(positive[h], negative[h], sizes[1, h], sizes[0, h]) for h in (0, 1)}
-    x, y = _features(rows, halves)
-    model = fit_logistic(x, y)
-    model.lexicon = _weights(positive[0] + positive[1], negative[0] + negative[1], sizes[1, 0] + sizes[1, 1], sizes[0, 0] + sizes[0, 1])
+    negative = _count(rows.filter("label = 0"), frozenset().union(*positive.values()))
+    x, y = _features(rows, {own: _weights(_half(positive, *own), _half(negative, *own), many(1, *own), many(0, *own)) for own in halves})
+    model = fit_logistic(x, y, weight=TOXIC_WEIGHT)
+    everywhere = [sum(cells.values(), Counter()) for cells in (positive, negative)]
+    model.lexicon = _weights(*everywhere, many(1, 0, 0) + many(1, 0, 1), many(0, 0, 0) + many(0, 0, 1))
     return model
 
 
