@@ -53,12 +53,22 @@ def without_code(body: Column) -> Column:
     return F.array_join(F.transform(_pieces(body), keep), "")
 
 
-def first_summary(body: Column) -> Column:
-    """The first prose paragraph on one line, cut at a word near 120 characters."""
+def collapse_blanks(text: Column) -> Column:
+    """Runs of blank lines as one, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(text, "\\n{2,}", "\n\n"), "^\\n+|\\n+\\z", "")
+
+
+def first_paragraph(body: Column) -> Column:
+    """The first prose paragraph on one line; null without one."""
     lines = F.transform(F.split(without_code(body), "\\n", -1), js_trim)
     paragraphs = F.split(F.regexp_replace(F.array_join(lines, "\n"), "^\\n+|\\n+\\z", ""), "\\n{2,}", -1)
     prose = F.filter(paragraphs, lambda p: (p != "") & ~p.rlike(NON_PROSE))
-    return F.coalesce(truncate_word(F.replace(F.get(prose, F.lit(0)), F.lit("\n"), F.lit(" "))), F.lit(""))
+    return F.replace(F.get(prose, F.lit(0)), F.lit("\n"), F.lit(" "))
+
+
+def first_summary(body: Column) -> Column:
+    """The first prose paragraph, cut at a word near 120 characters."""
+    return F.coalesce(truncate_word(first_paragraph(body)), F.lit(""))
 
 
 def sections(body: Column) -> Column:
@@ -123,7 +133,7 @@ def strip_mdx(body: Column) -> Column:
     none = F.array().cast("array<string>")
     parts = F.transform(_pieces(body), lambda z, i: F.when(i % 2 == 1, F.array(code(z))).when(z["p"] == "", none).otherwise(lines(z, i)))
     kept = F.filter(F.flatten(parts), lambda x: x.isNotNull())
-    joined = F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), "\\n{2,}", "\n\n"), "^\\n+|\\n+\\z", "")
+    joined = collapse_blanks(F.array_join(kept, "\n"))
     return F.replace(F.replace(joined, F.lit(BREAK), F.lit("\n")), F.lit(EMPTY), F.lit(""))
 
 

@@ -191,6 +191,11 @@ def apply_hook_lines(registry: DataFrame, lines: DataFrame, now: Column) -> Data
     return rows.withColumns({"update_available": F.coalesce("_update", "update_available"), "last_check": F.when(F.col("_update").isNotNull(), now).otherwise(F.col("last_check"))}).drop("_update")
 
 
+def by_age(pending: DataFrame) -> DataFrame:
+    """Adds ``place``, from 1 for the entry that was refreshed longest ago. The registry's own rows, so one window numbers them."""
+    return pending.withColumn("place", F.row_number().over(Window.orderBy(F.col("last_refresh").asc_nulls_first(), *KEY)))
+
+
 def oldest(pending: DataFrame, n: int = 3) -> DataFrame:
     """The n entries that were refreshed longest ago."""
     return pending.orderBy(F.col("last_refresh").asc_nulls_first(), *KEY).limit(n)

@@ -1,27 +1,26 @@
 """Emission planning: which file holds which node under a token budget.
 
-A doc set's collapsed tree is bounded, so each is planned in one Arrow group. An index whose table of
-contents exceeds the budget is packed into groups, again and again until it fits or nothing is gained; a
-body that doesn't fit beside its table becomes a first child of its own.
+A doc set's collapsed tree is bounded, so each is planned in one Arrow group; texts stay out of it, as nodes carry
+their token counts. A table of contents is a list of line lengths: its cost is a running sum, and packing it into
+buckets is one pass over it. A table over the budget is packed into groups, whose lines make the next table, until it fits or
+packing gains nothing; a body that doesn't fit beside its table becomes a first entry of its own.
 """
 
 from __future__ import annotations
 
-import math
 import re
-import unicodedata
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import RESERVED, slug
+from quire.functions.text import slug
 from quire.runtime import ship_code
 
 BUDGET = 4000
-PLAN = "doc_set string, emit_ord int, relative_path string, role string, name string, node_path array<int>, body string, child_paths array<string>, oversized boolean, oversized_index boolean"
+PLAN = "doc_set string, emit_ord int, relative_path string, role string, name string, node_path array<int>, body_path array<int>, child_paths array<string>, oversized boolean, oversized_index boolean"
 FENCE = re.compile(r"(?:^|\n)[^\S\n]*```[^\n]*(?=\n|\Z)")
 
 
@@ -40,161 +39,203 @@ def tokens_of(text: str) -> int:
     return total + -(-units(rest) // (3 if code else 4))
 
 
-def slug_of(text: str) -> str:
-    plain = re.sub(r"[^a-z0-9]+", "-", unicodedata.normalize("NFKC", text).lower()).strip("-")[:64].rstrip("-")
-    return "section" if not plain or plain in RESERVED else plain
+class Listing:
+    """The cost of a growing list of lines: a sum of lengths, unless a line has breaks of its own and may open a fence."""
 
+    def __init__(self) -> None:
+        self.lines: list[str] = []
+        self.used, self.plain = -1, True
+
+    def cost_with(self, line: str) -> int:
+        if self.plain and "\n" not in line:
+            return -(-(self.used + 1 + units(line)) // 4)
+        return tokens_of("\n".join([*self.lines, line]))
+
+    def add(self, line: str) -> None:
+        self.lines.append(line)
+        self.used += 1 + units(line)
+        self.plain = self.plain and "\n" not in line
 
-@dataclass
-class Node:
-    path: tuple
-    name: str
-    body: str
-    tokens: int
-    children: list[Node] = field(default_factory=list)
 
+def cost(lines: list[str]) -> int:
+    listing = Listing()
+    for line in lines[:-1]:
+        listing.add(line)
+    return listing.cost_with(lines[-1]) if lines else 0
 
-@dataclass
+
+def bucket_numbers(lines: list[str], budget: int) -> list[int]:
+    """Next-fit bucket of every line, from 1; a line over the budget has a bucket of its own."""
+    out: list[int] = []
+    held = Listing()
+    for line in lines:
+        if not out or (held.lines and held.cost_with(line) > budget):
+            held = Listing()
+            out.append(out[-1] + 1 if out else 1)
+        else:
+            out.append(out[-1])
+        held.add(line)
+    return out
+
+
+@dataclass(slots=True)
 class Entry:
-    """A line of a table of contents: a node, or a group of entries."""
+    """A line of a table of contents, and what it leads to: a node's place in the doc set, a body, or a group's entries."""
 
     name: str
-    link: str
     slug: str
-    node: Node | None = None
+    deep: bool
+    node: int | None = None
+    overview: int | None = None
     members: list[Entry] | None = None
 
+    @property
+    def link(self) -> str:
+        return f"{self.slug}/index.md" if self.deep else f"{self.slug}.md"
+
     @property
     def line(self) -> str:
         return f"- [{self.name}]({self.link})"
 
 
-def toc_tokens(entries: list[Entry]) -> int:
-    lines = [e.line for e in entries]
-    if any("```" in x for x in lines):
-        return tokens_of("\n".join(lines))
-    return math.ceil((sum(map(units, lines)) + max(0, len(lines) - 1)) / 4)
-
-
-def entries_of(nodes: list[Node], budget: int) -> list[Entry]:
-    seen: Counter[str] = Counter()
-    out = []
-    for node in nodes:
-        base = slug_of(node.name)
-        seen[base] += 1
-        own = base if seen[base] == 1 else f"{base}-{seen[base]}"
-        deep = node.tokens > budget and bool(node.children)
-        out.append(Entry(node.name, f"{own}/index.md" if deep else f"{own}.md", own, node))
-    return out
-
-
-def next_fit(entries: list[Entry], budget: int) -> list[list[Entry]]:
-    """Buckets whose tables fit; an entry that doesn't fit alone has a bucket of its own."""
-    buckets: list[list[Entry]] = []
-    for entry in entries:
-        if buckets and toc_tokens([*buckets[-1], entry]) <= budget:
-            buckets[-1].append(entry)
-        else:
-            buckets.append([entry])
-    return buckets
-
-
 def grouped(entries: list[Entry], budget: int) -> list[Entry]:
-    while toc_tokens(entries) > budget:
-        buckets = next_fit(entries, budget)
-        if len(buckets) >= len(entries):
+    """The entries, or groups of groups of them whose table fits where that can be had."""
+    lines = [e.line for e in entries]
+    while cost(lines) > budget:
+        numbers = bucket_numbers(lines, budget)
+        if numbers[-1] == len(entries):
             break
-        entries = [
-            Entry(b[0].name if b[0].name == b[-1].name else f"{b[0].name} – {b[-1].name}", f"group-{n}/index.md", f"group-{n}", members=b)
-            for n, b in enumerate(buckets, 1)
-        ]
+        buckets: list[list[Entry]] = [[] for _ in range(numbers[-1])]
+        for number, entry in zip(numbers, entries, strict=True):
+            buckets[number - 1].append(entry)
+        entries = [Entry(b[0].name if b[0].name == b[-1].name else f"{b[0].name} – {b[-1].name}", f"group-{n}", True, members=b) for n, b in enumerate(buckets, 1)]
+        lines = [e.line for e in entries]
     return entries
 
 
-class Planner:
-    def __init__(self, budget: int):
-        self.budget, self.rows = budget, []
+class DocSet:
+    """A doc set's nodes in path order, as columns."""
+
+    def __init__(self, rows: pd.DataFrame, budget: int):
+        self.budget = budget
+        self.paths = [tuple(p) for p in rows["path"]]
+        self.names, self.bases = rows["name"].tolist(), rows["base"].tolist()
+        self.own, self.sizes, self.has_body = rows["own_tokens"].tolist(), rows["subtree_tokens"].tolist(), rows["has_body"].tolist()
+        at = {path: i for i, path in enumerate(self.paths)}
+        self.kids: list[list[int]] = [[] for _ in self.paths]
+        for i, parent in enumerate(rows["parent_path"]):
+            if parent is not None and len(self.paths[i]):
+                self.kids[at[tuple(parent)]].append(i)
+
+    def over(self, i: int) -> bool:
+        return self.sizes[i] > self.budget
+
+    def entries(self, i: int, overview: bool = False) -> list[Entry]:
+        """The table of a node's children in order, behind its own body if that gets a file; equal slugs are numbered."""
+        seen: Counter[str] = Counter()
+
+        def numbered(base: str) -> str:
+            seen[base] += 1
+            return base if seen[base] == 1 else f"{base}-{seen[base]}"
+
+        first = [Entry("Overview", numbered("overview"), False, overview=i)] if overview else []
+        return first + [Entry(self.names[k], numbered(self.bases[k]), self.over(k) and bool(self.kids[k]), node=k) for k in self.kids[i]]
+
+    def table(self, i: int) -> tuple[list[Entry], bool, bool]:
+        """The entries of a node's index, whether its body stays beside them, and whether all of it fits."""
+        entries = grouped(self.entries(i), self.budget)
+        beside = self.has_body[i]
+        if beside and self.own[i] + cost([e.line for e in entries]) > self.budget:
+            entries, beside = grouped(self.entries(i, overview=True), self.budget), False
+        return entries, beside, (self.own[i] if beside else 0) + cost([e.line for e in entries]) <= self.budget
+
+    def plan(self) -> list[tuple]:
+        """Rows of PLAN from relative_path on, parents before their children."""
+        out: list[tuple] = []
+        if not (self.over(0) and self.kids[0]):
+            return [("SKILL.md", "skill", self.names[0], [], [], [], self.over(0), False)]
+        waiting: list[tuple[str, str, Entry]] = [("SKILL.md", "resources", Entry(self.names[0], "", True, node=0))]
+        while waiting:
+            path, folder, entry = waiting.pop()
+            if entry.overview is not None:
+                out.append((path, "leaf", entry.name, None, list(self.paths[entry.overview]), [], self.own[entry.overview] > self.budget, False))
+                continue
+            if entry.members is None and not entry.deep:
+                own = list(self.paths[entry.node])
+                out.append((path, "leaf", entry.name, own, own, [], self.over(entry.node), False))
+                continue
+            if entry.members is not None:
+                listed = entry.members
+                out.append((path, "group", entry.name, None, None, [f"{folder}/{e.link}" for e in listed], False, cost([e.line for e in listed]) > self.budget))
+            else:
+                listed, beside, fits = self.table(entry.node)
+                own = list(self.paths[entry.node])
+                out.append((path, "index" if entry.node else "skill", entry.name, own, own if beside else None, [f"{folder}/{e.link}" for e in listed], False, not fits))
+            waiting += [(f"{folder}/{e.link}", f"{folder}/{e.slug}", e) for e in reversed(listed)]
+        return out
 
-    def emit(self, path: str, role: str, name: str, node: Node | None, body: str, children: list[str], oversized: bool, index: bool) -> None:
-        self.rows.append((path, role, name, list(node.path) if node else None, body, children, oversized, index))
 
-    def plan(self, root: Node) -> list[tuple]:
-        if root.tokens <= self.budget or not root.children:
-            self.emit("SKILL.md", "skill", root.name, root, root.body, [], root.tokens > self.budget, False)
-        else:
-            self.index(root, "SKILL.md", "resources", "skill")
-        return self.rows
-
-    def index(self, node: Node, path: str, folder: str, role: str) -> None:
-        body, entries = node.body, grouped(entries_of(node.children, self.budget), self.budget)
-        cost = tokens_of(body)
-        if body and cost + toc_tokens(entries) > self.budget:
-            overview = Node((), "Overview", body, cost)
-            entries, body, cost = grouped(entries_of([overview, *node.children], self.budget), self.budget), "", 0
-        fits = (cost if body else 0) + toc_tokens(entries) <= self.budget
-        self.emit(path, role, node.name, node, body, [f"{folder}/{e.link}" for e in entries], False, not fits)
-        for entry in entries:
-            self.place(entry, folder)
-
-    def place(self, entry: Entry, folder: str) -> None:
-        if entry.members is not None:
-            own = f"{folder}/{entry.slug}"
-            self.emit(f"{own}/index.md", "group", entry.name, None, "", [f"{own}/{e.link}" for e in entry.members], False, toc_tokens(entry.members) > self.budget)
-            for member in entry.members:
-                self.place(member, own)
-        elif entry.link.endswith("/index.md"):
-            self.index(entry.node, f"{folder}/{entry.slug}/index.md", f"{folder}/{entry.slug}", "index")
-        else:
-            node = entry.node
-            self.emit(f"{folder}/{entry.slug}.md", "leaf", node.name, node if node.path else None, node.body, [], node.tokens > self.budget, False)
+def _doc_sets(nodes: DataFrame, function, schema: str) -> DataFrame:
+    """``function`` of every doc set's nodes in path order, a bounded group each."""
 
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rows = group.assign(key=[tuple(p) for p in group["path"]]).sort_values("key").reset_index(drop=True)
+        out = function(rows)
+        out.insert(0, "doc_set", rows["doc_set"].iloc[0])
+        return out
 
-def tree_of(paths: list, parents: list, names: list, bodies: list, tokens: list) -> Node:
-    """The root of nodes given in path order."""
-    made = {}
-    for path, parent, name, body, n in zip(paths, parents, names, bodies, tokens, strict=True):
-        made[tuple(path)] = node = Node(tuple(path), name, body, int(n))
-        if len(path):
-            made[tuple(parent)].children.append(node)
-    return made[()]
+    ship_code(nodes.sparkSession)
+    columns = ["doc_set", "path", "parent_path", "name", "own_tokens", "subtree_tokens", "has_body"]
+    return nodes.select(*columns, slug(F.col("name")).alias("base")).groupBy("doc_set").applyInPandas(run, schema)
 
 
-def plan_emission(tree: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """The plan of every doc set of a sized tree."""
+def plan_emission(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """The plan of every doc set of a sized tree. ``body_path`` names the node whose text a file begins with, if any."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.assign(key=[tuple(p) for p in group["path"]]).sort_values("key")
-        root = tree_of(*(rows[c].tolist() for c in ("path", "parent_path", "name", "body", "subtree_tokens")))
-        out = pd.DataFrame(Planner(budget).plan(root), columns=["relative_path", "role", "name", "node_path", "body", "child_paths", "oversized", "oversized_index"])
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(DocSet(rows, budget).plan(), columns=["relative_path", "role", "name", "node_path", "body_path", "child_paths", "oversized", "oversized_index"])
         out.insert(0, "emit_ord", range(1, len(out) + 1))
-        out.insert(0, "doc_set", rows["doc_set"].iloc[0])
         return out
 
-    ship_code(tree.sparkSession)
-    return tree.select("doc_set", "path", "parent_path", "name", "body", "subtree_tokens").groupBy("doc_set").applyInPandas(run, PLAN)
+    return _doc_sets(nodes, run, PLAN)
 
 
-def describe_children(tree: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """slug, recurses and link_path of every node below a root, native."""
-    base = slug(F.col("name"))
-    kids = tree.groupBy("doc_set", F.col("parent_path").alias("path")).agg(F.count(F.lit(1)).alias("n_children"))
-    rows = tree.filter("parent_path IS NOT NULL").join(kids, ["doc_set", "path"], "left").withColumn("base", base)
-    nth = F.row_number().over(Window.partitionBy("doc_set", "parent_path", "base").orderBy("path"))
-    own = F.when(nth == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), nth.cast("string")))
-    recurses = (F.col("subtree_tokens") > budget) & (F.coalesce("n_children", F.lit(0)) > 0)
-    return rows.select("doc_set", "path", "parent_path", "name", own.alias("slug"), recurses.alias("recurses")).withColumn("link_path", F.concat("slug", F.when(F.col("recurses"), "/index.md").otherwise(".md")))
+def describe_children(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """slug, recurses and link_path of every node below a root, as the planner numbers and links them."""
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        docs = DocSet(rows, budget)
+        out = [(list(docs.paths[e.node]), list(docs.paths[i]), e.name, e.slug, e.deep, e.link) for i in range(len(docs.paths)) for e in docs.entries(i)]
+        return pd.DataFrame(out, columns=["path", "parent_path", "name", "slug", "recurses", "link_path"])
 
-def fold_buckets(lengths: Column, budget: int) -> Column:
-    """Next-fit bucket numbers of an ordered array of line lengths; the fit test is a sum, so one fold does it."""
-    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("bucket"), F.array().cast("array<int>").alias("out"))
+    return _doc_sets(nodes, run, "doc_set string, path array<int>, parent_path array<int>, name string, slug string, recurses boolean, link_path string")
 
-    def step(a: Column, x: Column) -> Column:
-        fits = (a["bucket"] > 0) & (a["used"] + 1 + x <= 4 * budget)
-        bucket = F.when(fits, a["bucket"]).otherwise(a["bucket"] + 1).cast("int")
-        return F.struct(F.when(fits, a["used"] + 1 + x).otherwise(x).cast("int").alias("used"), bucket.alias("bucket"), F.array_append(a["out"], bucket).alias("out"))
 
-    return F.aggregate(lengths.cast("array<int>"), start, step, lambda a: a["out"])
+def buckets(lines: Column, budget: int) -> Column:
+    """Next-fit bucket numbers of an ordered array of lines."""
+
+    @F.pandas_udf("array<int>")
+    def run(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda own: bucket_numbers(list(own), budget))
+
+    return run(lines)
+
+
+def grouped_lists(entries: DataFrame, keys: list[str], order: str, budget: int) -> DataFrame:
+    """keys, name, slug, links: the groups that each list of flat entries (name, slug) needs; none where its table fits."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rows = group.sort_values(order)
+        got = grouped([Entry(name, own, False) for name, own in zip(rows["name"], rows["slug"], strict=True)], budget)
+        out = pd.DataFrame([(e.name, e.slug, [m.link for m in e.members]) for e in got if e.members], columns=["name", "slug", "links"])
+        for i, key in enumerate(keys):
+            out.insert(i, key, rows[key].iloc[0])
+        return out
+
+    ship_code(entries.sparkSession)
+    types = dict(entries.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "name string, slug string, links array<string>"])
+    return entries.select(*keys, order, "name", "slug").groupBy(*keys).applyInPandas(run, schema)
 
 
 def duplicate_paths(plan: DataFrame) -> DataFrame:

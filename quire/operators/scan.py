@@ -83,23 +83,23 @@ def excerpt(line: Column) -> Column:
 
 
 def findings(lines: DataFrame) -> DataFrame:
-    """doc_set, relative_path, line, pattern, excerpt: a row for each rule that a line meets.
+    """doc_set, relative_path, line, rule, pattern, excerpt: a row for each rule that a line meets; two rules share a pattern.
 
     A line that names a tool counts if its block has an arguments key anywhere."""
     outside = ~F.col("in_fence")
     rules = [
-        ("instruction-override", override(F.col("line"))),
-        ("role-marker", outside & js_trim(F.col("line")).rlike(ROLE)),
-        ("always-invoke", outside & F.col("line").rlike(ALWAYS) & F.col("line").rlike(CUE)),
-        ("curl-pipe-shell", F.col("line").rlike(CURL)),
-        ("base64-decode", F.col("line").rlike(BASE64)),
-        ("tool-call-fence", F.col("opens") & F.col("info").isin(*TOOL_FENCES)),
-        ("tool-call-fence", F.col("arguments") & F.col("line").rlike(TOOL_NAME)),
+        ("phrase", "instruction-override", override(F.col("line"))),
+        ("role", "role-marker", outside & js_trim(F.col("line")).rlike(ROLE)),
+        ("always", "always-invoke", outside & F.col("line").rlike(ALWAYS) & F.col("line").rlike(CUE)),
+        ("curl", "curl-pipe-shell", F.col("line").rlike(CURL)),
+        ("base64", "base64-decode", F.col("line").rlike(BASE64)),
+        ("tool-info", "tool-call-fence", F.col("opens") & F.col("info").isin(*TOOL_FENCES)),
+        ("tool-json", "tool-call-fence", F.col("arguments") & F.col("line").rlike(TOOL_NAME)),
     ]
-    labels = F.array_compact(F.array(*[F.when(rule, label) for label, rule in rules]))
-    return lines.select("doc_set", "relative_path", F.col("line_no").alias("line"), F.explode(labels).alias("pattern"), excerpt(F.col("line")).alias("excerpt"))
+    met = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(rule).alias("rule"), F.lit(label).alias("pattern"))) for rule, label, test in rules]))
+    return lines.select("doc_set", "relative_path", F.col("line_no").alias("line"), F.explode(met).alias("met"), excerpt(F.col("line")).alias("excerpt")).select("doc_set", "relative_path", "line", "met.rule", "met.pattern", "excerpt")
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """All findings; one pass, no shuffle."""
-    return findings(fenced_lines(files))
+    """All findings by line and pattern; one pass, no shuffle."""
+    return findings(fenced_lines(files)).drop("rule")

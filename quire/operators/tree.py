@@ -3,10 +3,15 @@
 A node's ``path`` is an array of ordinals: for a folder the first file in it, for a file its place in the
 doc set, for a heading its place in the file. Sorting by path is depth-first order, prefixes are ancestors,
 so no recursion is needed. Everything is keyed by doc set, which is bounded.
+
+Nodes carry names, token counts and where their text is (``file_ord``, ``ord``), not the text: files are parsed and
+counted row by row, only this skeleton is shuffled, and texts are joined where they are rendered.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +20,7 @@ from quire.functions.text import base_name, humanize, js_trim
 from quire.runtime import materialize
 
 KEY = ("doc_set", "path")
+PLACE = ("doc_set", "file_ord", "ord")
 
 
 def headings(files: DataFrame) -> DataFrame:
@@ -58,30 +64,52 @@ def folders(files: DataFrame) -> DataFrame:
     return rows.groupBy("doc_set", "folder").agg(F.min("file_ord").alias("first_ord")).withColumn("depth", F.size(F.split("folder", "/", -1)))
 
 
-def build_tree(files: DataFrame, root_name: str = "Docs") -> DataFrame:
-    """doc_set, path, kind, name, body of root, folders, files and headings."""
+def parse(files: DataFrame) -> DataFrame:
+    """A row a file, written once: doc_set, file_ord, rel_path, name, heads (ord, level, name, tokens, has_body by section) and bodies."""
+    secs = file_names(files.withColumn("secs", sections(F.col("content")))).withColumn("bodies", F.transform("secs", lambda s: s["body"]))
+    head = lambda s: F.struct(s["ord"].alias("ord"), s["level"].alias("level"), s["name"].alias("name"), estimate_tokens(s["body"]).alias("tokens"), (s["body"] != "").alias("has_body"))
+    return materialize(secs.select("doc_set", "file_ord", "rel_path", "name", F.transform("secs", head).alias("heads"), "bodies"), "parsed")
+
+
+def bodies(parsed: DataFrame) -> DataFrame:
+    """doc_set, file_ord, ord, body of every section that has one."""
+    return parsed.select("doc_set", "file_ord", F.posexplode("bodies").alias("ord", "body")).filter("body <> ''")
+
+
+def with_bodies(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Adds ``body``, empty for nodes without text."""
+    return nodes.join(texts, list(PLACE), "left").withColumn("body", F.coalesce("body", F.lit("")))
+
+
+def skeleton(parsed: DataFrame, root_name: str = "Docs") -> DataFrame:
+    """doc_set, path, kind, name, file_ord, ord, tokens, has_body of root, folders, files and headings."""
+    files = parsed.select("doc_set", "file_ord", "rel_path")
     placed = folders(files)
     # a folder's path: the first files of its prefixes, outermost first
     pairs = files.filter(F.col("rel_path").contains("/")).select("doc_set", "file_ord", F.explode(_folder_prefixes()).alias("folder"))
     joined = pairs.join(placed, ["doc_set", "folder"])
     homes = joined.groupBy("doc_set", "file_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "first_ord"))), lambda s: s["first_ord"]).alias("dirs"))
-    parsed = materialize(file_names(files.withColumn("secs", sections(F.col("content")))).select("doc_set", "file_ord", "rel_path", "name", "secs"), "sections")
-    named = parsed.join(homes, ["doc_set", "file_ord"], "left").withColumn("dirs", F.coalesce("dirs", F.array().cast("array<int>")))
-    file_path = F.concat("dirs", F.array("file_ord"))
-    rows = named.select("doc_set", "file_ord", F.col("name").alias("file_name"), file_path.alias("file_path"), F.inline("secs"))
-    chains = heading_paths(rows)
-    heads = chains.select("doc_set", F.concat("file_path", "chain", F.array("ord")).alias("path"), F.lit("heading").alias("kind"), "name", "body")
-    file_nodes = rows.filter("ord = 0").select("doc_set", F.col("file_path").alias("path"), F.lit("file").alias("kind"), F.col("file_name").alias("name"), "body")
+    named = parsed.drop("bodies").join(homes, ["doc_set", "file_ord"], "left").withColumn("dirs", F.coalesce("dirs", F.array().cast("array<int>")))
+    rows = named.select("doc_set", "file_ord", F.col("name").alias("file_name"), F.concat("dirs", F.array("file_ord")).alias("file_path"), F.inline("heads"))
+    own = ["file_ord", "ord", "tokens", "has_body"]
+    heads = heading_paths(rows).select("doc_set", F.concat("file_path", "chain", F.array("ord")).alias("path"), F.lit("heading").alias("kind"), "name", *own)
+    file_nodes = rows.filter("ord = 0").select("doc_set", F.col("file_path").alias("path"), F.lit("file").alias("kind"), F.col("file_name").alias("name"), *own)
+    empty = [F.lit(None).cast("int").alias("file_ord"), F.lit(None).cast("int").alias("ord"), F.lit(0).cast("long").alias("tokens"), F.lit(False).alias("has_body")]
     dir_rows = named.select("doc_set", F.posexplode("dirs").alias("at", "_first"), "dirs", "rel_path")
     dir_nodes = dir_rows.select(
         "doc_set",
         F.slice("dirs", F.lit(1), F.col("at") + 1).alias("path"),
         F.lit("folder").alias("kind"),
         humanize(F.element_at(F.split("rel_path", "/", -1), F.col("at") + 1)).alias("name"),
-        F.lit("").alias("body"),
     ).distinct()
-    roots = files.select("doc_set").distinct().select("doc_set", F.array().cast("array<int>").alias("path"), F.lit("root").alias("kind"), F.lit(root_name).alias("name"), F.lit("").alias("body"))
-    return roots.unionByName(dir_nodes).unionByName(file_nodes).unionByName(heads)
+    roots = files.select("doc_set").distinct().select("doc_set", F.array().cast("array<int>").alias("path"), F.lit("root").alias("kind"), F.lit(root_name).alias("name"))
+    return roots.unionByName(dir_nodes).select("*", *empty).unionByName(file_nodes).unionByName(heads)
+
+
+def build_tree(files: DataFrame, root_name: str = "Docs") -> DataFrame:
+    """doc_set, path, kind, name, body of root, folders, files and headings."""
+    parsed = parse(files)
+    return with_bodies(skeleton(parsed, root_name), bodies(parsed)).select("doc_set", "path", "kind", "name", "body")
 
 
 def _parent(path: F.Column) -> F.Column:
@@ -95,26 +123,38 @@ def child_counts(nodes: DataFrame) -> DataFrame:
 
 
 def collapse(nodes: DataFrame) -> DataFrame:
-    """Without nodes below the root that have no body and one child; adds ``parent_path``, the nearest ancestor that stays.
+    """Without nodes below the root that have no body and one child; adds ``parent_path``, the nearest ancestor that stays, and ``depth``, how many stay.
 
     The number of children doesn't change when a child collapses into its own child, so the rule is local."""
-    marked = child_counts(nodes).withColumn("drop", (F.size("path") > 0) & (F.col("body") == "") & (F.col("n_children") == 1))
-    kept = marked.filter(~F.col("drop"))
+    marked = child_counts(nodes).withColumn("drop", (F.size("path") > 0) & ~F.col("has_body") & (F.col("n_children") == 1))
+    kept = marked.filter(~F.col("drop")).drop("drop", "n_children")
     ups = kept.filter(F.size("path") > 0).select("doc_set", "path", F.explode(F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))).alias("up"))
     stays = kept.select("doc_set", F.col("path").alias("up"))
-    parents = ups.join(stays, ["doc_set", "up"]).groupBy("doc_set", "path").agg(F.max_by("up", F.size("up")).alias("parent_path"))
-    return kept.join(parents, list(KEY), "left").select("doc_set", "path", "parent_path", "kind", "name", "body")
+    parents = ups.join(stays, ["doc_set", "up"]).groupBy("doc_set", "path").agg(F.max_by("up", F.size("up")).alias("parent_path"), F.count(F.lit(1)).cast("int").alias("depth"))
+    return kept.join(parents, list(KEY), "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
 
 
 def subtree_tokens(nodes: DataFrame) -> DataFrame:
     """Adds ``own_tokens`` and ``subtree_tokens``: sums over a node and all below it."""
-    own = nodes.withColumn("own_tokens", estimate_tokens(F.col("body")))
+    own = nodes.withColumnRenamed("tokens", "own_tokens")
     ups = own.select("doc_set", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", F.lit(1), n))).alias("path"), "own_tokens")
     sums = ups.groupBy(*KEY).agg(F.sum("own_tokens").alias("subtree_tokens"))
     return own.join(sums, list(KEY))
 
 
-def sized_tree(files: DataFrame, root_name: str = "Docs") -> DataFrame:
+@dataclass
+class Tree:
+    """Sized nodes, and the texts of sections by file_ord and ord."""
+
+    nodes: DataFrame
+    bodies: DataFrame
+
+    def with_bodies(self) -> DataFrame:
+        return with_bodies(self.nodes, self.bodies)
+
+
+def sized_tree(files: DataFrame, root_name: str = "Docs") -> Tree:
     """Built, collapsed and sized. Nodes are written once between the steps, which each read them several times."""
-    nodes = materialize(build_tree(files, root_name), "nodes")
-    return subtree_tokens(materialize(collapse(nodes), "collapsed"))
+    parsed = parse(files)
+    nodes = materialize(skeleton(parsed, root_name), "nodes")
+    return Tree(materialize(subtree_tokens(materialize(collapse(nodes), "collapsed")), "sized"), bodies(parsed))

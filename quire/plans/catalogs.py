@@ -376,14 +376,17 @@ def p_explicit_port(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", urls.explicit_port(F.when(F.col("page_id") % 3 == 0, with_port).otherwise(F.col("url"))).alias("port"))
 
 
-FILES_SQL = """tree AS (SELECT doc_id, 'set-' || CAST(doc_id // 10 AS VARCHAR) AS doc_set, CASE doc_id % 10 WHEN 0 THEN 'README.md' WHEN 1 THEN 'docs/a.md' WHEN 2 THEN 'documentation/b.mdx' WHEN 3 THEN '.git/c.md'
-  WHEN 4 THEN 'node_modules/d.md' WHEN 5 THEN 'LICENSE.md' WHEN 6 THEN 'CHANGELOG.md' WHEN 7 THEN 'docs/sub/e.markdown' WHEN 8 THEN 'x/f.txt' ELSE 'g.MD' END AS rel_path FROM documents WHERE doc_id // 10 % 3 > 0 OR doc_id % 10 NOT IN (1, 7))"""
+FILES_SQL = """tree AS (SELECT doc_id, 'set-' || CAST(doc_id // 10 AS VARCHAR) AS doc_set, CASE doc_id % 10 WHEN 0 THEN 'README.md' WHEN 1 THEN CASE WHEN doc_id // 10 % 3 > 0 THEN 'docs/a.md' ELSE 'guide/a.md' END WHEN 2 THEN 'documentation/b.mdx' WHEN 3 THEN '.git/c.md'
+  WHEN 4 THEN 'node_modules/d.md' WHEN 5 THEN 'LICENSE.md' WHEN 6 THEN 'CHANGELOG.md' WHEN 7 THEN CASE WHEN doc_id // 10 % 3 > 0 THEN 'docs/sub/e.markdown' ELSE 'guide/e.markdown' END WHEN 8 THEN 'x/f.txt' ELSE 'g.MD' END AS rel_path FROM documents)"""
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("README.md", "docs/a.md", "documentation/b.mdx", ".git/c.md", "node_modules/d.md", "LICENSE.md", "CHANGELOG.md", "docs/sub/e.markdown", "x/f.txt", "g.MD")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id div 10 % 3 > 0 OR doc_id % 10 NOT IN (1, 7)")
-    return docs.select("doc_id", F.concat(F.lit("set-"), F.expr("doc_id div 10").cast("string")).alias("doc_set"), F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % 10 + 1).cast("int")).alias("rel_path"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % 10 + 1).cast("int"))
+    without_docs = F.expr("doc_id div 10 % 3 = 0")  # a third of the sets have no docs folder
+    name = F.when(without_docs & (F.col("doc_id") % 10 == 1), "guide/a.md").when(without_docs & (F.col("doc_id") % 10 == 7), "guide/e.markdown").otherwise(name)
+    return docs.select("doc_id", F.concat(F.lit("set-"), F.expr("doc_id div 10").cast("string")).alias("doc_set"), name.alias("rel_path"))
 
 
 def _usable(rows: DataFrame) -> DataFrame:
@@ -400,7 +403,7 @@ def src_ext_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir).select("doc_id", files.usable_name(F.element_at(F.split("rel_path", "/", -1), -1)).alias("usable"))
 
 
-DISCOVER_SQL = f"""WITH {FILES_SQL}, ok AS (SELECT *, CASE doc_id % 10 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 7 THEN 1 WHEN 2 THEN 2 ELSE 9 END AS rank FROM tree WHERE doc_id % 10 IN (0, 1, 2, 7, 9)),
+DISCOVER_SQL = f"""WITH {FILES_SQL}, ok AS (SELECT *, CASE WHEN doc_id % 10 = 0 THEN 0 WHEN starts_with(rel_path, 'docs/') THEN 1 WHEN starts_with(rel_path, 'documentation/') THEN 2 ELSE 9 END AS rank FROM tree WHERE doc_id % 10 IN (0, 1, 2, 7, 9)),
 best AS (SELECT doc_set, min(rank) AS b FROM ok WHERE rank > 0 GROUP BY doc_set)
 SELECT doc_id, doc_set, CAST(rank AS INTEGER) AS rank, regexp_replace(rel_path, '^(docs|documentation)/', '') AS rel_path FROM ok LEFT JOIN best USING (doc_set) WHERE rank = 0 OR rank = b"""
 

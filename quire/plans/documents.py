@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from quire.functions import markdown as md
 from quire.functions import text as tx
-from quire.operators import order, plan, render, scan, tree
+from quire.operators import order, scan, tree
 from quire.sources.corpus import CORPUS_SQL, LINES_SQL, corpus, raw_documents
 
-BUDGET = 120  # small enough that derived doc sets need indexes and groups
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -76,6 +75,21 @@ def md_first_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", md.first_summary(F.col("content")).alias("summary"))
 
 
+@query(SUMMARY_SQL + " SELECT c.doc_id, s AS paragraph FROM corpus c LEFT JOIN prose USING (doc_id)")
+def k_first_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).select("doc_id", md.first_paragraph(F.col("content")).alias("paragraph"))
+
+
+BLANKS_SQL = "replace(replace(coalesce(text, ''), ' ', chr(10)), ',', chr(10) || chr(10))"
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace({BLANKS_SQL}, '\\n{{2,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') AS collapsed FROM documents")
+def w_blank_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of blank lines in texts whose blanks and commas are line feeds."""
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(" "), F.lit("\n")), F.lit(","), F.lit("\n\n"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", md.collapse_blanks(text).alias("collapsed"))
+
+
 @query(f"""WITH {CORPUS_SQL}, {LINES_SQL} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM lines
            WHERE regexp_matches(t, '^(#{{1,6}}(\\s|$)|[|>]|[-*+]\\s|[0-9]+\\.\\s)')""")
 def p_non_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +159,22 @@ def w_heading_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.heading_paths(tree.headings(corpus(spark, sf_dir))).select("doc_set", "file_ord", "ord", "parent")
 
 
+@query(HEADS_SQL + ", up AS (SELECT doc_id, parent AS ord, count(*) AS n FROM par WHERE parent IS NOT NULL GROUP BY ALL) SELECT s.doc_set, s.file_ord, s.ord, coalesce(n, 0) AS n_children FROM sec0 s LEFT JOIN up USING (doc_id, ord) WHERE s.ord > 0")
+def t_nest_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many headings nest directly in each heading."""
+    rows = tree.heading_paths(tree.headings(corpus(spark, sf_dir)))
+    nested = rows.filter("parent IS NOT NULL").groupBy("doc_set", "file_ord", F.col("parent").alias("ord")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(nested, ["doc_set", "file_ord", "ord"], "left").select("doc_set", "file_ord", "ord", F.coalesce("n", F.lit(0).cast("long")).alias("n_children"))
+
+
+@query(HEADS_SQL + " SELECT a.doc_set, a.file_ord, a.ord, a.name, b.name AS parent_name FROM sec0 a JOIN par p USING (doc_id, ord) JOIN sec0 b ON b.doc_id = a.doc_id AND b.ord = p.parent")
+def j_heading_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings joined with the heading that encloses them."""
+    rows = tree.heading_paths(tree.headings(corpus(spark, sf_dir)))
+    up = rows.select("doc_set", "file_ord", F.col("ord").alias("parent"), F.col("name").alias("parent_name"))
+    return rows.join(up, ["doc_set", "file_ord", "parent"]).select("doc_set", "file_ord", "ord", "name", "parent_name")
+
+
 NAMES_SQL = HEADS_SQL + f""",
 h1 AS (SELECT doc_id, first(name ORDER BY ord) AS h1 FROM sec0 WHERE level = 1 GROUP BY doc_id),
 named AS (SELECT c.*, h1, coalesce(nullif(trim(title), ''), nullif(h1, ''), regexp_replace(regexp_extract(rel_path, '([^/]*)$', 1), '\\.[^.]+$', '')) AS name FROM corpus c LEFT JOIN h1 USING (doc_id))"""
@@ -166,6 +196,13 @@ def w_first_seen_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.folders(corpus(spark, sf_dir))
 
 
+@query(f"WITH {CORPUS_SQL}, f AS (SELECT *, regexp_extract(rel_path, '^(.*)/', 1) AS folder FROM corpus) SELECT doc_set, file_ord, folder, min(file_ord) OVER (PARTITION BY doc_set, folder) AS first_ord FROM f")
+def j_folder_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files joined with the folder they are in."""
+    docs = corpus(spark, sf_dir).select("doc_set", "file_ord", "rel_path")
+    return docs.withColumn("folder", tx.directory(F.col("rel_path"))).join(tree.folders(docs), ["doc_set", "folder"]).select("doc_set", "file_ord", "folder", "first_ord")
+
+
 TREE_SQL = NAMES_SQL + """,
 first_of AS (SELECT doc_set, regexp_extract(rel_path, '^(.*)/', 1) AS folder, min(file_ord) AS f FROM corpus GROUP BY ALL),
 homes AS (SELECT n.doc_set, n.doc_id, n.name, f.folder, f.f, CAST(f.f AS VARCHAR) || '.' || CAST(n.file_ord AS VARCHAR) AS path FROM named n JOIN first_of f ON f.doc_set = n.doc_set AND f.folder = regexp_extract(n.rel_path, '^(.*)/', 1)),
@@ -193,7 +230,7 @@ slim AS (SELECT k.doc_set, k.path, a.up AS parent_path, k.kind, k.name, k.body F
 
 @query(COLLAPSE_SQL + " SELECT doc_set, path, parent_path, kind, name FROM slim")
 def t_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tree.collapse(tree.build_tree(corpus(spark, sf_dir)))
+    rows = tree.collapse(tree.skeleton(tree.parse(corpus(spark, sf_dir))))
     return rows.select("doc_set", path_text().alias("path"), path_text("parent_path").alias("parent_path"), "kind", "name")
 
 
@@ -210,21 +247,22 @@ sized AS (SELECT u.doc_set, u.path, CAST(sum(o.own_tokens) AS BIGINT) AS subtree
 
 @query(SIZED_SQL + " SELECT doc_set, path, own_tokens, subtree_tokens FROM own JOIN sized USING (doc_set, path)")
 def a_subtree_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.sized_tree(corpus(spark, sf_dir)).select("doc_set", path_text().alias("path"), "own_tokens", "subtree_tokens")
+    return tree.sized_tree(corpus(spark, sf_dir)).nodes.select("doc_set", path_text().alias("path"), "own_tokens", "subtree_tokens")
 
 
-DESCRIBE_SQL = SIZED_SQL + f""",
-slugs AS (SELECT s.doc_set, s.path, s.parent_path, s.name, {slug_sql('s.name')} AS base, list_transform(str_split(s.path, '.'), lambda x: x::INT) AS k FROM slim s WHERE s.parent_path IS NOT NULL),
-nth AS (SELECT *, row_number() OVER (PARTITION BY doc_set, parent_path, base ORDER BY k) AS n FROM slugs),
-has AS (SELECT DISTINCT doc_set, parent_path AS path FROM slugs),
-described AS (SELECT t.doc_set, t.path, t.parent_path, t.name, CASE WHEN n = 1 THEN base ELSE base || '-' || CAST(n AS VARCHAR) END AS slug,
-              z.subtree_tokens > {BUDGET} AND h.path IS NOT NULL AS recurses FROM nth t JOIN sized z USING (doc_set, path) LEFT JOIN has h USING (doc_set, path))"""
+@query(SIZED_SQL + " SELECT doc_set, path, own_tokens FROM own")
+def t_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the nodes' own texts, counted from the texts themselves."""
+    rows = tree.sized_tree(corpus(spark, sf_dir)).with_bodies()
+    return rows.select("doc_set", path_text().alias("path"), md.estimate_tokens(F.col("body")).alias("own_tokens"))
 
 
-@query(DESCRIBE_SQL + " SELECT doc_set, path, parent_path, name, slug, recurses, slug || CASE WHEN recurses THEN '/index.md' ELSE '.md' END AS link_path FROM described")
-def e_describe_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = plan.describe_children(tree.sized_tree(corpus(spark, sf_dir)), BUDGET)
-    return rows.withColumns({"path": path_text(), "parent_path": path_text("parent_path")})
+@query(SIZED_SQL + """, depths AS (SELECT doc_set, path, 0 AS depth FROM slim WHERE path = '' UNION ALL SELECT s.doc_set, s.path, d.depth + 1 FROM depths d JOIN slim s ON s.doc_set = d.doc_set AND s.parent_path = d.path)
+SELECT s.doc_set, s.path, s.parent_path, s.kind, s.name, s.body, CAST(d.depth AS INTEGER) AS depth, z.subtree_tokens FROM slim s JOIN sized z USING (doc_set, path) JOIN depths d USING (doc_set, path)""")
+def t_build_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole sized tree with its texts."""
+    rows = tree.sized_tree(corpus(spark, sf_dir)).with_bodies()
+    return rows.select("doc_set", path_text().alias("path"), path_text("parent_path").alias("parent_path"), "kind", "name", "body", "depth", "subtree_tokens")
 
 
 @query(f"SELECT p_partkey, {slug_sql('p_name')} AS slug FROM part")
@@ -243,68 +281,28 @@ def w_slug_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.withColumn("slug", F.concat("base", F.when(nth == 1, "").otherwise(F.concat(F.lit("-"), nth.cast("string"))))).select("p_partkey", "slug")
 
 
-@query("""WITH RECURSIVE
-l AS (SELECT p_brand, p_partkey, length('- [' || p_name || '](' || CAST(p_partkey AS VARCHAR) || '.md)') AS n, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part),
-r AS (SELECT p_brand, p_partkey, i, n AS used, 1 AS bucket FROM l WHERE i = 1
-      UNION ALL SELECT l.p_brand, l.p_partkey, l.i, CASE WHEN r.used + 1 + l.n <= 4 * 50 THEN r.used + 1 + l.n ELSE l.n END, CASE WHEN r.used + 1 + l.n <= 4 * 50 THEN r.bucket ELSE r.bucket + 1 END
-      FROM r JOIN l ON l.p_brand = r.p_brand AND l.i = r.i + 1)
-SELECT p_partkey, CAST(bucket AS INTEGER) AS bucket FROM r""")
-def e_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    line = F.concat(F.lit("- ["), "p_name", F.lit("]("), F.col("p_partkey").cast("string"), F.lit(".md)"))
-    rows = part.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", tx.js_len(line).alias("n")))).alias("items"))
-    buckets = plan.fold_buckets(F.transform("items", lambda s: s["n"]), 50)
-    return rows.select(F.explode(F.arrays_zip(F.col("items.p_partkey").alias("p_partkey"), buckets.alias("bucket"))).alias("z")).select("z.p_partkey", "z.bucket")
-
-
-@query()
-def e_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.plan_emission(tree.sized_tree(corpus(spark, sf_dir)), BUDGET).withColumns({"node_path": path_text("node_path"), "child_paths": F.array_join("child_paths", "\n")})
-
-
-@query()
-def set_unique_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.duplicate_paths(plan.plan_emission(tree.sized_tree(corpus(spark, sf_dir)), BUDGET))
-
-
-@query()
-def r_render_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quire.runtime import materialize
-
-    nodes = materialize(tree.sized_tree(corpus(spark, sf_dir)), "tree")
-    planned = materialize(plan.plan_emission(nodes, BUDGET), "plan")
-    return render.render(planned, nodes, F.col("doc_set"), F.concat(F.lit("Docs of "), "doc_set"), F.col("doc_set"))
+@query("SELECT doc_id, '\"' || replace(replace(replace(t, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n') || '\"' AS scalar FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+def r_yaml_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", tx.yaml_scalar(F.coalesce("text", F.lit(""))).alias("scalar"))
 
 
-SUBTREE_SQL = SIZED_SQL + """,
-top AS (SELECT doc_set, path FROM slim WHERE parent_path = ''),
-deep AS (SELECT t.doc_set, t.path AS top, t.path, 1 AS depth FROM top t UNION ALL SELECT d.doc_set, d.top, s.path, d.depth + 1 FROM deep d JOIN slim s ON s.doc_set = d.doc_set AND s.parent_path = d.path)
-SELECT d.doc_set, d.top AS path, string_agg(repeat('#', d.depth::INTEGER) || ' ' || s.name || CASE WHEN s.body = '' THEN '' ELSE chr(10) || chr(10) || s.body END, chr(10) || chr(10) ORDER BY list_transform(str_split(d.path, '.'), lambda x: x::INT)) AS markdown
-FROM deep d JOIN slim s ON s.doc_set = d.doc_set AND s.path = d.path GROUP BY ALL"""
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tree.headings(corpus(spark, sf_dir).withColumn("file_ord", F.col("doc_id"))).filter("ord > 0")
+    return rows.select(F.col("file_ord").alias("doc_id"), "ord", F.concat("name", F.lit(" [x] (y) a\\b")).alias("name"))
 
 
-@query(SUBTREE_SQL)
-def r_subtree_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = tree.sized_tree(corpus(spark, sf_dir))
-    below = F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", F.lit(1), n))
-    ups = nodes.filter(F.size("path") > 0).select("doc_set", "path", "name", "body", F.explode(below).alias("up"))
-    kept = nodes.filter(F.size("path") > 0).select("doc_set", F.col("path").alias("up"))
-    above = ups.join(kept, ["doc_set", "up"]).groupBy("doc_set", "path", "name", "body").agg(F.count(F.lit(1)).alias("depth"), F.min_by("up", F.size("up")).alias("top"))
-    section = render.nonempty(F.concat(F.repeat(F.lit("#"), F.col("depth").cast("int")), F.lit(" "), F.col("name")), F.col("body"))
-    out = above.withColumn("section", section).groupBy("doc_set", "top").agg(render.joined("section", "path", "\n\n").alias("markdown"))
-    return out.select("doc_set", path_text("top").alias("path"), "markdown")
+NAMES_WITH_MARKS = HEADS_SQL + ", marked AS (SELECT doc_id, ord, name || ' [x] (y) a' || chr(92) || 'b' AS name FROM sec0 WHERE ord > 0)"
 
 
-@query("SELECT doc_id, '\"' || replace(replace(replace(t, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n') || '\"' AS scalar FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
-def r_yaml_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", tx.yaml_scalar(F.coalesce("text", F.lit(""))).alias("scalar"))
+@query(NAMES_WITH_MARKS + " SELECT doc_id, ord, replace(replace(replace(name, chr(92), chr(92) || chr(92)), '[', chr(92) || '['), ']', chr(92) || ']') AS link_text FROM marked")
+def r_escape_link_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names(spark, sf_dir).select("doc_id", "ord", tx.escape_link_text(F.col("name")).alias("link_text"))
 
 
-@query(HEADS_SQL + " SELECT doc_id, ord, replace(replace(replace(name, chr(92), chr(92) || chr(92)), '[', chr(92) || '['), ']', chr(92) || ']') AS link_text, replace(replace(replace(name, '(', '%28'), ')', '%29'), ' ', '%20') AS target FROM sec0 WHERE ord > 0")
-def r_escape_link_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tree.headings(corpus(spark, sf_dir).withColumn("file_ord", F.col("doc_id"))).filter("ord > 0")
-    return rows.select(F.col("file_ord").alias("doc_id"), "ord", tx.escape_link_text(F.col("name")).alias("link_text"), tx.escape_link_target(F.col("name")).alias("target"))
+@query(NAMES_WITH_MARKS + " SELECT doc_id, ord, replace(replace(replace(name, '(', '%28'), ')', '%29'), ' ', '%20') AS target FROM marked")
+def r_escape_link_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names(spark, sf_dir).select("doc_id", "ord", tx.escape_link_target(F.col("name")).alias("target"))
 
 
 @query(f"WITH {CORPUS_SQL} SELECT doc_id, regexp_extract(rel_path, '([^/]*)$', 1) AS link FROM corpus")
@@ -375,10 +373,28 @@ def _detector(key: str, pattern: str) -> None:
         return scan_all(spark, sf_dir).filter(F.col("pattern") == pattern)
 
 
-for _key, _pattern in (("scan_override", "instruction-override"), ("scan_role", "role-marker"), ("scan_always", "always-invoke"), ("scan_curl", "curl-pipe-shell"), ("scan_base64", "base64-decode"), ("scan_tool_json", "tool-call-fence")):
+for _key, _pattern in (("scan_override", "instruction-override"), ("scan_role", "role-marker"), ("scan_always", "always-invoke"), ("scan_curl", "curl-pipe-shell"), ("scan_base64", "base64-decode")):
     _detector(_key, _pattern)
 
 
+def _by_rule(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
+    rows = scan.findings(scan.fenced_lines(corpus(spark, sf_dir).withColumnRenamed("rel_path", "relative_path")))
+    return rows.filter(F.col("rule") == rule).drop("rule")
+
+
+TOOL_SQL = "SELECT c.doc_set, c.rel_path AS relative_path, s.line_at AS line, 'tool-call-fence' AS pattern, substr(s.t, 1, 200) AS excerpt FROM st s JOIN corpus c USING (doc_id) WHERE "
+
+
+@query(FENCED_SQL + " " + TOOL_SQL + "s.in_fence AND s.fence AND lower(trim(substr(s.t, 4))) IN ('tool', 'function', 'tool_call', 'json tool')")
+def scan_tool_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_rule(spark, sf_dir, "tool-info")
+
+
+@query(FENCED_SQL + """, args AS (SELECT DISTINCT doc_id, before FROM lines WHERE contains(line, '"arguments":') AND NOT fence) """ + TOOL_SQL + """s.in_fence AND NOT s.fence AND contains(s.line, '"name": "') AND EXISTS (SELECT 1 FROM args a WHERE a.doc_id = s.doc_id AND a.before = s.before)""")
+def scan_tool_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_rule(spark, sf_dir, "tool-json")
+
+
 @query(f"SELECT pattern, count(*) AS n FROM ({FINDINGS_SQL}) GROUP BY pattern")
 def a_finding_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_all(spark, sf_dir).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))

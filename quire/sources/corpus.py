@@ -1,7 +1,8 @@
 """A Markdown corpus derived from the ``documents`` table, the same in Spark and in SQL.
 
 The tables hold plain prose, so a line rule adds headings and fences and an appendix by doc_id adds
-component syntax, lists and suspicious lines. A doc set is a language's documents in a block of 64
+component syntax, lists and suspicious lines. No character of a text is lost: a marked line's first characters become the heading
+and the rest of it the next line. Documents without an id count as number ``NO_ID``. A doc set is a language's documents in a block of 64
 consecutive ids: bounded, however many documents there are, and so are all tree operations on it.
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.runtime import spread
 
-BLOCK = 64
+BLOCK, NO_ID = 64, 1 << 53
 APPENDIX = (
     "\n\nimport Tabs from '@theme/Tabs';\n\n:::note Read this\nTake care.\n:::",
     "\n<Tabs>\n<TabItem value=\"a\" label=\"First\">\nInside first\n</TabItem>\n<TabItem label='Second'>Inline second</TabItem>\n</Tabs>",
@@ -30,13 +31,17 @@ APPENDIX = (
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_set, file_ord, rel_path, doc_id, title, sidebar_position, draft, content of every document with an id."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id IS NOT NULL").select("doc_id", "lang", "source", "text"))
+    """doc_set, file_ord, rel_path, doc_id, title, sidebar_position, draft, content of every document."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "lang", "source", "text"))
+
+    def headed(line: F.Column, mark: F.Column, most: int) -> F.Column:
+        rest = F.when(F.length(line) > most, F.concat(F.lit("\n"), F.substr(line, F.lit(most + 1)))).otherwise("")
+        return F.concat(mark, F.lit(" "), F.substring(line, 1, most), rest)
 
     def rule(line: F.Column, pos: F.Column) -> F.Column:
         return (
-            F.when(pos == 0, F.concat(F.lit("# "), F.substring(line, 1, 60)))
-            .when(pos % 5 == 1, F.concat(F.repeat(F.lit("#"), (2 + pos % 3).cast("int")), F.lit(" "), F.substring(line, 1, 40)))
+            F.when(pos == 0, headed(line, F.lit("#"), 60))
+            .when(pos % 5 == 1, headed(line, F.repeat(F.lit("#"), (2 + pos % 3).cast("int")), 40))
             .when(pos % 5 == 3, F.concat(F.lit("```\n"), line, F.lit("\n```")))
             .otherwise(line)
         )
@@ -77,12 +82,12 @@ corpus0 AS (
     CASE WHEN doc_id % 5 = 0 THEN ' Title ' || CAST(doc_id AS VARCHAR) END AS title,
     CASE WHEN doc_id % 4 = 0 THEN (doc_id % 7) / 2.0::DOUBLE END AS sidebar_position, doc_id % 17 = 3 AS draft,
     array_to_string(list_transform(str_split(coalesce(text, ''), chr(10)), lambda line, i: CASE
-      WHEN i = 1 THEN '# ' || substr(line, 1, 60)
-      WHEN (i - 1) % 5 = 1 THEN repeat('#', CAST(2 + (i - 1) % 3 AS INTEGER)) || ' ' || substr(line, 1, 40)
+      WHEN i = 1 THEN '# ' || substr(line, 1, 60) || CASE WHEN length(line) > 60 THEN chr(10) || substr(line, 61) ELSE '' END
+      WHEN (i - 1) % 5 = 1 THEN repeat('#', CAST(2 + (i - 1) % 3 AS INTEGER)) || ' ' || substr(line, 1, 40) || CASE WHEN length(line) > 40 THEN chr(10) || substr(line, 41) ELSE '' END
       WHEN (i - 1) % 5 = 3 THEN '```' || chr(10) || line || chr(10) || '```'
       ELSE line END), chr(10))
     || [{", ".join(_quoted(a) for a in APPENDIX)}][doc_id % {len(APPENDIX)} + 1] AS content
-  FROM documents WHERE doc_id IS NOT NULL),
+  FROM (SELECT * REPLACE (coalesce(doc_id, {NO_ID}) AS doc_id) FROM documents)),
 corpus AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_set ORDER BY rel_path, doc_id) AS INTEGER) AS file_ord FROM corpus0)
 """
 

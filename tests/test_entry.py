@@ -24,7 +24,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted({*entry.documents.ORACLES, *entry.catalogs.ORACLES, *entry.details.ORACLES}))
+@pytest.mark.parametrize("name", sorted({key for module in entry.CORE for key in module.ORACLES}))
 def test_matches_sql(spark, duck, name):
     df = entry.queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
