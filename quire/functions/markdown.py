@@ -137,21 +137,33 @@ def strip_mdx(body: Column) -> Column:
     return F.replace(F.replace(joined, F.lit(BREAK), F.lit("\n")), F.lit(EMPTY), F.lit(""))
 
 
+#: A block begins a document, behind a byte order mark at most, and ends at the next line of three dashes or with the document.
+BLOCK = "(?s)^\uFEFF?---[ \\t]*\\r?(?=\\n|\\z)(.*?)(?:\\n---|\\z)(?:\\r?\\n)?"
+_KEY, _PLAIN = "[A-Za-z_][A-Za-z0-9_-]*", "(?:[A-Za-z][A-Za-z0-9_ ./()+-]*|-?(?:0|[1-9][0-9]*)(?:\\.[0-9]+)?)"
+FLAT = f"^(?:\\r?\\n(?:[ \\t]*|#[^\\n]*|{_KEY}:(?:[ \\t]+{_PLAIN})?[ \\t]*))*\\r?\\z"
+
+
 def frontmatter_block(raw: Column) -> Column:
     """The YAML block of a document, without its delimiter lines; '' without one."""
-    return F.regexp_extract(raw, "(?s)^---[ \\t]*\\n(.*?)(?:\\n)?---[ \\t]*(?:\\n|\\z)", 1)
+    return F.regexp_extract(raw, BLOCK, 1)
+
+
+def flat_block(block: Column) -> Column:
+    """Whether a block surely holds plain scalars by unindented keys only, which ``frontmatter`` reads."""
+    return (block == "") | block.rlike(FLAT)
 
 
 def _field(block: Column, key: str) -> Column:
     value = F.regexp_extract(F.concat(F.lit("\n"), block), f"\\n{key}:[ \\t]*([^\\n]*)", 1)
-    return js_trim(F.regexp_replace(value, "(?:^|[ \\t])#[^\\n]*\\z", ""))
+    quoted = value.rlike("^[ \\t]*[\"']")  # a mark of comments inside quotes is text
+    return js_trim(F.when(quoted, F.regexp_replace(value, "^([ \\t]*(?:\"(?:[^\"\\\\]|\\\\.)*\"|'(?:[^']|'')*')).*\\z", "$1")).otherwise(F.regexp_replace(value, "(?:^|[ \\t])#[^\\n]*\\z", "")))
 
 
 def frontmatter(raw: Column) -> Column:
     """struct<title, sidebar_position, draft> of flat blocks; a value of another type counts as absent.
 
-    Nested ``sidebar: order:`` serves where there is no direct position. General YAML goes through
-    ``quire.sources.files.yaml_frontmatter``."""
+    Nested ``sidebar: order:`` serves where there is no direct position. ``quire.sources.files.any_frontmatter`` reads flat
+    blocks with this and others as YAML."""
     block = frontmatter_block(raw)
     title, position, draft = _field(block, "title"), _field(block, "sidebar_position"), _field(block, "draft")
     nested = F.regexp_extract(F.concat(F.lit("\n"), block), "\\nsidebar:[ \\t]*\\n(?:[ \\t]+[^\\n]*\\n)*?[ \\t]+order:[ \\t]*([^\\n]*)", 1)
@@ -164,4 +176,4 @@ def frontmatter(raw: Column) -> Column:
 
 
 def frontmatter_body(raw: Column) -> Column:
-    return F.regexp_replace(raw, "(?s)^---[ \\t]*\\n(.*?)(?:\\n)?---[ \\t]*(?:\\n|\\z)", "")
+    return F.regexp_replace(raw, BLOCK, "")

@@ -27,8 +27,23 @@ def js_len(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
 
 
+ASTRAL, HALF = "[\\x{10000}-\\x{10FFFF}]", "\uFDD5"
+
+
+def _in_units(text: Column) -> Column:
+    """The text with a mark behind each character of two UTF-16 units, so that characters count as units."""
+    return F.when(text.rlike(ASTRAL), F.regexp_replace(text, f"({ASTRAL})", f"$1{HALF}")).otherwise(text)
+
+
+def _whole(text: Column) -> Column:
+    """Without those marks; a character cut in half is a replacement character, as half of it can't be written."""
+    clean = F.replace(F.regexp_replace(text, f"{ASTRAL}\\z", "\uFFFD"), F.lit(HALF), F.lit(""))
+    return F.when(text.rlike(ASTRAL), clean).otherwise(text)
+
+
 def cap(text: Column, most: int) -> Column:
-    return F.substring(text, 1, most)
+    """At most so many UTF-16 units."""
+    return _whole(F.substring(_in_units(text), 1, most))
 
 
 def nfkc(text: Column) -> Column:
@@ -51,11 +66,12 @@ def slug(text: Column, most: int = 64, normal: bool = True) -> Column:
 
 
 def truncate_word(text: Column, most: int = 120) -> Column:
-    """Cut at the last space at or before ``most``; without one, a hard cut."""
-    head = F.substring(text, 1, most + 1)
+    """Cut at the last space at or before ``most`` UTF-16 units; without one, a hard cut."""
+    whole = _in_units(text)
+    head = F.substring(whole, 1, most + 1)
     space = F.length(head) - F.instr(F.reverse(head), " ")
-    cut = F.when(F.instr(head, " ") > 0, F.substr(text, F.lit(1), space)).otherwise(F.substring(text, 1, most))
-    return F.when(F.length(text) <= most, text).otherwise(cut)
+    cut = F.when(F.instr(head, " ") > 0, F.substr(whole, F.lit(1), space)).otherwise(F.substring(whole, 1, most))
+    return F.when(F.length(whole) <= most, text).otherwise(_whole(cut))
 
 
 def humanize(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.markdown import estimate_tokens
-from quire.functions.text import humanize
+from quire.functions.text import cap, humanize
 
 KEY = ["scope", "name"]
 NAME, SEMVER, SHA, HASH = "^[a-z0-9][a-z0-9-]*\\z", "^[0-9]+\\.[0-9]+\\.[0-9]+(-[0-9A-Za-z.-]+)?\\z", "^[0-9a-f]{40}\\z", "^sha256:[0-9a-f]{64}\\z"
@@ -88,7 +88,7 @@ def title(source: Column) -> Column:
 
 def default_description(title_: Column, label: Column, names: Column) -> Column:
     covers = F.when(F.size(names) > 0, F.concat(F.lit(" Covers: "), F.array_join(names, ", "), F.lit("."))).otherwise("")
-    return F.substring(F.concat(F.lit("Reference documentation for "), title_, F.lit(", sliced from "), label, F.lit("."), covers), 1, DESCRIPTION)
+    return cap(F.concat(F.lit("Reference documentation for "), title_, F.lit(", sliced from "), label, F.lit("."), covers), DESCRIPTION)
 
 
 def sources_match(a: Column, b: Column) -> Column:
@@ -141,6 +141,31 @@ def description_tokens(descriptions: DataFrame) -> DataFrame:
     return descriptions.agg(F.sum(estimate_tokens(F.col("description"))).alias("tokens"))
 
 
+def lock_stale(content: Column, modified_ms: Column, now_ms: Column, limit_ms: int = 600_000) -> Column:
+    """Whether a lock file is abandoned: by the time in its payload, or by the file's own where that isn't one."""
+    payload = F.from_json(content, "pid double, timestamp double")
+    since = F.when(payload["pid"].isNotNull() & payload["timestamp"].isNotNull(), payload["timestamp"]).otherwise(modified_ms)
+    return now_ms - since >= limit_ms
+
+
+def has_hook(session_start: Column, command: str) -> Column:
+    """Whether any entry of an array of startup entries has the command among its hooks."""
+    return F.coalesce(F.exists(session_start, lambda e: F.coalesce(F.exists(e["hooks"], lambda h: h["command"].eqNullSafe(F.lit(command))), F.lit(False))), F.lit(False))
+
+
+def preview(plan: DataFrame, findings: DataFrame, description: Column) -> DataFrame:
+    """doc_set, at, line: what a user sees before files are written. ``description`` may use doc_set."""
+    sets = plan.select("doc_set").distinct()
+    n_findings = findings.groupBy("doc_set").agg(F.count(F.lit(1)).alias("n"))
+    place = lambda part, *keys: F.array(F.lit(part).cast("string"), *[F.lpad(k.cast("string"), 10, "0") if kind else k for k, kind in keys]).alias("at")
+    head = sets.select("doc_set", F.explode(F.array(F.concat(F.lit("0Skill name: "), "doc_set"), F.concat(F.lit("1Description: "), description), F.lit("2Sections:"))).alias("x"))
+    rows = head.select("doc_set", F.array(F.substring("x", 1, 1)).alias("at"), F.substr(F.col("x"), F.lit(2)).alias("line"))
+    rows = rows.unionByName(plan.select("doc_set", place(3, (F.col("emit_ord"), True)), F.concat(F.lit("  "), "relative_path").alias("line")))
+    rows = rows.unionByName(n_findings.select("doc_set", place(4), F.concat(F.lit("Injection scan flagged "), F.col("n").cast("string"), F.lit(" finding(s):")).alias("line")))
+    found = F.concat(F.lit("  "), F.col("relative_path"), F.lit(":"), F.col("line").cast("string"), F.lit(" ["), F.col("pattern"), F.lit("] "), F.col("excerpt"))
+    return rows.unionByName(findings.select("doc_set", place(5, (F.col("relative_path"), False), (F.col("line"), True), (F.col("pattern"), False)), found.alias("line")))
+
+
 def registry_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """change (added, removed, updated), scope, name: keys on one side, or on both with other paths."""
     cell = lambda change: [F.lit(change).alias("change"), *KEY]

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import numeric_prefix, prefixed
+from quire.functions.text import numeric_prefix
+from quire.runtime import ship_code
 
 
 def doc_order(position: Column, name: Column, path: Column) -> list[Column]:
@@ -43,12 +48,31 @@ def depth_first(files: DataFrame) -> DataFrame:
 
 
 def fileset_hash(files: DataFrame, version: int, budget: int, include_large: bool) -> DataFrame:
-    """doc_set, source_hash: SHA-256 over length-prefixed paths and contents in path order, then the parameters."""
-    chunk = F.concat(prefixed(F.col("rel_path")), prefixed(F.col("content")))
-    chunks = F.array_sort(F.collect_list(F.struct("rel_path", "file_ord", chunk.alias("c"))))
-    tail = [prefixed(F.lit(str(x))) for x in (version, budget, str(include_large).lower())]
-    whole = F.aggregate(F.transform(chunks, lambda s: s["c"]), F.unhex(F.lit("")), lambda a, x: F.concat(a, x))
-    return files.groupBy("doc_set").agg(F.concat(F.lit("sha256:"), F.sha2(F.concat(whole, *tail), 256)).alias("source_hash"))
+    """doc_set, source_hash: SHA-256 over length-prefixed paths and contents in path order, then the parameters.
+
+    Files stream past one digest in order; a task holds a batch of them, not a doc set."""
+    framed = lambda data: len(data).to_bytes(4, "big") + data
+    tail = b"".join(framed(str(x).encode()) for x in (version, budget, str(include_large).lower()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, digest, done = None, None, []
+        for batch in batches:
+            for doc_set, path, content in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if digest is None or doc_set.as_py() != name:
+                    if digest is not None:
+                        done.append((name, digest))
+                    name, digest = doc_set.as_py(), hashlib.sha256()
+                for text in (path, content):
+                    digest.update(framed((text.as_py() or "").encode("utf-8", "surrogatepass")))
+        if digest is not None:
+            done.append((name, digest))
+        for _, own in done:
+            own.update(tail)
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()), pa.array([f"sha256:{d.hexdigest()}" for _, d in done], pa.string())], names=["doc_set", "source_hash"])
+
+    ship_code(files.sparkSession)
+    ordered = files.select("doc_set", "rel_path", "content", "file_ord").repartition("doc_set").sortWithinPartitions("doc_set", "rel_path", "file_ord")
+    return ordered.mapInArrow(run, "doc_set string, source_hash string")
 
 
 def caps(files: DataFrame, most_files: int = 5000, most_bytes: int = 104857600) -> DataFrame:

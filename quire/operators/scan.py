@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import js_trim
+from quire.functions.text import cap, js_trim
 from quire.runtime import ship_code
 
 #: What the detectors look for.
@@ -79,7 +79,7 @@ def override(line: Column) -> Column:
 
 
 def excerpt(line: Column) -> Column:
-    return F.substring(js_trim(line), 1, EXCERPT)
+    return cap(js_trim(line), EXCERPT)
 
 
 def findings(lines: DataFrame) -> DataFrame:

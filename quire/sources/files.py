@@ -1,12 +1,14 @@
 """Document folders as DataFrames.
 
 Files are read by Spark's binary source, so any store works; predicates on names and sizes run before a
-file's bytes are touched where the source allows it.
+file's bytes are touched where the source allows it. Symbolic links, which only local folders have, are never followed.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,11 +16,12 @@ from pyspark.sql import functions as F
 
 from quire.functions import markdown as md
 from quire.functions.text import js_trim
-from quire.operators.order import depth_first
+from quire.operators.order import caps, depth_first
 
 MOST_BYTES = 1 << 20
 #: Names with a meaning.
 DOC_FOLDERS = ("docs", "documentation", "doc")
+GLOB = "*.{[mM][dD],[mM][dD][xX],[mM][aA][rR][kK][dD][oO][wW][nN]}"
 EXTENSION, README = "(?i)\\.(md|mdx|markdown)\\z", "(?i)^readme\\.(md|mdx|markdown)\\z"
 CHANGELOG, LICENSE = "(?i)^changelog\\.md\\z", "(?i)^license"
 
@@ -26,6 +29,18 @@ CHANGELOG, LICENSE = "(?i)^changelog\\.md\\z", "(?i)^license"
 class EmptyFileSet(ValueError):
     """No usable Markdown file was found."""
 
+    def __init__(self, searched: list[str]):
+        super().__init__(f"no usable Markdown files; searched: {', '.join(searched)}")
+        self.searched = searched
+
+
+class LinkedSource(ValueError):
+    """The source is a symbolic link."""
+
+
+class SourceTooLarge(ValueError):
+    """A doc set exceeds its caps."""
+
 
 def usable_name(name: Column) -> Column:
     return name.rlike(EXTENSION) & ~name.rlike(CHANGELOG) & ~name.rlike(LICENSE)
@@ -44,15 +59,22 @@ def published(draft: Column) -> Column:
     return ~F.coalesce(draft, F.lit(False))
 
 
-def yaml_frontmatter(raw: Column) -> Column:
-    """General YAML blocks by an Arrow function, where PyYAML is installed; raises on invalid YAML."""
+def yaml_frontmatter(block: Column) -> Column:
+    """General YAML blocks by an Arrow function; raises on invalid YAML. Null blocks have no fields."""
 
     @F.pandas_udf("title string, sidebar_position double, draft boolean")
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import yaml
 
-        def one(block: str) -> tuple:
-            data = yaml.safe_load(block) if block else None
+        class Loader(yaml.SafeLoader):
+            """Only true and false are booleans."""
+
+        Loader.yaml_implicit_resolvers = {
+            first: [(tag, own) for tag, own in pairs if tag != "tag:yaml.org,2002:bool" or first in "tTfF"] for first, pairs in yaml.SafeLoader.yaml_implicit_resolvers.items()
+        }
+
+        def one(block: str | None) -> tuple:
+            data = yaml.load(block + "\n", Loader) if block else None  # noqa: S506
             data = data if isinstance(data, dict) else {}
             number = lambda x: float(x) if isinstance(x, int | float) and not isinstance(x, bool) else None
             nested = data.get("sidebar")
@@ -65,10 +87,23 @@ def yaml_frontmatter(raw: Column) -> Column:
         for batch in batches:
             yield pd.DataFrame([one(b) for b in batch], columns=["title", "sidebar_position", "draft"]).astype({"sidebar_position": "float64"})
 
-    return parse(md.frontmatter_block(raw))
+    return parse(block)
+
+
+def any_frontmatter(raw: Column) -> Column:
+    """struct<title, sidebar_position, draft>: flat blocks natively, others as YAML where PyYAML is installed."""
+    try:
+        import yaml  # noqa: F401
+    except ImportError:
+        return md.frontmatter(raw)
+    block = md.frontmatter_block(raw)
+    general = yaml_frontmatter(F.when(~md.flat_block(block), block))
+    native = md.frontmatter(raw)
+    flat = md.flat_block(block)
+    return F.struct(*[F.when(flat, native[c]).otherwise(general[c]).alias(c) for c in ("title", "sidebar_position", "draft")])
 
 
-def process(files: DataFrame, include_large: bool = False, frontmatter=md.frontmatter) -> DataFrame:
+def process(files: DataFrame, include_large: bool = False, frontmatter=any_frontmatter) -> DataFrame:
     """Raw files (rel_path, raw, size_bytes, ...) to documents: size guard, YAML block, drafts, component syntax, empties."""
     kept = files.filter(size_guard(F.col("size_bytes"), include_large)).withColumn("_front", frontmatter(F.col("raw")))
     kept = kept.filter(published(F.col("_front.draft")))
@@ -96,33 +131,96 @@ def discover(files: DataFrame) -> DataFrame:
     return rows.withColumn("rel_path", inside).drop("_readme", "_best")
 
 
-def scan_folder(spark: SparkSession, path: str, doc_set: str = "docs", include_large: bool = False, frontmatter=md.frontmatter) -> DataFrame:
+def _links(root: str) -> list[str]:
+    """Relative paths of the symbolic links below a local folder; other stores have none."""
+    folder = Path(root.removeprefix("file://").removeprefix("file:"))
+    if "://" in root.removeprefix("file://") or not folder.is_dir():
+        return []
+    out = []
+    for current, folders, names in os.walk(folder):
+        out += [os.path.relpath(os.path.join(current, n), folder) for n in [*folders, *names] if os.path.islink(os.path.join(current, n))]
+    return out
+
+
+def _unlinked(path: Column, links: list[str]) -> Column:
+    ok = F.lit(True)
+    for link in links:
+        ok = ok & (path != link) & ~path.startswith(f"{link}/")
+    return ok
+
+
+def scan_folder(spark: SparkSession, path: str, doc_set: str = "docs", include_large: bool = False, frontmatter=any_frontmatter) -> DataFrame:
     """The documents of a folder in order: doc_set, file_ord, rel_path, title, sidebar_position, draft, content."""
     root = path.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,mdx,markdown,MD,MDX,Markdown,MARKDOWN}").load(root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(root)
     relative = F.regexp_replace(F.substring_index("path", root, -1), "^/+", "")
     rows = found.withColumn("rel_path", relative).withColumn("name", F.element_at(F.split("rel_path", "/", -1), -1))
-    rows = rows.filter(walkable(F.col("rel_path")) & usable_name(F.col("name")))
+    rows = rows.filter(walkable(F.col("rel_path")) & usable_name(F.col("name")) & _unlinked(F.col("rel_path"), _links(root)))
     rows = rows.filter(size_guard(F.col("length"), include_large))
     rows = rows.select(F.lit(doc_set).alias("doc_set"), "rel_path", F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("raw"))
     return depth_first(process(rows, include_large, frontmatter))
 
 
-def scan_project(spark: SparkSession, path: str, doc_set: str = "docs", **options) -> DataFrame:
-    """README first, then the documentation folder or the rest of the project; raises if nothing is usable."""
-    chosen = discover(scan_folder(spark, path, doc_set, **options).drop("file_ord"))
+def _project(rows: DataFrame, path: str) -> DataFrame:
+    chosen = discover(rows.drop("file_ord"))
     readme = chosen.filter("rank = 0").withColumn("file_ord", F.lit(0))
     out = readme.unionByName(depth_first(chosen.filter("rank > 0"))).drop("rank")
     if out.isEmpty():
-        raise EmptyFileSet(f"no usable Markdown files under {path}")
+        raise EmptyFileSet([*(f"{path}/{folder}" for folder in DOC_FOLDERS), path])
     return out
 
 
-def scan_file(spark: SparkSession, path: str, doc_set: str = "docs", include_large: bool = False, frontmatter=md.frontmatter) -> DataFrame:
+def scan_project(spark: SparkSession, path: str, doc_set: str = "docs", **options) -> DataFrame:
+    """README first, then the documentation folder or the rest of the project; raises if nothing is usable."""
+    return _project(scan_folder(spark, path, doc_set, **options), path)
+
+
+def scan_file(spark: SparkSession, path: str, doc_set: str = "docs", include_large: bool = False, frontmatter=any_frontmatter) -> DataFrame:
     """One Markdown file; raises if it is filtered out."""
     rows = spark.read.format("binaryFile").load(path)
     rows = rows.select(F.lit(doc_set).alias("doc_set"), F.element_at(F.split("path", "/", -1), -1).alias("rel_path"), F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("raw"))
     out = process(rows, include_large, frontmatter).withColumn("file_ord", F.lit(1))
     if out.isEmpty():
-        raise EmptyFileSet(f"no usable Markdown files under {path}")
+        raise EmptyFileSet([path])
     return out
+
+
+def scan_local(spark: SparkSession, path: str, doc_set: str = "docs", **options) -> DataFrame:
+    """A local source: a file is itself, a folder a project; a symbolic link is refused."""
+    where = Path(path)
+    if where.is_symlink():
+        raise LinkedSource(f"{path} is a symbolic link; name the folder it leads to")
+    if not where.exists():
+        raise FileNotFoundError(path)
+    resolved = str(where.resolve())
+    return scan_file(spark, resolved, doc_set, **options) if where.is_file() else scan_project(spark, resolved, doc_set, **options)
+
+
+def scan_on_driver(spark: SparkSession, path: Path, doc_set: str = "docs", include_large: bool = False, frontmatter=any_frontmatter) -> DataFrame:
+    """The same for files that only the driver has, such as a clone; what is read is bounded by the caps of a doc set."""
+    if path.is_file():
+        found = [(path.name, path)]
+    else:
+        found = []
+        for current, folders, names in os.walk(path):
+            folders[:] = [f for f in folders if not f.startswith(".") and f != "node_modules" and not os.path.islink(os.path.join(current, f))]
+            found += [(os.path.relpath(os.path.join(current, n), path), Path(current, n)) for n in names if not os.path.islink(os.path.join(current, n))]
+    sized = [(name, file, file.stat().st_size) for name, file in found if name.lower().endswith((".md", ".mdx", ".markdown"))]
+    rows = [(doc_set, name, size, file.read_text(encoding="utf-8", errors="replace")) for name, file, size in sized if include_large or size <= MOST_BYTES]
+    raw = spark.createDataFrame(rows, "doc_set string, rel_path string, size_bytes long, raw string")
+    raw = raw.filter(walkable(F.col("rel_path")) & usable_name(F.element_at(F.split("rel_path", "/", -1), -1)))
+    documents = process(raw, include_large, frontmatter)
+    if path.is_file():
+        out = documents.withColumn("file_ord", F.lit(1))
+        if out.isEmpty():
+            raise EmptyFileSet([str(path)])
+        return out
+    return _project(documents, str(path))
+
+
+def within_caps(files: DataFrame, most_files: int = 5000, most_bytes: int = 104857600) -> DataFrame:
+    """The same files; raises if a doc set exceeds its caps."""
+    over = caps(files, most_files, most_bytes).filter("NOT within_caps").first()
+    if over:
+        raise SourceTooLarge(f"{over['doc_set']} has {over['n_files']} files of {over['n_bytes']} bytes; the caps are {most_files} and {most_bytes}")
+    return files

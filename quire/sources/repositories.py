@@ -10,7 +10,8 @@ import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
-TIMEOUT_SECONDS = 120
+TIMEOUT_SECONDS, SHA = 120, "[0-9a-f]{40}"
+SAFE = ["-c", "protocol.ext.allow=never", "-c", "protocol.file.allow=never", "-c", "core.symlinks=false", "-c", "submodule.recurse=false"]
 Runner = Callable[[list[str], str | None], tuple[int, str, str]]
 
 
@@ -38,7 +39,7 @@ def run_git(arguments: list[str], folder: str | None = None) -> tuple[int, str,
 def _checked(run: Runner, arguments: list[str], folder: str | None = None) -> str:
     code, out, errors = run(arguments, folder)
     if code:
-        raise RepositoryError(f"git {arguments[0]} failed ({code}): {errors.strip()[:500]}")
+        raise RepositoryError(f"git {next(a for a in arguments if a not in SAFE)} failed ({code}): {errors.strip()[:500]}")
     return out
 
 
@@ -46,18 +47,20 @@ def head_of(url: str, ref: str | None, run: Runner = run_git) -> str:
     """The commit a ref points to."""
     out = _checked(run, ["ls-remote", "--", url, ref or "HEAD"])
     first = out.split("\n", 1)[0].split("\t")[0].strip()
-    if not re.fullmatch("[0-9a-f]{40}", first):
+    if not re.fullmatch(SHA, first):
         raise RepositoryError(f"no commit for {ref or 'HEAD'} of {url}")
     return first
 
 
 @contextlib.contextmanager
 def checkout(url: str, sha: str, run: Runner = run_git) -> Iterator[Path]:
-    """A temporary shallow clone at a commit; always removed."""
+    """A temporary shallow clone at a commit; always removed. No helper protocols, local remotes, links or submodules."""
+    if not re.fullmatch(SHA, sha):
+        raise RepositoryError(f"{sha!r} isn't a commit's hash")
     with tempfile.TemporaryDirectory(prefix="quire-clone-") as folder:
-        _checked(run, ["clone", "--depth", "1", "--filter=blob:none", "--no-checkout", "--", url, folder])
-        _checked(run, ["fetch", "--depth", "1", "origin", sha], folder)
-        _checked(run, ["checkout", "--detach", sha], folder)
+        _checked(run, [*SAFE, "clone", "--depth", "1", "--filter=blob:none", "--no-checkout", "--no-recurse-submodules", "--", url, folder])
+        _checked(run, [*SAFE, "fetch", "--depth", "1", "--no-recurse-submodules", "--", "origin", sha], folder)
+        _checked(run, [*SAFE, "checkout", "--detach", sha], folder)
         yield Path(folder)
 
 

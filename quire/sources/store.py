@@ -28,6 +28,7 @@ RECORD_SCHEMA = (
 )
 REGISTRY_SCHEMA = "name string, skill_path string, scope string, last_check timestamp, update_available boolean"
 STALE_LOCK_SECONDS = 600
+HOOK_COMMAND = "quire refresh --hook"
 
 
 def parse_records(raw: DataFrame) -> DataFrame:
@@ -63,18 +64,29 @@ def write_atomic(path: Path, text: str) -> None:
     os.replace(name, path)
 
 
+def _abandoned(path: Path, stale_seconds: float) -> bool:
+    """By the time in the lock's payload, or the file's own where that isn't readable."""
+    since = path.stat().st_mtime
+    with contextlib.suppress(ValueError, TypeError, KeyError):
+        payload = json.loads(path.read_text(encoding="utf-8"))
+        if all(isinstance(payload[k], int | float) for k in ("pid", "timestamp")):
+            since = payload["timestamp"] / 1000
+    return time.time() - since >= stale_seconds
+
+
 @contextlib.contextmanager
 def lock(path: Path, stale_seconds: float = STALE_LOCK_SECONDS, wait_seconds: float = 5) -> Iterator[None]:
-    """An advisory lock file; one older than ``stale_seconds`` is taken over by renaming it away first."""
+    """An advisory lock file with its holder and time; an abandoned one is taken over by renaming it away first."""
     path.parent.mkdir(parents=True, exist_ok=True)
     until = time.time() + wait_seconds
     while True:
         try:
-            os.close(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            with os.fdopen(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY), "w") as file:
+                json.dump({"pid": os.getpid(), "timestamp": int(time.time() * 1000)}, file)
             break
         except FileExistsError:
             with contextlib.suppress(FileNotFoundError):
-                if time.time() - path.stat().st_mtime >= stale_seconds:
+                if _abandoned(path, stale_seconds):
                     claim = path.with_suffix(f".stale-{os.getpid()}-{time.time_ns()}")
                     os.rename(path, claim)
                     claim.unlink(missing_ok=True)
@@ -110,8 +122,63 @@ def save_registry(registry: DataFrame, path: Path) -> None:
         write_atomic(path, json.dumps({"version": 1, "entries": rows}, indent=2))
 
 
-def write_record(folder: Path, record: dict) -> None:
-    write_atomic(folder / RECORD_FILE, json.dumps(record, indent=2, default=str) + "\n")
+class InvalidRecord(ValueError):
+    """A record fails its checks."""
+
+
+def record_text(record: dict) -> str:
+    return json.dumps(record, indent=2, default=str) + "\n"
+
+
+def checked_record(spark: SparkSession, record: dict) -> str:
+    """The JSON of a valid record; raises with the names of the checks that fail."""
+    text = record_text(record)
+    failed = parse_records(spark.createDataFrame([("", text)], "skill_path string, json string")).first()["violations"]
+    if failed:
+        raise InvalidRecord(f"record of {record.get('name')!r} fails: {', '.join(failed)}")
+    return text
+
+
+def write_record(folder: Path, record: dict, spark: SparkSession | None = None) -> None:
+    """Writes a record; with a session only if it is valid."""
+    write_atomic(folder / RECORD_FILE, checked_record(spark, record) if spark else record_text(record))
+
+
+class UnreadableSettings(ValueError):
+    """A settings file isn't a JSON object; it is left alone."""
+
+
+def read_settings(path: Path) -> dict | None:
+    """A settings file's object; None if there is no file."""
+    if not path.exists():
+        return None
+    try:
+        found = json.loads(path.read_text(encoding="utf-8"))
+    except ValueError as bad:
+        raise UnreadableSettings(str(path)) from bad
+    if not isinstance(found, dict):
+        raise UnreadableSettings(str(path))
+    return found
+
+
+def has_hook(settings: dict | None) -> bool:
+    """Whether a startup entry runs the refresh command."""
+    hooks = (settings or {}).get("hooks")
+    entries = hooks.get("SessionStart") if isinstance(hooks, dict) else None
+    lists = [e["hooks"] for e in entries if isinstance(e, dict) and isinstance(e.get("hooks"), list)] if isinstance(entries, list) else []
+    return any(isinstance(h, dict) and h.get("command") == HOOK_COMMAND for own in lists for h in own)
+
+
+def install_hook(path: Path) -> bool:
+    """Adds the startup entry behind all that is there, atomically; False if it is there already."""
+    settings = read_settings(path) or {}
+    if has_hook(settings):
+        return False
+    hooks = settings.get("hooks") if isinstance(settings.get("hooks"), dict) else {}
+    entries = hooks.get("SessionStart") if isinstance(hooks.get("SessionStart"), list) else []
+    entry = {"matcher": "startup", "hooks": [{"type": "command", "command": HOOK_COMMAND, "timeout": 60}]}
+    write_atomic(path, json.dumps(settings | {"hooks": hooks | {"SessionStart": [*entries, entry]}}, indent=2) + "\n")
+    return True
 
 
 def write_tree(folder: Path, files: Iterator[tuple[str, str]], owned: Callable[[Path], bool] | None = None) -> None:
