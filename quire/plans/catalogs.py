@@ -150,9 +150,51 @@ VIOLATIONS_SQL = """SELECT name, array_to_string(list_filter([
   CASE WHEN c % 11 = 0 OR c % 13 = 0 THEN 'generated_files' END], lambda x: x IS NOT NULL), ',') AS violations FROM records"""
 
 
-@query(f"WITH {RECORDS_SQL} {VIOLATIONS_SQL}")
+BROKEN_SQL = f"""WITH {RECORDS_SQL}, broken AS (SELECT name AS was, c % 11 = 0 AS up, c % 13 = 0 AS absolute, token_budget, k,
+  CASE c % 14 WHEN 0 THEN '1.2' WHEN 10 THEN '1.2.3-rc.1' WHEN 11 THEN 'v1.2.3' ELSE '1.2.3' END AS engine_version, CASE WHEN c % 14 = 1 THEN 0 ELSE 1 END AS slicer_version, CASE WHEN c % 14 = 2 THEN upper(name) ELSE name END AS name,
+  CASE WHEN c % 14 = 3 THEN 'svn' ELSE type END AS type, CASE WHEN c % 14 = 4 THEN replace(url, 'https:', 'http:') WHEN c % 14 = 12 THEN replace(url, 'github.com', 'github.com.evil.org') ELSE url END AS url,
+  CASE WHEN c % 14 = 5 THEN 'xyz' WHEN c % 14 = 13 THEN upper(pinned_sha) ELSE pinned_sha END AS pinned_sha, CASE WHEN c % 14 = 6 THEN 'sha256:1' ELSE source_hash END AS source_hash,
+  CASE WHEN c % 14 = 7 THEN -1 ELSE check_interval_hours END AS hours, CASE WHEN c % 14 = 8 THEN NULL ELSE last_refresh END AS last_refresh, CASE WHEN c % 14 = 9 THEN [] ELSE ['SKILL.md', generated] END AS files FROM records)
+SELECT was AS name, array_to_string(list_filter([
+  CASE WHEN NOT regexp_full_match(engine_version, '\\d+[.]\\d+[.]\\d+(-[0-9A-Za-z.-]+)?') THEN 'engine_version' END, CASE WHEN slicer_version < 1 THEN 'slicer_version' END,
+  CASE WHEN NOT regexp_full_match(name, '[a-z0-9][a-z0-9-]*') OR length(name) > 64 THEN 'name' END,
+  CASE WHEN NOT (type = 'path' OR type = 'github' AND starts_with(url, 'https://github.com/')) THEN 'source' END,
+  CASE WHEN pinned_sha IS NOT NULL AND NOT regexp_full_match(pinned_sha, '[0-9a-f]{{40}}') THEN 'pinned_sha' END, CASE WHEN NOT regexp_full_match(source_hash, 'sha256:[0-9a-f]{{64}}') THEN 'source_hash' END,
+  CASE WHEN token_budget <> floor(token_budget) OR token_budget < 500 OR token_budget > 100000 THEN 'token_budget' END, CASE WHEN hours < 0 THEN 'check_interval_hours' END, CASE WHEN last_refresh IS NULL THEN 'last_refresh' END,
+  CASE WHEN len(files) = 0 OR len(list_filter(files, lambda f: f = '' OR starts_with(f, '/') OR list_contains(str_split(f, '/'), '..'))) > 0 THEN 'generated_files' END], lambda x: x IS NOT NULL), ',') AS violations FROM broken"""
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records each of whose checks fails somewhere; ``was`` keeps the name."""
+    rows = records(spark, sf_dir).withColumn("was", F.col("name"))
+    key = F.substring("name", 5, 20).cast("long") % 14
+    when = lambda n, value, column: F.when(key == n, value).otherwise(column)
+    s = F.col("source")
+    url = F.when(key == 4, F.replace(s["url"], F.lit("https:"), F.lit("http:"))).when(key == 12, F.replace(s["url"], F.lit("github.com"), F.lit("github.com.evil.org"))).otherwise(s["url"])
+    return rows.withColumns({
+        "engine_version": F.when(key == 0, "1.2").when(key == 10, "1.2.3-rc.1").when(key == 11, "v1.2.3").otherwise(F.col("engine_version")),
+        "slicer_version": when(1, F.lit(0), F.col("slicer_version")),
+        "name": when(2, F.upper("name"), F.col("name")),
+        "source": F.struct(when(3, F.lit("svn"), s["type"]).alias("type"), url.alias("url"), s["subpath"].alias("subpath"), s["path"].alias("path"), s["kind"].alias("kind")),
+        "pinned_sha": F.when(key == 5, "xyz").when(key == 13, F.upper("pinned_sha")).otherwise(F.col("pinned_sha")),
+        "source_hash": when(6, F.lit("sha256:1"), F.col("source_hash")),
+        "check_interval_hours": when(7, F.lit(-1.0), F.col("check_interval_hours")),
+        "last_refresh": when(8, F.lit(None), F.col("last_refresh")),
+        "generated_files": when(9, F.array().cast("array<string>"), F.col("generated_files")),
+    })
+
+
+@query(BROKEN_SQL)
 def p_record_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cat.violations(records(spark, sf_dir)).select("name", F.array_join("violations", ",").alias("violations"))
+    return cat.violations(_broken(spark, sf_dir)).select(F.col("was").alias("name"), F.array_join("violations", ",").alias("violations"))
+
+
+@query(f"""WITH {RECORDS_SQL}, p AS (SELECT name, unnest([generated, '', 'a/../b', '..', 'a..b/c', 'C:' || chr(92) || 'x', chr(92) || chr(92) || 'host', 'a' || chr(92) || '..' || chr(92) || 'b', 'ok/' || CAST(k AS VARCHAR) || '.md']) AS path FROM records)
+SELECT name, path, path <> '' AND NOT starts_with(path, '/') AND NOT starts_with(path, chr(92) || chr(92)) AND NOT (ascii(lower(path)) BETWEEN 97 AND 122 AND substr(path, 2, 1) = ':' AND substr(path, 3, 1) IN ('/', chr(92)))
+  AND NOT list_contains(str_split(replace(path, chr(92), '/'), '/'), '..') AS ok FROM p""")
+def p_generated_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = [F.element_at("generated_files", -1), *[F.lit(x) for x in ("", "a/../b", "..", "a..b/c", "C:\\x", "\\\\host", "a\\..\\b")], F.concat(F.lit("ok/"), F.regexp_extract(F.element_at("generated_files", -1), "([0-9]+)[.]md", 1), F.lit(".md"))]
+    return records(spark, sf_dir).select("name", F.explode(F.array(*own)).alias("path")).select("name", "path", cat.valid_generated_path(F.col("path")).alias("ok"))
 
 
 @query(f"WITH {RECORDS_SQL} SELECT name, token_budget = floor(token_budget) AND token_budget BETWEEN 500 AND 100000 AS ok FROM records")
@@ -160,11 +202,6 @@ def p_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).select("name", cat.valid_budget(F.col("token_budget")).alias("ok"))
 
 
-@query(f"WITH {RECORDS_SQL} SELECT name, c % 11 > 0 AND c % 13 > 0 AS ok FROM records")
-def p_generated_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).select("name", F.forall("generated_files", cat.valid_generated_path).alias("ok"))
-
-
 @query("SELECT c_custkey, regexp_full_match(c_name, '[a-z0-9][a-z0-9-]*') AS raw_ok, regexp_full_match(lower(replace(c_name, '#', '-')), '[a-z0-9][a-z0-9-]*') AS lower_ok FROM customer")
 def p_valid_skill_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
@@ -369,11 +406,16 @@ def src_github_url_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", urls.parse_repository_url(raw).alias("p")).select("page_id", "p.url", "p.ref", "p.subpath")
 
 
-@query("SELECT page_id, page_id % 3 = 0 AS port FROM pages")
+PORT_SQL = "CASE page_id % 5 WHEN 0 THEN regexp_replace(url, '^(https?://[^/]+)', '\\1:8443') WHEN 1 THEN regexp_replace(url, '^(https?://)', '\\1u:9@') WHEN 2 THEN regexp_replace(url, '^(https?://[^/]+)', '\\1:443') WHEN 3 THEN url || ':80' ELSE url END"
+
+
+@query(f"SELECT page_id, coalesce(regexp_matches(split_part(regexp_extract(u, '^[^:]*://([^/?#]*)', 1), '@', -1), ':[0-9]+$'), FALSE) AS port FROM (SELECT page_id, {PORT_SQL} AS u FROM pages)")
 def p_explicit_port(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs with ports, with credentials that look like one, and with a port's look in the path."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    with_port = F.regexp_replace("url", "^(https?://[^/]+)", F.lit("$1:8443"))
-    return pages.select("page_id", urls.explicit_port(F.when(F.col("page_id") % 3 == 0, with_port).otherwise(F.col("url"))).alias("port"))
+    put = lambda pattern, text: F.regexp_replace("url", pattern, text)
+    url = F.element_at(F.array(put("^(https?://[^/]+)", "$1:8443"), put("^(https?://)", "$1u:9@"), put("^(https?://[^/]+)", "$1:443"), F.concat("url", F.lit(":80")), F.col("url")), (F.col("page_id") % 5 + 1).cast("int"))
+    return pages.select("page_id", urls.explicit_port(url).alias("port"))
 
 
 FILES_SQL = """tree AS (SELECT doc_id, 'set-' || CAST(doc_id // 10 AS VARCHAR) AS doc_set, CASE doc_id % 10 WHEN 0 THEN 'README.md' WHEN 1 THEN CASE WHEN doc_id // 10 % 3 > 0 THEN 'docs/a.md' ELSE 'guide/a.md' END WHEN 2 THEN 'documentation/b.mdx' WHEN 3 THEN '.git/c.md'

@@ -196,3 +196,29 @@ def inc_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = c.registry(spark, sf_dir).join(c.records(spark, sf_dir).drop("name"), "skill_path", "left")
     return rows.select("name", "scope", F.when(F.col("source").isNull(), "stale").otherwise(dispatch(F.col("source.type"), True, False, F.lit(True))).alias("action"))
+
+
+HOOKS_SQL = """h AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE list_transform(range(c_custkey % 4), lambda i: {'hooks': CASE WHEN (c_custkey + i) % 5 = 0 THEN NULL ELSE
+  list_transform(range((c_custkey + i) % 3), lambda j: {'command': CASE WHEN (c_custkey + i + j) % 6 = 0 THEN 'quire refresh --hook' WHEN (c_custkey + j) % 4 = 0 THEN NULL ELSE 'other' END}) END}) END AS entries FROM customer)"""
+
+
+@query(f"WITH {HOOKS_SQL} SELECT c_custkey, coalesce(list_bool_or(list_transform(entries, lambda e: coalesce(list_bool_or(list_transform(e.hooks, lambda h: coalesce(h.command = 'quire refresh --hook', FALSE))), FALSE))), FALSE) AS present FROM h")
+def p_has_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Startup entries of several shapes, null lists and null commands among them."""
+    key = F.col("c_custkey")
+    upto = lambda n: F.slice(F.array(*[F.lit(i) for i in range(4)]), F.lit(1), n.cast("int"))
+    command = lambda i, j: F.when((key + i + j) % 6 == 0, store.HOOK_COMMAND).when((key + j) % 4 != 0, "other")
+    hooks = lambda i: F.when((key + i) % 5 != 0, F.transform(upto((key + i) % 3), lambda j: F.struct(command(i, j).alias("command"))))
+    entries = F.when(key % 7 != 0, F.transform(upto(key % 4), lambda i: F.struct(hooks(i).alias("hooks"))))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", entries.alias("entries"))
+    return rows.select("c_custkey", cat.has_hook(F.col("entries"), store.HOOK_COMMAND).alias("present"))
+
+
+@query("""WITH l AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '{"pid": 7, "timestamp": ' || CAST(o_custkey * 1000 AS VARCHAR) || '}' WHEN 1 THEN '{"pid": 7}' WHEN 2 THEN '{"pid": "x", "timestamp": 1}' ELSE 'no payload' END AS content,
+  o_custkey * 2000 AS modified FROM orders)
+SELECT o_orderkey, 1500000 - CASE WHEN o_orderkey % 4 = 0 THEN CAST(json_extract(content, '$.timestamp') AS BIGINT) ELSE modified END >= 600000 AS stale FROM l""")
+def p_lock_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    kind, time = F.col("o_orderkey") % 4, (F.col("o_custkey") * 1000).cast("string")
+    content = F.when(kind == 0, F.concat(F.lit('{"pid": 7, "timestamp": '), time, F.lit("}"))).when(kind == 1, '{"pid": 7}').when(kind == 2, '{"pid": "x", "timestamp": 1}').otherwise("no payload")
+    return orders.select("o_orderkey", cat.lock_stale(content, F.col("o_custkey") * 2000.0, F.lit(1_500_000.0)).alias("stale"))

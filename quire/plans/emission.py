@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.operators import plan, render, tree
+from quire.operators import catalog, plan, render, tree
 from quire.plans.documents import SIZED_SQL, TRIM, path_text, slug_sql
 from quire.runtime import materialize
 from quire.sources.corpus import corpus
@@ -274,3 +274,16 @@ def r_subtree_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     section = render.nonempty(F.concat(F.repeat(F.lit("#"), F.col("depth")), F.lit(" "), F.col("name")), F.col("body"))
     out = rows.withColumn("section", section).groupBy("doc_set", "top").agg(render.joined("section", "path", "\n\n").alias("markdown"))
     return out.select("doc_set", path_text("top").alias("path"), "markdown")
+
+
+@query(PLAN_SQL + """, flagged AS (SELECT doc_set, relative_path, emit_ord AS line, 'role-marker' AS pattern, name AS excerpt FROM fits WHERE emit_ord % 7 = 0),
+shown AS (SELECT DISTINCT doc_set, '0' AS place, 'Skill name: ' || doc_set AS line FROM fits UNION ALL SELECT DISTINCT doc_set, '1', 'Description: Docs of ' || doc_set FROM fits UNION ALL SELECT DISTINCT doc_set, '2', 'Sections:' FROM fits
+  UNION ALL SELECT doc_set, '3.' || lpad(CAST(emit_ord AS VARCHAR), 10, '0'), '  ' || relative_path FROM fits
+  UNION ALL SELECT doc_set, '4', 'Injection scan flagged ' || CAST(count(*) AS VARCHAR) || ' finding(s):' FROM flagged GROUP BY doc_set
+  UNION ALL SELECT doc_set, '5.' || relative_path || '.' || lpad(CAST(line AS VARCHAR), 10, '0') || '.' || pattern, '  ' || relative_path || ':' || CAST(line AS VARCHAR) || ' [' || pattern || '] ' || excerpt FROM flagged)
+SELECT doc_set, place, line FROM shown""")
+def c_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preview of every doc set; each seventh file stands in for a finding."""
+    planned = _planned(spark, sf_dir)[0]
+    found = planned.filter("emit_ord % 7 = 0").select("doc_set", "relative_path", F.col("emit_ord").alias("line"), F.lit("role-marker").alias("pattern"), F.col("name").alias("excerpt"))
+    return catalog.preview(planned, found, F.concat(F.lit("Docs of "), "doc_set")).select("doc_set", F.array_join("at", ".").alias("place"), "line")
