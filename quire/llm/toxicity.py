@@ -116,6 +116,29 @@ class Grammar:
         return found
 
 
+class Symbols(dict):
+    """Token -> symbol under a lexicon, filled as tokens come."""
+
+    def __init__(self, lexicon: Lexicon):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, token: str) -> str:
+        plain = token.replace("'", "").replace("’", "")
+        if token in CLAUSE_END:
+            symbol = "/" if token == "\n" else "." if token in ".!?" else ","
+        elif token not in QUOTES and self.lexicon.weight(token) > 0:
+            symbol = "I"
+        else:
+            symbol = next((s for s, words in CLASSES if plain in words), "O")
+        self[token] = symbol
+        return symbol
+
+
+CLASSES = (("V", VIOLENCE), ("Q", QUOTES), ("Y", TARGETS), ("N", NEGATORS), ("W", INTENT), ("R", REPORTERS))
+MAX_KNOWN = 500_000
+
+
 @dataclass
 class Lexicon:
     stems: dict[str, float]
@@ -123,19 +146,27 @@ class Lexicon:
 
     def __post_init__(self) -> None:
         self.heads = {s[:3] for s in self.stems if s[0] != "="}
+        self.symbols = Symbols(self)
 
-    def weight(self, word: str) -> float:
-        """The largest weight of the word itself or of its stems; 0 if it is no insult."""
-        got = self.known.get(word)
+    def weight(self, token: str) -> float:
+        """The largest weight of a token, its parts around apostrophes or their stems; 0 if it is no insult."""
+        got = self.known.get(token)
         if got is None:
-            got = max(self.stems.get("=" + word, 0.0), SEED_WEIGHT if word in SEEDS else 0.0)
-            if word[:3] in self.heads:
-                got = max(got, *(self.stems.get(word[:n], 0.0) for n in STEM_LENGTHS))
-            if len(self.known) > 500_000:
-                self.known.clear()
-            self.known[word] = got
+            got = 0.0
+            for word in [token, *re.split("['’]", token)] if "'" in token or "’" in token else (token,):
+                got = max(got, self.stems.get("=" + word, 0.0), SEED_WEIGHT if word in SEEDS else 0.0)
+                if word[:3] in self.heads:
+                    got = max(got, *(self.stems.get(word[:n], 0.0) for n in STEM_LENGTHS))
+            self.known[token] = got
         return got
 
+    def read(self, tokens: list[str]) -> str:
+        """The symbols of tokens. What is remembered of words is bounded between texts."""
+        if len(self.symbols) > MAX_KNOWN:
+            self.symbols.clear()
+            self.known.clear()
+        return "".join(map(self.symbols.__getitem__, tokens))
+
 
 def stems_of(text: str) -> set[str]:
     out: set[str] = set()
@@ -150,51 +181,38 @@ N_FEATURES = 6 + len(LEVELS)
 _grammar = Grammar()
 
 
-def symbols(text: str, lexicon: Lexicon) -> Iterator[tuple[str, float]]:
-    """(symbol, lexicon weight) of every token of a lower-cased text; an insult is one by itself or by a part around an apostrophe."""
-    known: dict[str, tuple[str, float]] = {}
-    for token in TOKEN.findall(text):
-        found = known.get(token)
-        if found is None:
-            parts = [token, *re.split("['’]", token)] if "'" in token or "’" in token else [token]
-            weight = 0.0 if token in CLAUSE_END or token in QUOTES else max(map(lexicon.weight, parts))
-            plain = token.replace("'", "").replace("’", "")
-            if token in CLAUSE_END:
-                symbol = "/" if token == "\n" else "." if token in ".!?" else ","
-            elif weight > 0:
-                symbol = "I"
-            else:
-                symbol = next((s for s, words in CLASSES if plain in words), "O")
-            found = known[token] = symbol, weight
-        yield found
+CLAUSE = re.compile("[^,./]+")
 
 
-CLASSES = (("V", VIOLENCE), ("Q", QUOTES), ("Y", TARGETS), ("N", NEGATORS), ("W", INTENT), ("R", REPORTERS))
+def tokens_of(text: str | None) -> list[str]:
+    return TOKEN.findall((text or "").lower())
 
 
-def clause_scores(text: str | None, lexicon: Lexicon, grammar: Grammar = _grammar) -> tuple[list[float], int]:
+def clause_scores(tokens: list[str], lexicon: Lexicon, grammar: Grammar = _grammar) -> tuple[list[float], int]:
     """Scores of the matched clauses of a text, and how many clauses it has."""
+    symbols = lexicon.read(tokens)
+    n = len(CLAUSE.findall(symbols))
+    if "I" not in symbols and "V" not in symbols:  # no clause can match
+        return [], n
     scores: list[float] = []
-    state, clause, matched, some, n = 0, 0.0, False, False, 0
-    for symbol, weight in symbols((text or "").lower(), lexicon):
-        if symbol in ENDS:
-            if matched:
-                scores.append(max(clause, 0.0))
-            n += some
-            clause, matched, some = 0.0, False, False
-        else:
-            some = True
-            matched = matched or symbol in "IV"
-        state, got = grammar.arc(state, symbol)
-        clause += got * weight if symbol == "I" else got
+    state, clause, matched, arcs = 0, 0.0, False, grammar.arcs
+    for at, symbol in enumerate(symbols):
+        if matched and symbol in ENDS:
+            scores.append(max(clause, 0.0))
+            clause, matched = 0.0, False
+        state, got = arcs[state].get(symbol) or grammar.arc(state, symbol)
+        if symbol == "I":
+            clause, matched = clause + got * lexicon.weight(tokens[at]), True
+        elif symbol == "V":
+            clause, matched = clause + got, True
     if matched:
         scores.append(max(clause, 0.0))
-    return scores, n + some
+    return scores, n
 
 
-def features(text: str | None, lexicon: Lexicon) -> list[float]:
+def features(tokens: list[str], lexicon: Lexicon) -> list[float]:
     """The three best clause scores, their sum, how many reach each level, their sum by clause, and the number of clauses."""
-    scores, n = clause_scores(text, lexicon)
+    scores, n = clause_scores(tokens, lexicon)
     top = sorted(scores, reverse=True)[:3] + [0.0] * 3
     total = sum(scores)
     return [*top[:3], math.log1p(total), *(math.log1p(sum(s >= level for s in scores)) for level in LEVELS), math.log1p(100 * total / max(1, n)), math.log1p(n)]
@@ -272,9 +290,13 @@ def _features(rows: DataFrame, lexicons: dict[tuple[int, int], dict[str, float]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {(split, half): Lexicon(lexicons[split, 1 - half]) for split, half in lexicons}
         for batch in batches:
-            for split in range(SPLITS):
-                got = [features(t.as_py(), own[split, cell >> split & 1]) for t, cell in zip(batch.column("text"), batch.column("cell").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64())), batch.column("label")], names=["x", "label"])
+            got: list[list[list[float]]] = [[] for _ in range(SPLITS)]
+            for text, cell in zip(batch.column("text"), batch.column("cell").to_pylist(), strict=True):
+                tokens = tokens_of(text.as_py())
+                for split in range(SPLITS):
+                    got[split].append(features(tokens, own[split, cell >> split & 1]))
+            for rows_of in got:
+                yield pa.RecordBatch.from_arrays([pa.array(rows_of, pa.list_(pa.float64())), batch.column("label")], names=["x", "label"])
 
     table = rows.select("text", "cell", "label").mapInArrow(run, "x array<double>, label int").toPandas()
     x, y = np.array(table["x"].tolist()).reshape(-1, N_FEATURES), table["label"].to_numpy(dtype=float)
@@ -314,7 +336,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(model.lexicon)
         for batch in batches:
-            rows = np.array([features(t.as_py(), lexicon) for t in batch.column("text")]).reshape(-1, N_FEATURES)
+            rows = np.array([features(tokens_of(t.as_py()), lexicon) for t in batch.column("text")]).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(rows))], names=["doc_id", "score"])
 
     ship_code(docs.sparkSession)
@@ -339,7 +361,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(model.lexicon)
         for batch in batches:
-            rows = np.array([features(t.as_py(), lexicon) for t in batch.column(names.index("text"))]).reshape(-1, N_FEATURES)
+            rows = np.array([features(tokens_of(t.as_py()), lexicon) for t in batch.column(names.index("text"))]).reshape(-1, N_FEATURES)
             yield batch.filter(pa.array(model.score(rows) < THRESHOLD))
 
     ship_code(docs.sparkSession)

@@ -47,11 +47,11 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
 
 
 def best(text, lexicon=None):
-    return m.features(text, lexicon or m.Lexicon({}))[0]
+    return m.features(m.tokens_of(text), lexicon or m.Lexicon({}))[0]
 
 
 def total(text):
-    return sum(m.clause_scores(text, m.Lexicon({}))[0])
+    return sum(m.clause_scores(m.tokens_of(text), m.Lexicon({}))[0])
 
 
 def test_context_changes_a_clause_weight():
@@ -82,10 +82,10 @@ def test_reported_speech_ends():
 
 def test_only_matched_clauses_count():
     """Words weigh by their clause: a negated and reported insult is worth nothing, and clauses without a match only lengthen the text."""
-    none, both = m.features("a plain clause", m.Lexicon({})), m.features('this says "not idiot"', m.Lexicon({}))
+    none, both = (m.features(m.tokens_of(t), m.Lexicon({})) for t in ("a plain clause", 'this says "not idiot"'))
     assert both[:-2] == none[:-2] == [0.0] * (m.N_FEATURES - 2)
     assert best("that idiot's car") == m.SEED_WEIGHT
-    one, two = m.clause_scores("you idiot, fine", m.Lexicon({})), m.clause_scores("fine, you idiot", m.Lexicon({}))
+    one, two = (m.clause_scores(m.tokens_of(t), m.Lexicon({})) for t in ("you idiot, fine", "fine, you idiot"))
     assert one == two and one[1] == 2 and len(one[0]) == 1
 
 
