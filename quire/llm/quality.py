@@ -179,7 +179,7 @@ def learn(positive: np.ndarray, unlabelled: np.ndarray, rest: DataFrame, mean: n
     prior = NO_PRIOR
     if min(len(p), len(u)) > 20:
         seen = np.concatenate([p[::2], u])[:, :-1]
-        ranker = fit_logistic(seen, np.concatenate([np.ones(len(p[::2])), np.zeros(len(u))]), steps=300)
+        ranker = fit_logistic(seen, np.concatenate([np.ones(len(p[::2])), np.zeros(len(u))]), ridge=1e-3)
         held = ranker.score(p[1::2, :-1])
         passed, n = passing(rest, lambda x: ranker.score(expanded(x, mean, scale)[:, :-1]), thresholds(held))
         prior = class_prior(held, passed, n) if n > 20 else NO_PRIOR
