@@ -136,7 +136,7 @@ class Symbols(dict):
 
 
 CLASSES = (("V", VIOLENCE), ("Q", QUOTES), ("Y", TARGETS), ("N", NEGATORS), ("W", INTENT), ("R", REPORTERS))
-MAX_KNOWN = 500_000
+MAX_KNOWN = 150_000  # words whose symbols a lexicon remembers
 
 
 @dataclass
@@ -157,7 +157,8 @@ class Lexicon:
                 got = max(got, self.stems.get("=" + word, 0.0), SEED_WEIGHT if word in SEEDS else 0.0)
                 if word[:3] in self.heads:
                     got = max(got, *(self.stems.get(word[:n], 0.0) for n in STEM_LENGTHS))
-            self.known[token] = got
+            if got > 0:
+                self.known[token] = got
         return got
 
     def read(self, tokens: list[str]) -> str:
