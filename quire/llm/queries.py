@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import exact_dedup, fill_middle, html_text, licenses, manifest, mixing, packing, quality, simhash, topk, toxicity, warc
+from quire.llm import exact_dedup, fill_middle, html_text, licenses, manifest, mixing, packing, quality, repeats, simhash, topk, toxicity, warc
 
 MODULES = {
     "op1_exact_dedup": exact_dedup,
@@ -17,6 +17,7 @@ MODULES = {
     "op10_quality": quality,
     "op11_merkle_manifest": manifest,
     "op12_fill_in_middle": fill_middle,
+    "op13_suffix_dedup": repeats,
 }
 QUERIES = {name: module.query for name, module in MODULES.items()}
 ORACLES = {name: module.SQL for name, module in MODULES.items() if module.SQL}
