@@ -33,7 +33,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.runtime import materialize, open_store, shared_path, ship_code, spread
+from quire.runtime import discard, materialize, open_store, shared_path, ship_code, spread
 
 WINDOW, ANCHOR, BATCHES = 50, 20, 4
 SLICE, BLOCK = 1 << 19, 1 << 25  # bytes hashed at a time; bytes of texts whose passages are packed together
@@ -86,6 +86,8 @@ def anchored(data: np.ndarray, lengths: np.ndarray, window: int = WINDOW, anchor
     order = (hashes & U(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=U)
     at = (sliding_min(order, window - anchor + 1) & U(0xFFFFFFFF)).astype(np.int64)
     counts = np.maximum(lengths - window + 1, 0)
+    if not counts.any():
+        return none, none, none, none, none.view(U)
     starts = np.cumsum(lengths) - lengths
     document = np.repeat(np.arange(len(lengths)), counts)
     place = np.arange(len(document)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[document]
@@ -101,8 +103,8 @@ class Slice:
     def __init__(self, ids: list[int | None], texts: list[bytes], window: int, anchor: int):
         self.ids, self.texts = ids, texts
         self.lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        self.raw = b"".join(texts)
-        self.data = np.frombuffer(self.raw, dtype=np.uint8)
+        self.order = np.fromiter((LAST if i is None else i for i in ids), dtype=np.int64, count=len(ids))
+        self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         self.document, self.start, self.windows, self.at, self.hash = anchored(self.data, self.lengths, window, anchor)
 
 
@@ -133,7 +135,7 @@ def blocks(path: str, window: int, anchor: int) -> Iterator[tuple[int, list[Slic
     held, size, number = [], 0, 0
     for one in slices(rows(), window, anchor):
         held.append(one)
-        size += len(one.raw)
+        size += len(one.data)
         if size >= BLOCK:
             yield number, held
             held, size, number = [], 0, number + 1
@@ -239,29 +241,58 @@ class Shared:
 PASSAGES = "batch int, shard int, file string, block int, passages binary"
 
 
-def occurrences(held: list[Slice], shared: Shared | None, window: int) -> Iterator[tuple[Slice, np.ndarray, list[bytes]]]:
-    """Slice by slice: which of its passages may repeat, and their bytes."""
-    for one in held:
-        rows = np.flatnonzero(shared.holds(one.hash)) if shared else np.arange(len(one.hash))
-        ends = one.start[rows] + one.windows[rows] + (window - 1)
-        yield one, rows, [one.raw[a:b] for a, b in zip(one.start[rows].tolist(), ends.tolist(), strict=True)]
+def gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.BinaryArray:
+    """Strings of ``data`` that may overlap."""
+    ends = np.cumsum(length)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[at]))])
+
+
+def bounds_of(texts: pa.BinaryArray) -> np.ndarray:
+    """Where texts begin in their buffer, and where the last ends."""
+    if not len(texts):
+        return np.zeros(1, dtype=np.int64)
+    return np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+
+
+def joined(arrays: list[pa.BinaryArray]) -> pa.BinaryArray:
+    return pa.concat_arrays(arrays) if arrays else pa.array([], pa.binary())
+
+
+def numbered(texts: pa.BinaryArray) -> tuple[np.ndarray, pa.BinaryArray, np.ndarray]:
+    """(number of every text, the distinct ones in order of occurrence, where each occurs first)."""
+    found = texts.dictionary_encode()
+    number = found.indices.to_numpy().astype(np.int64)
+    first = np.empty(len(found.dictionary), dtype=np.int64)
+    first[number[::-1]] = np.arange(len(number))[::-1]
+    return number, found.dictionary, first
 
 
-def block_passages(held: list[Slice], shared: Shared | None, window: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+def least_of(number: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(n, LAST)
+    np.minimum.at(out, number, values)
+    return out
+
+
+def occurrences(held: list[Slice], shared: Shared | None, window: int) -> tuple[list[np.ndarray], pa.BinaryArray]:
+    """Which passages of each slice may repeat, and the bytes of all of them."""
+    rows = [np.flatnonzero(shared.holds(one.hash)) if shared else np.arange(len(one.hash)) for one in held]
+    texts = [gathered(one.data, one.start[r], one.windows[r] + (window - 1)) for one, r in zip(held, rows, strict=True)]
+    return rows, joined(texts)
+
+
+def document_ids(one: Slice, rows: np.ndarray) -> np.ndarray:
+    return one.order[one.document[rows]]
+
+
+def block_passages(held: list[Slice], shared: Shared | None, window: int) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct passages of a block in order of occurrence: bytes, anchor's place in them, its hash, smallest document id."""
-    known: dict[bytes, int] = {}
-    offset, hashes, least = [], [], []
-    for one, rows, found in occurrences(held, shared, window):
-        ids = np.array([LAST if i is None else i for i in one.ids], dtype=np.int64)[one.document[rows]].tolist()
-        for passage, doc_id, at, h in zip(found, ids, (one.at[rows] - one.start[rows]).tolist(), one.hash[rows].tolist(), strict=True):
-            i = known.setdefault(passage, len(known))
-            if i == len(least):
-                offset.append(at)
-                hashes.append(h)
-                least.append(doc_id)
-            elif doc_id < least[i]:
-                least[i] = doc_id
-    return list(known), np.array(offset, dtype=np.int64), np.array(hashes, dtype=U), np.array(least, dtype=np.int64)
+    rows, texts = occurrences(held, shared, window)
+    number, distinct, first = numbered(texts)
+    every = lambda f, kind: np.concatenate([np.empty(0, dtype=kind), *(f(one, r) for one, r in zip(held, rows, strict=True))])
+    offset = every(lambda one, r: one.at[r] - one.start[r], np.int64)
+    return distinct, offset[first], every(lambda one, r: one.hash[r], U)[first], least_of(number, every(document_ids, np.int64), len(distinct))
 
 
 def passages(hits: DataFrame, shards: int, bounds: list[int], window: int, anchor: int) -> DataFrame:
@@ -274,7 +305,7 @@ def passages(hits: DataFrame, shards: int, bounds: list[int], window: int, ancho
             found, offset, hashes, least = block_passages(held, shared, window)
             batch, shard = np.searchsorted(np.array(bounds, dtype=np.int64), least, side="right"), (hashes % U(shards)).astype(np.int64)
             order = np.lexsort((shard, batch))
-            texts = pa.array(found, pa.binary()).take(pa.array(order))
+            texts = found.take(pa.array(order))
             for i, n in zip(*runs_of((batch * shards + shard)[order]), strict=True):
                 rows = order[i : i + n]
                 blob = packed(text=texts.slice(i, n), offset=pa.array(offset[rows].astype(np.uint16)), least=pa.array(least[rows]), number=pa.array(rows.astype(np.int32)))
@@ -292,40 +323,62 @@ OUT = "shard int, kind string, file string, block int, packed binary"
 
 
 class Level:
-    """Distinct passages, sorted by the suffixes at their anchors: texts, anchors' places, and runs of windows with their first document."""
+    """Distinct passages, sorted by the suffixes at their anchors: texts, anchors' places, and the first document of their windows.
 
-    def __init__(self, text: list[bytes], offset: np.ndarray, least: list[np.ndarray]):
-        self.text, self.offset, self.least = text, offset, least
+    ``first`` has it where it is the same for all windows; ``mixed`` has the others' first documents, window by window."""
 
-    @staticmethod
-    def sorted_by_suffix(text: list[bytes], offset: np.ndarray) -> np.ndarray:
-        keys = [(t[o:], t[:o]) for t, o in zip(text, offset.tolist(), strict=True)]
-        return np.array(sorted(range(len(keys)), key=keys.__getitem__), dtype=np.int64)  # sorted runs, as of levels, are merged
+    def __init__(self, text: pa.BinaryArray, offset: np.ndarray, first: np.ndarray, mixed: dict[int, np.ndarray]):
+        self.text, self.offset, self.first, self.mixed = text, offset, first, mixed
 
-    def pack(self) -> bytes:
-        sizes = np.array([len(x) for x in self.least], dtype=np.int32)
-        flat = np.concatenate([np.empty(0, dtype=np.int64), *self.least])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat))
-        return packed(text=pa.array(self.text, pa.binary()), offset=pa.array(self.offset.astype(np.uint16)), least=lists)
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(bounds_of(self.text))
 
-    @classmethod
-    def unpack(cls, data: bytes) -> Level:
-        batch = unpacked(data)
-        lists = batch.column("least")
-        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-        return cls(batch.column("text").to_pylist(), batch.column("offset").to_numpy().astype(np.int64), np.split(flat, ends[1:-1]) if batch.num_rows else [])
+    def suffixes(self) -> pa.BinaryArray:
+        """Every passage from its anchor on, then what is before it."""
+        size, begin = self.sizes, bounds_of(self.text)[:-1]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+        turned = np.repeat(begin, size) + (at + np.repeat(self.offset, size)) % np.repeat(size, size)
+        data = np.frombuffer(self.text.buffers()[2] or b"", dtype=np.uint8)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[turned]))])
 
     def anchors(self, width: int) -> np.ndarray:
-        return np.array([t[o : o + width] for t, o in zip(self.text, self.offset.tolist(), strict=True)], dtype=f"S{width}")
+        begin = bounds_of(self.text)[:-1] + self.offset
+        data = np.frombuffer(self.text.buffers()[2] or b"", dtype=np.uint8)
+        return np.ascontiguousarray(data[begin[:, None] + np.arange(width)]).view(f"S{width}").ravel() if len(begin) else np.empty(0, dtype=f"S{width}")
+
+    def windows(self, i: int, window: int) -> np.ndarray:
+        return self.mixed[i] if i in self.mixed else np.full(len(self.text[i].as_buffer()) - window + 1, self.first[i])
+
+    def taken(self, order: np.ndarray) -> Level:
+        mixed = {}
+        if self.mixed:
+            place = np.full(len(self.offset), -1)
+            place[order] = np.arange(len(order))
+            mixed = {int(place[i]): x for i, x in self.mixed.items() if place[i] >= 0}
+        return Level(self.text.take(pa.array(order)), self.offset[order], self.first[order], mixed)
 
     @classmethod
-    def merge(cls, levels: list[Level]) -> Level:
-        """One level of several that share no passage."""
-        text = [t for x in levels for t in x.text]
-        offset = np.concatenate([np.empty(0, dtype=np.int64), *(x.offset for x in levels)])
-        least = [r for x in levels for r in x.least]
-        order = cls.sorted_by_suffix(text, offset)
-        return cls([text[i] for i in order], offset[order], [least[i] for i in order])
+    def sorted(cls, levels: list[Level]) -> Level:
+        """One suffix array of several that share no passage."""
+        begin = np.cumsum([0, *(len(x.offset) for x in levels)])
+        mixed = {int(b) + i: x for b, level in zip(begin, levels, strict=False) for i, x in level.mixed.items()}
+        none = np.empty(0, dtype=np.int64)
+        whole = cls(joined([x.text for x in levels]), np.concatenate([none, *(x.offset for x in levels)]), np.concatenate([none, *(x.first for x in levels)]), mixed)
+        return whole.taken(pa.compute.sort_indices(whole.suffixes()).to_numpy().astype(np.int64))
+
+    def pack(self) -> bytes:
+        at = sorted(self.mixed)
+        lists = pa.array([self.mixed.get(i) for i in range(len(self.offset))], pa.list_(pa.int64())) if at else pa.nulls(len(self.offset), pa.list_(pa.int64()))
+        return packed(text=self.text, offset=pa.array(self.offset.astype(np.uint16)), first=pa.array(self.first), mixed=lists)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Level:
+        batch = unpacked(data)
+        lists = batch.column("mixed")
+        mixed = {int(i): lists[int(i)].values.to_numpy() for i in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))}
+        return cls(batch.column("text"), batch.column("offset").to_numpy().astype(np.int64), batch.column("first").to_numpy().astype(np.int64), mixed)
 
 
 def first_documents(text: list[bytes], least: list[np.ndarray], window: int) -> list[np.ndarray]:
@@ -343,35 +396,29 @@ def first_documents(text: list[bytes], least: list[np.ndarray], window: int) ->
     return np.split(out, np.cumsum(sizes)[:-1])
 
 
-def ingest_shard(batch: list[pa.RecordBatch], levels: list[Level], window: int, anchor: int) -> tuple[Level, list[list[np.ndarray]]]:
-    """(the batch as a level, without passages that a level has; for each pack, the first documents of its passages' windows)."""
-    at: dict[bytes, int] = {}
-    offset, doc, places = [], [], []
-    for pack in batch:
-        own = []
-        for text, o, d in zip(pack.column("text").to_pylist(), pack.column("offset").to_pylist(), pack.column("least").to_pylist(), strict=True):
-            i = at.setdefault(text, len(at))
-            if i == len(doc):
-                offset.append(o)
-                doc.append(d)
-            elif d < doc[i]:
-                doc[i] = d
-            own.append(i)
-        places.append(own)
-    text, offset = list(at), np.array(offset, dtype=np.int64)
-    least: list[np.ndarray | None] = [None] * len(text)
-    for level in levels:  # passages that a level holds: nothing later can come before what it knows
-        for t, known in zip(level.text, level.least, strict=True):
-            i = at.get(t)
-            if i is not None:
-                least[i] = known
-    new = [i for i in range(len(text)) if least[i] is None]
-    new = [new[i] for i in Level.sorted_by_suffix([text[i] for i in new], offset[new])] if new else []
-    own = Level([text[i] for i in new], offset[new] if new else np.empty(0, dtype=np.int64), [np.full(len(text[i]) - window + 1, doc[i]) for i in new])
+def ingest_shard(batch: list[pa.RecordBatch], levels: list[Level], window: int, anchor: int) -> tuple[Level, Level, np.ndarray]:
+    """(the batch's passages that no level has, as a level; all its distinct passages, with what is known of them; the distinct number of every row of the batch)."""
+    column = lambda name: np.concatenate([np.empty(0, dtype=np.int64), *(p.column(name).to_numpy().astype(np.int64) for p in batch)])
+    number, text, at = numbered(joined([p.column("text") for p in batch]))
+    every = Level(text, column("offset")[at], least_of(number, column("least"), len(text)), {})
+    fresh = np.ones(len(text), dtype=bool)
+    for level in levels:  # nothing later can come before what a level knows of a passage
+        place = pa.compute.index_in(text, value_set=level.text).fill_null(-1).to_numpy().astype(np.int64)
+        hit = np.flatnonzero(place >= 0)
+        fresh[hit] = False
+        every.first[hit] = level.first[place[hit]]
+        if level.mixed:
+            every.mixed.update({int(i): level.mixed[int(p)] for i, p in zip(hit, place[hit], strict=True) if int(p) in level.mixed})
+    new = np.flatnonzero(fresh)
+    order = new[pa.compute.sort_indices(every.taken(new).suffixes()).to_numpy().astype(np.int64)]
+    own = every.taken(order)
     # merge scan: runs of equal anchors in the batch, with the levels' places of the same anchors
     keys = own.anchors(anchor)
     first, counts = runs_of(keys)
-    spans = [(level, *(np.searchsorted(level.anchors(anchor), keys[first], side=s) for s in ("left", "right"))) for level in levels]
+    spans = []
+    for level in levels:
+        held = level.anchors(anchor)
+        spans.append((level, np.searchsorted(held, keys[first], side="left"), np.searchsorted(held, keys[first], side="right")))
     met = counts > 1
     for _, low, high in spans:
         met |= high > low
@@ -381,67 +428,82 @@ def ingest_shard(batch: list[pa.RecordBatch], levels: list[Level], window: int,
         if mine:
             found = first_documents(group_text, group_least, window)
             for there, i in mine:
-                own.least[i] = found[there]
+                own.mixed[i] = found[there]
         group_text.clear(), group_least.clear(), mine.clear()
 
     for g in np.flatnonzero(met):
         before = len(group_text)
         for i in range(first[g], first[g] + counts[g]):
             mine.append((len(group_text), i))
-            group_text.append(own.text[i])
-            group_least.append(own.least[i])
+            group_text.append(own.text[i].as_py())
+            group_least.append(own.windows(i, window))
         for level, low, high in spans:
-            group_text += level.text[low[g] : high[g]]
-            group_least += level.least[low[g] : high[g]]
+            for i in range(low[g], high[g]):
+                group_text.append(level.text[i].as_py())
+                group_least.append(level.windows(i, window))
         size += sum(map(len, group_text[before:]))
         if size > SORTED:
             settle()
             size = 0
     settle()
-    for i, known in zip(new, own.least, strict=True):
-        least[i] = known
-    return own, [[least[i] for i in p] for p in places]
+    every.mixed.update({int(order[i]): x for i, x in own.mixed.items()})
+    return own, every, number
 
 
-def as_runs(known: list[np.ndarray], number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage's number, windows, first document): runs of windows with the same first document."""
-    row = np.repeat(np.arange(len(known)), [len(x) for x in known])
-    flat = np.concatenate([np.empty(0, dtype=np.int64), *known])
-    first = np.flatnonzero(np.append(True, (flat[1:] != flat[:-1]) | (row[1:] != row[:-1]))) if len(flat) else np.empty(0, dtype=np.int64)
-    return number[row[first]], np.diff(np.append(first, len(flat))), flat[first]
+def as_runs(known: Level, number: np.ndarray, own: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage's number, windows, first document): runs of windows with the same first document. ``number`` places the pack's rows in ``known``."""
+    apart = np.isin(number, np.fromiter(known.mixed, dtype=np.int64, count=len(known.mixed)))
+    plain = number[~apart]
+    out = [(own[~apart], known.sizes[plain] - window + 1, known.first[plain])]
+    for row, i in zip(own[apart].tolist(), number[apart].tolist(), strict=True):
+        first, counts = runs_of(known.mixed[i])
+        out.append((np.full(len(first), row), counts, known.mixed[i][first]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 class SuffixFamily:
-    """A family in a shared folder. Batches are ingested in ascending order of their documents."""
+    """A family in a shared folder. Batches are ingested in ascending order of their documents.
+
+    Levels of equal size are merged by the ingestion after the one that made them equal, in the same tasks that scan them."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, anchor: int = ANCHOR):
         self.spark, self.window, self.anchor = spark, window, anchor
         self.path = path or shared_path(spark, "suffixes")
-        self.batches, self.levels = 0, {}  # height -> table; a level of height h holds 2 ** h batches
+        self.batches, self.levels = 0, []  # (height, table), the oldest first; a level of height h holds 2 ** h batches
+
+    def _due(self) -> tuple[list[int], int]:
+        """(which levels are to be merged, the height of what they make): as in a binary counter."""
+        heights = [h for h, _ in self.levels]
+        due, height = [], None
+        while len(heights) > 1 and heights[-1] == heights[-2]:
+            due = due or [len(heights) - 1]
+            height = heights.pop() + 1
+            heights[-1] = height
+            due.insert(0, len(heights) - 1)
+        return due, height
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """(file, block, packed): for every passage of the batch the first documents of its windows. The batch joins the family."""
-        window, anchor, merged, height = self.window, self.anchor, [], 0
-        while height in self.levels:
-            merged.append(height)
-            height += 1
-        tables = [self.spark.read.schema(LEVEL).parquet(p).select("shard", F.lit(h).alias("height"), F.col("packed").alias("entries")) for h, p in self.levels.items()]
-        empty = self.spark.createDataFrame([], "shard int, height int, entries binary")
-        levels = empty
-        for table in tables:
-            levels = levels.unionByName(table)
+        window, anchor = self.window, self.anchor
+        due, height = self._due()
+        levels = self.spark.createDataFrame([], "shard int, place int, entries binary")
+        for place, (_, path) in enumerate(self.levels):
+            levels = levels.unionByName(self.spark.read.schema(LEVEL).parquet(path).select("shard", F.lit(place).alias("place"), F.col("packed").alias("entries")))
 
         def run(new: pa.Table, old: pa.Table) -> pa.Table:
-            found = sorted(zip(old["height"].to_pylist(), old["entries"].to_pylist(), strict=True))
-            held = [(h, Level.unpack(e)) for h, e in found]
+            held = {p: Level.unpack(e) for p, e in zip(old["place"].to_pylist(), old["entries"].to_pylist(), strict=True)}
             packs = [unpacked(x) for x in new["passages"].to_pylist()]
             shard = (new if new.num_rows else old)["shard"][0].as_py()
-            own, known = ingest_shard(packs, [level for _, level in held], window, anchor)
-            rows = [("level", None, None, Level.merge([own, *(level for h, level in held if h in merged)]).pack())]
-            for file, block, pack, first in zip(new["file"].to_pylist(), new["block"].to_pylist(), packs, known, strict=True):
-                number, windows, document = as_runs(first, pack.column("number").to_numpy())
-                rows.append(("first", file, block, packed(number=pa.array(number), windows=pa.array(windows.astype(np.uint16)), document=pa.array(document))))
-            columns = list(zip(*[(shard, *r) for r in rows], strict=True))
+            own, known, number = ingest_shard(packs, [*held.values()], window, anchor)
+            rows = [("level", None, None, own.pack())] if len(own.offset) else []
+            if due and (merged := [held[p] for p in due if p in held]):
+                rows.append(("merged", None, None, Level.sorted(merged).pack()))
+            begin = 0
+            for file, block, pack in zip(new["file"].to_pylist(), new["block"].to_pylist(), packs, strict=True):
+                numbers, windows, document = as_runs(known, number[begin : begin + len(pack)], pack.column("number").to_numpy(), window)
+                begin += len(pack)
+                rows.append(("first", file, block, packed(number=pa.array(numbers.astype(np.int32)), windows=pa.array(windows.astype(np.uint16)), document=pa.array(document))))
+            columns = list(zip(*[(shard, *r) for r in rows], strict=True)) or [[]] * 5
             return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.binary()), strict=True)], names=["shard", "kind", "file", "block", "packed"])
 
         ship_code(self.spark)
@@ -449,17 +511,24 @@ class SuffixFamily:
         path = f"{self.path}/{self.batches}"
         made.write.partitionBy("kind").parquet(path)
         self.batches += 1
-        for h in merged:
-            del self.levels[h]
-        self.levels[height] = f"{path}/kind=level"
         table = self.spark.read.schema(OUT).option("basePath", path).parquet(path)
+        if due:
+            discard(*[self.levels[p][1] for p in due])
+            self.levels[due[0] :] = [(height, self._part(table, path, "merged"))]
+        self.levels.append((0, self._part(table, path, "level")))
         return table.filter("kind = 'first'").select("file", "block", "packed")
 
+    def _part(self, table: DataFrame, path: str, kind: str) -> str:
+        """The folder of a kind of rows, made where there are none."""
+        part = f"{path}/kind={kind}"
+        if table.filter(F.col("kind") == kind).isEmpty():
+            self.spark.createDataFrame([], LEVEL).write.mode("overwrite").parquet(part)
+        return part
+
 
 # ---- what goes
 
 SPANS = "doc_id long, n_bytes long, spans array<struct<start: long, length: long>>, kept binary"
-SPAN = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
 
 def removed(one: Slice, rows: np.ndarray, numbers: np.ndarray, runs: tuple[np.ndarray, ...], window: int) -> np.ndarray:
@@ -468,8 +537,7 @@ def removed(one: Slice, rows: np.ndarray, numbers: np.ndarray, runs: tuple[np.nd
     n = count[numbers]
     which = np.repeat(begin[numbers], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     own = np.repeat(rows, n)
-    ids = np.array([LAST if i is None else i for i in one.ids], dtype=np.int64)[one.document[own]]
-    goes = document[which] < ids
+    goes = document[which] < document_ids(one, own)
     start = one.start[own[goes]] + at[which[goes]]
     end = start + size[which[goes]] + (window - 1)
     delta = np.bincount(start, minlength=len(one.data) + 1) - np.bincount(end, minlength=len(one.data) + 1)
@@ -499,29 +567,35 @@ def cut(rows: DataFrame, shards: int, window: int, anchor: int) -> DataFrame:
         for block, data in zip(table["block"].to_pylist(), table["data"].to_pylist(), strict=True):
             if block is not None:
                 firsts.setdefault(block, []).append(data)
-        for number, held in blocks(file, window, anchor):
-            known: dict[bytes, int] = {}
-            found = [np.fromiter((known.setdefault(p, len(known)) for p in texts), dtype=np.int64, count=len(texts)) for _, _, texts in occurrences(held, shared, window)]
-            runs = _block_runs([unpacked(x) for x in firsts.pop(number, [])], len(known))
-            for (one, rows, _), numbers in zip(occurrences(held, shared, window), found, strict=True):
-                yield _cut_slice(one, removed(one, rows, numbers, runs, window))
+        for block, held in blocks(file, window, anchor):
+            rows, texts = occurrences(held, shared, window)
+            numbers, distinct, _ = numbered(texts)
+            runs = _block_runs([unpacked(x) for x in firsts.pop(block, [])], len(distinct))
+            for one, own, number in zip(held, rows, np.split(numbers, np.cumsum([len(r) for r in rows])[:-1]), strict=True):
+                yield _cut_slice(one, removed(one, own, number, runs, window))
 
     return rows.groupBy("file").applyInArrow(run, SPANS)
 
 
 def _cut_slice(one: Slice, gone: np.ndarray) -> pa.RecordBatch:
-    spans, kept, at = [], [], 0
-    for text in one.texts:
-        own = gone[at : at + len(text)]
-        at += len(text)
-        if not own.any():
-            spans.append([])
-            kept.append(text)
-            continue
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
-        spans.append([{"start": a, "length": b - a} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
-        kept.append(np.frombuffer(text, dtype=np.uint8)[~own].tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(one.ids, pa.int64()), pa.array(one.lengths), pa.array(spans, SPAN), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+    ends = np.cumsum(one.lengths)
+    begins = ends - one.lengths
+    # runs of bytes that go, cut where documents end
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
+    a, b = edge[::2], edge[1::2]
+    document = np.searchsorted(ends, a, side="right")
+    pieces = np.searchsorted(ends, b, side="left") - document + 1
+    at = np.repeat(np.arange(len(a)), pieces)
+    document = document[at] + np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start, stop = np.maximum(a[at], begins[document]), np.minimum(b[at], ends[document])
+    whole = stop > start  # documents without bytes lie between others
+    document, start, stop = document[whole], start[whole], stop[whole]
+    counts = np.bincount(document, minlength=len(one.ids))
+    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    spans = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(start - begins[document]), pa.array(stop - start)], names=["start", "length"]))
+    lost = np.bincount(document, weights=stop - start, minlength=len(one.ids)).astype(np.int64)
+    kept = pa.BinaryArray.from_buffers(pa.binary(), len(one.ids), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(one.lengths - lost))).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(one.data[~gone]))])
+    return pa.RecordBatch.from_arrays([pa.array(one.ids, pa.int64()), pa.array(one.lengths), spans, kept], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
@@ -534,7 +608,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     n_files, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards, tasks = max(wide, -(-size // SHARD_BYTES)), max(wide, n_files)
-    bounds = sorted({int(x) for x in texts.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)}) if n_files else []
+    parts = [i / batches for i in range(1, batches)]
+    bounds = sorted(set(texts.agg(F.percentile_approx("doc_id", parts, 1000)).first()[0] or [])) if parts else []
     hits = materialize(shared_anchors(anchor_hashes(texts, shards, window, anchor)), "anchors")
     path = shared_path(spark, "passages")
     passages(hits.repartition(tasks, "file"), shards, bounds, window, anchor).write.partitionBy("batch").parquet(path)
