@@ -6,8 +6,11 @@ files, bounded by its caps, and the registry, a row for each doc set.
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import os
-from collections.abc import Callable
+import threading
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from pathlib import Path
@@ -21,6 +24,7 @@ from quire.operators import catalog, order, plan, render, scan, tree
 from quire.runtime import materialize
 from quire.sources import files, repositories, store, urls
 from quire.streaming import refresh as policy
+from quire.streaming.snapshot import Snapshot
 
 ENGINE_VERSION, SLICER_VERSION, CHECK_INTERVAL_HOURS, HOOK_TIMEOUT_SECONDS = "1.0.0", 1, 24, 20
 DOC_SET, SOURCE_TYPE = "docs", store.SOURCE
@@ -58,24 +62,50 @@ class TimedOut(TimeoutError):
     """A step took longer than it may."""
 
 
+class Step:
+    """Work with a time limit. What it publishes, it publishes in time: after the limit ``publishing`` raises, and what has begun is waited for."""
+
+    def __init__(self) -> None:
+        self._lock = threading.Lock()
+        self._late = self._published = False
+
+    @contextlib.contextmanager
+    def publishing(self) -> Iterator[None]:
+        with self._lock:
+            if self._late:
+                raise TimedOut("too late to publish")
+            yield
+            self._published = True
+
+    def end(self) -> bool:
+        """The limit is reached; whether something was published before."""
+        with self._lock:
+            self._late = True
+            return self._published
+
+
 def limited(spark: SparkSession, seconds: float, work: Callable):
-    """What ``work`` returns; after ``seconds`` its jobs are cancelled and it counts as failed."""
+    """What ``work``, called with its step, returns. After ``seconds`` its jobs, and those it would still start, are cancelled and it counts as failed,
+    unless it has published: then what is left of it is waited for."""
     got: list = []
+    step, group = Step(), f"quire-{os.urandom(6).hex()}"
 
     def run() -> None:
         spark.sparkContext.setJobGroup(group, "limited", interruptOnCancel=True)
         try:
-            got.append((True, work()))
+            got.append((True, work(step)))
         except Exception as error:  # noqa: BLE001 - handed on to the caller
             got.append((False, error))
 
-    group = f"quire-{os.urandom(6).hex()}"
     thread = InheritableThread(target=run, daemon=True)
     thread.start()
     thread.join(seconds)
     if not got:
-        spark.sparkContext.cancelJobGroup(group)
-        raise TimedOut(f"took longer than {seconds} seconds")
+        if step.end():
+            thread.join()
+        else:
+            spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(group)
+            raise TimedOut(f"took longer than {seconds} seconds")
     fine, value = got[0]
     if fine:
         return value
@@ -98,8 +128,8 @@ def read_doc_set(
     if source["type"] == "path":
         return files.within_caps(files.scan_local(spark, source["path"], DOC_SET, include_large=include_large), most_files, most_bytes)
     sha = pinned_sha or repositories.head_of(source["url"], None, run)
-    with repositories.checkout(source["url"], sha, run) as clone:
-        found = files.scan_on_driver(spark, repositories.subfolder(clone, source.get("subpath")), DOC_SET, include_large)
+    with repositories.cloned(spark, source["url"], sha, run) as clone:
+        found = files.scan_objects(spark, clone, source.get("subpath"), DOC_SET, include_large, most_files=most_files, most_bytes=most_bytes)
         return materialize(files.within_caps(found, most_files, most_bytes), "clone")
 
 
@@ -138,7 +168,7 @@ def slice_docs(
 def _written(record: dict) -> dict:
     """A record as its file has it, from the row it was read into."""
     kept = {k: v for k, v in record.items() if k not in ("skill_path", "violations") and not (k == "oversized" and not v)}
-    return kept | {"source": {k: v for k, v in record["source"].items() if v is not None}, "token_budget": int(record["token_budget"])}
+    return kept | {"source": {k: record["source"].get(k) for k in store.SOURCE_TYPES[record["source"]["type"]]}, "token_budget": int(record["token_budget"])}
 
 
 class Refused(RuntimeError):
@@ -155,6 +185,8 @@ class Library:
     folder: str = ".skills"
     run: repositories.Runner = repositories.run_git
     now: Callable[[], datetime] = lambda: datetime.now(UTC)
+    hook_seconds: float = HOOK_TIMEOUT_SECONDS  # for each step of a startup hook's run
+    snapshots: str | None = None  # a folder all executors see: unchanged local folders are then known by their listing
 
     def __post_init__(self) -> None:
         self.home, self.project = Path(self.home).resolve(), Path(self.project).resolve()
@@ -192,12 +224,13 @@ class Library:
                 rows.append((entry["skill_path"], file.read_text(encoding="utf-8")))
         return store.parse_records(self.spark.createDataFrame(rows, "skill_path string, json string")).filter("size(violations) = 0").drop("violations")
 
-    def _write(self, path: Path, emitted: DataFrame, record: dict) -> dict:
+    def _write(self, path: Path, emitted: DataFrame, record: dict, step: Step | None = None) -> dict:
         generated = [(r["relative_path"], r["content"]) for r in emitted.orderBy("emit_ord").collect()]  # one doc set, within its caps
         record = record | {"last_refresh": self.now().isoformat(), "generated_files": [*(p for p, _ in generated), store.RECORD_FILE]}
         record = {k: v for k, v in record.items() if k != "oversized" or v}
         text = store.checked_record(self.spark, record)
-        store.write_tree(path, iter([*generated, (store.RECORD_FILE, text)]))
+        with (step or Step()).publishing():
+            store.write_tree(path, iter([*generated, (store.RECORD_FILE, text)]))
         return record
 
     def add(
@@ -220,7 +253,7 @@ class Library:
         }
         self._write(path, sliced.emitted, record)
         entry = [(sliced.name, str(path), scope, self.now(), False)]
-        store.save_registry(catalog.upsert(self.registry(), self.spark.createDataFrame(entry, store.REGISTRY_SCHEMA)), self.registry_path)
+        store.update_registry(self.spark, self.registry_path, lambda known: catalog.upsert(known, self.spark.createDataFrame(entry, store.REGISTRY_SCHEMA)))
         if hook:
             self.install_hook(scope)
         return path, sliced
@@ -236,30 +269,78 @@ class Library:
     def install_hook(self, scope: str = "personal") -> bool:
         return store.install_hook(self.settings_path(scope))
 
-    def regenerate(self, entry: dict, record: dict, found: DataFrame, source_hash: str, sha: str | None) -> None:
-        """Plans, renders and writes a doc set anew under its record's settings."""
+    def regenerate(self, entry: dict, record: dict, found: DataFrame, source_hash: str, sha: str | None, step: Step | None = None) -> None:
+        """Plans, renders and writes a doc set anew under its record's settings; past a step's limit nothing is written."""
         label = _labels(self.spark, record["source"])[1]
         found = materialize(found, "files")
         sized, planned = _build(self.spark, found, record["name"], int(record["token_budget"]))
         description = f"Reference documentation for {record['name']}, sliced from {label}."
         emitted = render.render(planned, sized, F.lit(record["name"]), F.lit(description), F.lit(label))
-        self._write(Path(entry["skill_path"]), emitted, _written(record) | {"source_hash": source_hash, "pinned_sha": sha})
+        self._write(Path(entry["skill_path"]), emitted, _written(record) | {"source_hash": source_hash, "pinned_sha": sha}, step)
 
     def _fingerprint(self, record: dict, sha: str | None = None) -> tuple[DataFrame, str]:
-        found = read_doc_set(self.spark, record["source"], sha, record["include_large"], run=self.run)
+        found = materialize(read_doc_set(self.spark, record["source"], sha, record["include_large"], run=self.run), "files")
         return found, order.fileset_hash(found, SLICER_VERSION, int(record["token_budget"]), record["include_large"]).first()["source_hash"]
 
-    def refresh_local(self, entry: dict, record: dict, force: bool = False) -> str:
+    def _snapshot(self, record: dict) -> Snapshot | None:
+        """The snapshot of a local folder, if snapshots are kept."""
+        if not self.snapshots or record["source"]["type"] != "path" or record["source"]["kind"] == "file":
+            return None
+        key = hashlib.sha256(f"{record['source']['path']}\0{record['include_large']}".encode()).hexdigest()[:32]
+        return Snapshot(self.spark, record["source"]["path"], f"{self.snapshots.rstrip('/')}/{key}", record["include_large"])
+
+    def _root(self, record: dict) -> str | None:
+        """The root digest of a local folder's snapshot, brought up to date; only new and changed files are read."""
+        snapshot = self._snapshot(record)
+        if snapshot is None or not Path(record["source"]["path"]).is_dir():
+            return None
+        snapshot.update()
+        return snapshot.root_digest(SLICER_VERSION, int(record["token_budget"]))
+
+    def _known_root(self, entry: dict) -> Path:
+        return self.home / ".quire" / "roots" / hashlib.sha256(entry["skill_path"].encode()).hexdigest()[:32]
+
+    def _unread(self, entry: dict, record: dict) -> tuple[bool, str | None]:
+        """(whether the snapshot knows that nothing changed since the record's fingerprint was taken, the root digest)."""
+        root = self._root(record)
+        if root is None:
+            return False, None
+        known = self._known_root(entry)
+        return known.is_file() and known.read_text() == f"{record['source_hash']} {root}", root
+
+    def _keep_root(self, entry: dict, source_hash: str, root: str | None) -> None:
+        if root is not None:
+            store.write_atomic(self._known_root(entry), f"{source_hash} {root}")
+
+    def evaluate_local(self, entry: dict, record: dict) -> tuple[str, DataFrame | None, str | None, str | None]:
+        """(stale, unchanged or changed, the files and their fingerprint where they were read, the root digest where there is one)."""
         try:
+            unread, root = self._unread(entry, record)
+            if unread:
+                return "unchanged", None, None, root
             found, now = self._fingerprint(record)
         except Exception:  # noqa: BLE001 - whatever is wrong with the source, the doc set is stale
-            return "stale"
-        if now == record["source_hash"] and not force:
-            return "unchanged"
-        self.regenerate(entry, record, found, now, record["pinned_sha"])
+            return "stale", None, None, None
+        if now == record["source_hash"]:
+            self._keep_root(entry, now, root)
+            return "unchanged", found, now, root
+        return "changed", found, now, root
+
+    def rebuild_local(self, entry: dict, record: dict, evaluated: tuple, step: Step | None = None) -> str:
+        _, found, now, root = evaluated
+        if found is None:
+            found, now = self._fingerprint(record)
+        self.regenerate(entry, record, found, now, record["pinned_sha"], step)
+        self._keep_root(entry, now, root)
         return "regenerated"
 
-    def refresh_remote(self, entry: dict, record: dict, update: bool = False) -> str:
+    def refresh_local(self, entry: dict, record: dict, force: bool = False) -> str:
+        evaluated = self.evaluate_local(entry, record)
+        if evaluated[0] == "stale" or (evaluated[0] == "unchanged" and not force):
+            return evaluated[0]
+        return self.rebuild_local(entry, record, evaluated)
+
+    def refresh_remote(self, entry: dict, record: dict, update: bool = False, step: Step | None = None) -> str:
         """Compares heads, and with ``update`` reads the head's files and pins it. A moved head without it leaves the record as it is."""
         try:
             sha = repositories.head_of(record["source"]["url"], record["tracked_ref"], self.run)
@@ -271,47 +352,65 @@ class Library:
             return "regenerated"
         if sha != record["pinned_sha"]:
             return "update-available"
-        store.write_record(Path(entry["skill_path"]), _written(record) | {"last_refresh": self.now().isoformat()}, self.spark)
+        text = store.checked_record(self.spark, _written(record) | {"last_refresh": self.now().isoformat()})
+        with (step or Step()).publishing():
+            store.write_atomic(Path(entry["skill_path"]) / store.RECORD_FILE, text)
         return "unchanged"
 
     def refresh(self, name: str | None = None, update: bool = False, force: bool = False, hook: bool = False) -> dict[tuple[str, str], str]:
         """status by (scope, name): unchanged, regenerated, update-available, stale or skipped; applied to the registry.
 
-        As a startup hook: only eligible entries, remote ones only when their interval is over, of changed local ones the oldest few, each step within a time limit."""
+        As a startup hook: only eligible entries, remote ones only when their interval is over, of changed local ones the oldest few. Each step (evaluation, rebuild) has
+        a time limit of its own; an entry that fails or is late is stale, and the others go on."""
         entries = [r.asDict() for r in self.registry().collect() if name in (None, r["name"])]
         records = {r["skill_path"]: r.asDict(recursive=True) for r in self.records().collect()}
-        wanted = {(e["scope"], e["name"]): "rebuild" for e in entries}
-        if hook:
-            changed = {path: self._changed(r) for path, r in records.items() if r["source"]["type"] == "path"}
-            marks = self.spark.createDataFrame([(p, c) for p, c in changed.items()], "skill_path string, changed boolean")
-            rows = policy.hook_plan(self.registry(), self.records().drop("name").join(marks, "skill_path", "left"), str(self.project), F.lit(self.now()))
-            wanted = {(r["scope"], r["name"]): r["action"] for r in rows.collect()}
+        out = self._hook_run(entries, records) if hook else {}
+        if not hook:
+            for entry in entries:
+                record = records.get(entry["skill_path"])
+                if record is None:
+                    out[entry["scope"], entry["name"]] = "stale"
+                else:
+                    local = record["source"]["type"] == "path"
+                    out[entry["scope"], entry["name"]] = self.refresh_local(entry, record, force) if local else self.refresh_remote(entry, record, update)
+        if out:
+            outcomes = self.spark.createDataFrame([(*k, s) for k, s in out.items()], "scope string, name string, status string")
+            store.update_registry(self.spark, self.registry_path, lambda known: catalog.apply_outcomes(known, outcomes, F.lit(self.now())).select(*known.columns))
+        return out
+
+    def _hook_run(self, entries: list[dict], records: dict[str, dict]) -> dict[tuple[str, str], str]:
+        registry, known = self.registry(), self.records().drop("name")
+        plan_rows = policy.hook_plan(registry, known.withColumn("changed", F.lit(False)), str(self.project), F.lit(self.now()))
+        wanted = {(r["scope"], r["name"]): r["action"] for r in plan_rows.collect()}  # local ones are to be evaluated first
         out: dict[tuple[str, str], str] = {}
+        pending: dict[tuple[str, str], tuple[dict, dict, tuple]] = {}
         for entry in entries:
             key, record = (entry["scope"], entry["name"]), records.get(entry["skill_path"])
             if record is None:
                 out[key] = "stale"
-            elif wanted.get(key) in (None, "skip", "postponed"):
+            elif wanted.get(key) in (None, "skip"):
                 out[key] = "skipped"
-            elif wanted[key] == "unchanged":
-                out[key] = "unchanged"
+            elif record["source"]["type"] != "path":
+                out[key] = self._limited(lambda step, e=entry, r=record: self.refresh_remote(e, r, step=step)) or "stale"
             else:
-                local = record["source"]["type"] == "path"
-                work = (lambda e=entry, r=record: self.refresh_local(e, r, force)) if local else (lambda e=entry, r=record: self.refresh_remote(e, r, update and not hook))
-                try:
-                    out[key] = limited(self.spark, HOOK_TIMEOUT_SECONDS, work) if hook else work()
-                except TimedOut:
-                    out[key] = "stale"
-        outcomes = self.spark.createDataFrame([(*k, s) for k, s in out.items()], "scope string, name string, status string")
-        if out:
-            store.save_registry(catalog.apply_outcomes(self.registry(), outcomes, F.lit(self.now())).select(*self.registry().columns), self.registry_path)
+                evaluated = self._limited(lambda _, e=entry, r=record: self.evaluate_local(e, r))
+                out[key] = evaluated[0] if evaluated else "stale"
+                if out[key] == "changed":
+                    pending[key] = (entry, record, evaluated)
+        if pending:
+            rows = self.spark.createDataFrame([(*key, r["last_refresh"]) for key, (_, r, _) in pending.items()], "scope string, name string, last_refresh timestamp")
+            first = {(r["scope"], r["name"]) for r in catalog.oldest(rows, policy.HOOK_LIMIT).collect()}
+            for key, (entry, record, evaluated) in pending.items():
+                rebuilt = key in first and self._limited(lambda step, e=entry, r=record, x=evaluated: self.rebuild_local(e, r, x, step))
+                out[key] = (rebuilt or "stale") if key in first else "skipped"
         return out
 
-    def _changed(self, record: dict) -> bool:
+    def _limited(self, work: Callable):
+        """What a step returns; None where it failed or was late. One entry's failure stops no other."""
         try:
-            return self._fingerprint(record)[1] != record["source_hash"]
-        except Exception:  # noqa: BLE001 - a rebuild will tell that it is stale
-            return True
+            return limited(self.spark, self.hook_seconds, work)
+        except Exception:  # noqa: BLE001 - as above
+            return None
 
     def listing(self) -> list[str]:
         """The registry as a table of text."""
@@ -351,5 +450,5 @@ class Library:
             raise Refused(f"foreign files in {path}: {', '.join(foreign)}; force to delete only the recorded ones")
         gone = store.delete_tracked(path, record["generated_files"])
         keys = self.spark.createDataFrame([(found[0]["scope"], name)], "scope string, name string")
-        store.save_registry(catalog.drop_entries(self.registry(), keys), self.registry_path)
+        store.update_registry(self.spark, self.registry_path, lambda known: catalog.drop_entries(known, keys))
         return len(record["generated_files"]) - len(gone)

@@ -19,6 +19,11 @@ def valid_name(name: Column) -> Column:
     return name.rlike(NAME) & (F.length(name) <= 64)
 
 
+def valid_entry() -> Column:
+    """Whether a registry row may be kept: a valid name, a known scope, a path, and a flag that is set or not."""
+    return valid_name(F.col("name")) & F.col("scope").isin("personal", "project") & (F.col("skill_path") != "") & F.col("update_available").isNotNull()
+
+
 def valid_budget(budget: Column) -> Column:
     return (budget == F.floor(budget)) & budget.between(LEAST_BUDGET, MOST_BUDGET)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.markdown import first_summary
@@ -35,13 +35,16 @@ def planned_bodies(plan: DataFrame, tree: Tree) -> DataFrame:
 
 
 def inline_children(plan: DataFrame, tree: Tree) -> DataFrame:
-    """doc_set, relative_path, inline: the subtrees below the node of each file without a table of contents."""
-    whole = plan.filter("size(child_paths) = 0 AND node_path IS NOT NULL").select("doc_set", "relative_path", F.col("node_path").alias("up"))
-    tops = whole.join(tree.nodes.select("doc_set", F.col("path").alias("up"), F.col("depth").alias("top")), ["doc_set", "up"])
-    prefixes = F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))
-    below = tree.nodes.filter(F.size("path") > 0).select("doc_set", "path", "name", "depth", "file_ord", "ord", F.explode(prefixes).alias("up"))
-    rows = with_bodies(below.join(tops, ["doc_set", "up"]), tree.bodies)
-    heading = F.concat(F.repeat(F.lit("#"), F.col("depth") - F.col("top") + 1), F.lit(" "), F.col("name"))
+    """doc_set, relative_path, inline: the subtrees below the node of each file without a table of contents.
+
+    Those subtrees don't overlap, so in order of paths a node belongs to the last of their roots before it, if that is its ancestor."""
+    whole = plan.filter("size(child_paths) = 0 AND node_path IS NOT NULL").select("doc_set", F.col("node_path").alias("path"), "relative_path")
+    nodes = tree.nodes.select("doc_set", "path", "name", "depth", "file_ord", "ord").join(whole, ["doc_set", "path"], "left")
+    so_far = Window.partitionBy("doc_set").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    top = F.last(F.when(F.col("relative_path").isNotNull(), F.struct("relative_path", "path", "depth")), ignorenulls=True).over(so_far)
+    below = nodes.withColumn("top", top).filter((F.size("path") > F.size("top.path")) & (F.slice("path", F.lit(1), F.size("top.path")) == F.col("top.path")))
+    rows = with_bodies(below.drop("relative_path").withColumn("relative_path", F.col("top.relative_path")), tree.bodies)
+    heading = F.concat(F.repeat(F.lit("#"), F.col("depth") - F.col("top.depth") + 1), F.lit(" "), F.col("name"))
     rows = rows.withColumn("section", nonempty(heading, F.col("body")))
     return rows.groupBy("doc_set", "relative_path").agg(joined("section", "path", "\n\n").alias("inline"))
 

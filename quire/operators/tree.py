@@ -10,9 +10,10 @@ counted row by row, only this skeleton is shuffled, and texts are joined where t
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.markdown import estimate_tokens, sections
@@ -28,20 +29,61 @@ def headings(files: DataFrame) -> DataFrame:
     return files.select("doc_set", "file_ord", F.inline(sections(F.col("content"))))
 
 
-def heading_paths(sections_df: DataFrame) -> DataFrame:
-    """Adds ``chain``, the ordinals of the headings that enclose a heading, outermost first, and ``parent``.
+CHUNK = 64  # headings whose results are gathered at a time: appending to one array would copy it for every heading
 
-    The last heading of a level encloses if no shallower one came after it."""
-    before = Window.partitionBy("doc_set", "file_ord").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.max(F.when(F.col("level") == k, F.col("ord"))).over(before) for k in range(1, 6)]
-    df = sections_df.filter("ord > 0").withColumns({f"last{k}": c for k, c in enumerate(last, 1)})
-    open_at = []
-    for k in range(1, 6):
-        own, shallower = F.col(f"last{k}"), [F.coalesce(F.col(f"last{j}"), F.lit(0)) for j in range(1, k)]
-        top = F.lit(0) if not shallower else shallower[0] if len(shallower) == 1 else F.greatest(*shallower)
-        open_at.append(F.when((F.col("level") > k) & (own > top), own))
-    df = df.withColumn("chain", F.array_compact(F.array(*open_at))).drop(*[f"last{k}" for k in range(1, 6)])
-    return df.withColumn("parent", F.try_element_at("chain", F.lit(-1)))
+
+def _folded(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """An array with what ``step`` gives for each item, while it hands a state on. ``step`` returns (result, state)."""
+    sample = step(state, F.get(items, F.lit(0)))[0]
+    none = F.filter(F.array(sample), lambda _: F.lit(False))
+    one = lambda acc, item: F.struct(step(acc["state"], item)[1].alias("state"), F.concat(acc["out"], F.array(step(acc["state"], item)[0])).alias("out"))
+
+    def chunk(acc: Column, at: Column) -> Column:
+        own = F.aggregate(F.slice(items, at * CHUNK + 1, F.lit(CHUNK)), F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return F.struct(own["state"].alias("state"), F.concat(acc["out"], F.array(own["out"])).alias("out"))
+
+    chunks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))
+    begin = F.struct(state.alias("state"), F.filter(F.array(none), lambda _: F.lit(False)).alias("out"))
+    return F.when(F.size(items) == 0, none).otherwise(F.flatten(F.aggregate(chunks, begin, chunk)["out"]))
+
+
+def chains(heads: Column) -> Column:
+    """For every heading of an array (ord, level, ...) the ordinals of those that enclose it, outermost first.
+
+    One pass with a stack of rising levels: a heading closes all that aren't above it."""
+    none = F.filter(F.array(F.struct(F.lit(0).alias("ord"), F.lit(0).alias("level"))), lambda _: F.lit(False))
+
+    def step(stack: Column, head: Column) -> tuple[Column, Column]:
+        above = F.filter(stack, lambda s: s["level"] < head["level"])
+        return F.transform(above, lambda s: s["ord"]), F.concat(above, F.array(F.struct(head["ord"].alias("ord"), head["level"].alias("level"))))
+
+    return _folded(heads, none, step)
+
+
+def subtrees(heads: Column) -> Column:
+    """For every heading of an array (level, tokens, ...) the tokens of it and all it encloses, and how many it encloses directly.
+
+    One pass from the last to the first: a heading takes in the finished ones of deeper levels behind it."""
+    zero = F.lit(0).cast("long")
+    none = F.filter(F.array(F.struct(F.lit(0).alias("level"), zero.alias("tokens"))), lambda _: F.lit(False))
+
+    def step(done: Column, head: Column) -> tuple[Column, Column]:
+        deeper = F.filter(done, lambda d: d["level"] > head["level"])  # from the nearest on, up to the first that isn't
+        total = F.aggregate(deeper, head["tokens"], lambda a, d: a + d["tokens"])
+        rest = F.filter(done, lambda d: d["level"] <= head["level"])
+        return F.struct(total.alias("tokens"), F.size(deeper).alias("children")), F.concat(F.array(F.struct(head["level"].alias("level"), total.alias("tokens"))), rest)
+
+    return F.reverse(_folded(F.reverse(heads), none, step))
+
+
+def heading_paths(files: DataFrame) -> DataFrame:
+    """A row a heading with ``chain``, the ordinals of the headings that enclose it, ``parent``, the last of them, and ``n_children``. Row-local, no shuffle."""
+    tokens = F.lit(0).cast("long").alias("tokens")
+    secs = F.filter(sections(F.col("content")), lambda s: s["ord"] > 0)
+    rows = files.select("doc_set", "file_ord", F.transform(secs, lambda s: F.struct(s["ord"].alias("ord"), s["level"].alias("level"), s["name"].alias("name"), s["body"].alias("body"), tokens)).alias("heads"))
+    nested = F.arrays_zip(F.col("heads").alias("h"), chains(F.col("heads")).alias("c"), subtrees(F.col("heads")).alias("s"))
+    one = rows.select("doc_set", "file_ord", F.explode(nested).alias("x"))
+    return one.select("doc_set", "file_ord", "x.h.ord", "x.h.level", "x.h.name", "x.h.body", F.col("x.c").alias("chain"), F.try_element_at("x.c", F.lit(-1)).alias("parent"), F.col("x.s.children").cast("long").alias("n_children"))
 
 
 def file_names(files: DataFrame) -> DataFrame:
@@ -53,7 +95,7 @@ def file_names(files: DataFrame) -> DataFrame:
     return files.withColumn("name", F.coalesce(filled(js_trim(F.col("title"))), filled(first), humanize(base_name(F.col("rel_path")))))
 
 
-def _folder_prefixes() -> F.Column:
+def _folder_prefixes() -> Column:
     parts = F.split("rel_path", "/", -1)
     return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
@@ -65,10 +107,23 @@ def folders(files: DataFrame) -> DataFrame:
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """A row a file, written once: doc_set, file_ord, rel_path, name, heads (ord, level, name, tokens, has_body by section) and bodies."""
+    """A row a file, written once: doc_set, file_ord, rel_path, name, own (tokens, has_body of the preamble), heads (ord, name, tokens, has_body, chain, subtree, children by heading),
+    tokens and children of the whole file, and bodies by section."""
     secs = file_names(files.withColumn("secs", sections(F.col("content")))).withColumn("bodies", F.transform("secs", lambda s: s["body"]))
     head = lambda s: F.struct(s["ord"].alias("ord"), s["level"].alias("level"), s["name"].alias("name"), estimate_tokens(s["body"]).alias("tokens"), (s["body"] != "").alias("has_body"))
-    return materialize(secs.select("doc_set", "file_ord", "rel_path", "name", F.transform("secs", head).alias("heads"), "bodies"), "parsed")
+    # the fold names its items often; a generator's output is computed once
+    rows = secs.select("doc_set", "file_ord", "rel_path", "name", "bodies", F.explode(F.array(F.transform("secs", head))).alias("all"))
+    rows = rows.select("*", F.explode(F.array(F.filter("all", lambda s: s["ord"] > 0))).alias("own_heads"))
+    nested = F.arrays_zip(F.col("own_heads").alias("h"), chains(F.col("own_heads")).alias("c"), subtrees(F.col("own_heads")).alias("s"))
+    rows = rows.withColumn("nested", nested)
+    flat = F.transform("nested", lambda x: F.struct(
+        x["h"]["ord"].alias("ord"), x["h"]["name"].alias("name"), x["h"]["tokens"].alias("tokens"), x["h"]["has_body"].alias("has_body"), x["c"].alias("chain"), x["s"]["tokens"].alias("subtree"), x["s"]["children"].alias("children"),
+    ))
+    first = F.get("all", F.lit(0))
+    whole = F.aggregate("all", F.lit(0).cast("long"), lambda a, s: a + s["tokens"])
+    top = F.size(F.filter("nested", lambda x: F.size(x["c"]) == 0))
+    own = F.struct(first["tokens"].alias("tokens"), first["has_body"].alias("has_body")).alias("own")
+    return materialize(rows.select("doc_set", "file_ord", "rel_path", "name", own, flat.alias("heads"), whole.alias("tokens"), top.alias("children"), "bodies"), "parsed")
 
 
 def bodies(parsed: DataFrame) -> DataFrame:
@@ -81,29 +136,72 @@ def with_bodies(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return nodes.join(texts, list(PLACE), "left").withColumn("body", F.coalesce("body", F.lit("")))
 
 
+def homes(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(folders with first_ord, depth, tokens, children and whether they stay; files with the first files and the staying of the folders they are in, outermost first).
+
+    What moves is a row for each file and folder it is in, whatever the number of headings."""
+    files = parsed.select("doc_set", "file_ord", "rel_path", "tokens")
+    pairs = files.filter(F.col("rel_path").contains("/")).select("doc_set", "file_ord", "tokens", F.posexplode(_folder_prefixes()).alias("at", "folder"), (F.size(F.split("rel_path", "/", -1)) - 2).alias("last"))
+    sums = pairs.groupBy("doc_set", "folder").agg(F.min("file_ord").alias("first_ord"), F.first("at").alias("at"), F.sum("tokens").alias("tokens"), F.count_if(F.col("at") == F.col("last")).alias("files"))
+    sums = materialize(sums, "folders")
+    inside = sums.filter("at > 0").groupBy("doc_set", F.regexp_replace("folder", "/[^/]*\\z", "").alias("folder")).agg(F.count(F.lit(1)).alias("inner"))
+    placed = sums.join(inside, ["doc_set", "folder"], "left").withColumn("children", F.col("files") + F.coalesce("inner", F.lit(0)))
+    placed = placed.withColumn("stays", F.col("children") != 1)
+    joined = pairs.select("doc_set", "file_ord", "folder").join(placed, ["doc_set", "folder"])
+    steps = F.array_sort(F.collect_list(F.struct("at", "first_ord", "stays", "tokens", "children")))
+    return placed, joined.groupBy("doc_set", "file_ord").agg(steps.alias("steps"))
+
+
+def _placed(parsed: DataFrame) -> DataFrame:
+    """Parsed files with ``steps``, the folders they are in."""
+    found = homes(parsed)[1]
+    empty = F.array().cast("array<struct<at: int, first_ord: int, stays: boolean, tokens: bigint, children: bigint>>")
+    return parsed.drop("bodies").join(found, ["doc_set", "file_ord"], "left").withColumn("steps", F.coalesce("steps", empty))
+
+
+def _nodes(placed: DataFrame, root_name: str) -> DataFrame:
+    """All nodes, also those that collapse: doc_set, path, kind, name, file_ord, ord, tokens, has_body, subtree_tokens, stays, above (paths' lengths of the ancestors that stay)."""
+    zero, no = F.lit(0).cast("long"), F.lit(None).cast("int")
+    dirs = F.transform("steps", lambda s: s["first_ord"])
+    path = F.concat(dirs, F.array("file_ord"))
+    depth = F.size("steps")
+    # lengths of the paths of ancestors that stay: the root, then folders, then the file
+    up_dirs = F.concat(F.array(F.lit(0)), F.filter(F.transform("steps", lambda s, i: F.when(s["stays"], i + 1)), lambda x: x.isNotNull()))
+    file_stays = F.col("own.has_body") | (F.col("children") != 1)
+    rows = placed.withColumns({"_path": path, "_up": up_dirs, "_stays": file_stays})
+    column = lambda c, name: c.alias(name)
+    file = F.struct(
+        column(F.col("_path"), "path"), column(F.lit("file"), "kind"), column(F.col("name"), "name"), column(F.lit(0), "ord"), column(F.col("own.tokens"), "tokens"), column(F.col("own.has_body"), "has_body"),
+        column(F.col("tokens"), "subtree_tokens"), column(F.col("_stays"), "stays"), column(F.col("_up"), "above"),
+    )
+    gone = F.transform(F.filter("heads", lambda h: ~h["has_body"] & (h["children"] == 1)), lambda h: h["ord"])
+    rows = rows.withColumn("_gone", gone)
+    with_file = F.when(F.col("_stays"), F.concat("_up", F.array(depth + 1))).otherwise(F.col("_up"))
+    rows = rows.withColumn("_with_file", with_file)
+    chain_up = lambda h: F.filter(F.transform(h["chain"], lambda o, i: F.when(~F.array_contains("_gone", o), F.size("_path") + i + 1)), lambda x: x.isNotNull())
+    heads = F.transform("heads", lambda h: F.struct(
+        column(F.concat("_path", h["chain"], F.array(h["ord"])), "path"), column(F.lit("heading"), "kind"), column(h["name"], "name"), column(h["ord"], "ord"), column(h["tokens"], "tokens"), column(h["has_body"], "has_body"),
+        column(h["subtree"], "subtree_tokens"), column(h["has_body"] | (h["children"] != 1), "stays"), column(F.concat("_with_file", chain_up(h)), "above"),
+    ))
+    own = rows.select("doc_set", "file_ord", F.inline(F.concat(F.array(file), heads)))
+    own = own.select("doc_set", "path", "kind", "name", "file_ord", "ord", "tokens", "has_body", "subtree_tokens", "stays", "above")
+    parts = F.split("rel_path", "/", -1)
+    folder = rows.filter(F.size("steps") > 0).select("doc_set", F.posexplode("steps").alias("i", "step"), "_path", parts.alias("parts"), "_up").filter(F.get("_path", F.size("_path") - 1) == F.col("step.first_ord"))  # by the folder's first file
+    folder = folder.select(
+        "doc_set", F.slice("_path", F.lit(1), F.col("i") + 1).alias("path"), F.lit("folder").alias("kind"), humanize(F.get("parts", F.col("i"))).alias("name"), no.alias("file_ord"), no.alias("ord"),
+        zero.alias("tokens"), F.lit(False).alias("has_body"), F.col("step.tokens").alias("subtree_tokens"), F.col("step.stays").alias("stays"), F.filter("_up", lambda n: n <= F.col("i")).alias("above"),
+    )
+    roots = placed.groupBy("doc_set").agg(F.sum("tokens").alias("subtree_tokens"))
+    roots = roots.select(
+        "doc_set", F.array().cast("array<int>").alias("path"), F.lit("root").alias("kind"), F.lit(root_name).alias("name"), no.alias("file_ord"), no.alias("ord"), zero.alias("tokens"), F.lit(False).alias("has_body"),
+        "subtree_tokens", F.lit(True).alias("stays"), F.array().cast("array<int>").alias("above"),
+    )
+    return roots.unionByName(folder).unionByName(own)
+
+
 def skeleton(parsed: DataFrame, root_name: str = "Docs") -> DataFrame:
     """doc_set, path, kind, name, file_ord, ord, tokens, has_body of root, folders, files and headings."""
-    files = parsed.select("doc_set", "file_ord", "rel_path")
-    placed = folders(files)
-    # a folder's path: the first files of its prefixes, outermost first
-    pairs = files.filter(F.col("rel_path").contains("/")).select("doc_set", "file_ord", F.explode(_folder_prefixes()).alias("folder"))
-    joined = pairs.join(placed, ["doc_set", "folder"])
-    homes = joined.groupBy("doc_set", "file_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "first_ord"))), lambda s: s["first_ord"]).alias("dirs"))
-    named = parsed.drop("bodies").join(homes, ["doc_set", "file_ord"], "left").withColumn("dirs", F.coalesce("dirs", F.array().cast("array<int>")))
-    rows = named.select("doc_set", "file_ord", F.col("name").alias("file_name"), F.concat("dirs", F.array("file_ord")).alias("file_path"), F.inline("heads"))
-    own = ["file_ord", "ord", "tokens", "has_body"]
-    heads = heading_paths(rows).select("doc_set", F.concat("file_path", "chain", F.array("ord")).alias("path"), F.lit("heading").alias("kind"), "name", *own)
-    file_nodes = rows.filter("ord = 0").select("doc_set", F.col("file_path").alias("path"), F.lit("file").alias("kind"), F.col("file_name").alias("name"), *own)
-    empty = [F.lit(None).cast("int").alias("file_ord"), F.lit(None).cast("int").alias("ord"), F.lit(0).cast("long").alias("tokens"), F.lit(False).alias("has_body")]
-    dir_rows = named.select("doc_set", F.posexplode("dirs").alias("at", "_first"), "dirs", "rel_path")
-    dir_nodes = dir_rows.select(
-        "doc_set",
-        F.slice("dirs", F.lit(1), F.col("at") + 1).alias("path"),
-        F.lit("folder").alias("kind"),
-        humanize(F.element_at(F.split("rel_path", "/", -1), F.col("at") + 1)).alias("name"),
-    ).distinct()
-    roots = files.select("doc_set").distinct().select("doc_set", F.array().cast("array<int>").alias("path"), F.lit("root").alias("kind"), F.lit(root_name).alias("name"))
-    return roots.unionByName(dir_nodes).select("*", *empty).unionByName(file_nodes).unionByName(heads)
+    return _nodes(_placed(parsed), root_name).select("doc_set", "path", "kind", "name", "file_ord", "ord", "tokens", "has_body")
 
 
 def build_tree(files: DataFrame, root_name: str = "Docs") -> DataFrame:
@@ -112,34 +210,15 @@ def build_tree(files: DataFrame, root_name: str = "Docs") -> DataFrame:
     return with_bodies(skeleton(parsed, root_name), bodies(parsed)).select("doc_set", "path", "kind", "name", "body")
 
 
-def _parent(path: F.Column) -> F.Column:
-    return F.when(F.size(path) > 0, F.slice(path, F.lit(1), F.size(path) - 1))
-
-
-def child_counts(nodes: DataFrame) -> DataFrame:
-    """Adds ``n_children``."""
-    counts = nodes.filter(F.size("path") > 0).groupBy("doc_set", _parent(F.col("path")).alias("path")).agg(F.count(F.lit(1)).alias("n_children"))
-    return nodes.join(counts, list(KEY), "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long")))
-
-
-def collapse(nodes: DataFrame) -> DataFrame:
-    """Without nodes below the root that have no body and one child; adds ``parent_path``, the nearest ancestor that stays, and ``depth``, how many stay.
-
-    The number of children doesn't change when a child collapses into its own child, so the rule is local."""
-    marked = child_counts(nodes).withColumn("drop", (F.size("path") > 0) & ~F.col("has_body") & (F.col("n_children") == 1))
-    kept = marked.filter(~F.col("drop")).drop("drop", "n_children")
-    ups = kept.filter(F.size("path") > 0).select("doc_set", "path", F.explode(F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))).alias("up"))
-    stays = kept.select("doc_set", F.col("path").alias("up"))
-    parents = ups.join(stays, ["doc_set", "up"]).groupBy("doc_set", "path").agg(F.max_by("up", F.size("up")).alias("parent_path"), F.count(F.lit(1)).cast("int").alias("depth"))
-    return kept.join(parents, list(KEY), "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
-
+def collapsed(parsed: DataFrame, root_name: str = "Docs") -> DataFrame:
+    """Without nodes below the root that have no body and one child, sized: doc_set, path, kind, name, file_ord, ord, own_tokens, has_body, subtree_tokens,
+    ``parent_path``, the nearest ancestor that stays, and ``depth``, how many stay.
 
-def subtree_tokens(nodes: DataFrame) -> DataFrame:
-    """Adds ``own_tokens`` and ``subtree_tokens``: sums over a node and all below it."""
-    own = nodes.withColumnRenamed("tokens", "own_tokens")
-    ups = own.select("doc_set", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", F.lit(1), n))).alias("path"), "own_tokens")
-    sums = ups.groupBy(*KEY).agg(F.sum("own_tokens").alias("subtree_tokens"))
-    return own.join(sums, list(KEY))
+    The number of children doesn't change when a child collapses into its own child, so the rule is local. Tokens below a node are those of a range of its
+    file's headings, or of whole files."""
+    last = F.try_element_at("above", F.lit(-1))
+    kept = _nodes(_placed(parsed), root_name).filter("stays")
+    return kept.select("doc_set", "path", "kind", "name", "file_ord", "ord", F.col("tokens").alias("own_tokens"), "has_body", "subtree_tokens", F.slice("path", F.lit(1), last).alias("parent_path"), F.size("above").alias("depth"))
 
 
 @dataclass
@@ -154,7 +233,6 @@ class Tree:
 
 
 def sized_tree(files: DataFrame, root_name: str = "Docs") -> Tree:
-    """Built, collapsed and sized. Nodes are written once between the steps, which each read them several times."""
+    """Built, collapsed and sized. Nodes are written once: plans and renderers read them several times."""
     parsed = parse(files)
-    nodes = materialize(skeleton(parsed, root_name), "nodes")
-    return Tree(materialize(subtree_tokens(materialize(collapse(nodes), "collapsed")), "sized"), bodies(parsed))
+    return Tree(materialize(collapsed(parsed, root_name), "sized"), bodies(parsed))

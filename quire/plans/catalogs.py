@@ -18,14 +18,22 @@ ORACLES: dict[str, str] = {}
 NOW = "TIMESTAMP '1998-01-01 00:00:00'"
 
 
-def query(sql: str | None = None):
-    def add(function):
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLES[function.__name__] = sql
-        return function
+def registers(queries: dict, oracles: dict[str, str]):
+    """A decorator that puts a query and its SQL into a module's tables."""
 
-    return add
+    def query(sql: str | None = None):
+        def add(function):
+            queries[function.__name__] = function
+            if sql:
+                oracles[function.__name__] = sql
+            return function
+
+        return add
+
+    return query
+
+
+query = registers(QUERIES, ORACLES)
 
 
 def now() -> F.Column:
@@ -202,10 +210,15 @@ def p_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).select("name", cat.valid_budget(F.col("token_budget")).alias("ok"))
 
 
-@query("SELECT c_custkey, regexp_full_match(c_name, '[a-z0-9][a-z0-9-]*') AS raw_ok, regexp_full_match(lower(replace(c_name, '#', '-')), '[a-z0-9][a-z0-9-]*') AS lower_ok FROM customer")
+@query("""WITH n AS (SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN c_name WHEN 1 THEN '' WHEN 2 THEN '-' || CAST(c_custkey AS VARCHAR) WHEN 3 THEN repeat('a', CAST(c_custkey % 130 AS INTEGER)) WHEN 4 THEN 'a b' WHEN 5 THEN 'é' || CAST(c_custkey AS VARCHAR)
+  WHEN 6 THEN CAST(c_custkey AS VARCHAR) || '-' || chr(10) ELSE lower(replace(c_name, '#', '-')) END AS name FROM customer)
+SELECT c_custkey, name, regexp_full_match(name, '[a-z0-9][a-z0-9-]*') AND length(name) <= 64 AS ok FROM n""")
 def p_valid_skill_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return customer.select("c_custkey", cat.valid_name(F.col("c_name")).alias("raw_ok"), cat.valid_name(F.lower(F.replace("c_name", F.lit("#"), F.lit("-")))).alias("lower_ok"))
+    """Customers' names, and names of other shapes and lengths."""
+    key, number, name = F.col("c_custkey"), F.col("c_custkey").cast("string"), F.col("c_name")
+    made = [name, F.lit(""), F.concat(F.lit("-"), number), F.repeat(F.lit("a"), (key % 130).cast("int")), F.lit("a b"), F.concat(F.lit("é"), number), F.concat(number, F.lit("-\n")), F.lower(F.replace(name, F.lit("#"), F.lit("-")))]
+    chosen = F.element_at(F.array(*made), (key % 8 + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", chosen.alias("name"), cat.valid_name(chosen).alias("ok"))
 
 
 STALE_SQL = f"epoch_ms({NOW}) - epoch_ms(last_refresh)"

@@ -146,12 +146,68 @@ def r_frame_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).groupBy("doc_set").agg(F.min("rel_path").alias("p")).select("doc_set", render.frame_line(F.col("p")).alias("frame"))
 
 
-@query(f"WITH {c.RECORDS_SQL} {c.VIOLATIONS_SQL}")
+def _json(rows: DataFrame) -> F.Column:
+    """Records as their files have them: nulls written out, a source with the keys of its type alone."""
+    keep = {"ignoreNullFields": "false"}
+    s = F.col("source")
+    one = lambda *keys: F.to_json(F.struct(*[s[k].alias(k) for k in keys]), keep)
+    rest = F.to_json(F.struct(*[x for x in rows.columns if x not in ("skill_path", "source")]), keep)
+    return F.concat(F.lit('{"source":'), F.when(s["type"] == "github", one("type", "url", "subpath")).otherwise(one("type", "path", "kind")), F.lit(","), F.substr(rest, F.lit(2)))
+
+
+@query(f"""WITH {c.RECORDS_SQL}, v AS ({c.VIOLATIONS_SQL})
+SELECT v.name, CASE WHEN token_budget = floor(token_budget) THEN violations ELSE violations || ',types' END AS violations FROM v JOIN records r ON r.name = v.name""")
 def src_read_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records through their JSON form."""
     rows = c.records(spark, sf_dir)
-    raw = rows.select("skill_path", F.to_json(F.struct(*[x for x in rows.columns if x != "skill_path"])).alias("json"))
-    return store.parse_records(raw).select("name", F.array_join("violations", ",").alias("violations"))
+    return store.parse_records(rows.select("skill_path", _json(rows).alias("json"))).select("name", F.array_join("violations", ",").alias("violations"))
+
+
+#: Records as JSON, each of whose structural rules some customer breaks; {k} is the customer's key, {r} its remainder by 18.
+STRICT_SQL = """strict AS (SELECT c_custkey AS k, CASE c_custkey % 18 WHEN 9 THEN '{"name":' WHEN 13 THEN '[]' ELSE
+  '{"engine_version":"1.2.3","slicer_version":' || CASE c_custkey % 18 WHEN 11 THEN '"1"' WHEN 15 THEN '1.5' ELSE '1' END || ',"name":"set-' || CAST(c_custkey AS VARCHAR) || '","source":' ||
+  CASE WHEN c_custkey % 18 = 14 THEN '"x"' WHEN c_custkey % 18 = 17 THEN '{"type":"svn","url":"u"}' WHEN c_custkey % 36 < 18 THEN
+    '{"type":"github"' || CASE WHEN c_custkey % 18 = 4 THEN '' ELSE ',"url":"https://github.com/o/r"' END || CASE WHEN c_custkey % 18 = 5 THEN ',"subpath":7' ELSE ',"subpath":null' END
+    ELSE '{"type":"path"' || CASE WHEN c_custkey % 18 = 4 THEN '' WHEN c_custkey % 18 = 16 THEN ',"path":""' ELSE ',"path":"/d"' END || CASE WHEN c_custkey % 18 = 5 THEN ',"kind":"banana"' ELSE ',"kind":"project"' END END ||
+  CASE WHEN c_custkey % 18 IN (14, 17) THEN '' WHEN c_custkey % 18 = 6 THEN ',"more":1}' ELSE '}' END || CASE WHEN c_custkey % 18 = 8 THEN '' ELSE ',"tracked_ref":null' END || ',"pinned_sha":null,"source_hash":"sha256:0","token_budget":4000' ||
+  CASE c_custkey % 18 WHEN 2 THEN '' WHEN 3 THEN ',"include_large":"yes"' ELSE ',"include_large":false' END || ',"check_interval_hours":1.5,"last_refresh":"2026-01-02T03:04:05' || CASE WHEN c_custkey % 18 = 7 THEN '' ELSE '+02:00' END ||
+  '","generated_files":' || CASE WHEN c_custkey % 18 = 10 THEN '["a",1]' ELSE '["SKILL.md"]' END || CASE c_custkey % 18 WHEN 1 THEN ',"extra":null' WHEN 12 THEN ',"oversized":["a"]' ELSE '' END || '}' END AS j FROM customer)"""
+STRICT_KEYS = ", ".join(f"'{k}'" for k in store.RECORD_TYPES)
+
+
+@query(f"""WITH {STRICT_SQL}, v AS (SELECT k, j, json_valid(j) AND coalesce(json_type(CASE WHEN json_valid(j) THEN j END) = 'OBJECT', false) AS ok, CASE WHEN json_valid(j) THEN j ELSE '{{}}' END AS g FROM strict),
+t AS (SELECT *, json_extract_string(g, '$.source.type') AS kind, json_extract(g, '$.source') AS s FROM v)
+SELECT k, CASE WHEN NOT ok THEN 'unreadable' ELSE array_to_string(list_filter([
+  CASE WHEN len(list_filter(json_keys(g), lambda x: x NOT IN ({STRICT_KEYS}))) > 0 THEN 'unknown_keys' END,
+  CASE WHEN NOT (coalesce(json_type(g, '$.slicer_version') LIKE '%BIGINT', false) AND coalesce(json_type(g, '$.source') = 'OBJECT', false) AND json_exists(g, '$.tracked_ref') AND coalesce(json_type(g, '$.include_large') = 'BOOLEAN', false)
+    AND len(list_filter(json_extract(g, '$.generated_files[*]'), lambda x: json_type(x) <> 'VARCHAR')) = 0) THEN 'types' END,
+  CASE WHEN kind NOT IN ('github', 'path') OR kind IS NULL OR len(list_filter(json_keys(s), lambda x: x NOT IN ('type', CASE kind WHEN 'github' THEN 'url' ELSE 'path' END, CASE kind WHEN 'github' THEN 'subpath' ELSE 'kind' END))) > 0 THEN 'source_keys' END,
+  CASE WHEN coalesce(CASE kind WHEN 'github' THEN json_extract_string(s, '$.url') <> '' AND json_exists(s, '$.subpath') AND json_type(s, '$.subpath') IN ('VARCHAR', 'NULL') WHEN 'path' THEN json_extract_string(s, '$.path') <> '' AND json_type(s, '$.kind') = 'VARCHAR' END, false) THEN NULL ELSE 'source_types' END,
+  CASE WHEN kind = 'path' AND json_extract_string(s, '$.kind') NOT IN ('file', 'folder', 'project') THEN 'source_kind' END,
+  CASE WHEN NOT regexp_matches(json_extract_string(g, '$.last_refresh'), '(Z|[+-][0-9][0-9]:[0-9][0-9])$') THEN 'offset' END], lambda x: x IS NOT NULL), ',') END AS failed FROM t""")
+def p_record_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The structural rules of records, each broken in some row."""
+    key = F.col("c_custkey")
+    r, remote = key % 18, key % 36 < 18
+    pick = lambda other, **cases: _choose(r, other, {int(n[1:]): v for n, v in cases.items()})
+    github = F.concat(F.lit('{"type":"github"'), pick(',"url":"https://github.com/o/r"', _4=""), pick(',"subpath":null', _5=',"subpath":7'))
+    path = F.concat(F.lit('{"type":"path"'), pick(',"path":"/d"', _4="", _16=',"path":""'), pick(',"kind":"project"', _5=',"kind":"banana"'))
+    source = F.when(r == 14, '"x"').when(r == 17, '{"type":"svn","url":"u"}').otherwise(F.concat(F.when(remote, github).otherwise(path), pick("}", _6=',"more":1}')))
+    whole = F.concat(
+        F.lit('{"engine_version":"1.2.3","slicer_version":'), pick("1", _11='"1"', _15="1.5"), F.lit(',"name":"set-'), key.cast("string"), F.lit('","source":'), source, pick(',"tracked_ref":null', _8=""),
+        F.lit(',"pinned_sha":null,"source_hash":"sha256:0","token_budget":4000'), pick(',"include_large":false', _2="", _3=',"include_large":"yes"'), F.lit(',"check_interval_hours":1.5,"last_refresh":"2026-01-02T03:04:05'), pick("+02:00", _7=""),
+        F.lit('","generated_files":'), pick('["SKILL.md"]', _10='["a",1]'), pick("", _1=',"extra":null', _12=',"oversized":["a"]'), F.lit("}"),
+    )
+    json = F.when(r == 9, '{"name":').when(r == 13, "[]").otherwise(whole)
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return customer.select(key.alias("k"), F.array_join(store.structure(json), ",").alias("failed"))
+
+
+def _choose(key: F.Column, other: str, cases: dict[int, str]) -> F.Column:
+    out = F.lit(other)
+    for n, text in cases.items():
+        out = F.when(key == n, text).otherwise(out)
+    return out
 
 
 @query(f"WITH {c.RECORDS_SQL} SELECT r.name, skill_path, CASE WHEN c % 3 = 0 THEN 'project' ELSE 'personal' END AS scope FROM records r JOIN ({c.VIOLATIONS_SQL}) v ON v.name = r.name WHERE violations = ''")
@@ -160,10 +216,17 @@ def src_rebuild_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.rebuild_registry(rows, "/home/u/.skills", "1998-01-01 00:00:00").select("name", "skill_path", "scope")
 
 
-@query(f"WITH {c.REGISTRY_SQL} SELECT name, regexp_full_match(name, '[a-z0-9][a-z0-9-]*') AND scope IN ('personal', 'project') AND update_available IS NOT NULL AS ok FROM registry")
+@query(f"""WITH {c.REGISTRY_SQL}, odd AS (SELECT name AS was, CASE WHEN k % 7 = 1 THEN upper(name) WHEN k % 7 = 2 THEN '-' || name ELSE name END AS name, CASE WHEN k % 7 = 3 THEN 'system' ELSE scope END AS scope,
+  CASE WHEN k % 7 = 4 THEN NULL ELSE update_available END AS u, CASE WHEN k % 7 = 5 THEN '' ELSE skill_path END AS p FROM (SELECT *, CAST(substr(name, 5) AS BIGINT) AS k FROM registry))
+SELECT was AS name, regexp_full_match(name, '[a-z0-9][a-z0-9-]*') AND scope IN ('personal', 'project') AND u IS NOT NULL AND p <> '' AS ok FROM odd""")
 def p_manifest_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = c.registry(spark, sf_dir)
-    return rows.select("name", (cat.valid_name(F.col("name")) & F.col("scope").isin("personal", "project") & F.col("update_available").isNotNull()).alias("ok"))
+    """Registry entries, each of whose rules some row breaks."""
+    rows, key = c.registry(spark, sf_dir), F.substring("name", 5, 20).cast("long") % 7
+    odd = rows.select(
+        F.col("name").alias("was"), F.when(key == 1, F.upper("name")).when(key == 2, F.concat(F.lit("-"), "name")).otherwise(F.col("name")).alias("name"), F.when(key == 3, "system").otherwise(F.col("scope")).alias("scope"),
+        F.when(key != 4, F.col("update_available")).alias("update_available"), F.when(key == 5, "").otherwise(F.col("skill_path")).alias("skill_path"),
+    )
+    return odd.select(F.col("was").alias("name"), cat.valid_entry().alias("ok"))
 
 
 @query(f"""WITH {c.RECORDS_SQL}, w AS (SELECT *, CASE WHEN c % 5 = 2 THEN subpath || 'x' ELSE subpath END AS s2, CASE WHEN c % 5 = 3 THEN path || 'x' ELSE path END AS p2 FROM records)

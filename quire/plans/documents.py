@@ -156,21 +156,19 @@ def t_parse_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(HEADS_SQL + " SELECT s.doc_set, s.file_ord, s.ord, p.parent FROM sec0 s JOIN par p USING (doc_id, ord)")
 def w_heading_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.heading_paths(tree.headings(corpus(spark, sf_dir))).select("doc_set", "file_ord", "ord", "parent")
+    return tree.heading_paths(corpus(spark, sf_dir)).select("doc_set", "file_ord", "ord", "parent")
 
 
 @query(HEADS_SQL + ", up AS (SELECT doc_id, parent AS ord, count(*) AS n FROM par WHERE parent IS NOT NULL GROUP BY ALL) SELECT s.doc_set, s.file_ord, s.ord, coalesce(n, 0) AS n_children FROM sec0 s LEFT JOIN up USING (doc_id, ord) WHERE s.ord > 0")
 def t_nest_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many headings nest directly in each heading."""
-    rows = tree.heading_paths(tree.headings(corpus(spark, sf_dir)))
-    nested = rows.filter("parent IS NOT NULL").groupBy("doc_set", "file_ord", F.col("parent").alias("ord")).agg(F.count(F.lit(1)).alias("n"))
-    return rows.join(nested, ["doc_set", "file_ord", "ord"], "left").select("doc_set", "file_ord", "ord", F.coalesce("n", F.lit(0).cast("long")).alias("n_children"))
+    return tree.heading_paths(corpus(spark, sf_dir)).select("doc_set", "file_ord", "ord", "n_children")
 
 
 @query(HEADS_SQL + " SELECT a.doc_set, a.file_ord, a.ord, a.name, b.name AS parent_name FROM sec0 a JOIN par p USING (doc_id, ord) JOIN sec0 b ON b.doc_id = a.doc_id AND b.ord = p.parent")
 def j_heading_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings joined with the heading that encloses them."""
-    rows = tree.heading_paths(tree.headings(corpus(spark, sf_dir)))
+    rows = tree.heading_paths(corpus(spark, sf_dir))
     up = rows.select("doc_set", "file_ord", F.col("ord").alias("parent"), F.col("name").alias("parent_name"))
     return rows.join(up, ["doc_set", "file_ord", "parent"]).select("doc_set", "file_ord", "ord", "name", "parent_name")
 
@@ -230,7 +228,7 @@ slim AS (SELECT k.doc_set, k.path, a.up AS parent_path, k.kind, k.name, k.body F
 
 @query(COLLAPSE_SQL + " SELECT doc_set, path, parent_path, kind, name FROM slim")
 def t_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tree.collapse(tree.skeleton(tree.parse(corpus(spark, sf_dir))))
+    rows = tree.collapsed(tree.parse(corpus(spark, sf_dir)))
     return rows.select("doc_set", path_text().alias("path"), path_text("parent_path").alias("parent_path"), "kind", "name")
 
 

@@ -1,12 +1,12 @@
 """Document folders as DataFrames.
 
-Files are read by Spark's binary source, so any store works; predicates on names and sizes run before a
-file's bytes are touched where the source allows it. Symbolic links, which only local folders have, are never followed.
+Local folders are read by the data source ``quire_documents``, other stores by Spark's binary source; predicates on names and sizes run
+before a file's bytes are touched. Symbolic links, which only local folders have, are never followed.
 """
 
 from __future__ import annotations
 
-import os
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from quire.functions import markdown as md
 from quire.functions.text import js_trim
 from quire.operators.order import caps, depth_first
+from quire.runtime import materialize
+from quire.sources import folders, repositories
 
-MOST_BYTES = 1 << 20
+MOST_BYTES, CERTAIN = 1 << 20, 2
 #: Names with a meaning.
 DOC_FOLDERS = ("docs", "documentation", "doc")
 GLOB = "*.{[mM][dD],[mM][dD][xX],[mM][aA][rR][kK][dD][oO][wW][nN]}"
 EXTENSION, README = "(?i)\\.(md|mdx|markdown)\\z", "(?i)^readme\\.(md|mdx|markdown)\\z"
+PLAIN_EXTENSION = r"(?i)\.(md|mdx|markdown)$"
 CHANGELOG, LICENSE = "(?i)^changelog\\.md\\z", "(?i)^license"
 
 
@@ -131,48 +134,50 @@ def discover(files: DataFrame) -> DataFrame:
     return rows.withColumn("rel_path", inside).drop("_readme", "_best")
 
 
-def _links(root: str) -> list[str]:
-    """Relative paths of the symbolic links below a local folder; other stores have none."""
-    folder = Path(root.removeprefix("file://").removeprefix("file:"))
-    if "://" in root.removeprefix("file://") or not folder.is_dir():
-        return []
-    out = []
-    for current, folders, names in os.walk(folder):
-        out += [os.path.relpath(os.path.join(current, n), folder) for n in [*folders, *names] if os.path.islink(os.path.join(current, n))]
-    return out
+def _documents(spark: SparkSession, path: str, doc_set: str, include_large: bool, frontmatter) -> DataFrame:  # noqa: ANN001
+    """The documents of a folder, in no order.
+
+    A local folder is listed by ``quire_documents``, which skips links, hidden and package folders as it goes; stores without links by Spark's binary source."""
+    root = path.rstrip("/")
+    if folders.local_folder(root) is not None:
+        folders.register(spark)
+        limit = {} if include_large else {"most_bytes": str(MOST_BYTES)}
+        rows = spark.read.format("quire_documents").options(**limit).load(root)
+    else:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(root)
+        rows = found.withColumn("rel_path", F.regexp_replace(F.substring_index("path", root, -1), "^/+", ""))
+        rows = rows.withColumn("name", F.element_at(F.split("rel_path", "/", -1), -1)).filter(walkable(F.col("rel_path")) & size_guard(F.col("length"), include_large))
+    rows = rows.filter(usable_name(F.col("name")))
+    rows = rows.select(F.lit(doc_set).alias("doc_set"), "rel_path", F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("raw"))
+    return process(rows, include_large, frontmatter)
 
 
-def _unlinked(path: Column, links: list[str]) -> Column:
-    ok = F.lit(True)
-    for link in links:
-        ok = ok & (path != link) & ~path.startswith(f"{link}/")
-    return ok
+def _ordered(documents: DataFrame, order) -> DataFrame:  # noqa: ANN001
+    """Documents as ``order`` places them by path and position. They are written once; only their names are sorted, contents are joined."""
+    written = materialize(documents.withColumn("_own", F.col("rel_path")), "documents")
+    places = order(written.select("doc_set", "rel_path", "sidebar_position", "_own"))
+    return written.drop("rel_path").join(places.select("doc_set", "_own", "rel_path", "file_ord"), ["doc_set", "_own"]).select(*documents.columns, "file_ord")
 
 
 def scan_folder(spark: SparkSession, path: str, doc_set: str = "docs", include_large: bool = False, frontmatter=any_frontmatter) -> DataFrame:
     """The documents of a folder in order: doc_set, file_ord, rel_path, title, sidebar_position, draft, content."""
-    root = path.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(root)
-    relative = F.regexp_replace(F.substring_index("path", root, -1), "^/+", "")
-    rows = found.withColumn("rel_path", relative).withColumn("name", F.element_at(F.split("rel_path", "/", -1), -1))
-    rows = rows.filter(walkable(F.col("rel_path")) & usable_name(F.col("name")) & _unlinked(F.col("rel_path"), _links(root)))
-    rows = rows.filter(size_guard(F.col("length"), include_large))
-    rows = rows.select(F.lit(doc_set).alias("doc_set"), "rel_path", F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("raw"))
-    return depth_first(process(rows, include_large, frontmatter))
+    return _ordered(_documents(spark, path, doc_set, include_large, frontmatter), depth_first)
 
 
-def _project(rows: DataFrame, path: str) -> DataFrame:
-    chosen = discover(rows.drop("file_ord"))
-    readme = chosen.filter("rank = 0").withColumn("file_ord", F.lit(0))
-    out = readme.unionByName(depth_first(chosen.filter("rank > 0"))).drop("rank")
+def _project(documents: DataFrame, path: str) -> DataFrame:
+    def order(names: DataFrame) -> DataFrame:
+        chosen = discover(names)
+        return chosen.filter("rank = 0").withColumn("file_ord", F.lit(0)).unionByName(depth_first(chosen.filter("rank > 0")))
+
+    out = _ordered(documents, order)
     if out.isEmpty():
         raise EmptyFileSet([*(f"{path}/{folder}" for folder in DOC_FOLDERS), path])
     return out
 
 
-def scan_project(spark: SparkSession, path: str, doc_set: str = "docs", **options) -> DataFrame:
+def scan_project(spark: SparkSession, path: str, doc_set: str = "docs", include_large: bool = False, frontmatter=any_frontmatter) -> DataFrame:
     """README first, then the documentation folder or the rest of the project; raises if nothing is usable."""
-    return _project(scan_folder(spark, path, doc_set, **options), path)
+    return _project(_documents(spark, path, doc_set, include_large, frontmatter), path)
 
 
 def scan_file(spark: SparkSession, path: str, doc_set: str = "docs", include_large: bool = False, frontmatter=any_frontmatter) -> DataFrame:
@@ -196,26 +201,30 @@ def scan_local(spark: SparkSession, path: str, doc_set: str = "docs", **options)
     return scan_file(spark, resolved, doc_set, **options) if where.is_file() else scan_project(spark, resolved, doc_set, **options)
 
 
-def scan_on_driver(spark: SparkSession, path: Path, doc_set: str = "docs", include_large: bool = False, frontmatter=any_frontmatter) -> DataFrame:
-    """The same for files that only the driver has, such as a clone; what is read is bounded by the caps of a doc set."""
-    if path.is_file():
-        found = [(path.name, path)]
-    else:
-        found = []
-        for current, folders, names in os.walk(path):
-            folders[:] = [f for f in folders if not f.startswith(".") and f != "node_modules" and not os.path.islink(os.path.join(current, f))]
-            found += [(os.path.relpath(os.path.join(current, n), path), Path(current, n)) for n in names if not os.path.islink(os.path.join(current, n))]
-    sized = [(name, file, file.stat().st_size) for name, file in found if name.lower().endswith((".md", ".mdx", ".markdown"))]
-    rows = [(doc_set, name, size, file.read_text(encoding="utf-8", errors="replace")) for name, file, size in sized if include_large or size <= MOST_BYTES]
-    raw = spark.createDataFrame(rows, "doc_set string, rel_path string, size_bytes long, raw string")
-    raw = raw.filter(walkable(F.col("rel_path")) & usable_name(F.element_at(F.split("rel_path", "/", -1), -1)))
-    documents = process(raw, include_large, frontmatter)
-    if path.is_file():
+def scan_objects(spark: SparkSession, clone: repositories.Clone, subpath: str | None, doc_set: str = "docs", include_large: bool = False, frontmatter=any_frontmatter, most_files: int = 5000, most_bytes: int = 104857600) -> DataFrame:
+    """The documents of a commit, from the listing of its objects: what can't be sliced is never fetched, and what is too large never read.
+
+    Names decide which files are wanted and their number is checked before a blob is fetched, their sizes before one is read. At that point
+    it isn't known which of them are drafts, so only what exceeds a cap ``CERTAIN`` times is refused there; ``within_caps`` counts documents exactly."""
+    listed, single = clone.files(subpath)
+    wanted = [o for o in listed if re.search(PLAIN_EXTENSION, o.path.rsplit("/", 1)[-1])]
+    names = spark.createDataFrame([(o.path, o.oid) for o in wanted], "rel_path string, oid string")
+    names = names.filter(walkable(F.col("rel_path")) & usable_name(F.element_at(F.split("rel_path", "/", -1), -1)))
+    objects = {r["rel_path"]: r["oid"] for r in names.collect()}
+    if len(objects) > CERTAIN * most_files:
+        raise SourceTooLarge(f"{doc_set} has {len(objects)} files; the cap is {most_files}")
+    sizes = clone.fetch(sorted(set(objects.values())))
+    rows = [(path, oid, sizes[oid]) for path, oid in objects.items() if include_large or sizes[oid] <= MOST_BYTES]
+    if sum(size for _, _, size in rows) > CERTAIN * most_bytes:
+        raise SourceTooLarge(f"{doc_set} has {sum(size for _, _, size in rows)} bytes; the cap is {most_bytes}")
+    raw = repositories.read_objects(spark.createDataFrame(rows, "rel_path string, oid string, size_bytes long"), clone)
+    documents = process(raw.select(F.lit(doc_set).alias("doc_set"), "rel_path", "size_bytes", F.decode("content", "UTF-8").alias("raw")), include_large, frontmatter)
+    if single:
         out = documents.withColumn("file_ord", F.lit(1))
         if out.isEmpty():
-            raise EmptyFileSet([str(path)])
+            raise EmptyFileSet([subpath or clone.url])
         return out
-    return _project(documents, str(path))
+    return _project(documents, subpath or clone.url)
 
 
 def within_caps(files: DataFrame, most_files: int = 5000, most_bytes: int = 104857600) -> DataFrame:

@@ -8,13 +8,14 @@ from __future__ import annotations
 import contextlib
 import json
 import os
+import re
 import shutil
 import tempfile
 import time
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.catalog import violations
@@ -27,19 +28,72 @@ RECORD_SCHEMA = (
     " check_interval_hours double, last_refresh timestamp, generated_files array<string>, oversized array<string>"
 )
 REGISTRY_SCHEMA = "name string, skill_path string, scope string, last_check timestamp, update_available boolean"
-STALE_LOCK_SECONDS = 600
+STALE_LOCK_SECONDS, KEPT_REVISIONS = 600, 10
 HOOK_COMMAND = "quire refresh --hook"
 
 
+#: What JSON type each key of a record has; a slash separates types that are both allowed, ? marks a key that may be missing.
+RECORD_TYPES = {
+    "engine_version": "string", "slicer_version": "integer", "name": "string", "source": "object", "tracked_ref": "string/null", "pinned_sha": "string/null", "source_hash": "string",
+    "token_budget": "integer", "include_large": "boolean", "check_interval_hours": "integer/number", "last_refresh": "string", "generated_files": "strings", "oversized": "strings?",
+}
+SOURCE_TYPES = {"github": {"type": "string", "url": "string", "subpath": "string/null"}, "path": {"type": "string", "path": "string", "kind": "string"}}
+OFFSET_TIME = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})\\z"
+
+
+def _kind(value: Column) -> Column:
+    """The JSON type of a variant; null where there is no value at all."""
+    schema = F.schema_of_variant(value)
+    whole = F.try_variant_get(value, "$", "decimal(38, 18)")
+    strings = F.try_variant_get(value, "$", "array<variant>")
+    number = F.when(whole == F.floor(whole), "integer").otherwise("number")
+    return (
+        F.when(schema == "VOID", "null").when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean").when(schema.startswith("OBJECT"), "object")
+        .when(schema.startswith("ARRAY"), F.when(F.forall(strings, lambda x: F.schema_of_variant(x) == "STRING"), "strings").otherwise("array"))
+        .when(schema.isin("BIGINT", "DOUBLE", "FLOAT") | schema.startswith("DECIMAL"), number)
+    )
+
+
+def _typed(at: Callable[[str], Column], types: dict[str, str]) -> Column:
+    """Whether every key has a type it may have."""
+    ok = F.lit(True)
+    for key, allowed in types.items():
+        kind = _kind(at(key))
+        fits = F.coalesce(kind.isin(*allowed.rstrip("?").split("/")), F.lit(allowed.endswith("?")))
+        ok = ok & fits
+    return ok
+
+
+def _only(json: Column, keys: list[str]) -> Column:
+    return F.size(F.array_except(F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")), F.array(*[F.lit(k) for k in keys]))) == 0
+
+
+def structure(json: Column) -> Column:
+    """The structural checks a record's JSON fails: unreadable, unknown_keys, types, source_keys, source_types, source_kind, offset."""
+    value = F.try_parse_json(json)
+    at = lambda key: F.try_variant_get(value, f"$.{key}", "variant")
+    inner = lambda key: F.try_variant_get(value, f"$.source.{key}", "variant")
+    source = F.to_json(at("source"))
+    kind = F.try_variant_get(value, "$.source.type", "string")
+    readable = _kind(value).eqNullSafe("object")
+    checks = {
+        "unknown_keys": _only(json, [*RECORD_TYPES]),
+        "types": _typed(at, RECORD_TYPES),
+        "source_keys": F.when(kind == "github", _only(source, [*SOURCE_TYPES["github"]])).when(kind == "path", _only(source, [*SOURCE_TYPES["path"]])),
+        "source_types": F.when(kind == "github", _typed(inner, SOURCE_TYPES["github"]) & (F.try_variant_get(value, "$.source.url", "string") != "")).when(kind == "path", _typed(inner, SOURCE_TYPES["path"]) & (F.try_variant_get(value, "$.source.path", "string") != "")),
+        "source_kind": F.coalesce(kind != "path", F.lit(True)) | F.coalesce(F.try_variant_get(value, "$.source.kind", "string").isin("file", "folder", "project"), F.lit(False)),
+        "offset": F.try_variant_get(value, "$.last_refresh", "string").rlike(OFFSET_TIME),
+    }
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(check, F.lit(False)), name) for name, check in checks.items()]))
+    return F.when(readable, failed).otherwise(F.array(F.lit("unreadable")))
+
+
 def parse_records(raw: DataFrame) -> DataFrame:
-    """Records from (skill_path, json) with the checks they fail; unknown keys and unreadable JSON count as checks."""
-    allowed = [name for name, _ in raw.sparkSession.createDataFrame([], RECORD_SCHEMA).dtypes]
-    keys = F.json_object_keys("json")
-    unknown = F.array_except(F.coalesce(keys, F.array().cast("array<string>")), F.array(*[F.lit(a) for a in allowed]))
-    rows = raw.select("skill_path", F.from_json("json", RECORD_SCHEMA).alias("r"), unknown.alias("_unknown"), keys.isNull().alias("_bad"))
-    rows = violations(rows.select("skill_path", "r.*", "_unknown", "_bad"))
-    more = F.array_compact(F.array(F.when(F.size("_unknown") > 0, "unknown_keys"), F.when(F.col("_bad"), "unreadable")))
-    return rows.withColumn("violations", F.concat("violations", more)).drop("_unknown", "_bad")
+    """Records from (skill_path, json) with the checks they fail, of structure and of values. Unknown keys are refused at every level: records decide deletions."""
+    rows = raw.select("skill_path", F.from_json("json", RECORD_SCHEMA).alias("r"), structure(F.col("json")).alias("_structure"))
+    rows = violations(rows.select("skill_path", "r.*", "_structure"))
+    unreadable = F.array_contains("_structure", "unreadable")
+    return rows.withColumn("violations", F.when(unreadable, F.col("_structure")).otherwise(F.concat("violations", "_structure"))).drop("_structure")
 
 
 def read_records(spark: SparkSession, pattern: str) -> DataFrame:
@@ -100,26 +154,97 @@ def lock(path: Path, stale_seconds: float = STALE_LOCK_SECONDS, wait_seconds: fl
         path.unlink(missing_ok=True)
 
 
-def load_registry(spark: SparkSession, path: Path) -> DataFrame:
-    """The registry; missing gives an empty one, a corrupt file is set aside and gives an empty one."""
-    rows: list[dict] = []
-    if path.exists():
-        try:
-            rows = json.loads(path.read_text())["entries"]
-            if not all(isinstance(r, dict) and set(r) == {"name", "skill_path", "scope", "last_check", "update_available"} for r in rows):
-                raise ValueError("unexpected entry")
-        except (ValueError, KeyError, TypeError):
-            os.replace(path, path.with_suffix(f".corrupt-{time.time_ns()}"))
-            rows = []
+ENTRY_KEYS = {"name", "skill_path", "scope", "last_check", "update_available"}
+
+
+def _revisions(path: Path) -> dict[int, Path]:
+    """Committed revisions of a registry beside its file; the newest few are kept."""
+    found = (re.fullmatch(rf"{re.escape(path.stem)}\.([0-9]{{10}})\.json", p.name) for p in path.parent.glob(f"{path.stem}.*.json"))
+    return {int(m[1]): path.with_name(m[0]) for m in found if m}
+
+
+def _entries(path: Path) -> tuple[int, list[dict]]:
+    """(revision, entries) of one file; raises where it isn't a registry."""
+    data = json.loads(path.read_text(encoding="utf-8"))
+    rows, revision = data["entries"], data.get("revision", 0)
+    if not isinstance(revision, int) or not all(isinstance(r, dict) and set(r) == ENTRY_KEYS for r in rows):
+        raise ValueError("unexpected entry")
+    return revision, rows
+
+
+def read_registry(path: Path) -> tuple[int, list[dict]]:
+    """(revision, entries), the newest there is: of the file or of a revision that its writer had no time to copy there.
+
+    Missing gives an empty registry; a corrupt file is set aside, and the newest readable revision counts."""
+    while True:
+        with contextlib.suppress(FileNotFoundError):
+            revisions = _revisions(path)
+            best = (max(revisions, default=0), [])
+            for revision in sorted(revisions, reverse=True):
+                with contextlib.suppress(ValueError, KeyError, TypeError):
+                    best = (best[0], _entries(revisions[revision])[1])
+                    break
+            if path.exists():
+                try:
+                    own = _entries(path)
+                    best = own if own[0] >= best[0] else best
+                except (ValueError, KeyError, TypeError):
+                    os.replace(path, path.with_suffix(f".corrupt-{time.time_ns()}"))
+            return best
+
+
+def registry_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
     text = spark.createDataFrame([(json.dumps(r),) for r in rows], "j string")
     return text.select(F.from_json("j", REGISTRY_SCHEMA).alias("r")).select("r.*")
 
 
-def save_registry(registry: DataFrame, path: Path) -> None:
-    """Under the lock, atomically. A registry is a driver-sized table by nature: a row an installed doc set."""
-    rows = [json.loads(x) for (x,) in registry.select(F.to_json(F.struct(*registry.columns), {"ignoreNullFields": "false"})).collect()]
+def load_registry(spark: SparkSession, path: Path) -> DataFrame:
+    return registry_frame(spark, read_registry(path)[1])
+
+
+class Overtaken(RuntimeError):
+    """Another writer committed the revision first."""
+
+
+def commit_registry(rows: list[dict], path: Path, revision: int) -> None:
+    """Writes revision ``revision + 1``, which only one writer can create, then copies it to the registry's file."""
+    path.parent.mkdir(parents=True, exist_ok=True)
+    text = json.dumps({"version": 1, "revision": revision + 1, "entries": rows}, indent=2)
+    handle, name = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")
+    with os.fdopen(handle, "w", encoding="utf-8") as file:
+        file.write(text)
+    try:
+        os.link(name, path.with_name(f"{path.stem}.{revision + 1:010d}.json"))
+    except FileExistsError:
+        raise Overtaken(f"revision {revision + 1} of {path} is another's") from None
+    finally:
+        os.unlink(name)
     with lock(path.with_suffix(".lock")):
-        write_atomic(path, json.dumps({"version": 1, "entries": rows}, indent=2))
+        newest, entries = read_registry(path)
+        write_atomic(path, json.dumps({"version": 1, "revision": newest, "entries": entries}, indent=2))
+        for old, file in _revisions(path).items():
+            if old < newest - KEPT_REVISIONS:
+                file.unlink(missing_ok=True)
+
+
+def update_registry(spark: SparkSession, path: Path, change: Callable[[DataFrame], DataFrame], tries: int = 20) -> None:
+    """Commits ``change`` of the registry; where another writer came first, of what that one left.
+
+    A registry is a driver-sized table by nature: a row an installed doc set."""
+    for _ in range(tries):
+        revision, rows = read_registry(path)
+        changed = change(registry_frame(spark, rows))
+        done = [json.loads(x) for (x,) in changed.select(F.to_json(F.struct(*changed.columns), {"ignoreNullFields": "false"})).collect()]
+        try:
+            return commit_registry(done, path, revision)
+        except Overtaken:
+            continue
+    raise TimeoutError(f"{path} changes too often")
+
+
+def save_registry(registry: DataFrame, path: Path) -> None:
+    """Replaces the whole registry."""
+    update_registry(registry.sparkSession, path, lambda _: registry)
 
 
 class InvalidRecord(ValueError):

@@ -2,6 +2,8 @@
 
 import json
 import os
+import subprocess
+import threading
 import time
 from datetime import UTC, datetime, timedelta
 
@@ -69,7 +71,6 @@ def test_names_in_any_case_and_links(spark, place):
     os.symlink(src / "elsewhere", src / "docs/linked")
     got = [r.rel_path for r in fl.scan_local(spark, str(src)).orderBy("file_ord").collect()]
     assert got == ["README.md", "01-a.Md", "b.markdown", "C.MARKDOWN", "d.mDx"]
-    assert sorted(got) == sorted(r.rel_path for r in fl.scan_on_driver(spark, src).collect())
     os.symlink(src, place / "alias")
     with pytest.raises(fl.LinkedSource):
         fl.scan_local(spark, str(place / "alias"))
@@ -137,34 +138,46 @@ def test_add_refuses_findings_collisions_and_bad_names(spark, place):
 
 
 class Git:
-    """A runner that clones a folder of files by commit."""
-
-    def __init__(self, commits):
-        self.commits, self.head, self.calls = commits, next(iter(commits)), []
+    """A runner that has a real local repository answer for every URL."""
+
+    def __init__(self, folder):
+        self.folder, self.calls = folder, []
+        folder.mkdir()
+        for arguments in (["init", "-q"], ["config", "uploadpack.allowFilter", "true"], ["config", "uploadpack.allowAnySHA1InWant", "true"]):
+            self.git(*arguments)
+
+    def git(self, *arguments):
+        who = ["-c", "user.name=a", "-c", "user.email=a@b.c"]
+        return subprocess.run(["git", *who, *arguments], cwd=self.folder, check=True, capture_output=True, text=True, env=repositories.environment()).stdout
+
+    def commit(self, tree, remove=()):
+        write(self.folder, tree)
+        for name in remove:
+            (self.folder / name).unlink()
+        self.git("add", "-A")
+        self.git("commit", "-q", "-m", "x")
+        return self.git("rev-parse", "HEAD").strip()
 
     def __call__(self, arguments, folder=None):
         self.calls.append(arguments)
-        if "ls-remote" in arguments:
-            return 0, f"{self.head}\tHEAD\n", ""
-        if "checkout" in arguments:
-            from pathlib import Path
-
-            write(Path(folder), self.commits[arguments[-1]])
-        return 0, "", ""
+        own = [f"file://{self.folder}" if a.startswith("https://") else "protocol.file.allow=always" if a == "protocol.file.allow=never" else "HEAD" if a == "main" else a for a in arguments]
+        return repositories.run_git(own, folder)
 
 
 def test_repository_end_to_end(spark, place):
-    a, b = "a" * 40, "b" * 40
-    git = Git({a: {"docs/api/x.md": "# X\n\nOne."}, b: {"docs/api/x.md": "# X\n\nTwo."}})
+    git = Git(place / "repo")
+    a = git.commit({"docs/api/x.md": "# X\n\nOne.", "docs/other.md": "# O", "big.bin": "x" * 5000})
     clock = [datetime(2026, 1, 1, tzinfo=UTC)]
     own = library(spark, place, run=git, now=lambda: clock[0])
     path, sliced = own.add("https://github.com/org/tool/tree/main/docs/api")
     assert sliced.pinned_sha == a and sliced.tracked_ref == "main" and "One." in (path / "SKILL.md").read_text()
     clone = next(c for c in git.calls if "clone" in c)
     assert "protocol.ext.allow=never" in clone and "protocol.file.allow=never" in clone and "core.symlinks=false" in clone and "--no-recurse-submodules" in clone
-    assert next(c for c in git.calls if "fetch" in c)[-3:] == ["--", "origin", a]
+    fetched = [c for c in git.calls if "fetch" in c]
+    assert fetched[0][-3:] == ["--", "origin", a] and len(fetched) == 2 and fetched[1][-1] == git.git("rev-parse", f"{a}:docs/api/x.md").strip()
+    assert json.loads((path / store.RECORD_FILE).read_text())["source"] == {"type": "github", "url": "https://github.com/org/tool", "subpath": "docs/api"}
     assert own.refresh() == {("personal", "tool"): "unchanged"}
-    git.head = b
+    b = git.commit({"docs/api/x.md": "# X\n\nTwo."})
     assert own.refresh() == {("personal", "tool"): "update-available"} and own.registry().first().update_available
     assert own.refresh(hook=True) == {("personal", "tool"): "skipped"}
     clock[0] += timedelta(days=2)
@@ -172,17 +185,144 @@ def test_repository_end_to_end(spark, place):
     assert own.refresh(update=True) == {("personal", "tool"): "regenerated"}
     assert "Two." in (path / "SKILL.md").read_text() and json.loads((path / store.RECORD_FILE).read_text())["pinned_sha"] == b
     assert not own.registry().first().update_available
-    with pytest.raises(repositories.RepositoryError), repositories.checkout("u", "--upload-pack=x", git):
+    with pytest.raises(repositories.RepositoryError), repositories.cloned(spark, "u", "--upload-pack=x", git):
         pass
 
 
+def test_objects_are_listed_before_they_are_read(spark, place):
+    git = Git(place / "repo")
+    tree = {"README.md": "# R", "docs/a.md": "# A", "docs/b.MDX": "b", "docs/.h/c.md": "c", "node_modules/d.md": "d", "docs/CHANGELOG.md": "e", "docs/large.md": "x" * (fl.MOST_BYTES + 1), "docs/é x.md": "f", "docs/empty.md": ""}
+    write(git.folder, tree)
+    os.symlink("a.md", git.folder / "docs/link.md")
+    sha = git.commit({})
+    scan = lambda sub, **limits: sorted((r.rel_path, r.content) for r in fl.scan_objects(spark, clone, sub, **limits).collect())
+    with repositories.cloned(spark, "https://github.com/o/r", sha, git) as clone:
+        assert scan(None) == [("README.md", "# R"), ("a.md", "# A"), ("b.MDX", "b"), ("é x.md", "f")]
+        assert scan("docs") == [("a.md", "# A"), ("b.MDX", "b"), ("é x.md", "f")] == scan("/docs/./")
+        assert scan("docs/a.md") == [("a.md", "# A")]
+        assert "large.md" in [p for p, _ in scan("docs", include_large=True)]
+        for bad in ("../x", "nowhere", "docs/link.md"):
+            with pytest.raises(repositories.RepositoryError):
+                scan(bad)
+        with pytest.raises(fl.EmptyFileSet):
+            scan("docs/empty.md")
+        git.calls.clear()
+        with pytest.raises(fl.SourceTooLarge, match="files"):
+            scan(None, most_files=1)
+        assert not any("fetch" in c or "cat-file" in c for c in git.calls)  # refused by the listing alone
+        with pytest.raises(fl.SourceTooLarge, match="bytes"):
+            scan(None, most_bytes=3)
+        local = place / "local"
+        write(local, tree)
+        os.symlink("a.md", local / "docs/link.md")
+        assert scan(None) == sorted((r.rel_path, r.content) for r in fl.scan_local(spark, str(local)).collect())
+    assert not os.path.exists(clone.folder)
+
+
+def test_git_gets_the_path_alone(monkeypatch):
+    monkeypatch.setenv("HOME", "/somewhere")
+    got = repositories.environment()
+    assert set(got) <= {"PATH", "GIT_TERMINAL_PROMPT", "GIT_ASKPASS", "GIT_CONFIG_NOSYSTEM", "GIT_LFS_SKIP_SMUDGE"} and got["GIT_ASKPASS"] == ""
+
+
+def test_a_failing_entry_stops_no_other_and_a_late_one_writes_nothing(spark, place):
+    own = library(spark, place)
+    for name in ("a", "b"):
+        write(place / name, {"x.md": f"# {name}\n\nOne."})
+        own.add(str(place / name), hook=False)
+    write(place / "a", {"x.md": "# a\n\nTwo."})
+    write(place / "b", {"x.md": "# b\n\nTwo."})
+    real = own.regenerate
+    own.regenerate = lambda entry, *more: real(entry, *more) if entry["name"] == "b" else (_ for _ in ()).throw(OSError("disk"))
+    assert own.refresh(hook=True) == {("personal", "a"): "stale", ("personal", "b"): "regenerated"}
+    before = (place / "home/.skills/a/SKILL.md").read_text()
+    reached = []
+
+    def slow(entry, record, found, now, sha, step=None):
+        time.sleep(3)
+        reached.append(1)
+        real(entry, record, found, now, sha, step)
+
+    records = {r["skill_path"]: r.asDict(recursive=True) for r in own.records().collect()}
+    entry = next(r.asDict() for r in own.registry().collect() if r["name"] == "a")
+    evaluated = own.evaluate_local(entry, records[entry["skill_path"]])
+    assert evaluated[0] == "changed"
+    own.regenerate, own.hook_seconds = slow, 1
+    assert own._limited(lambda step: own.rebuild_local(entry, records[entry["skill_path"]], evaluated, step)) is None
+    time.sleep(4)
+    assert reached and (place / "home/.skills/a/SKILL.md").read_text() == before  # its jobs are cancelled, its result is not published
+    step = lib.Step()
+    assert not step.end()
+    with pytest.raises(lib.TimedOut):
+        real(entry, records[entry["skill_path"]], evaluated[1], evaluated[2], None, step)
+    assert (place / "home/.skills/a/SKILL.md").read_text() == before
+
+
+def test_snapshots_tell_unchanged_folders_by_their_listing(spark, place):
+    own = library(spark, place, snapshots=f"file://{place}/snapshots")
+    own.add(str(place / "src"), hook=False)
+    assert own.refresh() == {("personal", "src"): "unchanged"}
+    own._fingerprint = lambda *_: (_ for _ in ()).throw(AssertionError("read"))
+    assert own.refresh() == {("personal", "src"): "unchanged"}
+    del own._fingerprint
+    write(place / "src", {"docs/b.markdown": "# B\n\nText changed."})
+    assert own.refresh() == {("personal", "src"): "regenerated"}
+    own._fingerprint = lambda *_: (_ for _ in ()).throw(AssertionError("read"))
+    assert own.refresh() == {("personal", "src"): "unchanged"}
+
+
+def test_writers_of_the_registry_lose_nothing(spark, tmp_path):
+    path = tmp_path / "registry.json"
+    entry = lambda n: spark.createDataFrame([(n, f"/x/{n}", "personal", None, False)], store.REGISTRY_SCHEMA)
+    errors = []
+
+    def add(n):
+        try:
+            store.update_registry(spark, path, lambda known: known.unionByName(entry(n)))
+        except Exception as error:  # noqa: BLE001
+            errors.append(error)
+
+    threads = [threading.Thread(target=add, args=(f"n{i}",)) for i in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors and sorted(r.name for r in store.load_registry(spark, path).collect()) == ["n0", "n1", "n2", "n3"]
+    assert json.loads(path.read_text())["revision"] == 4
+    # a writer that stopped between its revision and the copy: the revision counts
+    revision, rows = store.read_registry(path)
+    path.with_name("registry.0000000005.json").write_text(json.dumps({"version": 1, "revision": 5, "entries": rows[:1]}))
+    assert store.read_registry(path) == (5, rows[:1])
+    with pytest.raises(store.Overtaken):
+        store.commit_registry(rows, path, 4)
+    path.write_text("{")
+    assert store.read_registry(path) == (5, rows[:1]) and not path.exists()
+    assert revision == 4
+
+
+def test_records_are_strict_at_every_level(spark):
+    good = {
+        "engine_version": "1.0.0", "slicer_version": 1, "name": "a", "source": {"type": "path", "path": "/d", "kind": "folder"}, "tracked_ref": None, "pinned_sha": None, "source_hash": "sha256:" + "0" * 64,
+        "token_budget": 4000, "include_large": False, "check_interval_hours": 24, "last_refresh": "2026-01-02T03:04:05.678+00:00", "generated_files": ["SKILL.md"],
+    }
+    github = {"type": "github", "url": "https://github.com/o/r", "subpath": None}
+    without = lambda key: {k: v for k, v in good.items() if k != key}
+    fine = [good, good | {"source": github}, good | {"oversized": []}, good | {"oversized": ["a"], "check_interval_hours": 0.5}, good | {"last_refresh": "2026-01-02T03:04:05Z"}]
+    bad = [without(k) for k in good] + [good | {"include_large": "yes"}, good | {"source": {"type": "path", "kind": "folder"}}, good | {"source": {"type": "path", "path": "/d", "kind": "banana"}}, good | {"source": good["source"] | {"more": 1}}]
+    bad += [good | {"last_refresh": "2026-01-02T03:04:05"}, good | {"x": None}, good | {"source": github | {"path": "/d"}}, good | {"source": {"type": "github", "url": "https://github.com/o/r"}}, good | {"source": None}, good | {"source": []}]
+    bad += [good | {"generated_files": ["a", 1]}, good | {"generated_files": "a"}, good | {"slicer_version": 1.5}, good | {"slicer_version": "1"}, good | {"token_budget": 600.5}, good | {"oversized": [None]}, good | {"tracked_ref": 3}, good | {"name": None}]
+    texts = [json.dumps(r) for r in fine + bad] + ["[]", "null", "", "{", '"x"']
+    got = store.parse_records(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "skill_path string, json string")).collect()
+    assert [bool(r.violations) for r in sorted(got, key=lambda r: int(r.skill_path))] == [False] * len(fine) + [True] * (len(texts) - len(fine))
+
+
 def test_time_limit_cancels(spark):
-    assert lib.limited(spark, 30, lambda: spark.range(5).count()) == 5
+    assert lib.limited(spark, 30, lambda _: spark.range(5).count()) == 5
     with pytest.raises(ValueError, match="no"):
-        lib.limited(spark, 30, lambda: (_ for _ in ()).throw(ValueError("no")))
+        lib.limited(spark, 30, lambda step: (_ for _ in ()).throw(ValueError("no")))
     start = time.time()
     with pytest.raises(lib.TimedOut):
-        lib.limited(spark, 0.5, lambda: time.sleep(20))
+        lib.limited(spark, 0.5, lambda _: time.sleep(20))
     assert time.time() - start < 5
 
 
