@@ -34,9 +34,11 @@ CHUNK = 64  # headings whose results are gathered at a time: appending to one ar
 
 def _folded(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
     """An array with what ``step`` gives for each item, while it hands a state on. ``step`` returns (result, state)."""
-    sample = step(state, F.get(items, F.lit(0)))[0]
-    none = F.filter(F.array(sample), lambda _: F.lit(False))
-    one = lambda acc, item: F.struct(step(acc["state"], item)[1].alias("state"), F.concat(acc["out"], F.array(step(acc["state"], item)[0])).alias("out"))
+    none = F.filter(F.array(step(state, F.get(items, F.lit(0)))[0]), lambda _: F.lit(False))
+
+    def one(acc: Column, item: Column) -> Column:
+        result, after = step(acc["state"], item)
+        return F.struct(after.alias("state"), F.concat(acc["out"], F.array(result)).alias("out"))
 
     def chunk(acc: Column, at: Column) -> Column:
         own = F.aggregate(F.slice(items, at * CHUNK + 1, F.lit(CHUNK)), F.struct(acc["state"].alias("state"), none.alias("out")), one)

@@ -200,7 +200,7 @@ def p_record_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     json = F.when(r == 9, '{"name":').when(r == 13, "[]").otherwise(whole)
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return customer.select(key.alias("k"), F.array_join(store.structure(json), ",").alias("failed"))
+    return store.structure(customer, json, "_failed").select(key.alias("k"), F.array_join("_failed", ",").alias("failed"))
 
 
 def _choose(key: F.Column, other: str, cases: dict[int, str]) -> F.Column:

@@ -41,56 +41,53 @@ SOURCE_TYPES = {"github": {"type": "string", "url": "string", "subpath": "string
 OFFSET_TIME = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})\\z"
 
 
-def _kind(value: Column) -> Column:
-    """The JSON type of a variant; null where there is no value at all."""
-    schema = F.schema_of_variant(value)
-    whole = F.try_variant_get(value, "$", "decimal(38, 18)")
-    strings = F.try_variant_get(value, "$", "array<variant>")
-    number = F.when(whole == F.floor(whole), "integer").otherwise("number")
-    return (
-        F.when(schema == "VOID", "null").when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean").when(schema.startswith("OBJECT"), "object")
-        .when(schema.startswith("ARRAY"), F.when(F.forall(strings, lambda x: F.schema_of_variant(x) == "STRING"), "strings").otherwise("array"))
-        .when(schema.isin("BIGINT", "DOUBLE", "FLOAT") | schema.startswith("DECIMAL"), number)
-    )
-
-
-def _typed(at: Callable[[str], Column], types: dict[str, str]) -> Column:
-    """Whether every key has a type it may have."""
-    ok = F.lit(True)
+#: The JSON type of a variant ``v``; null where there is no value at all. SQL text, as hundreds of small calls would cost seconds to build.
+KIND_SQL = """CASE WHEN schema_of_variant({v}) = 'VOID' THEN 'null' WHEN schema_of_variant({v}) = 'STRING' THEN 'string' WHEN schema_of_variant({v}) = 'BOOLEAN' THEN 'boolean'
+  WHEN schema_of_variant({v}) LIKE 'OBJECT%' THEN 'object'
+  WHEN schema_of_variant({v}) LIKE 'ARRAY%' THEN IF(forall(try_variant_get({v}, '$', 'array<variant>'), x -> schema_of_variant(x) = 'STRING'), 'strings', 'array')
+  WHEN schema_of_variant({v}) IN ('BIGINT', 'DOUBLE', 'FLOAT') OR schema_of_variant({v}) LIKE 'DECIMAL%'
+    THEN IF(try_variant_get({v}, '$', 'decimal(38, 18)') = floor(try_variant_get({v}, '$', 'decimal(38, 18)')), 'integer', 'number') END"""
+
+
+def _typed(value: str, types: dict[str, str]) -> str:
+    """SQL for whether every key of a variant has a type it may have."""
+    tests = []
     for key, allowed in types.items():
-        kind = _kind(at(key))
-        fits = F.coalesce(kind.isin(*allowed.rstrip("?").split("/")), F.lit(allowed.endswith("?")))
-        ok = ok & fits
-    return ok
+        kind = KIND_SQL.format(v=f"try_variant_get({value}, '$.{key}', 'variant')")
+        names = ", ".join(f"'{a}'" for a in allowed.rstrip("?").split("/"))
+        tests.append(f"coalesce(({kind}) IN ({names}), {str(allowed.endswith('?')).lower()})")
+    return " AND ".join(tests)
 
 
-def _only(json: Column, keys: list[str]) -> Column:
-    return F.size(F.array_except(F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")), F.array(*[F.lit(k) for k in keys]))) == 0
+def _only(json: str, keys: list[str]) -> str:
+    names = ", ".join(f"'{k}'" for k in keys)
+    return f"size(array_except(coalesce(json_object_keys({json}), cast(array() AS array<string>)), array({names}))) = 0"
 
 
-def structure(json: Column) -> Column:
-    """The structural checks a record's JSON fails: unreadable, unknown_keys, types, source_keys, source_types, source_kind, offset."""
-    value = F.try_parse_json(json)
-    at = lambda key: F.try_variant_get(value, f"$.{key}", "variant")
-    inner = lambda key: F.try_variant_get(value, f"$.source.{key}", "variant")
-    source = F.to_json(at("source"))
-    kind = F.try_variant_get(value, "$.source.type", "string")
-    readable = _kind(value).eqNullSafe("object")
+def _checks() -> str:
+    value, source = "try_parse_json(__json)", "try_variant_get(try_parse_json(__json), '$.source', 'variant')"
+    text = lambda path: f"try_variant_get({value}, '$.{path}', 'string')"
+    by_type = lambda github, path: f"CASE {text('source.type')} WHEN 'github' THEN {github} WHEN 'path' THEN {path} END"
     checks = {
-        "unknown_keys": _only(json, [*RECORD_TYPES]),
-        "types": _typed(at, RECORD_TYPES),
-        "source_keys": F.when(kind == "github", _only(source, [*SOURCE_TYPES["github"]])).when(kind == "path", _only(source, [*SOURCE_TYPES["path"]])),
-        "source_types": F.when(kind == "github", _typed(inner, SOURCE_TYPES["github"]) & (F.try_variant_get(value, "$.source.url", "string") != "")).when(kind == "path", _typed(inner, SOURCE_TYPES["path"]) & (F.try_variant_get(value, "$.source.path", "string") != "")),
-        "source_kind": F.coalesce(kind != "path", F.lit(True)) | F.coalesce(F.try_variant_get(value, "$.source.kind", "string").isin("file", "folder", "project"), F.lit(False)),
-        "offset": F.try_variant_get(value, "$.last_refresh", "string").rlike(OFFSET_TIME),
+        "unknown_keys": _only("__json", [*RECORD_TYPES]),
+        "types": _typed(value, RECORD_TYPES),
+        "source_keys": by_type(*(_only(f"to_json({source})", [*SOURCE_TYPES[t]]) for t in ("github", "path"))),
+        "source_types": by_type(*(f"{_typed(source, SOURCE_TYPES[t])} AND {text(f'source.{key}')} <> ''" for t, key in (("github", "url"), ("path", "path")))),
+        "source_kind": f"coalesce({text('source.type')} <> 'path', true) OR coalesce({text('source.kind')} IN ('file', 'folder', 'project'), false)",
+        "offset": f"{text('last_refresh')} RLIKE r'{OFFSET_TIME}'",
     }
-    failed = F.array_compact(F.array(*[F.when(~F.coalesce(check, F.lit(False)), name) for name, check in checks.items()]))
-    return F.when(readable, failed).otherwise(F.array(F.lit("unreadable")))
+    failed = ", ".join(f"IF(coalesce({check}, false), NULL, '{name}')" for name, check in checks.items())
+    return f"IF(coalesce(schema_of_variant({value}) LIKE 'OBJECT%', false), array_compact(array({failed})), array('unreadable'))"
+
+
+def structure(rows: DataFrame, json: Column, name: str) -> DataFrame:
+    """Adds the structural checks that JSON records fail: unreadable, unknown_keys, types, source_keys, source_types, source_kind, offset."""
+    return rows.withColumn("__json", json).withColumn(name, F.expr(_checks())).drop("__json")
 
 
 def parse_records(raw: DataFrame) -> DataFrame:
     """Records from (skill_path, json) with the checks they fail, of structure and of values. Unknown keys are refused at every level: records decide deletions."""
-    rows = raw.select("skill_path", F.from_json("json", RECORD_SCHEMA).alias("r"), structure(F.col("json")).alias("_structure"))
+    rows = structure(raw, F.col("json"), "_structure").select("skill_path", F.from_json("json", RECORD_SCHEMA).alias("r"), "_structure")
     rows = violations(rows.select("skill_path", "r.*", "_structure"))
     unreadable = F.array_contains("_structure", "unreadable")
     return rows.withColumn("violations", F.when(unreadable, F.col("_structure")).otherwise(F.concat("violations", "_structure"))).drop("_structure")

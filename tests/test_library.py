@@ -31,7 +31,7 @@ def place(tmp_path):
 
 
 def library(spark, place, **more):
-    return lib.Library(spark, place / "home", place / "project", **more)
+    return lib.Library(spark, place / "home", place / "project", **{"hook_seconds": 120, **more})
 
 
 @pytest.mark.parametrize(
@@ -175,7 +175,7 @@ def test_repository_end_to_end(spark, place):
     assert "protocol.ext.allow=never" in clone and "protocol.file.allow=never" in clone and "core.symlinks=false" in clone and "--no-recurse-submodules" in clone
     fetched = [c for c in git.calls if "fetch" in c]
     assert fetched[0][-3:] == ["--", "origin", a] and len(fetched) == 2 and fetched[1][-1] == git.git("rev-parse", f"{a}:docs/api/x.md").strip()
-    assert json.loads((path / store.RECORD_FILE).read_text())["source"] == {"type": "github", "url": "https://github.com/org/tool", "subpath": "docs/api"}
+    assert json.loads((path / store.RECORD_FILE).read_text())["source"] == {"type": "github", "url": "https://github.com/org/tool.git", "subpath": "docs/api"}
     assert own.refresh() == {("personal", "tool"): "unchanged"}
     b = git.commit({"docs/api/x.md": "# X\n\nTwo."})
     assert own.refresh() == {("personal", "tool"): "update-available"} and own.registry().first().update_available
