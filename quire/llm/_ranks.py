@@ -25,39 +25,39 @@ def running(df: DataFrame, group: str, hashed: str, ties: list[str], value: Colu
     blocks of FAN_OUT; sums of blocks come first, then of ranges in a block, then each range is ordered by itself, so
     the one ordered list a group has grows by a row for 500,000. Rows that share their hash share a range. ``df`` is read twice: pass a written table.
     """
-    counts = materialize(df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows")).withColumnRenamed(group, "_group"), "counts")
-    part = F.floor(F.col(hashed) * F.ceil(F.col("_rows") / BUCKET_ROWS) / (1 << HASH_BITS))
-    rows = df.join(counts, F.col(group).eqNullSafe(F.col("_group"))).withColumns({"_part": part, "_value": value})
-    rows = rows.withColumn("_range", F.xxhash64(F.col(group).isNull(), group, "_part"))
-    sums = rows.groupBy("_range", "_group", "_part").agg(F.sum("_value").alias("_sum"))
-    sums = materialize(sums.withColumn("_block", F.floor(F.col("_part") / FAN_OUT)), "ranges")
-    earlier = lambda keys, order: F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = sums.groupBy("_group", "_block").agg(F.sum("_sum").alias("_sum"))
-    blocks = blocks.select(F.col("_group").alias("_g"), F.col("_block").alias("_b"), earlier(["_group"], "_block").alias("_before"))
-    ranges = sums.withColumn("_inside", earlier(["_group", "_block"], "_part")).join(blocks, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_block") == F.col("_b")))
-    ranges = materialize(ranges.select(F.col("_range").alias("_of"), (F.col("_before") + F.col("_inside")).alias("_base")), "bases")
-    within = Window.partitionBy("_range").orderBy(hashed, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(ranges, F.col("_range") == F.col("_of"))
-    return out.withColumn(name, F.col("_base") + F.coalesce(F.sum("_value").over(within), F.lit(0))).drop("_rows", "_group", "_part", "_value", "_range", "_of", "_base")
+    counts = materialize(df.groupBy(group).agg(F.count(F.lit(1)).alias("__quire_rows")).withColumnRenamed(group, "__quire_group"), "counts")
+    part = F.floor(F.col(hashed) * F.ceil(F.col("__quire_rows") / BUCKET_ROWS) / (1 << HASH_BITS))
+    rows = df.join(counts, F.col(group).eqNullSafe(F.col("__quire_group"))).withColumns({"__quire_part": part, "__quire_value": value})
+    rows = rows.withColumn("__quire_range", F.xxhash64(F.col(group).isNull(), group, "__quire_part"))
+    sums = rows.groupBy("__quire_range", "__quire_group", "__quire_part").agg(F.sum("__quire_value").alias("__quire_sum"))
+    sums = materialize(sums.withColumn("__quire_block", F.floor(F.col("__quire_part") / FAN_OUT)), "ranges")
+    earlier = lambda keys, order: F.coalesce(F.sum("__quire_sum").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sums.groupBy("__quire_group", "__quire_block").agg(F.sum("__quire_sum").alias("__quire_sum"))
+    blocks = blocks.select(F.col("__quire_group").alias("__quire_g"), F.col("__quire_block").alias("__quire_b"), earlier(["__quire_group"], "__quire_block").alias("__quire_before"))
+    ranges = sums.withColumn("__quire_inside", earlier(["__quire_group", "__quire_block"], "__quire_part")).join(blocks, F.col("__quire_group").eqNullSafe(F.col("__quire_g")) & (F.col("__quire_block") == F.col("__quire_b")))
+    ranges = materialize(ranges.select(F.col("__quire_range").alias("__quire_of"), (F.col("__quire_before") + F.col("__quire_inside")).alias("__quire_base")), "bases")
+    within = Window.partitionBy("__quire_range").orderBy(hashed, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(ranges, F.col("__quire_range") == F.col("__quire_of"))
+    return out.withColumn(name, F.col("__quire_base") + F.coalesce(F.sum("__quire_value").over(within), F.lit(0))).drop("__quire_rows", "__quire_group", "__quire_part", "__quire_value", "__quire_range", "__quire_of", "__quire_base")
 
 
 def nth_of(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Adds ``name``: a number from 1 among the rows that share ``keys``, dealt by task, so that no key is ordered in one task."""
-    placed = materialize(df.withColumn("_part", F.spark_partition_id()), "placed")
-    here = placed.select("*", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(F.lit(1))).alias("_here"))
-    counts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each key and task that holds it
-    base = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), base.alias("_base"))
-    same = F.col("_part") == F.col("_p")
+    placed = materialize(df.withColumn("__quire_part", F.spark_partition_id()), "placed")
+    here = placed.select("*", F.row_number().over(Window.partitionBy(*keys, "__quire_part").orderBy(F.lit(1))).alias("__quire_here"))
+    counts = placed.groupBy(*keys, "__quire_part").agg(F.count(F.lit(1)).alias("__quire_count"))  # a row for each key and task that holds it
+    base = F.coalesce(F.sum("__quire_count").over(Window.partitionBy(*keys).orderBy("__quire_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(k).alias(f"__quire_k{i}") for i, k in enumerate(keys)], F.col("__quire_part").alias("__quire_p"), base.alias("__quire_base"))
+    same = F.col("__quire_part") == F.col("__quire_p")
     for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return here.join(counts, same).withColumn(name, F.col("_base") + F.col("_here")).drop("_part", "_here", "_p", "_base", *[f"_k{i}" for i in range(len(keys))])
+        same = same & F.col(k).eqNullSafe(F.col(f"__quire_k{i}"))
+    return here.join(counts, same).withColumn(name, F.col("__quire_base") + F.col("__quire_here")).drop("__quire_part", "__quire_here", "__quire_p", "__quire_base", *[f"__quire_k{i}" for i in range(len(keys))])
 
 
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds ``name``: the 0-based place in a total order, from range partitions and their sizes."""
     sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = materialize(sorted_rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "sorted")
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
-    base = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.join(F.broadcast(sizes.select("_part", base.alias("_base"))), "_part").withColumn(name, F.col("_base") + F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33)).drop("_part", "_at", "_base")
+    placed = materialize(sorted_rows.withColumns({"__quire_part": F.spark_partition_id(), "__quire_at": F.monotonically_increasing_id()}), "sorted")
+    sizes = placed.groupBy("__quire_part").agg(F.count(F.lit(1)).alias("__quire_count"))  # a row for each partition
+    base = F.coalesce(F.sum("__quire_count").over(Window.orderBy("__quire_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(F.broadcast(sizes.select("__quire_part", base.alias("__quire_base"))), "__quire_part").withColumn(name, F.col("__quire_base") + F.col("__quire_at") - F.shiftleft(F.col("__quire_part").cast("long"), 33)).drop("__quire_part", "__quire_at", "__quire_base")

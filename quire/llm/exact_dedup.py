@@ -1,10 +1,9 @@
 """Exact deduplication by a log-structured merge index of text digests, in DataFrame functions only.
 
 Texts are equal when identical after deleting every ASCII white-space character. Ingested rows become *runs*, each of
-``RUN_TASKS`` memtables: a task sorts its memtable by digest and flushes it, and every run gets a filter, a bitmap of
-the digests in it. Compaction takes runs into the level one by one: entries whose digest the level's filter does not
-hold are new and are appended as they are; only the others are merged, by digest, with the level's entries that the
-run's filter holds. An entry is a digest, the winner (most code points in the original text, then smallest doc_id) and
+memtables: a task sorts its memtable by digest and flushes it. Compaction takes all waiting runs into the level in one pass: they
+are merged by digest, and entries whose digest the level's filter, a bitmap of its digests, does not hold are new and are appended
+as they are; only the others are merged with the level's entries that the runs' filter holds. An entry is a digest, the winner (most code points in the original text, then smallest doc_id) and
 the number of members. Digests with more than one member are hits; rows that a filter of the hits lets through have their
 whole texts grouped byte by byte, and a digest that covers several texts is split.
 
@@ -55,18 +54,18 @@ class Filter:
     def __init__(self, digests: DataFrame, n: int):
         self.bits = min(MAX_FILTER_BITS, max(BITMAP_BITS, 1 << (16 * n).bit_length()))
         block, bit = self._where(F.col("digest"))
-        self.maps = digests.select(block.alias("_block"), bit.cast("long").alias("bit")).groupBy("_block").agg(F.expr("bitmap_construct_agg(bit)").alias("_bitmap"))
+        self.maps = digests.select(block.alias("__quire_block"), bit.cast("long").alias("bit")).groupBy("__quire_block").agg(F.expr("bitmap_construct_agg(bit)").alias("__quire_bitmap"))
 
     def _where(self, digest: Column) -> tuple[Column, Column]:
         at = F.pmod(F.xxhash64(digest), F.lit(self.bits))
         return F.floor(at / BITMAP_BITS).cast("int"), F.pmod(at, F.lit(BITMAP_BITS)).cast("int")
 
     def probe(self, rows: DataFrame, digest: str = "digest") -> DataFrame:
-        """Adds ``_held``: false where the filter rules the digest out. The bitmaps are broadcast, 16 MiB at most."""
+        """Adds ``__quire_held``: false where the filter rules the digest out. The bitmaps are broadcast, 16 MiB at most."""
         block, bit = self._where(F.col(digest))
-        bit_set = F.expr("cast(conv(hex(substring(_bitmap, _bit div 8 + 1, 1)), 16, 10) as int) & shiftleft(1, _bit % 8) <> 0")
-        found = rows.withColumns({"_block": block, "_bit": bit}).join(F.broadcast(self.maps), "_block", "left")
-        return found.withColumn("_held", F.coalesce(bit_set, F.lit(False))).drop("_block", "_bit", "_bitmap")
+        bit_set = F.expr("cast(conv(hex(substring(__quire_bitmap, __quire_bit div 8 + 1, 1)), 16, 10) as int) & shiftleft(1, __quire_bit % 8) <> 0")
+        found = rows.withColumns({"__quire_block": block, "__quire_bit": bit}).join(F.broadcast(self.maps), "__quire_block", "left")
+        return found.withColumn("__quire_held", F.coalesce(bit_set, F.lit(False))).drop("__quire_block", "__quire_bit", "__quire_bitmap")
 
 
 class LsmDedupIndex:
@@ -75,7 +74,7 @@ class LsmDedupIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, digest: Callable[[Column], Column] = sha256):
         self.spark, self.digest = spark, digest
         self.path = path or shared_path(spark, "lsm")
-        self.batches = 0
+        self.batches = self.passes = 0
         self.runs: list[str] = []
         self.waiting: list[str] = []  # runs that the level doesn't hold yet
         self.parts: list[str] = []  # parts of the level, with no digest in two of them
@@ -95,8 +94,6 @@ class LsmDedupIndex:
             .withColumns({"batch": F.lit(batch), "run": F.spark_partition_id() % runs})
             .sortWithinPartitions("run", "digest")
             .write.partitionBy("run")
-            .option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.adaptive.enabled", "true")
             .parquet(path)
         )
         found = self.spark.read.schema(f"{ROWS}, run int").parquet(path).select("run").distinct().collect()  # ``runs`` numbers at most
@@ -105,29 +102,31 @@ class LsmDedupIndex:
 
     def _write(self, entries: DataFrame, name: str) -> str:
         part = f"{self.path}/level/{name}"
-        entries.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(part)
+        entries.sortWithinPartitions("digest").write.parquet(part)
         return part
 
     def compact(self) -> None:
-        """Take the waiting runs into the level, one after the other. Map-side combining keeps hot digests small."""
+        """Take the waiting runs into the level, all of them in one pass. Map-side combining keeps hot digests small."""
+        if not self.waiting:
+            return
         merge = [F.min("best").alias("best"), F.sum("members").alias("members")]
-        while self.waiting:
-            run = self.waiting.pop(0)
-            rows = self.spark.read.schema(ROWS).parquet(run).select("digest", _winner().alias("best"), F.lit(1).cast("long").alias("members"))
-            new, name = rows.groupBy("digest").agg(*merge), run.removeprefix(f"{self.path}/runs/").replace("/", "-")
-            if not self.parts:
-                self.parts = [self._write(new, name)]
-                self.entries = self._level().count()
-                continue
-            new = materialize(new, "run")
-            n_new, level = new.count(), self._level()
-            old = Filter(level, self.entries).probe(new)
-            fresh = old.filter("NOT _held").drop("_held")
-            met = Filter(old.filter("_held"), n_new).probe(level)
-            merged = old.filter("_held").drop("_held").unionByName(met.filter("_held").drop("_held")).groupBy("digest").agg(*merge)
-            rest = met.filter("NOT _held").drop("_held")
-            self.parts = [self._write(x, f"{name}-{kind}") for x, kind in ((rest, "rest"), (merged, "merged"), (fresh, "fresh"))]
+        waiting, self.waiting, self.passes = self.waiting, [], self.passes + 1
+        name = f"{self.passes}"
+        rows = self.spark.read.schema(ROWS).parquet(*waiting).select("digest", _winner().alias("best"), F.lit(1).cast("long").alias("members"))
+        new = rows.groupBy("digest").agg(*merge)
+        if not self.parts:
+            self.parts = [self._write(new, name)]
             self.entries = self._level().count()
+            return
+        new = materialize(new, "run")
+        n_new, level = new.count(), self._level()
+        old = Filter(level, self.entries).probe(new)
+        fresh = old.filter("NOT __quire_held").drop("__quire_held")
+        met = Filter(old.filter("__quire_held"), n_new).probe(level)
+        merged = old.filter("__quire_held").drop("__quire_held").unionByName(met.filter("__quire_held").drop("__quire_held")).groupBy("digest").agg(*merge)
+        rest = met.filter("NOT __quire_held").drop("__quire_held")
+        self.parts = [self._write(x, f"{name}-{kind}") for x, kind in ((rest, "rest"), (merged, "merged"), (fresh, "fresh"))]
+        self.entries = self._level().count()
 
     def rows(self) -> DataFrame:
         return self.spark.read.schema(ROWS).parquet(*self.runs) if self.runs else self.spark.createDataFrame([], ROWS)
@@ -147,7 +146,7 @@ class LsmDedupIndex:
 
     def verified(self, docs: DataFrame, hits: Filter) -> DataFrame:
         """(digest, text, members) of every hit, grouped by its bytes; rows that the filter rules out move nowhere."""
-        texts = hits.probe(self._texts(docs).withColumn("digest", self.digest(F.col("text")))).filter("_held")
+        texts = hits.probe(self._texts(docs).withColumn("digest", self.digest(F.col("text")))).filter("__quire_held")
         return texts.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("members"))
 
     def groups(self, docs: DataFrame, *more: str) -> DataFrame:
@@ -161,7 +160,7 @@ class LsmDedupIndex:
             F.col("best.doc_id").alias("doc_id"), F.col("best.doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"),
             *[{"n_chars": -F.col("best.neg")}[c].alias(c) for c in more],
         )
-        rows = by_hit.probe(self.rows()).filter("_held").drop("_held")
+        rows = by_hit.probe(self.rows()).filter("__quire_held").drop("__quire_held")
         joined = _with_heads(rows, hits, "digest", self.rows().count())
         return one.unionByName(joined.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("members").alias("group_size"), _is_best().alias("kept"), F.col("digest").alias("text_sha256"), *more))
 
@@ -184,10 +183,10 @@ def _is_best() -> Column:
 def _with_heads(rows: DataFrame, entries: DataFrame, key: str, n_rows: int) -> DataFrame:
     """Rows with their entry: entries with more than 1 / HEADS of the rows are fewer than HEADS and are broadcast."""
     hot = F.col("members") * HEADS > n_rows
-    heads = entries.filter(hot).select(key, F.lit(True).alias("_hot"))
+    heads = entries.filter(hot).select(key, F.lit(True).alias("__quire_hot"))
     marked = rows.join(F.broadcast(heads), key, "left")
-    own = marked.filter("_hot").drop("_hot").join(F.broadcast(entries.filter(hot)), key)
-    return own.unionByName(marked.filter("_hot IS NULL").drop("_hot").join(entries.filter(~hot), key))
+    own = marked.filter("__quire_hot").drop("__quire_hot").join(F.broadcast(entries.filter(hot)), key)
+    return own.unionByName(marked.filter("__quire_hot IS NULL").drop("__quire_hot").join(entries.filter(~hot), key))
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -213,11 +212,11 @@ def drop_copies(docs: DataFrame) -> DataFrame:
         same = same & F.col(k).eqNullSafe(F.col(f"{k}2"))
     rows = docs.withColumns({keys[0]: F.col("doc_id"), keys[1]: sha256(squeezed(F.col("text"))), keys[2]: F.length(F.coalesce("text", F.lit(""))).cast("long")})
     rows = index.hits()[1].probe(rows, keys[1])
-    out = rows.filter("_held").join(pairs.filter("NOT kept"), same, "left_anti")
+    out = rows.filter("__quire_held").join(pairs.filter("NOT kept"), same, "left_anti")
     if not pairs.filter("kept AND n > 1").isEmpty():
         repeated = nth_of(out.join(pairs.filter("kept AND n > 1"), same, "left_semi"), keys, "__quire_nth").filter("__quire_nth = 1").drop("__quire_nth")
         out = out.join(pairs.filter("kept AND n > 1"), same, "left_anti").unionByName(repeated)
-    return rows.filter("NOT _held").select(*docs.columns).unionByName(out.select(*docs.columns))
+    return rows.filter("NOT __quire_held").select(*docs.columns).unionByName(out.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

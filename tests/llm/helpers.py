@@ -3,7 +3,7 @@ import re
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names clash with what operators call their own.
-CLASHING = DOCS + ", score double, label int, rank long, _n int, fp long, key string, size long, digest string"
+CLASHING = DOCS + ", score double, label int, rank long, _n int, fp long, key string, size long, digest string, _held string, _block int, _bit int, _part int, _here int, _hot int, _base int, _p int, _k0 int"
 
 
 def words(rng: random.Random, n: int) -> str:
@@ -23,4 +23,4 @@ def corpus(seed: int = 1, n: int = 60) -> list[tuple]:
 
 
 def wide(rows: list[tuple]) -> list[tuple]:
-    return [(*r, 0.5, 1, 7, 3, 9, "k", 11, "d") for r in rows]
+    return [(*r, 0.5, 1, 7, 3, 9, "k", 11, "d", "held", 1, 2, 3, 4, 5, 6, 7, 8) for r in rows]

@@ -57,16 +57,20 @@ def test_runs_meet_the_level_through_filters(spark):
     rows = corpus(4)
     docs = spark.createDataFrame(rows, DOCS).repartition(6)
     index = m.LsmDedupIndex(spark)
-    index.ingest(docs, 3)
-    assert len(index.waiting) == 3
+    first = F.coalesce(F.col("doc_id"), F.lit(0)) % 2 == 0
+    index.ingest(docs.filter(first), 2)
     index.compact()
+    index.ingest(docs.filter(~first), 3)
+    assert len(index.waiting) == 3 and len(index.parts) == 1
+    index.compact()  # all that wait in one pass
+    assert not index.waiting and len(index.runs) == 5
     parts = {p.rsplit("-", 1)[1]: spark.read.schema(m.ENTRIES).parquet(p) for p in index.parts}
     assert set(parts) == {"rest", "merged", "fresh"} and parts["fresh"].count() and parts["merged"].count()
     level = index.compacted()
     assert level.count() == level.select("digest").distinct().count() and level.agg(F.sum("members")).first()[0] == len(rows)
     assert sorted(map(tuple, index.groups(docs).collect()), key=str) == sorted(brute(rows), key=str)
     probed = m.Filter(level, level.count()).probe(spark.createDataFrame([(f"{i:064x}",) for i in range(500)], "digest string"))
-    assert probed.filter("_held").count() < 100 and m.Filter(level, level.count()).probe(level).filter("NOT _held").count() == 0
+    assert probed.filter("__quire_held").count() < 100 and m.Filter(level, level.count()).probe(level).filter("NOT __quire_held").count() == 0
 
 
 def test_hot_digests_are_broadcast_and_others_joined(spark, monkeypatch):

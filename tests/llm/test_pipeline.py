@@ -44,12 +44,16 @@ def test_run(spark, tmp_path):
 
 def test_empty_tables_and_clashing_columns(spark, tmp_path):
     spark.createDataFrame([], CLASHING).write.parquet(str(tmp_path / "none" / "documents.parquet"))
-    odd = wide([r for r in corpus(5) if r[0] is None or r[0] < 60 or r[0] >= 300]) + [(None,) * 13]
+    odd = wide([r for r in corpus(5) if r[0] is None or r[0] < 60 or r[0] >= 300]) + [(None,) * len(CLASHING.split(","))]
     spark.createDataFrame(odd, CLASHING).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
     for name in ("none", "odd"):
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
     got = corpus_pipeline.run(spark, str(tmp_path / "odd"))
+    # stages hand on what they don't know, as it came
+    rows = spark.read.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert {r._held for r in stage(spark, rows, str(tmp_path / "odd")).collect()} <= {"held", None}, name
     assert got.count() > 0 and got.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 2048
 
 
