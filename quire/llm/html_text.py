@@ -4,8 +4,8 @@ A page becomes a flat list of text blocks. Each block has its word count and lin
 neighbours, whether it is a heading, and a hint from the names of its containers. A CART tree, trained on the small
 labelled table below (blocks of crawled pages, half of them with their containers' names hidden, and written cases),
 says which blocks are article text; their texts are joined in page order by a blank line. Names that always mean
-boilerplate (menus, footers, comments, adverts, hidden text) decide in the tree; all others only lower or raise a
-block's odds: an article inside a layout or form is one, long unlinked text flanked by such text is kept, lists of
+boilerplate (menus, footers, comments, adverts, hidden text) decide in the tree, unless an article's own tag bears them as one word among others; all others only
+lower or raise a block's odds: an article inside a layout or form is one, long unlinked text flanked by such text is kept, lists of
 links inside an article are dropped, and pages without names are read by words and links alone.
 
 White space inside a block (any Unicode white space, after decoding character references) becomes one
@@ -58,6 +58,12 @@ BOILERPLATE_WORDS = frozenset(
 #: Those of them that layouts and forms around an article bear too; the others always mean what they say.
 LAYOUT_WORDS = frozenset("header masthead banner notice notices form search widget toolbar".split())
 #: Words of a class name after which it says what a layout has, and last words of names of layouts and settings.
+COMMENT_WORDS = frozenset("comment comments reply replies discussion disqus".split())
+#: Words that say nothing of what a container holds; a name of such and of boilerplate words alone is sure.
+PART_WORDS = frozenset(
+    "area bar block body bottom box btn button card cell col column container content cta details fixed float footer frame grid group header heading holder icon icons id image img inline inner item items label layer layout left "
+    "link links list main message module panel part pane placeholder primary region right root row secondary section side site slot small sticky story strip tab table template text top unit view wrap wrapper wrapping zone page post article entry global local sub the".split()
+)
 HAVING, LAYOUTS = frozenset("has no with without".split()), frozenset("layout page grid open closed enabled disabled".split())
 NEUTRAL, SOFT, ARTICLE, HARD, HIDDEN = range(5)
 #: The feature "mark" of a place: what its containers' names hint at, from boilerplate to article.
@@ -74,15 +80,21 @@ class Block:
     heading: bool
 
 
-def _hint(name: str) -> int:
-    """What one class, id or role hints at; any sure word of boilerplate in it decides."""
+def _hint(name: str, tag: str = "div") -> int:
+    """What one class, id or role hints at. A name of boilerplate words, and of words for parts of pages, is sure, and so is any that speaks of comments.
+
+    Beside other words (``legal-news``, ``cookie-recipes``) a boilerplate word is a doubt, which words and links may overrule. On an ``article`` or ``main`` tag
+    only a name that is one word, or begins with comments, counts: the others name its kind, category and format."""
     parts = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", name).lower()) if x]
     parts = parts[: next((i for i, x in enumerate(parts) if x in HAVING), len(parts))]
     if not parts or (parts[-1] in LAYOUTS and len(parts) > 1):
         return NEUTRAL
     words = set(parts)
+    if tag in ("article", "main") and len(parts) > 1 and parts[0] not in COMMENT_WORDS:
+        return ARTICLE if words & {"article", "main"} else NEUTRAL
     if words & BOILERPLATE_WORDS - LAYOUT_WORDS:
-        return HARD
+        known = all(x in BOILERPLATE_WORDS or x in PART_WORDS or x.isdigit() or len(x) < 3 for x in parts)
+        return HARD if known or words & COMMENT_WORDS else SOFT
     if words & LAYOUT_WORDS:
         return NEUTRAL if words & ARTICLE_WORDS else SOFT
     return ARTICLE if words & {"article", "main"} else NEUTRAL
@@ -94,7 +106,7 @@ def _container(tag: str, attrs: str, place: int) -> int:
     for name, value in ATTRIBUTE.findall(attrs) if attrs else ():
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
-            hints |= {_hint(x) for x in value.split()}
+            hints |= {_hint(x, tag) for x in value.split()}
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             return HIDDEN
     if place == HIDDEN:

@@ -68,6 +68,29 @@ def test_any_sure_word_of_a_name_decides(name):
     assert m.main_text(f"<div class={name}>{body}</div>") == ""
 
 
+@pytest.mark.parametrize("name", ["post type-post category-social", "post tag-legal", "hentry post-format-aside", "article hidden-mobile", "article ad-free", "post tag-newsletter category-ads"])
+def test_articles_are_kept_whatever_their_kind(name):
+    assert m.main_text(f"<article class='{name}'><p>{LONG}</p></article>") == LONG
+    assert m.main_text(f"<nav>Menu</nav><main class='{name}'><p>{LONG}</p></main>") == LONG
+
+
+@pytest.mark.parametrize("name", ["social-policy", "cookie-recipes", "legal-news"])
+def test_long_text_outvotes_a_word_beside_others(name):
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS[:3])
+    assert m.main_text(f"<ul><li><a href=/>Home</a></li></ul><div class='{name}'>{body}</div>") == "\n\n".join(PARAGRAPHS[:3])
+    assert m.main_text(f"<article><p>{LONG}</p></article><div class='{name}'><a href=/>Three linked words</a></div>") == LONG
+
+
+def test_random_names_around_articles():
+    """Class words drawn at random on an article's tag never lose its text, and reader comments never enter it."""
+    rng = random.Random(8)
+    vocabulary = sorted(m.BOILERPLATE_WORDS - m.COMMENT_WORDS)
+    for _ in range(300):
+        name = " ".join(f"{rng.choice(['category', 'tag', 'post', 'type', 'format'])}-{rng.choice(vocabulary)}" for _ in range(rng.randint(1, 3)))
+        comments = f"<div class='{rng.choice(['comment', 'comments-list', 'comment-7', 'reply'])}'><p>{PARAGRAPHS[0]}</p></div>"
+        assert m.main_text(f"<nav><a href=/>x</a></nav><article class='{name}'><p>{LONG}</p>{comments}</article>") == LONG
+
+
 def test_comments_formulas_and_page_classes():
     assert m.main_text(f"<article><p>{LONG}</p></article><article class='comment'><p>{LONG} {LONG}</p></article>") == LONG
     assert m.main_text("<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> here.</p></article>") == "Energy is E=mc2 here."
