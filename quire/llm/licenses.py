@@ -33,6 +33,7 @@ from quire.llm._license_bodies import BODIES
 from quire.runtime import ship_code, spread
 
 SHINGLE, WINDOW, COVERAGE, BAND, SHORT, SHORT_SHINGLE = 5, 3, 0.8, 12, 12, 3
+EXPRESSION = 12  # words of a notice that another license's may stand in, as in "MIT OR Apache-2.0"
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
@@ -153,19 +154,40 @@ def _lines() -> dict[str, str]:
     taken = {tuple(tokens(text)) for text in TEMPLATES.values()}
     for license_id, names in _NAMES.items():
         for name in names:
-            for verb in ("Licensed", "This work is licensed") if len(tokens(name)) > 5 else ("Licensed", "Released", "Distributed", "Available"):
-                own = tuple(tokens(line := f"{verb} under {name}"))
+            verbs = ("Licensed", "This work is licensed") if len(tokens(name)) > 5 else ("Licensed", "Released", "Distributed", "Available")
+            # the second of two licenses of a work follows a conjunction
+            for begin in (*(f"{verb} under" for verb in verbs), *(("and", "or", "and under", "or under") if name.startswith("the ") else ())):
+                own = tuple(tokens(line := f"{begin} {name}"))
                 if len(own) > SHORT_SHINGLE and own not in taken:
                     taken.add(own)
                     out[f"{license_id}-line" if f"{license_id}-line" not in TEMPLATES | out else f"{license_id}-line-{sum(x.startswith(f'{license_id}-line') for x in TEMPLATES | out) + 1}"] = line
     return out
 
 
+#: Short forms of notices, by rule: a family's name with its version, as "Licensed under GPLv3" and "MIT licensed" write them.
+_SHORT_FORMS = {
+    "MIT": ("MIT licensed under the", "is MIT licensed", "code is MIT licensed"),
+    **{f"{family}-{v}.0": (f"Licensed under {family}v{v}", f"Licensed under the {family}v{v}", f"Released under {family}v{v}", f"Distributed under {family}v{v}") for family, versions in (("GPL", "23"), ("LGPL", "3"), ("AGPL", "3")) for v in versions},
+}
+
+
+def license_of(template: str) -> str:
+    """The license that a template is one of."""
+    return re.sub(r"-(?:line(?:-\d+)?|tag|header|body|text|short-\d+)$", "", template)
+
+
+def family_of(template: str) -> str:
+    """Licenses that quote each other's names: all of one project, or the same letters before a version."""
+    name = license_of(template).split("-")[0]
+    return "GNU" if name in ("GPL", "LGPL", "AGPL", "GFDL") else name
+
+
 def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
 TEMPLATES |= _lines()
+TEMPLATES |= {f"{license_id}-short-{i}": line for license_id, lines in _SHORT_FORMS.items() for i, line in enumerate(lines[1:] if license_id == "MIT" else lines, 1)}
 
 
 def shingle_hash(words: list[str] | tuple[str, ...]) -> int:
@@ -296,26 +318,45 @@ def matches(text: str | None) -> list[tuple[str, float, int, int, int]]:
     out.sort(key=lambda m: (-m[2], -m[1], m[0], m[3]))
     kept: list[tuple[str, float, int, int, int]] = []
     for m in out:
-        if not any(k[3] <= m[3] and m[4] <= k[4] for k in kept):
+        # inside another match: the same words said of one license, unless all its words are there and the licenses have nothing to do with each other
+        if not any(k[3] <= m[3] and m[4] <= k[4] and (m[1] < 1 or family_of(k[0]) == family_of(m[0]) or len(index()[0][k[0]]) > EXPRESSION) for k in kept):
             kept.append(m)
-    return sorted(kept, key=lambda m: (m[3], m[0]))
+    return sorted([*kept, *_expressions(text, kept)], key=lambda m: (m[3], m[0]))
+
+
+EXPRESSIONS = re.compile(r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[A-Za-z0-9.+()-]+)+)")
+
+
+def _expressions(text: str, kept: list[tuple[str, float, int, int, int]]) -> list[tuple[str, float, int, int, int]]:
+    """What the identifier tags found say of further licenses: an exact reading of the expressions they begin."""
+    out, known = [], {tag.lower(): tag for tag in _TAGS}
+    for start in sorted({m[3] for m in kept if m[0].endswith("-tag")}):
+        found = EXPRESSIONS.match(text, start)
+        if found:
+            have = {m[0] for m in kept if m[3] == start}
+            for part in re.finditer(r"[A-Za-z0-9.+-]+", found[1]):
+                name = f"{known.get(part[0].lower())}-tag"
+                if name in TEMPLATES and name not in have:
+                    have.add(name)
+                    out.append((name, 1.0, len(index()[0][name]), start, found.start(1) + part.end()))
+    return out
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, license, coverage, matched_words, span_start, span_end: a row a match, or one with nulls."""
-    types = [("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("matched_words", pa.int64()), ("span_start", pa.int64()), ("span_end", pa.int64())]
+    """doc_id, license, template, coverage, matched_words, span_start, span_end: a row a match, or one with nulls."""
+    types = [("doc_id", pa.int64()), ("license", pa.string()), ("template", pa.string()), ("coverage", pa.float64()), ("matched_words", pa.int64()), ("span_start", pa.int64()), ("span_end", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows += [(doc_id, *m) for m in matches(text.as_py())] or [(doc_id, None, None, None, None, None)]
+                rows += [(doc_id, license_of(m[0]), *m) for m in matches(text.as_py())] or [(doc_id, None, None, None, None, None, None)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), types, strict=True)], names=[n for n, _ in types])
 
     ship_code(docs.sparkSession)
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    return docs.select(*columns).mapInArrow(run, "doc_id long, license string, coverage double, matched_words long, span_start long, span_end long")
+    return docs.select(*columns).mapInArrow(run, "doc_id long, license string, template string, coverage double, matched_words long, span_start long, span_end long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

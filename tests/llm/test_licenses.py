@@ -136,3 +136,27 @@ def test_scan_gives_a_row_a_document_at_least(spark):
     assert len(got) == len(rows) + 1
     assert sorted(r.license for r in got if r.license) == ["CC-BY-4.0", "ISC"]
     assert m.scan(spark.createDataFrame([], DOCS)).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", {"MIT", "Apache-2.0"}),
+        ("SPDX-License-Identifier: (GPL-2.0-only OR MIT)", {"GPL-2.0-only", "MIT"}),
+        ("SPDX-License-Identifier: Apache-2.0 AND BSD-3-Clause", {"Apache-2.0", "BSD-3-Clause"}),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", {"GPL-2.0-or-later"}),
+        ("SPDX-License-Identifier: MIT", {"MIT"}),
+        ("Dual licensed under the MIT License and the Apache License, Version 2.0", {"MIT", "Apache-2.0"}),
+        ("Licensed under the Apache License 2.0 or the MIT License", {"MIT", "Apache-2.0"}),
+        ("Licensed under GPLv3", {"GPL-3.0"}),
+        ("this code is MIT licensed", {"MIT"}),
+    ],
+)
+def test_all_licenses_of_a_notice_are_told(line, want):
+    rng = random.Random(line)
+    got = m.matches(f"{words(rng, 40)}\n{line}\n{words(rng, 40)}")
+    assert {m.license_of(g[0]) for g in got} == want
+
+
+def test_license_ids_are_no_template_names():
+    assert {m.license_of(n) for n in ("MIT-line-8", "Apache-2.0-line", "GPL-2.0-only-tag", "ISC-body", "GPL-3.0-short-2", "0BSD")} == {"MIT", "Apache-2.0", "GPL-2.0-only", "ISC", "GPL-3.0", "0BSD"}
