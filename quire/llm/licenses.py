@@ -319,6 +319,8 @@ def matches(text: str | None) -> list[tuple[str, float, int, int, int]]:
     kept: list[tuple[str, float, int, int, int]] = []
     for m in out:
         # inside another match: the same words said of one license, unless all its words are there and the licenses have nothing to do with each other
+        if any(k[3] < m[4] and m[3] < k[4] and license_of(k[0]) == license_of(m[0]) for k in kept):
+            continue  # another template of the same license has these words
         if not any(k[3] <= m[3] and m[4] <= k[4] and (m[1] < 1 or family_of(k[0]) == family_of(m[0]) or len(index()[0][k[0]]) > EXPRESSION) for k in kept):
             kept.append(m)
     return sorted([*kept, *_expressions(text, kept)], key=lambda m: (m[3], m[0]))
