@@ -1,21 +1,17 @@
 """Detectors of suspicious lines.
 
 Fences here follow CommonMark: runs of three or more backticks or tildes, closed by a run of the same
-character at least as long. That state needs a fold, one linear pass a file in an Arrow function; the
-detectors are native filters over the lines with their state.
+character at least as long. Only lines that begin with such a run can change the state, so the fold is over those few; the lines
+between two changes share a state. Everything is column functions on a file's own lines: no Python, no shuffle.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import cap, js_trim
-from quire.runtime import ship_code
+from quire.operators.tree import folded
 
 #: What the detectors look for.
 PHRASES = ("ignore previous instructions", "ignore all previous", "disregard the above", "forget your instructions", "you must now", "new instructions:")
@@ -27,47 +23,43 @@ CURL = f"(?i)\\b(curl|wget)\\b.*{SHELLS}"
 BASE64 = f"(?i)base64\\s+(-d|--decode)\\b.*{SHELLS}"
 TOOL_NAME, TOOL_ARGUMENTS = '"name"\\s*:\\s*".+"', '"arguments"\\s*:'
 EXCERPT = 200
-LINES = "doc_set string, relative_path string, line_no int, line string, in_fence boolean, block int, opens boolean, info string, arguments boolean"
-_RUN = re.compile(r"`{3,}|~{3,}")
-_ARGUMENTS = re.compile(TOOL_ARGUMENTS)
-
-
-def fence_states(lines: list[str]) -> Iterator[tuple[str, bool, int, bool, str | None]]:
-    """(line, in fence after it, number of its block or 0, opens a fence, info string)."""
-    mark, block = "", 0
-    for line in lines:
-        text = line.strip()
-        run = _RUN.match(text)
-        if mark:
-            if len(text) >= len(mark) and not text.strip(mark[0]):
-                mark = ""
-                yield line, False, 0, False, None
-            else:
-                yield line, True, block, False, None
-        elif run and not (run[0][0] == "`" and "`" in text[run.end() :]):
-            mark, block = run[0], block + 1
-            yield line, True, 0, True, text[run.end() :].strip().lower()
-        else:
-            yield line, False, 0, False, None
+RUN = "^(`{3,}|~{3,})"
+
+
+def fence_changes(lines: Column) -> Column:
+    """array<struct<at, opens, info>>: the lines (from 0) that open and close fences, by turns."""
+    marked = F.transform(lines, lambda x, i: F.struct(i.alias("at"), js_trim(x).alias("text")))
+    marked = F.transform(F.filter(marked, lambda m: m["text"].rlike(RUN)), lambda m: F.struct(m["at"], m["text"], F.regexp_extract(m["text"], RUN, 1).alias("run")))
+
+    def step(mark: Column, line: Column) -> tuple[Column, Column]:
+        rest = F.substr(line["text"], F.length(line["run"]) + 1)
+        closes = (mark != "") & (rest == "") & (F.left(line["run"], F.lit(1)) == F.left(mark, F.lit(1))) & (F.length(line["run"]) >= F.length(mark))
+        opens = (mark == "") & ~(F.startswith(line["run"], F.lit("`")) & F.contains(rest, F.lit("`")))
+        change = F.when(opens | closes, F.struct(line["at"].alias("at"), opens.alias("opens"), F.lower(js_trim(rest)).alias("info")))
+        return change, F.when(opens, line["run"]).when(closes, "").otherwise(mark)
+
+    return F.filter(folded(marked, F.lit(""), step), lambda c: c.isNotNull())
 
 
 def fenced_lines(files: DataFrame) -> DataFrame:
-    """A row a line (from 1) with its fence state. ``files`` has doc_set, relative_path, content."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_set, path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = [*fence_states((content or "").split("\n"))]
-                n = len(rows)
-                line, inside, block, opens, info = zip(*rows, strict=True)
-                with_arguments = {b for x, b in zip(line, block, strict=True) if b and _ARGUMENTS.search(x)}
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_set] * n, pa.string()), pa.array([path] * n, pa.string()), pa.array(range(1, n + 1), pa.int32()), pa.array(line, pa.string()), pa.array(inside), pa.array(block, pa.int32()), pa.array(opens), pa.array(info, pa.string()), pa.array([b in with_arguments for b in block])],
-                    names=["doc_set", "relative_path", "line_no", "line", "in_fence", "block", "opens", "info", "arguments"],
-                )
-
-    ship_code(files.sparkSession)
-    return files.select("doc_set", "relative_path", "content").mapInArrow(run, LINES)
+    """A row a line (from 1) with its fence state: doc_set, relative_path, line_no, line, in_fence, block, opens, info, arguments. ``files`` has doc_set, relative_path, content."""
+    rows = files.select("doc_set", "relative_path", F.explode(F.array(F.split(F.coalesce("content", F.lit("")), "\n", -1))).alias("lines"))
+    # what is exploded is computed once, whatever refers to it
+    rows = rows.select("*", F.explode(F.array(fence_changes(F.col("lines")))).alias("changes"))
+    begins = F.concat(F.array(F.lit(0)), F.transform("changes", lambda c: c["at"]))
+    ends = F.concat(F.transform("changes", lambda c: c["at"]), F.array(F.size("lines")))
+    parts = F.arrays_zip(begins.alias("begin"), ends.alias("end"), F.concat(F.array(F.lit(None).cast("string")), F.transform("changes", lambda c: F.when(c["opens"], c["info"]))).alias("info"))
+    # parts alternate: outside, inside, outside, ...
+    own = lambda p: F.slice("lines", p["begin"] + 1, p["end"] - p["begin"])
+    parts = F.transform(parts, lambda p, k: F.struct(p["begin"].alias("begin"), F.when(k % 2 == 1, ((k + 1) / 2).cast("int")).otherwise(0).alias("block"), p["info"].alias("info"), own(p).alias("own"), ((k % 2 == 1) & F.exists(own(p), lambda x: x.rlike(TOOL_ARGUMENTS))).alias("arguments")))
+
+    def lines_of(p: Column) -> Column:
+        return F.transform(p["own"], lambda x, j: F.struct(
+            (p["begin"] + j + 1).alias("line_no"), x.alias("line"), (p["block"] > 0).alias("in_fence"), p["block"].alias("block"),
+            ((p["block"] > 0) & (j == 0)).alias("opens"), F.when(j == 0, p["info"]).alias("info"), p["arguments"].alias("arguments"),
+        ))
+
+    return rows.select("doc_set", "relative_path", F.inline(F.flatten(F.transform(parts, lines_of))))
 
 
 def override(line: Column) -> Column:

@@ -32,7 +32,7 @@ def headings(files: DataFrame) -> DataFrame:
 CHUNK = 64  # headings whose results are gathered at a time: appending to one array would copy it for every heading
 
 
-def _folded(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+def folded(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
     """An array with what ``step`` gives for each item, while it hands a state on. ``step`` returns (result, state)."""
     none = F.filter(F.array(step(state, F.get(items, F.lit(0)))[0]), lambda _: F.lit(False))
 
@@ -59,7 +59,7 @@ def chains(heads: Column) -> Column:
         above = F.filter(stack, lambda s: s["level"] < head["level"])
         return F.transform(above, lambda s: s["ord"]), F.concat(above, F.array(F.struct(head["ord"].alias("ord"), head["level"].alias("level"))))
 
-    return _folded(heads, none, step)
+    return folded(heads, none, step)
 
 
 def subtrees(heads: Column) -> Column:
@@ -75,7 +75,7 @@ def subtrees(heads: Column) -> Column:
         rest = F.filter(done, lambda d: d["level"] <= head["level"])
         return F.struct(total.alias("tokens"), F.size(deeper).alias("children")), F.concat(F.array(F.struct(head["level"].alias("level"), total.alias("tokens"))), rest)
 
-    return F.reverse(_folded(F.reverse(heads), none, step))
+    return F.reverse(folded(F.reverse(heads), none, step))
 
 
 def heading_paths(files: DataFrame) -> DataFrame:

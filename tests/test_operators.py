@@ -289,7 +289,7 @@ def test_registry_operations(spark):
 
 
 def test_store_round_trip(spark, tmp_path):
-    base = {"engine_version": "1.0.0", "slicer_version": 1, "name": "a", "source": {"type": "path", "path": "/d", "kind": "folder"}, "source_hash": "sha256:" + "0" * 64, "token_budget": 4000, "include_large": False, "check_interval_hours": 24, "last_refresh": "2026-01-01T00:00:00Z", "generated_files": ["SKILL.md"]}
+    base = {"engine_version": "1.0.0", "slicer_version": 1, "name": "a", "source": {"type": "path", "path": "/d", "kind": "folder"}, "tracked_ref": None, "pinned_sha": None, "source_hash": "sha256:" + "0" * 64, "token_budget": 4000, "include_large": False, "check_interval_hours": 24, "last_refresh": "2026-01-01T00:00:00Z", "generated_files": ["SKILL.md"]}
     for name, change in (("a", {}), ("b", {"name": "B!"}), ("c", {"token_budget": 1}), ("d", {"extra": 1}), ("e", {"generated_files": ["../x"]})):
         store.write_record(tmp_path / name, base | {"name": name} | change)
     got = {r.skill_path.rsplit("/", 1)[1]: r.violations for r in store.read_records(spark, f"{tmp_path}/*/{store.RECORD_FILE}").collect()}
@@ -300,7 +300,10 @@ def test_store_round_trip(spark, tmp_path):
     store.save_registry(rows, path)
     assert store.load_registry(spark, path).collect() == rows.collect()
     path.write_text("{")
-    assert store.load_registry(spark, path).count() == 0 and [*tmp_path.glob("registry.corrupt-*")]
+    assert store.load_registry(spark, path).collect() == rows.collect() and [*tmp_path.glob("registry.corrupt-*")]  # by the revision it was a copy of
+    path.with_name("registry.0000000001.json").unlink()
+    path.write_text("{")
+    assert store.load_registry(spark, path).count() == 0
 
 
 def test_tree_writes_are_transactional(tmp_path):
@@ -337,14 +340,16 @@ def test_outcome_stream(spark, tmp_path):
     assert [(r.name, r.status) for r in seen] == [("x", "unchanged")]
 
 
-def test_git_runner_is_injectable():
+def test_git_runner_is_injectable(spark):
     from quire.sources import repositories as repos
 
     sha = "a" * 40
     assert repos.head_of("u", None, lambda a, f: (0, f"{sha}\tHEAD\n", "")) == sha
     with pytest.raises(repos.RepositoryError):
         repos.head_of("u", "x", lambda a, f: (128, "", "no"))
-    with repos.checkout("u", sha, lambda a, f: (0, "", "")) as clone:
-        assert repos.subfolder(clone, None) == clone.resolve()
+    with repos.cloned(spark, "u", sha, lambda a, f: (0, "", "")) as clone:
+        assert clone.sha == sha and clone.fetch([]) == {}
         with pytest.raises(repos.RepositoryError):
-            repos.subfolder(clone, "../..")
+            clone.files("../..")
+        with pytest.raises(repos.RepositoryError, match="no files"):
+            clone.files(None)
