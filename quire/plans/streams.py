@@ -15,9 +15,9 @@ ORACLES: dict[str, str] = {}
 STATUSES = ("update-available", "unchanged", "stale", "skipped", "regenerated")
 
 
-@c.registers(QUERIES, ORACLES)(f"""WITH {c.REGISTRY_SQL}, o AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'project' ELSE 'personal' END AS scope, 'set-' || CAST(user_id AS VARCHAR) AS name, ts AS at,
+@c.registers(QUERIES, ORACLES)(f"""WITH {c.REGISTRY_SQL}, o AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'project' ELSE 'personal' END AS scope, 'set-' || CAST(user_id AS VARCHAR) AS name, ts AS moment,
   min(list_extract({list(STATUSES)}, CAST(event_id % 5 AS INTEGER) + 1)) AS status FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id, ts),
-l AS (SELECT scope, name, max(at) FILTER (status <> 'skipped') AS checked, arg_max(status, at) FILTER (status NOT IN ('skipped', 'stale')) AS said FROM o GROUP BY scope, name)
+l AS (SELECT scope, name, max(moment) FILTER (status <> 'skipped') AS checked, arg_max(status, moment) FILTER (status NOT IN ('skipped', 'stale')) AS said FROM o GROUP BY scope, name)
 SELECT g.scope, g.name, coalesce(checked, last_check) AS last_check, CASE WHEN said IS NULL THEN update_available ELSE said = 'update-available' END AS update_available FROM registry g LEFT JOIN l USING (scope, name)""")
 def inc_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry after a keyed stream over the events, as outcomes of the customers' doc sets."""
