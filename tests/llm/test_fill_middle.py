@@ -78,7 +78,7 @@ def test_clashing_columns_and_rates(spark):
     rows = [(*r, "f", 1, 2, 3) for r in wide(corpus())]
     got = fim.transform(spark.createDataFrame(rows, names), fim_rate=0)
     assert got.columns == [c for c in spark.createDataFrame(rows, names).columns if c not in ("form", "output")] + ["n", "form", "prefix_chars", "middle_chars", "output", "restored"]
-    assert {(r.form, r.output == (r.text or ""), r.h1, r.__quire_x) for r in got.collect()} == {("plain", True, 2, 3)}
+    assert {(r.form, r.output == (r.text or ""), r.h1, r["__quire_x"]) for r in got.collect()} == {("plain", True, 2, 3)}
     forms = {r.form for r in fim.transform(spark.createDataFrame(rows, names), spm_rate=0).select("form").collect()}
     assert forms == {"plain", "psm"}
 
