@@ -28,7 +28,9 @@ RUN = "^(`{3,}|~{3,})"
 
 def fence_changes(lines: Column) -> Column:
     """array<struct<at, opens, info>>: the lines (from 0) that open and close fences, by turns."""
-    marked = F.transform(lines, lambda x, i: F.struct(i.alias("at"), js_trim(x).alias("text")))
+    # a plain search first: hardly any line has three of these characters, and only those are trimmed and matched
+    may = F.transform(lines, lambda x, i: F.when(F.contains(x, F.lit("```")) | F.contains(x, F.lit("~~~")), F.struct(i.alias("at"), x.alias("line"))))
+    marked = F.transform(F.filter(may, lambda m: m.isNotNull()), lambda m: F.struct(m["at"].alias("at"), js_trim(m["line"]).alias("text")))
     marked = F.transform(F.filter(marked, lambda m: m["text"].rlike(RUN)), lambda m: F.struct(m["at"], m["text"], F.regexp_extract(m["text"], RUN, 1).alias("run")))
 
     def step(mark: Column, line: Column) -> tuple[Column, Column]:
