@@ -221,22 +221,5 @@ def buckets(lines: Column, budget: int) -> Column:
     return run(lines)
 
 
-def grouped_lists(entries: DataFrame, keys: list[str], order: str, budget: int) -> DataFrame:
-    """keys, name, slug, links: the groups that each list of flat entries (name, slug) needs; none where its table fits."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(order)
-        got = grouped([Entry(name, own, False) for name, own in zip(rows["name"], rows["slug"], strict=True)], budget)
-        out = pd.DataFrame([(e.name, e.slug, [m.link for m in e.members]) for e in got if e.members], columns=["name", "slug", "links"])
-        for i, key in enumerate(keys):
-            out.insert(i, key, rows[key].iloc[0])
-        return out
-
-    ship_code(entries.sparkSession)
-    types = dict(entries.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "name string, slug string, links array<string>"])
-    return entries.select(*keys, order, "name", "slug").groupBy(*keys).applyInPandas(run, schema)
-
-
 def duplicate_paths(plan: DataFrame) -> DataFrame:
     return plan.groupBy("doc_set", "relative_path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.operators import catalog, plan, render, tree
+from quire.operators import catalog, lists, plan, render, tree
 from quire.plans.documents import SIZED_SQL, TRIM, path_text, slug_sql
 from quire.runtime import materialize
 from quire.sources.corpus import corpus
@@ -134,12 +134,9 @@ LINE_SQL = "'- [' || p_name || '](' || CAST(p_partkey AS VARCHAR) || '.md)'"
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p_brand, p_partkey, n, bucket of the parts of a brand as lines of a table."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    line = F.concat(F.lit("- ["), "p_name", F.lit("]("), F.col("p_partkey").cast("string"), F.lit(".md)"))
-    rows = part.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))).alias("items"))
-    zipped = F.arrays_zip(F.col("items.p_partkey").alias("p_partkey"), F.transform("items", lambda x: tx.js_len(x["line"])).alias("n"), plan.buckets(F.transform("items", lambda x: x["line"]), 50).alias("bucket"))
-    return rows.select("p_brand", F.explode(zipped).alias("z")).select("p_brand", "z.p_partkey", "z.n", "z.bucket")
+    """p_brand, p_partkey, n, bucket of the parts of a brand as lines of a table; a brand may hold any number."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", "p_partkey", F.concat(F.lit("- ["), "p_name", F.lit("]("), F.col("p_partkey").cast("string"), F.lit(".md)")).alias("line"))
+    return lists.next_fit(part, ["p_brand"], ["p_partkey"], F.col("line"), 50).select("p_brand", "p_partkey", tx.js_len(F.col("line")).alias("n"), "bucket")
 
 
 @query(packed_sql(LINE_SQL, 50) + " SELECT p_partkey, CAST(bucket AS INTEGER) AS bucket FROM r")
@@ -160,7 +157,7 @@ SELECT p_brand, slug, CASE WHEN a = z THEN a ELSE a || ' – ' || z END AS name,
 def e_group_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of the parts of a brand where its table needs them; one level serves at this budget."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", "p_partkey", F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("slug"))
-    return plan.grouped_lists(part, ["p_brand"], "p_partkey", LINES_BUDGET).withColumn("links", F.array_join("links", "\n"))
+    return lists.grouped_lists(part, ["p_brand"], "p_partkey", LINES_BUDGET).drop("place").withColumn("links", F.array_join("links", "\n"))
 
 
 @query()
