@@ -31,6 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.exact_dedup import HEADS
 from quire.runtime import materialize, open_store, shared_path, ship_code, spread
 
 ARCHIVE_BYTES, BLOCK_LINES, MIN_REVISIT_BYTES, DATE = 256 << 20, 3000, 0, "1970-01-01T00:00:00Z"
@@ -220,6 +221,17 @@ class Directory:
                     yield line.split(" ")
 
 
+def by_heat(rows: DataFrame, copies: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with the page their payload refers to, if any: those of hot payloads, which stay where they are, and the others, which move by digest.
+
+    Payloads that more than 1 / HEADS of the rows hold are fewer than HEADS and are broadcast, so a digest that moves holds a small share of the rows."""
+    hot = F.col("n") * HEADS > n_rows
+    heads = F.broadcast(copies.filter(hot).select("digest", "refers_to", F.lit(True).alias("hot")))
+    marked = rows.join(heads, "digest", "left")
+    others = marked.filter("hot IS NULL").drop("refers_to", "hot").join(copies.filter(~hot).drop("n"), "digest", "left")
+    return marked.filter("hot").drop("hot"), others
+
+
 class CaptureIndex:
     """The archives and both index levels under ``root``."""
 
@@ -233,9 +245,10 @@ class CaptureIndex:
         root = root or shared_path(spark, "warc")
         text = F.coalesce(F.col("html").cast("string"), F.lit(""))
         rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text.alias("html"), F.sha1(text.cast("binary")).alias("digest"), F.octet_length(text).alias("bytes"))
-        copies = rows.filter(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        copies = rows.filter(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         copies = materialize(copies, "copies")
-        rows = rows.join(copies, "digest", "left")
+        hot, others = by_heat(rows, copies, pages.count())
+        rows = hot.unionByName(others)
         revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
         captures = rows.select("page_id", "url", "html", "refers_to", revisit.alias("revisit")).mapInArrow(_archives(f"{root}/archives"), CAPTURE)
         captures = materialize(captures, "captures")

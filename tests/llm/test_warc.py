@@ -36,6 +36,24 @@ def test_records_survive_the_round_trip(spark):
     assert full[5] == b"x" * 300_000 and full[7] == b"\r\n\r\nWARC/1.1" and full[2] == "<p>öther</p>".encode()
 
 
+def test_a_hot_payload_stays_where_it_is(spark, monkeypatch):
+    """A payload that half of the pages hold crosses no exchange, those that few share meet by digest."""
+    monkeypatch.setattr(m, "HEADS", 4)
+    rows = [(i, f"https://h.example/{i}", "<p>half</p>" if i % 2 else f"<p>{i % 50}</p>" if i % 3 else f"<p>own {i}</p>") for i in range(400)]
+    index = m.CaptureIndex.write(frame(spark, rows))
+    first = {}
+    for i, _, html in rows:
+        first.setdefault(html, i)
+    got = {r.page_id: r.refers_to for r in index.read(frame(spark, rows)).collect()}
+    assert got == {i: None if first[html] == i else first[html] for i, _, html in rows} and len(set(got.values())) > 10
+    own = frame(spark, rows).select("page_id", "html", m.F.sha1(m.F.col("html").cast("binary")).alias("digest"))
+    copies = own.groupBy("digest").agg(m.F.min("page_id").alias("refers_to"), m.F.count(m.F.lit(1)).alias("n")).filter("n > 1")
+    written = spark.createDataFrame(copies.collect(), copies.schema)
+    hot, others = m.by_heat(own, written, len(rows))
+    assert hot.count() == 200 and others.count() == 200 and {r.refers_to for r in hot.collect()} == {1}
+    assert "Exchange hashpartitioning" not in hot._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lookup_bisects_directory_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(m, "BLOCK_LINES", 3)
     rows = [(i, f"https://h{i % 7}.example.com/p{i // 3}", f"<p>{i}</p>") for i in range(60)]
