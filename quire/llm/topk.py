@@ -7,8 +7,9 @@ out as slices too. The top rows are selected from the most significant slice dow
 the boundary are resolved by their smaller identifier, and scores of the selected rows are exact integers.
 
 Rows are dealt into blocks of ``BLOCK``; the index of a block is built once and written to the shared folder, as are
-the queries in blocks of ``QUERY_BLOCK``. The pairs of block numbers are dealt out by row block and ``QUERY_GROUP`` query blocks: a task loads an index
-and streams query blocks past it, so no vector is shuffled more than once. A pair yields k rows a query at most. Defined results: vectors that are null or hold null, NaN or infinite
+the queries in blocks of ``QUERY_BLOCK``. The pairs of block numbers are dealt out by groups of row blocks and ``QUERY_GROUP`` query blocks: a task loads an index,
+streams query blocks past it and goes on to the next, so no vector is shuffled more than once. It keeps each query's k best over all its row blocks, skips blocks
+that can't reach the last of them, and yields k rows a query at the end. Row blocks form as many groups as tasks need work, of ``ROW_GROUP`` at most. Defined results: vectors that are null or hold null, NaN or infinite
 components take no part; a vector meets only vectors of its own length; a query with fewer than k
 candidates gets all; rows that repeat a vec_id are candidates of their own, a query skips only its own row;
 a null vec_id is never a query and sorts last among ties; empty tables give empty results. Quantised
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quire.runtime import materialize, open_store, shared_path, ship_code, spread
 
-K, SCALE, BLOCK, QUERY_BLOCK, QUERY_GROUP = 20, 64.0, 4096, 1024, 64
+K, SCALE, BLOCK, QUERY_BLOCK, QUERY_GROUP, ROW_GROUP = 20, 64.0, 4096, 1024, 64, 64
 
 
 class BitSlicedIndex:
@@ -97,6 +98,12 @@ class BitSlicedIndex:
             level += 1
         return out
 
+    def bounds(self, queries: np.ndarray) -> list[float]:
+        """No row's score with a query exceeds its bound, rounding included; floats, since a bound may not fit where all scores do."""
+        wide = queries.astype(np.float64)
+        most = np.maximum(wide * self.rows.max(axis=0), wide * self.low)
+        return (most.sum(axis=1) + 1e-9 * np.abs(most).sum(axis=1) + 1).tolist()
+
     def top(self, query: np.ndarray, k: int, skip: int | None = None) -> np.ndarray:
         """Places of the k best rows (all, if fewer); ties go to the first place."""
         tied = self.alive.copy()
@@ -171,24 +178,56 @@ def _load(root: str, name: str) -> dict[str, np.ndarray]:
         return dict(np.load(io.BytesIO(file.read())))
 
 
-def _search(root: str, k: int):
-    schema = pa.schema([("query_no", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+class Best:
+    """The k best candidates so far of each query of a block, over all row blocks that passed."""
+
+    def __init__(self, asked: dict[str, np.ndarray], k: int):
+        self.k, n = k, len(asked["rows"])
+        self.numbers, self.query_ids = asked["numbers"], pa.array(asked["ids"], mask=~asked["known"])
+        self.scores, self.ids = np.zeros((n, k), dtype=np.int64), np.zeros((n, k), dtype=np.int64)
+        self.known, self.sizes = np.zeros((n, k), dtype=bool), np.zeros(n, dtype=np.int64)
+
+    def hopeless(self, i: int, bound: float) -> bool:
+        """Whether no row of a block whose scores don't exceed ``bound`` can enter; one that ties still may, by its id."""
+        return self.k <= 0 or (self.sizes[i] == self.k and bound < int(self.scores[i, -1]))
 
+    def add(self, i: int, scores: np.ndarray, ids: np.ndarray, known: np.ndarray) -> None:
+        n = self.sizes[i]
+        scores, ids, known = (np.concatenate([own[i, :n], new]) for own, new in ((self.scores, scores), (self.ids, ids), (self.known, known)))
+        first = np.lexsort((ids, ~known, -scores))[: self.k]
+        self.sizes[i] = len(first)
+        for own, new in ((self.scores, scores), (self.ids, ids), (self.known, known)):
+            own[i, : len(first)] = new[first]
+
+    def rows(self) -> pa.RecordBatch:
+        here = np.arange(self.k) < self.sizes[:, None]
+        of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        columns = [pa.array(self.numbers[of], pa.int64()), self.query_ids.take(pa.array(of)), pa.array(self.ids[here], mask=~self.known[here]), pa.array(self.scores[here], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["query_no", "query_id", "vec_id", "score"])
+
+
+def _search(root: str, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, index, data = None, None, {}
+        part, best = None, {}
         for batch in batches:
-            for rows, queries in zip(batch.column("rows").to_pylist(), batch.column("queries").to_pylist(), strict=True):
+            for rows, queries, of in zip(*(batch.column(c).to_pylist() for c in ("rows", "queries", "part")), strict=True):
+                if of != part:
+                    yield from (b.rows() for b in best.values())
+                    part, best = of, {}
                 if rows != held:
                     held, data = rows, _load(root, rows)
                     index = BitSlicedIndex.of(data)
-                    ids = pa.array(data["ids"], mask=~data["known"])
                     place = {int(n): i for i, n in enumerate(data["numbers"])}
                 asked = _load(root, queries)
-                for vector, number, query_id, known in zip(asked["rows"], asked["numbers"].tolist(), asked["ids"].tolist(), asked["known"], strict=True):
-                    found = index.top(vector, k, place.get(number))
-                    n = len(found)
-                    columns = [pa.array(np.full(n, number)), pa.array([query_id if known else None] * n, pa.int64()), ids.take(pa.array(found)), pa.array(index.rows[found] @ vector)]
-                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                if queries not in best:
+                    best[queries] = Best(asked, k)
+                own = best[queries]
+                for i, (vector, number, bound) in enumerate(zip(asked["rows"], asked["numbers"].tolist(), index.bounds(asked["rows"]), strict=True)):
+                    if not own.hopeless(i, bound):
+                        found = index.top(vector, k, place.get(number))
+                        own.add(i, index.rows[found] @ vector, data["ids"][found], data["known"][found])
+        yield from (b.rows() for b in best.values())
 
     return run
 
@@ -214,8 +253,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCAL
     asked = write_index(rows.filter("is_query"), root, QUERY_BLOCK, False).select("dim", F.col("block").alias("q"), F.col("file").alias("queries"))
     context = vectors.sparkSession.sparkContext
     tasks = max(4 * context.defaultParallelism, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pairs = index.join(asked, "dim").repartition(tasks, "dim", "r", F.floor(F.col("q") / QUERY_GROUP))  # numbers of blocks, not rows
-    pairs = pairs.sortWithinPartitions("dim", "r", "q")
+    asked = asked.withColumn("query_group", F.floor(F.col("q") / QUERY_GROUP))
+    counts = index.groupBy("dim").agg((F.max("r") + 1).alias("row_blocks")).join(asked.groupBy("dim").agg((F.max("query_group") + 1).alias("query_groups")), "dim")
+    wanted = F.greatest(F.ceil(tasks / F.col("query_groups")), F.ceil(F.col("row_blocks") / ROW_GROUP))
+    index = index.join(counts.select("dim", "row_blocks", F.least("row_blocks", wanted).alias("groups")), "dim")
+    index = index.select("dim", "r", "rows", F.floor(F.col("r") * F.col("groups") / F.col("row_blocks")).alias("row_group"))
+    pairs = index.join(asked, "dim").withColumn("part", F.concat_ws(":", "dim", "row_group", "query_group"))  # numbers of blocks, not rows
+    pairs = pairs.repartition(tasks, "part").sortWithinPartitions("part", "r", "q")
     found = pairs.mapInArrow(_search(root, k), "query_no long, query_id long, vec_id long, score long")
     order = Window.partitionBy("query_no").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

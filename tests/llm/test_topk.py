@@ -65,3 +65,26 @@ def test_an_index_is_built_once_for_each_row_block(spark, monkeypatch):
     for q in range(0, 90, 5):
         want = sorted(((-int(v[q] @ v[i]), i) for i in v if i != q))[:3]
         assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+
+
+def test_candidates_do_not_grow_with_the_row_blocks_of_a_task(spark, monkeypatch):
+    """A task yields k rows a query, whether its row blocks are one or many; ties across blocks go to the smaller id."""
+    rng = np.random.default_rng(5)
+    rows = rng.integers(-9, 9, (64, 4))
+    rows[40:] = rows[:24]
+    root = m.shared_path(spark, "slices")
+    frame = spark.createDataFrame([(i, bool(i % 8 == 0), [int(x) for x in v], i, 4) for i, v in enumerate(rows)], "vec_id long, is_query boolean, v array<long>, row_no long, dim int")
+    index, asked = m.write_index(frame, root, 8, True).collect(), m.write_index(frame.filter("is_query"), root, 100, False).collect()
+    assert len(index) > 4 and len(asked) == 1
+    batch = m.pa.RecordBatch.from_arrays([m.pa.array([r.file for r in index]), m.pa.array([asked[0].file] * len(index)), m.pa.array(["0"] * len(index))], names=["rows", "queries", "part"])
+    found = [r for b in m._search(root, 5)(iter([batch])) for r in b.to_pylist()]
+    assert len(found) == 8 * 5
+    for q in range(0, 64, 8):
+        want = sorted((-int(rows[q] @ rows[i]), i) for i in range(64) if i != q)[:5]
+        assert sorted((-r["score"], r["vec_id"]) for r in found if r["query_id"] == q) == want
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(1)
+    rows, queries = rng.integers(-50, 50, (100, 6)), rng.integers(-50, 50, (9, 6))
+    assert (np.array(m.BitSlicedIndex(rows).bounds(queries)) >= (rows @ queries.T).max(axis=0)).all()
