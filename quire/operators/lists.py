@@ -139,26 +139,50 @@ def next_fit(rows: DataFrame, keys: list[str], order: list[str], line: Column, b
     return out.withColumn(name, F.col("__quire_bucket")).drop("__quire_l", "__quire_a", "__quire_bucket", "__quire_list", "__quire_at", "__quire_n")
 
 
+def _bucketed(level: DataFrame, keys: list[str], budget: int) -> DataFrame:
+    """The entries of a level (keys, place, name, link, ...) with their buckets, and how many buckets and lines their list has."""
+    line = F.concat(F.lit("- ["), F.coalesce("name", F.lit("")), F.lit("]("), "link", F.lit(")"))
+    packed = materialize(next_fit(level, keys, ["place"], line, budget), "level")
+    sizes = packed.groupBy(*keys).agg(F.max("bucket").alias("__quire_buckets"), F.count(F.lit(1)).alias("__quire_lines"))
+    other = [f"__quire_k{i}" for i in range(len(keys))]
+    sizes = sizes.select(*(F.col(k).alias(o) for k, o in zip(keys, other, strict=True)), "__quire_buckets", "__quire_lines")
+    return packed.join(sizes, _same(keys, other)).drop(*other)
+
+
+def _groups(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A group for each bucket: keys, place, name, link, links."""
+    ends = F.struct("place", F.coalesce("name", F.lit("")).alias("name"))
+    groups = rows.groupBy(*keys, F.col("bucket").alias("place")).agg(F.min(ends)["name"].alias("first"), F.max(ends)["name"].alias("last"), F.transform(F.array_sort(F.collect_list(F.struct("place", "link"))), lambda s: s["link"]).alias("links"))
+    name = F.when(F.col("first") == F.col("last"), F.col("first")).otherwise(F.concat("first", F.lit(" – "), "last"))
+    return groups.select(*keys, "place", name.alias("name"), F.format_string("group-%d/index.md", "place").alias("link"), "links")
+
+
+def _level(entries: DataFrame, keys: list[str], order: str) -> DataFrame:
+    return entries.select(*keys, F.col(order).alias("place"), "name", F.concat("slug", F.lit(".md")).alias("link"), F.lit(None).cast("array<string>").alias("links"))
+
+
+def _slug() -> Column:
+    return F.regexp_replace("link", "/index\\.md\\z", "").alias("slug")
+
+
+def first_groups(entries: DataFrame, keys: list[str], order: str, budget: int) -> DataFrame:
+    """keys, place, name, slug, links: the groups that each list's flat entries are packed into, whether or not their own table fits; none where one bucket holds the list."""
+    rows = _bucketed(_level(entries, keys, order), keys, budget).filter("__quire_buckets > 1")
+    return _groups(rows, keys).select(*keys, F.col("place").cast("long").alias("place"), "name", _slug(), "links")
+
+
 def grouped_lists(entries: DataFrame, keys: list[str], order: str, budget: int) -> DataFrame:
     """keys, place, name, slug, links: the top groups that each list of flat entries (name, slug) needs; none where its table fits.
 
     All lists are packed level by level: groups of a level are the lines of the next, until a table fits or packing gains nothing. A group's links are those
     of its own lines, at most a bucket of them. Two neighbouring buckets hold more than a budget together, so levels grow with the logarithm of a list."""
-    level = entries.select(*keys, F.col(order).alias("place"), "name", F.concat("slug", F.lit(".md")).alias("link"), F.lit(None).cast("array<string>").alias("links"))
+    level = _level(entries, keys, order)
     settled = []
     while True:
-        line = F.concat(F.lit("- ["), F.coalesce("name", F.lit("")), F.lit("]("), "link", F.lit(")"))
-        packed = materialize(next_fit(level, keys, ["place"], line, budget), "level")
-        sizes = packed.groupBy(*keys).agg(F.max("bucket").alias("__quire_buckets"), F.count(F.lit(1)).alias("__quire_lines"))
-        other = [f"__quire_k{i}" for i in range(len(keys))]
-        sizes = sizes.select(*(F.col(k).alias(o) for k, o in zip(keys, other, strict=True)), "__quire_buckets", "__quire_lines")
-        rows = packed.join(sizes, _same(keys, other)).drop(*other)
+        rows = _bucketed(level, keys, budget)
         done = (F.col("__quire_buckets") == 1) | (F.col("__quire_buckets") == F.col("__quire_lines"))
-        settled.append(rows.filter(done & F.col("links").isNotNull()).select(*keys, F.col("place").cast("long").alias("place"), "name", F.regexp_replace("link", "/index\\.md\\z", "").alias("slug"), "links"))
+        settled.append(rows.filter(done & F.col("links").isNotNull()).select(*keys, F.col("place").cast("long").alias("place"), "name", _slug(), "links"))
         open_rows = rows.filter(~done)
         if open_rows.isEmpty():
             return reduce(DataFrame.unionByName, settled)
-        ends = F.struct("place", F.coalesce("name", F.lit("")).alias("name"))
-        groups = open_rows.groupBy(*keys, F.col("bucket").alias("place")).agg(F.min(ends)["name"].alias("first"), F.max(ends)["name"].alias("last"), F.transform(F.array_sort(F.collect_list(F.struct("place", "link"))), lambda s: s["link"]).alias("links"))
-        name = F.when(F.col("first") == F.col("last"), F.col("first")).otherwise(F.concat("first", F.lit(" – "), "last"))
-        level = groups.select(*keys, "place", name.alias("name"), F.format_string("group-%d/index.md", "place").alias("link"), "links")
+        level = _groups(open_rows, keys)

@@ -67,3 +67,13 @@ def test_groups_of_groups_as_the_planner_makes_them(spark):
         flat = [plan.Entry(name, slug, False) for k, _, name, slug in rows if k == key]
         assert found.get(key, []) == [(e.name, e.slug, [m.link for m in e.members]) for e in plan.grouped(flat, 20) if e.members]
     assert max(link for links in (g[2] for g in found["big"]) for link in links).startswith("group-")
+
+
+def test_first_groups_of_a_list_whose_groups_need_groups(spark):
+    rows = [("big", i, f"n{i}", f"s{i}") for i in range(400)] + [("tiny", 0, "n", "s")]
+    got = lists.first_groups(spark.createDataFrame(rows, "key string, i int, name string, slug string"), ["key"], "i", 20).orderBy("place").collect()
+    flat = [plan.Entry(name, slug, False) for key, _, name, slug in rows if key == "big"]
+    numbers = plan.bucket_numbers([e.line for e in flat], 20)
+    assert plan.cost([f"- [{r.name}]({r.slug}/index.md)" for r in got]) > 20  # grouped_lists goes on from here
+    assert [(r.key, r.place, r.slug) for r in got] == [("big", n, f"group-{n}") for n in range(1, numbers[-1] + 1)]
+    assert [link for r in got for link in r.links] == [e.link for e in flat] and [len(r.links) for r in got] == [numbers.count(r.place) for r in got]
