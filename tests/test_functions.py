@@ -71,3 +71,8 @@ def test_frontmatter(spark):
 def test_nulls(spark):
     for column in (md.estimate_tokens, md.strip_mdx, tx.slug, tx.js_trim):
         assert values(spark, [None], column) == [None]
+
+
+def test_a_paragraph_that_begins_with_a_line_of_hashes_is_no_prose(spark):
+    df = spark.createDataFrame([("##\nnext line\n\nprose here",), ("###\nalone",), ("#tag\nis prose",)], "body string")
+    assert [r[0] for r in df.select(md.first_summary(F.col("body"))).collect()] == ["prose here", "", "#tag is prose"]
