@@ -76,3 +76,10 @@ def test_nulls(spark):
 def test_a_paragraph_that_begins_with_a_line_of_hashes_is_no_prose(spark):
     df = spark.createDataFrame([("##\nnext line\n\nprose here",), ("###\nalone",), ("#tag\nis prose",)], "body string")
     assert [r[0] for r in df.select(md.first_summary(F.col("body"))).collect()] == ["prose here", "", "#tag is prose"]
+
+
+def test_sections_keep_every_character_and_see_fences(spark):
+    """Sections are told apart by lines; characters that once marked them inside an expression are text."""
+    body = "pre﷐﷑\n ## One﷒ \nx\n```\n# code\n```\n#\n####### seven\n# Two\n"
+    got = spark.createDataFrame([(body,)], "body string").select(F.inline(md.sections(F.col("body")))).collect()
+    assert [tuple(r) for r in got] == [(0, 0, None, "pre﷐﷑"), (1, 2, "One﷒", "x\n```\n# code\n```\n#\n####### seven"), (2, 1, "Two", "")]
