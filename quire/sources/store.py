@@ -41,19 +41,22 @@ SOURCE_TYPES = {"github": {"type": "string", "url": "string", "subpath": "string
 OFFSET_TIME = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})\\z"
 
 
-#: The JSON type of a variant ``v``; null where there is no value at all. SQL text, as hundreds of small calls would cost seconds to build.
-KIND_SQL = """CASE WHEN schema_of_variant({v}) = 'VOID' THEN 'null' WHEN schema_of_variant({v}) = 'STRING' THEN 'string' WHEN schema_of_variant({v}) = 'BOOLEAN' THEN 'boolean'
-  WHEN schema_of_variant({v}) LIKE 'OBJECT%' THEN 'object'
-  WHEN schema_of_variant({v}) LIKE 'ARRAY%' THEN IF(forall(try_variant_get({v}, '$', 'array<variant>'), x -> schema_of_variant(x) = 'STRING'), 'strings', 'array')
-  WHEN schema_of_variant({v}) IN ('BIGINT', 'DOUBLE', 'FLOAT') OR schema_of_variant({v}) LIKE 'DECIMAL%'
-    THEN IF(try_variant_get({v}, '$', 'decimal(38, 18)') = floor(try_variant_get({v}, '$', 'decimal(38, 18)')), 'integer', 'number') END"""
+def _bound(value: str, name: str, use: str) -> str:
+    """SQL that computes a value once and names it: what an expression names again is evaluated again."""
+    return f"get(transform(array({value}), {name} -> {use}), 0)"
+
+
+#: The JSON type of a variant ``__v``; null where there is no value at all. SQL text, as hundreds of small calls would cost seconds to build.
+KIND_SQL = _bound("schema_of_variant(__v)", "__t", """CASE WHEN __t = 'VOID' THEN 'null' WHEN __t = 'STRING' THEN 'string' WHEN __t = 'BOOLEAN' THEN 'boolean' WHEN __t LIKE 'OBJECT%' THEN 'object'
+  WHEN __t LIKE 'ARRAY%' THEN IF(forall(try_variant_get(__v, '$', 'array<variant>'), x -> schema_of_variant(x) = 'STRING'), 'strings', 'array')
+  WHEN __t IN ('BIGINT', 'DOUBLE', 'FLOAT') OR __t LIKE 'DECIMAL%' THEN IF(try_variant_get(__v, '$', 'decimal(38, 18)') = floor(try_variant_get(__v, '$', 'decimal(38, 18)')), 'integer', 'number') END""")
 
 
 def _typed(value: str, types: dict[str, str]) -> str:
     """SQL for whether every key of a variant has a type it may have."""
     tests = []
     for key, allowed in types.items():
-        kind = KIND_SQL.format(v=f"try_variant_get({value}, '$.{key}', 'variant')")
+        kind = _bound(f"try_variant_get({value}, '$.{key}', 'variant')", "__v", KIND_SQL)
         names = ", ".join(f"'{a}'" for a in allowed.rstrip("?").split("/"))
         tests.append(f"coalesce(({kind}) IN ({names}), {str(allowed.endswith('?')).lower()})")
     return " AND ".join(tests)
@@ -65,7 +68,7 @@ def _only(json: str, keys: list[str]) -> str:
 
 
 def _checks() -> str:
-    value, source = "try_parse_json(__json)", "try_variant_get(try_parse_json(__json), '$.source', 'variant')"
+    value, source = "__whole", "__source"
     text = lambda path: f"try_variant_get({value}, '$.{path}', 'string')"
     by_type = lambda github, path: f"CASE {text('source.type')} WHEN 'github' THEN {github} WHEN 'path' THEN {path} END"
     checks = {
@@ -77,7 +80,8 @@ def _checks() -> str:
         "offset": f"{text('last_refresh')} RLIKE r'{OFFSET_TIME}'",
     }
     failed = ", ".join(f"IF(coalesce({check}, false), NULL, '{name}')" for name, check in checks.items())
-    return f"IF(coalesce(schema_of_variant({value}) LIKE 'OBJECT%', false), array_compact(array({failed})), array('unreadable'))"
+    checked = f"IF(coalesce(schema_of_variant({value}) LIKE 'OBJECT%', false), array_compact(array({failed})), array('unreadable'))"
+    return _bound("try_parse_json(__json)", value, _bound(f"try_variant_get({value}, '$.source', 'variant')", source, checked))
 
 
 def structure(rows: DataFrame, json: Column, name: str) -> DataFrame:

@@ -83,3 +83,12 @@ def test_sections_keep_every_character_and_see_fences(spark):
     body = "pre﷐﷑\n ## One﷒ \nx\n```\n# code\n```\n#\n####### seven\n# Two\n"
     got = spark.createDataFrame([(body,)], "body string").select(F.inline(md.sections(F.col("body")))).collect()
     assert [tuple(r) for r in got] == [(0, 0, None, "pre﷐﷑"), (1, 2, "One﷒", "x\n```\n# code\n```\n#\n####### seven"), (2, 1, "Two", "")]
+
+
+def test_records_are_parsed_once(spark):
+    from quire.sources import store
+
+    assert store._checks().count("try_parse_json") == 1
+    rows = spark.createDataFrame([("{",), ("[]",), ("{}",), ('{"source":{"type":"path","path":"/d","kind":"odd"}}',)], "json string")
+    failed = [r[0] for r in store.structure(rows, F.col("json"), "failed").select("failed").collect()]
+    assert failed == [["unreadable"], ["unreadable"], ["types", "source_keys", "source_types", "offset"], ["types", "source_kind", "offset"]]
