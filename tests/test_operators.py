@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import text as tx
 from quire.operators import catalog as cat
 from quire.operators import order, plan, render, scan, tree
 from quire.sources import store, urls
@@ -353,3 +354,25 @@ def test_git_runner_is_injectable(spark):
             clone.files("../..")
         with pytest.raises(repos.RepositoryError, match="no files"):
             clone.files(None)
+
+
+def test_planner_takes_many_doc_sets_a_batch(spark):
+    """Doc sets that begin in one Arrow batch and end in another are planned whole, whatever the batches' size."""
+    rows = [(f"set-{d}", f, f"Café Nº {f}.md", None, f"# Ｔitle {f} İK\n\n" + "word " * 40 + f"\n\n## con\n\ntext {d}") for d in range(30) for f in range(1, 8)]
+    nodes = tree.sized_nodes(spark.createDataFrame(rows, FILES)).cache()
+    planned = plan.plan_emission(nodes, 120)
+    whole = sorted(map(str, planned.collect()))
+    assert "FlatMapGroupsInPandas" not in planned._jdf.queryExecution().toString()  # a batch for every doc set
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        assert sorted(map(str, plan.plan_emission(nodes, 120).collect())) == whole and len(whole) > 200
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    nodes.unpersist()
+
+
+def test_slugs_of_strings_are_those_of_columns(spark):
+    names = ["", "Con", "LPT1", "a" * 63 + " b", "-x-", "Ｆｕｌｌ ①", "İstanbul K", "C/C++ (I)", "\U0001d49c z", "ß ΑΣ", "x" * 80, "é"]
+    got = spark.createDataFrame([(n,) for n in names], "name string").select("name", tx.slug(F.col("name")).alias("slug")).collect()
+    assert {r["name"]: r.slug for r in got} == {n: tx.slug_of(n) for n in names}
