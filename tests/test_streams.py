@@ -4,6 +4,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,20 @@ def test_due_entries_are_told_by_timers(spark, tmp_path):
     assert {(r.name, r.due) for r in keyed.current(registry, f"file://{tmp_path}/out").collect()} == {("e0", True), ("e1", False), ("e2", False), ("e3", False), ("e4", False)}
 
 
+def test_telling_outcomes_decide_like_all():
+    """At most three outcomes an entry, ties of a moment included, with the same entry after them from any state."""
+    rng = random.Random(8)
+    for _ in range(300):
+        outcomes = [(START + timedelta(hours=rng.randrange(6)), rng.choice(STATUSES)) for _ in range(rng.randint(1, 9))]
+        rows = pa.table({"scope": ["a"] * len(outcomes), "name": ["b"] * len(outcomes), "status": [o[1] for o in outcomes], "at": pa.array([o[0] for o in outcomes], pa.timestamp("us", "UTC"))})
+        kept = [(r["at"].replace(tzinfo=None), r["status"]) for batch in keyed.telling(iter(rows.to_batches(max_chunksize=2))) for r in batch.to_pylist()]
+        assert len(kept) <= 3 and set(kept) <= set(outcomes)
+        for last in (None, *(START + timedelta(hours=h) for h in range(-1, 7))):
+            entry = ("/x", None, True, last)
+            assert keyed.applied(entry, kept) == keyed.applied(entry, outcomes)
+    assert list(keyed.telling(iter([]))) == []
+
+
 def write(root, tree):
     for name, text in tree.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
