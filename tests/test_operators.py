@@ -376,3 +376,12 @@ def test_slugs_of_strings_are_those_of_columns(spark):
     names = ["", "Con", "LPT1", "a" * 63 + " b", "-x-", "Ｆｕｌｌ ①", "İstanbul K", "C/C++ (I)", "\U0001d49c z", "ß ΑΣ", "x" * 80, "é"]
     got = spark.createDataFrame([(n,) for n in names], "name string").select("name", tx.slug(F.col("name")).alias("slug")).collect()
     assert {r["name"]: r.slug for r in got} == {n: tx.slug_of(n) for n in names}
+
+
+def test_outline_is_that_of_sections(spark):
+    """Headings nest without the texts below them."""
+    rows = [("s", i, f"{i}.md", None, doc(random.Random(i))) for i in range(20)]
+    df = spark.createDataFrame(rows, FILES)
+    got = {(r.file_ord, r.ord): (r.level, r["name"]) for r in tree.heading_paths(df).collect()}
+    assert got == {(r.file_ord, r.ord): (r.level, r["name"]) for r in tree.headings(df).filter("ord > 0").collect()} and len(got) > 10
+    assert "body" not in tree.heading_paths(df).columns
