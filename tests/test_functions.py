@@ -1,5 +1,7 @@
 """Literal cases of the text primitives."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,14 @@ def test_records_are_parsed_once(spark):
     rows = spark.createDataFrame([("{",), ("[]",), ("{}",), ('{"source":{"type":"path","path":"/d","kind":"odd"}}',)], "json string")
     failed = [r[0] for r in store.structure(rows, F.col("json"), "failed").select("failed").collect()]
     assert failed == [["unreadable"], ["unreadable"], ["types", "source_keys", "source_types", "offset"], ["types", "source_kind", "offset"]]
+
+
+def test_summaries_of_long_bodies(spark):
+    """What a body begins with gives the same summary as all of it, wherever the beginning is cut; and the rest isn't searched."""
+    rng = random.Random(5)
+    piece = lambda: rng.choice(["word " * rng.randint(1, 60), "9" * rng.randint(100, 1100) + rng.choice(["", ". x"]), "", "", " \t", FENCE, f"  {FENCE}py", "# Head", "| a |", "- item", "😀é" * rng.randint(1, 90), "1. one"])
+    bodies = ["\n".join(piece() for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    bodies += ["x" * n + f"\n{FENCE}\ncode\n{FENCE}\nrest of it " * 40 for n in range(1015, 1030)] + [" " * n + "a b " * 90 for n in range(1000, 1030)] + ["9" * n + ". no prose\n\nprose" for n in (110, 120, 125, 1020, 1030)]
+    whole = values(spark, bodies, lambda s: tx.truncate_word(F.coalesce(md.first_paragraph(s), F.lit(""))))
+    assert values(spark, bodies, md.first_summary) == whole
+    assert sum(len(b) > md.HEAD for b in bodies) > 200

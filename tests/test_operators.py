@@ -155,6 +155,23 @@ def test_rendered_files_match_the_recursive_model(spark, budget):
                     assert text[name, path] in every
 
 
+@pytest.mark.parametrize("budget", [15, 60, 100_000])
+def test_told_files_are_rendered_alone(spark, budget):
+    """They equal those of the whole plan, and need nothing but themselves and the files they link."""
+    sized = tree.sized_tree(spark.createDataFrame(files(23), FILES))
+    planned = plan.plan_emission(sized.nodes, budget).cache()
+    args = (sized, F.col("doc_set"), F.lit("d"), F.lit("src"))
+    every = {(r.doc_set, r.relative_path): r.content for r in render.render(planned, *args).collect()}
+    skill = F.col("relative_path") == "SKILL.md"
+    for only in (skill, F.col("emit_ord") % 3 == 0):
+        want = {(r.doc_set, r.relative_path) for r in planned.filter(only).collect()}
+        got = {(r.doc_set, r.relative_path): r.content for r in render.render(planned, *args, only).collect()}
+        assert got == {k: v for k, v in every.items() if k in want}
+    linked = planned.filter(skill).select("doc_set", F.explode("child_paths").alias("relative_path"))
+    first = planned.filter(skill).unionByName(planned.join(linked, ["doc_set", "relative_path"], "left_semi"))
+    assert {r.doc_set: r.content for r in render.render(first, *args, skill).collect()} == {k[0]: v for k, v in every.items() if k[1] == "SKILL.md"}
+
+
 def doc_set(names, tokens, own, budget):
     """A root with its own text over leaves."""
     paths = [[], *([i] for i in range(1, len(names) + 1))]
