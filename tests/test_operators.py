@@ -172,6 +172,28 @@ def test_told_files_are_rendered_alone(spark, budget):
     assert {r.doc_set: r.content for r in render.render(first, *args, skill).collect()} == {k[0]: v for k, v in every.items() if k[1] == "SKILL.md"}
 
 
+@pytest.mark.parametrize("budget", [15, 100_000])
+def test_inlined_subtrees_join_texts_alone(spark, budget):
+    """Files are sorted in among the nodes; what they inline is the model's."""
+    rows = files(29)
+    sized = tree.sized_tree(spark.createDataFrame(rows, FILES))
+    planned = plan.plan_emission(sized.nodes, budget).cache()
+    inlined = render.inline_children(planned, sized)
+    assert inlined._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    got = {(r.doc_set, r.relative_path): r.inline for r in inlined.collect()}
+    for name in {r[0] for r in rows}:
+        every = set()
+
+        def walk(node, every=every):
+            every.add("\n\n".join(markdown(k, 2) for k in node[3]))
+            for k in node[3]:
+                walk(k)
+
+        walk(model([r for r in rows if r[0] == name]))
+        assert {text for (doc, _), text in got.items() if doc == name} <= every
+    assert got
+
+
 def doc_set(names, tokens, own, budget):
     """A root with its own text over leaves."""
     paths = [[], *([i] for i in range(1, len(names) + 1))]
