@@ -194,6 +194,58 @@ def test_inlined_subtrees_join_texts_alone(spark, budget):
     assert got
 
 
+def test_a_file_is_parsed_in_one_pass_as_the_columns_have_it(spark):
+    """Sections, tokens, enclosing headings and sizes, also with odd white space and characters of two units."""
+    from quire.functions import markdown, sectioning
+
+    rng = random.Random(31)
+    odd = ["", " ", "\ufeff```", "\u00a0``` sh", "\x85```", "#\u3000wide", "#", "####### seven", "  ## in \r", "#\ttab # ", "\U0001f600\U0001f600a", "é" * 9, "```\r", "#\ufeff", "# \x1cname", "````", "x ```"]
+    texts = ["", "\n\n", "# a", *(doc(rng) for _ in range(150)), *("\n".join(rng.choice([*odd, "## B", "# A", "text"]) for _ in range(rng.randint(1, 25))) for _ in range(250))]
+    df = spark.createDataFrame([("s", i, f"{i}.md", None, t) for i, t in enumerate(texts)], FILES)
+    parts = F.transform(markdown.sections(F.col("content")), lambda s: F.struct(s["level"], F.coalesce(s["name"], F.lit("")), s["body"], markdown.estimate_tokens(s["body"])))
+    told = {r[0]: [tuple(s) for s in r[1]] for r in df.select("file_ord", parts).collect()}
+    chains = {(r.file_ord, r.ord): (r.chain, r.n_children) for r in tree.heading_paths(df).collect()}
+    for i, text in enumerate(texts):
+        got = sectioning.sections(text)
+        assert [(s.level, s.name, s.body, s.tokens) for s in got] == told[i]
+        assert [(s.chain, s.children) for s in got[1:]] == [chains[i, n] for n in range(1, len(got))]
+        below = lambda n, got=got: got[n].tokens + sum(s.tokens for s in got[1:] if n in s.chain)
+        assert [s.subtree for s in got] == [sum(s.tokens for s in got), *(below(n) for n in range(1, len(got)))]
+        assert got[0].children == sum(not s.chain for s in got[1:])
+
+
+@pytest.mark.parametrize("budget", [15, 60, 100_000])
+def test_the_planner_gets_no_nodes_below_those_that_fit(spark, budget):
+    nodes = tree.sized_nodes(spark.createDataFrame(files(37), FILES)).cache()
+    rows = {(r.doc_set, tuple(r.path)): r for r in nodes.collect()}
+    for r in rows.values():
+        assert r.parent_tokens == (rows[r.doc_set, tuple(r.parent_path)].subtree_tokens if r.parent_path else None)
+    fits = nodes.filter(F.col("parent_tokens") <= budget)
+    assert fits.count() or budget == 15
+    read = nodes.withColumn("name", F.when(F.col("parent_tokens") <= budget, F.raise_error(F.lit("read"))).otherwise(F.col("name")))
+    got = plan.plan_emission(read, budget).collect()
+    assert sorted(map(str, got)) == sorted(map(str, plan.plan_emission(nodes.drop("parent_tokens"), budget).collect()))
+
+
+@pytest.mark.parametrize("budget", [15, 60, 100_000])
+def test_inlined_texts_move_by_file(spark, budget):
+    """The texts of a file are not told apart before they meet its nodes, and come as if each section were joined alone."""
+    sized = tree.sized_tree(spark.createDataFrame(files(41, n=14), FILES))
+    planned = plan.plan_emission(sized.nodes, budget).cache()
+    inlined = render.inline_children(planned, sized)
+    assert "explode" not in inlined._jdf.queryExecution().optimizedPlan().toString()
+    text = {(r.doc_set, r.file_ord, r.ord): r.body for r in sized.bodies.collect()}
+    nodes = sorted(sized.nodes.collect(), key=lambda r: (r.doc_set, tuple(r.path)))
+    want = {}
+    for p in planned.filter("size(child_paths) = 0 and node_path is not null").collect():
+        top = next(n for n in nodes if (n.doc_set, n.path) == (p.doc_set, p.node_path))
+        below = [n for n in nodes if n.doc_set == p.doc_set and len(n.path) > len(top.path) and n.path[: len(top.path)] == top.path]
+        parts = [x for n in below for x in ("#" * (n.depth - top.depth + 1) + " " + n.name, text.get((n.doc_set, n.file_ord, n.ord), "")) if x]
+        if below:
+            want[p.doc_set, p.relative_path] = "\n\n".join(parts)
+    assert {(r.doc_set, r.relative_path): r.inline for r in inlined.collect()} == want and want
+
+
 def doc_set(names, tokens, own, budget):
     """A root with its own text over leaves."""
     paths = [[], *([i] for i in range(1, len(names) + 1))]
